@@ -23,11 +23,13 @@ from pyspark.sql.window import Window
 from ._common import components, mix, row_key, settle, shingle_set
 
 #: Shingles in a tile, more or less.
-TILE = 262_144
+TILE = 1_500_000
 #: Documents and shingles of the table that puts frequent shingles last.  It orders, and decides nothing.
 SAMPLE, FREQUENT = 3000, 50_000
-#: Neighbouring bands hold all sizes within a factor of 4/3.
-BAND = 1.34
+#: Sizes of one band differ by up to this factor; sets of the lowest OVERLAP of a band are in the band below, too.
+BAND, OVERLAP = 3.0, 1.34
+#: Shingles that a prefix has beyond those that linking needs, out of a hundred, and rounds of leaving.
+EXTRA, ROUNDS = 10, 3
 
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -50,7 +52,7 @@ def _shingles(batches):
 
 
 def _prefixes(frequent: np.ndarray):
-    """(key, fp): the first n // 4 + 1 shingles of each set, in order of frequency in the sample and hash."""
+    """(key, fp): the first n // 4 + 1 shingles of each set and a tenth more, in order of frequency in the sample and hash."""
 
     def run(batches):
         seen: set[int] = set()
@@ -70,7 +72,7 @@ def _prefixes(frequent: np.ndarray):
                     late = frequent[at] == s
                     s = np.concatenate([s[~late], s[late]])
                 n = len(s)
-                keys.append(s[: n - -(-n * NUMERATOR // DENOMINATOR) + 1])
+                keys.append(s[: n - -(-n * NUMERATOR // DENOMINATOR) + 1 + -(-n * EXTRA // 100)])
                 owners.append(np.full(len(keys[-1]), fp, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "fp"])
@@ -157,35 +159,40 @@ def join(docs: DataFrame) -> DataFrame:
     frequent = np.sort(often.column("key").to_numpy().view(np.uint64))
 
     held = base.mapInArrow(_prefixes(frequent), "key long, fp long")
-    least = F.min("fp").over(Window.partitionBy("key").orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = held.select(F.col("fp").alias("a"), least.alias("b")).where("a <> b").distinct()
+    sizes = told.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"))
+    least = F.floor(F.col("n") * (NUMERATOR * EXTRA) / (DENOMINATOR * 100)) + 1
+    for _ in range(ROUNDS):
+        shared = settle(_shared(held))
+        counts = shared.groupBy("fp").agg(F.count(F.lit(1)).alias("c"))
+        held = shared.join(counts.join(sizes, "fp").where(F.col("c") >= least).select("fp"), "fp").select("key", "fp")
+    edges = _shared(held).groupBy("fp", "first").agg(F.lit(1)).select(F.col("fp").alias("a"), F.col("first").alias("b"))
     return _finished(base, told, components(edges))
 
 
+def _shared(held: DataFrame) -> DataFrame:
+    """The distinct (key, fp) whose key other sets hold as well, with the key's first fp."""
+    of_key = Window.partitionBy("key")
+    return held.select("key", "fp", F.min("fp").over(of_key).alias("first"), F.max("fp").over(of_key).alias("last")).where("first <> last").select("key", "fp", "first").distinct()
+
+
 def _finished(base: DataFrame, told: DataFrame, families: DataFrame) -> DataFrame:
     sets = told.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"), F.min("k").alias("k"))
-    members = settle(families.select(F.col("node").alias("fp"), F.col("root").alias("family")).join(sets, "fp").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")))
-    # how large families and their bands are
-    whole = members.groupBy("family").agg(F.sum("n").alias("total"))
+    members = families.select(F.col("node").alias("fp"), F.col("root").alias("family")).join(sets, "fp")
+    level = F.log(F.col("n").cast("double")) / float(np.log(BAND))
+    own, low = F.floor(level).cast("int"), F.floor(level - float(np.log(OVERLAP) / np.log(BAND))).cast("int")
+    members = settle(members.select("*", F.explode(F.array_distinct(F.array(own, low))).alias("band")))
+    whole = members.where(F.col("band") == own).groupBy("family").agg(F.sum("n").alias("total"))
     bands = members.groupBy("family", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / TILE)).cast("int").alias("tiles"))
-    near = bands.select("family", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above")), bands.select("family", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
-    plan = bands.join(near[0], ["family", "band"], "left").join(near[1], ["family", "band"], "left").join(whole, "family").select("family", "band", (F.col("total") <= TILE).alias("small"), "tiles", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"))
-    dealt = members.join(plan, ["family", "band"]).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-
-    def place(band, t, other_band, other, side):
-        return F.struct(band.alias("band"), t.alias("t"), other_band.alias("other_band"), other.alias("other"), side.alias("side"))
-
-    def each(n, make):
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<band:int,t:int,other_band:int,other:int,side:int>>"))
-
-    band, t, zero = F.col("band"), F.col("t"), F.lit(0)
-    inside = each(F.col("tiles"), lambda o: place(band, F.least(o, t), band, F.greatest(o, t), (t > o).cast("int")))
-    up = each(F.col("above"), lambda o: place(band, t, band + 1, o, zero))
-    down = each(F.col("below"), lambda o: place(band - 1, o, band, t, F.lit(1)))
-    places = F.when(F.col("small"), F.array(place(zero, zero, zero, zero, zero))).otherwise(F.concat(inside, up, down))
-    with_sets = base.select("k", "text").join(dealt.select("k", "fp", "family", places.alias("places")), "k").mapInArrow(_members, "k long, fp long, family long, places array<struct<band:int,t:int,other_band:int,other:int,side:int>>, shingles binary")
-    tiles = with_sets.select("fp", "family", F.explode("places").alias("p"), "shingles").select("fp", "family", "p.band", "p.t", "p.other_band", "p.other", "p.side", "shingles")
-    links = tiles.groupBy("family", "band", "t", "other_band", "other").applyInArrow(_tile, "a long, b long")
+    plan = settle(bands.join(whole, "family").select("family", "band", (F.col("total") <= TILE).alias("small"), "tiles"))
+    dealt = members.withColumn("home", F.col("band") == own).join(plan, ["family", "band"]).where("home or not small")
+    t, n = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"), F.col("tiles")
+    place = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.col("band").alias("band"), F.least(o, t).alias("t"), F.greatest(o, t).alias("other"), (t > o).cast("int").alias("side")))
+    one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).alias("t"), F.lit(0).alias("other"), F.lit(0).alias("side")))
+    placed = dealt.select("k", "fp", "family", F.when(F.col("small"), one).otherwise(place).alias("places"))
+    gathered = placed.groupBy("k", "fp", "family").agg(F.flatten(F.collect_list("places")).alias("places"))
+    with_sets = base.select("k", "text").join(gathered, "k").mapInArrow(_members, "k long, fp long, family long, places array<struct<band:int,t:int,other:int,side:int>>, shingles binary")
+    tiles = with_sets.select("fp", "family", F.explode("places").alias("p"), "shingles").select("fp", "family", "p.band", "p.t", "p.other", "p.side", "shingles")
+    links = tiles.groupBy("family", "band", "t", "other").applyInArrow(_tile, "a long, b long")
     linked = components(links)
 
     owners = told.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
