@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import components, mix, row_key, settle, shingle_set
+from ._common import components, discard, mix, row_key, settle, shingle_set
 
 #: Shingles in a tile, more or less.
 TILE = 1_500_000
@@ -29,7 +29,9 @@ SAMPLE, FREQUENT = 3000, 50_000
 #: Sizes of one band differ by up to this factor; sets of the lowest OVERLAP of a band are in the band below, too.
 BAND, OVERLAP = 3.0, 1.34
 #: Shingles that a prefix has beyond those that linking needs, out of a hundred, and rounds of leaving.
-EXTRA, ROUNDS = 10, 3
+EXTRA, ROUNDS = 10, 2
+#: Members of families, in rows, up to which they are broadcast to the scan of the texts instead of joined by a shuffle.
+BROADCAST = 200_000
 
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -80,13 +82,6 @@ def _prefixes(frequent: np.ndarray):
     return run
 
 
-def _members(batches):
-    for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
-        names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sets, pa.binary())], names=[*names, "shingles"])
-
-
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A bitmap of each set: one bit for each shingle, by hash; as many bits as twice the largest set."""
     bits = 1 << max(9, min(16, int(2 * max(map(len, sets))).bit_length()))
@@ -135,7 +130,7 @@ def links_of_tile(names: list[int], sets: list[np.ndarray], side: np.ndarray) ->
 
 def _tile(table: pa.Table) -> pa.Table:
     names = table.column("fp").to_pylist()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+    sets = [shingle_set(x.as_py()) for x in table.column("text")]
     found = links_of_tile(names, sets, table.column("side").to_numpy()) if len(names) > 1 else []
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -161,10 +156,14 @@ def join(docs: DataFrame) -> DataFrame:
     held = base.mapInArrow(_prefixes(frequent), "key long, fp long")
     sizes = told.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"))
     least = F.floor(F.col("n") * (NUMERATOR * EXTRA) / (DENOMINATOR * 100)) + 1
+    before = None
     for _ in range(ROUNDS):
-        shared = settle(_shared(held))
+        shared = settle(_shared(held).select("key", "fp"))
+        if before is not None:
+            discard(before)
         counts = shared.groupBy("fp").agg(F.count(F.lit(1)).alias("c"))
         held = shared.join(counts.join(sizes, "fp").where(F.col("c") >= least).select("fp"), "fp").select("key", "fp")
+        before = shared
     edges = _shared(held).groupBy("fp", "first").agg(F.lit(1)).select(F.col("fp").alias("a"), F.col("first").alias("b"))
     return _finished(base, told, components(edges))
 
@@ -190,9 +189,11 @@ def _finished(base: DataFrame, told: DataFrame, families: DataFrame) -> DataFram
     one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).alias("t"), F.lit(0).alias("other"), F.lit(0).alias("side")))
     placed = dealt.select("k", "fp", "family", F.when(F.col("small"), one).otherwise(place).alias("places"))
     gathered = placed.groupBy("k", "fp", "family").agg(F.flatten(F.collect_list("places")).alias("places"))
-    with_sets = base.select("k", "text").join(gathered, "k").mapInArrow(_members, "k long, fp long, family long, places array<struct<band:int,t:int,other:int,side:int>>, shingles binary")
-    tiles = with_sets.select("fp", "family", F.explode("places").alias("p"), "shingles").select("fp", "family", "p.band", "p.t", "p.other", "p.side", "shingles")
-    links = tiles.groupBy("family", "band", "t", "other").applyInArrow(_tile, "a long, b long")
+    gathered = settle(gathered)
+    if gathered.count() <= BROADCAST:
+        gathered = F.broadcast(gathered)
+    texts = base.select("k", "text").join(gathered, "k").select("fp", "family", F.explode("places").alias("p"), "text")
+    links = texts.select("fp", "family", "p.band", "p.t", "p.other", "p.side", "text").groupBy("family", "band", "t", "other").applyInArrow(_tile, "a long, b long")
     linked = components(links)
 
     owners = told.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
