@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered per worker; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
 #: Contractions in one recursive query; words that need more go on in the next.
 DEPTH = 48
 #: From this many bytes a word's equal pairs are contracted together.
@@ -91,7 +91,7 @@ class Codec:
         self.con.execute("CREATE TABLE tokens AS SELECT * FROM tokens")
         self.known: dict[str, bytes] = {}
 
-    def _contract(self, words: list[bytes], query: str) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         sizes = np.array([len(b) for b in words])
         wide = int(sizes.max()) >= 1 << 22
         one, big = (40, "HUGEINT") if wide else (22, "BIGINT")
@@ -99,15 +99,18 @@ class Codec:
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         p = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
         t = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        done = [b""] * len(words)
         while len(w):
             self.con.register("state", pa.table({"w": w, "p": p.astype(np.int32), "t": t}))
             rows = self.con.sql(sql).to_arrow_table()
             w, p, t, i = (rows.column(c).to_numpy() for c in range(4))
             cut = np.flatnonzero(np.diff(w, prepend=-1))
             open_ = i == DEPTH
-            for at, tokens in zip(w[cut], np.split(t, cut[1:]), strict=True):
-                done[at] = tokens
+            flat, ends = t.astype("<u4").tobytes(), (4 * np.append(cut[1:], len(t))).tolist()
+            start = 0
+            for at, end in zip(w[cut].tolist(), ends, strict=True):
+                done[at] = flat[start:end]
+                start = end
             w, p, t = w[open_], p[open_], t[open_]
         return done
 
@@ -122,7 +125,7 @@ class Codec:
         for part, query in (([i for i in rest if len(raw[i]) < LONG], _SHORT), ([i for i in rest if len(raw[i]) >= LONG], _LONG)):
             for some in _slices(part, lambda i: len(raw[i]), 400_000):
                 for i, tokens in zip(some, self._contract([raw[i] for i in some], query), strict=True):
-                    self.known[words[i]] = tokens.astype("<u4").tobytes()
+                    self.known[words[i]] = tokens
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
