@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -130,14 +131,16 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(x) for x in texts]
-        fresh = {x for words in split for x in words if x not in self.known}
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = {x for words in split for x in words}
+        known = self.known
+        fresh: set[str] = set()
+        for words in split:
+            fresh.update(filterfalse(known.__contains__, words))
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh.update(*split)
         if fresh:
             self.learn(list(fresh))
-        known = self.known
-        return [b"".join([known[x] for x in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """Each document's bytes from its ids."""

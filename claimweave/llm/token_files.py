@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +28,7 @@ MAGIC = b"WVM1"
 #: Ids of one file, unless a single document has more.
 SHARD = 1_000_000
 #: Words remembered per worker.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 _HEAD = struct.Struct("<4sIQQ")
 
 
@@ -34,19 +37,26 @@ class WaveletMatrix:
 
     def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
         self.n, self.zeros, self.bits = n, zeros, planes
-        self.before = [np.concatenate([[0], np.cumsum(np.bitwise_count(p).astype(np.int64))]) for p in planes]
+        self._before: list[np.ndarray] = []
+
+    @property
+    def before(self) -> list[np.ndarray]:
+        """The rank directory of each plane: set bits before each byte."""
+        if not self._before:
+            self._before = [np.concatenate([[0], np.cumsum(np.bitwise_count(p).astype(np.int64))]) for p in self.bits]
+        return self._before
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = ids.astype(np.uint32)
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        ids = ids.astype(np.uint16 if depth <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(depth - 1, -1, -1):
-            bit = (ids >> np.uint32(level)) & np.uint32(1)
-            one = bit.astype(bool)
+            one = (ids & ids.dtype.type(1 << level)).astype(bool)
+            low, high = ids[~one], ids[one]
             planes.append(np.packbits(one, bitorder="little"))
-            zeros.append(int(len(ids) - np.count_nonzero(one)))
-            ids = np.concatenate([ids[~one], ids[one]])
+            zeros.append(len(low))
+            ids = np.concatenate([low, high])
         return cls(planes, zeros, len(ids))
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -68,16 +78,16 @@ class WaveletMatrix:
         return value
 
     def all(self) -> np.ndarray:
-        """The whole sequence, from the last plane up."""
-        place = np.arange(self.n)
-        out = np.zeros(self.n, np.uint32)
-        for level, zero in enumerate(self.zeros):
-            bit = np.unpackbits(self.bits[level], bitorder="little", count=self.n)
-            ones = np.cumsum(bit, dtype=np.int64) - bit
-            here = bit[place]
-            out = (out << np.uint32(1)) | here
-            place = np.where(here == 1, zero + ones[place], place - ones[place])
-        return out
+        """The whole sequence, from the last plane up: each plane puts its zeros and ones back in their places."""
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            one = np.unpackbits(self.bits[level], bitorder="little", count=self.n).view(bool)
+            zero, back = self.zeros[level], np.empty(self.n, kind)
+            back[~one] = out[:zero]
+            back[one] = out[zero:] | kind(1 << (len(self.zeros) - 1 - level))
+            out = back
+        return out.astype(np.uint32)
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
         lo, hi = 0, end
@@ -131,10 +141,10 @@ class WaveletMatrix:
 
 
 class _Words:
-    """The tokenizers library, with the ids of words between plain white space remembered.
+    """The tokenizers library, with the ids of words between ASCII white space remembered.
 
-    White space is dropped by this tokenizer and never part of a token, so that pieces between spaces,
-    tabs and line ends are encoded alike alone and in their text.
+    White space is dropped by this tokenizer and never part of a token, so that pieces between it are
+    encoded alike alone and in their text.
     """
 
     def __init__(self, path: str):
@@ -143,19 +153,67 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.split(" ") if "\n" not in x and "\t" not in x and "\r" not in x else x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list({w for words in split for w in words})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        self.closings: dict[str, bytes] = {}
+        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words go through the library together, between bars, whose token no other word has."""
+        text = " | ".join(words)
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(ids == self.bar).tolist()
+        flat = ids.tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words.  Letters of ASCII, but for closing punctuation, are one run to the tokenizer: its
+        model takes them as they are, in lower case."""
+        tokenize, known, rest = self.tokenizer.model.tokenize, self.known, []
+        for w in words:
+            body = w.rstrip(".,;:!?")
+            if body.isascii() and body.isalpha():
+                coded = array("I", [x.id for x in tokenize(body.lower())]).tobytes()
+                closing = w[len(body) :]
+                if closing:
+                    end = self.closings.get(closing)
+                    if end is None:
+                        end = array("I", self.tokenizer.encode(closing, add_special_tokens=False).ids).tobytes()
+                        if len(closing) < 9:
+                            self.closings[closing] = end
+                    coded += end
+                known[w] = coded
+            elif "|" in w:
+                known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 200):
+            some = rest[at : at + 200]
+            known.update(zip(some, self._whole(some), strict=True))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, each closed by ``end_id``, and their numbers.
+
+        A batch's distinct words are looked up once; their ids are then gathered by position.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        fresh = list(filterfalse(self.known.__contains__, words))
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            fresh = words
+        self._learn(fresh)
+        found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(sizes) - sizes
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        word = coded.indices.to_numpy()[bounds[0] : bounds[-1]]
+        bounds -= bounds[0]
+        each = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        here = np.repeat(first[word] - ends[:-1], each) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[here]
+        at = ends[bounds]
+        return np.insert(ids, at[1:], np.uint32(end_id)), np.diff(at) + 1
 
 
 @cache
@@ -179,36 +237,31 @@ def write(docs: DataFrame, path: str, end_id: int = 1, partitions: int | None =
 
     def run(batches):
         coder = _words(path)
-        ids: list[np.ndarray] = []
-        names: list = []
-        shard = held = part = 0
-
-        def flush():
-            nonlocal shard, held
-            flat = np.concatenate(ids)
-            data = WaveletMatrix.build(flat).to_bytes(np.array([len(x) for x in ids]))
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([data], pa.binary())], names=["part", "shard", "doc_ids", "n_tokens", "file"])
-            shard += 1
-            held = 0
-            ids.clear()
-            names.clear()
-            return row
+        shard = part = 0
+        ids, sizes, names = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+
+        def files(last: bool):
+            """Shards of whole documents from what is held; what is left over waits for more."""
+            nonlocal shard, ids, sizes, names
+            while len(sizes) and (last or len(ids) > SHARD):
+                ends = np.cumsum(sizes)
+                n = max(1, int(np.searchsorted(ends, SHARD, side="right")))
+                data = WaveletMatrix.build(ids[: ends[n - 1]]).to_bytes(sizes[:n])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([names[:n]], pa.list_(pa.int64())), pa.array([int(ends[n - 1])], pa.int64()), pa.array([data], pa.binary())], names=["part", "shard", "doc_ids", "n_tokens", "file"])
+                shard += 1
+                ids, sizes, names = ids[ends[n - 1] :], sizes[n:], names[n:]
 
         for batch in batches:
             if not len(batch):
                 continue
             part = batch.column("part")[0].as_py()
-            doc_ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 512):
-                for doc_id, coded in zip(doc_ids[at : at + 512], coder.encode(texts[at : at + 512]), strict=True):
-                    if ids and held + len(coded) >= SHARD:
-                        yield flush()
-                    ids.append(np.append(coded, np.uint32(end_id)))
-                    names.append(doc_id)
-                    held += len(coded) + 1
-        if ids:
-            yield flush()
+            for at in range(0, len(batch), 4096):
+                rows = batch.slice(at, 4096)
+                more, counts = coder.encode(rows.column("text"), end_id)
+                ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, counts])
+                names += rows.column("doc_id").to_pylist()
+                yield from files(False)
+        yield from files(True)
 
     return settle(ordered.mapInArrow(run, "part int, shard int, doc_ids array<long>, n_tokens long, file binary"))
 
