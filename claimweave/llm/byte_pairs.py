@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered per worker; beyond it the memory starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 #: Contractions in one recursive query; words that need more go on in the next.
 DEPTH = 48
 #: From this many bytes a word's equal pairs are contracted together.
@@ -84,7 +84,7 @@ class Codec:
         self.first = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(":memory:")
         self.con.execute("SET threads = 1")
-        self.con.execute("SET memory_limit = '300MB'")
+        self.con.execute("SET memory_limit = '200MB'")
         self.con.execute("SET enable_progress_bar = false")
         merges = pa.table({"l": left, "r": right, "c": made})  # noqa: F841  read by name
         tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [b.decode("latin-1") for b in ranks], "early": [bool(early[i]) for i in ranks.values()]})  # noqa: F841
