@@ -91,8 +91,10 @@ def with_tables(sql: str) -> str:
         visit(n)
     ctes = [f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', sql_of(n))})" for n in order]
     body = sql.strip()
+    if not ctes:
+        return body
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {', '.join(ctes)}, {body[len('WITH RECURSIVE '):]}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(ctes)}, {body[len('WITH '):]}"
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+    return f"WITH {', '.join(ctes)} {body}"

@@ -134,4 +134,4 @@ def layout(node: DataFrame, radius: float = 100.0) -> DataFrame:
     kind = Window.partitionBy("entity_type")
     index = F.row_number().over(kind.orderBy("id")) - 1
     angle = 2 * F.pi() * index / F.count(F.lit(1)).over(kind)
-    return node.select("id", "entity_type", index.alias("index"), F.round(radius * F.cos(angle), 6).alias("x"), F.round(radius * F.sin(angle), 6).alias("y"))
+    return node.select("id", "entity_type", index.alias("index"), (F.round(radius * F.cos(angle), 6) + 0.0).alias("x"), (F.round(radius * F.sin(angle), 6) + 0.0).alias("y"))

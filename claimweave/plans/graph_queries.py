@@ -113,7 +113,7 @@ def type_clusters(b: Bridge) -> DataFrame:
 
 
 @query("node_layout", f"""WITH {_EDGES}, {_ENDS}, n AS (SELECT id, entity_type, (row_number() OVER (PARTITION BY entity_type ORDER BY id) - 1)::INT AS index, count(*) OVER (PARTITION BY entity_type) AS c FROM g_entities WHERE id IN (SELECT entity_id FROM ends))
-SELECT id, entity_type, index, round(100.0 * cos(2 * pi() * index / c), 6) AS x, round(100.0 * sin(2 * pi() * index / c), 6) AS y FROM n""")
+SELECT id, entity_type, index, round(100.0 * cos(2 * pi() * index / c), 6) + 0.0 AS x, round(100.0 * sin(2 * pi() * index / c), 6) + 0.0 AS y FROM n""")
 def node_layout(b: Bridge) -> DataFrame:
     return graph.layout(graph.nodes(edges(b), b("g_entities")))
 
