@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +61,26 @@ def pinned(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
+# -------------------------------------------------------------- worker memory
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Tell that this worker process keeps something for later tasks, and how to drop it."""
+    _HELD[name] = drop
+
+
+def free_others(name: str = "") -> None:
+    """Drop what other operators' tasks have left in this worker process, since workers outlive tasks."""
+    others = [n for n in _HELD if n != name]
+    for n in others:
+        _HELD.pop(n)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 # ------------------------------------------------------------ hashing kernels
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.empty(max(n, 1), U64)

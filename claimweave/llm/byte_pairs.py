@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free_others, hold
+
 #: Words remembered per worker; beyond it the memory starts anew.
-REMEMBERED = 450_000
+REMEMBERED = 900_000
 #: Contractions in one recursive query; words that need more go on in the next.
 DEPTH = 48
 #: From this many bytes a word's equal pairs are contracted together.
@@ -188,7 +190,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
     base = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
 
     def run(batches):
+        free_others("byte_pairs")
         worker = codec(path, pattern)
+        hold("byte_pairs", codec.cache_clear)
         for batch in batches:
             column = batch.column(len(keep))
             at = 0

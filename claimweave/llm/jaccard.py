@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import components, discard, mix, row_key, settle, shingle_set
+from ._common import components, discard, free_others, mix, row_key, settle, shingle_set
 
 #: Shingles in a tile, more or less.
 TILE = 1_500_000
@@ -41,6 +41,7 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 
 def _described(batches):
+    free_others()
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "k", "n", "fp"])
@@ -57,6 +58,7 @@ def _prefixes(frequent: np.ndarray):
     """(key, fp): the first n // 4 + 1 shingles of each set and a tenth more, in order of frequency in the sample and hash."""
 
     def run(batches):
+        free_others()
         seen: set[int] = set()
         for batch in batches:
             keys, owners = [], []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, row_key, settle
+from ._common import Rolling, free_others, row_key, settle
 
 CORE = 128
 BIN = 16
@@ -59,6 +59,7 @@ def _bytes_of(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
 
 def _anchor_rows(length: int, core: int):
     def run(batches):
+        free_others()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for k, text in zip(batch.column("k").to_pylist(), _bytes_of(batch.column("text")), strict=True):

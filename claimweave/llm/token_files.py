@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import settle
+from ._common import free_others, hold, settle
 
 MAGIC = b"WVM1"
 #: Ids of one file, unless a single document has more.
@@ -236,7 +236,9 @@ def write(docs: DataFrame, path: str, end_id: int = 1, partitions: int | None =
     ordered = base.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches):
+        free_others("token_files")
         coder = _words(path)
+        hold("token_files", _words.cache_clear)
         shard = part = 0
         ids, sizes, names = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
 
