@@ -47,13 +47,13 @@ _LONG = """
 WITH RECURSIVE s(i, w, p, t) AS (
   SELECT 0, w, p, t FROM state
   UNION ALL
-  (WITH pairs AS (SELECT i, w, p, t, lead(t) OVER o AS n, row_number() OVER o AS at FROM s WINDOW o AS (PARTITION BY w ORDER BY p)),
+  (WITH pairs AS (SELECT i, w, p, t, lead(t) OVER o AS n, row_number() OVER o AS place FROM s WINDOW o AS (PARTITION BY w ORDER BY p)),
         ranked AS (SELECT pairs.*, c, min(c) OVER (PARTITION BY w) AS least FROM pairs LEFT JOIN merges ON l = t AND r = n),
-        hit AS (SELECT *, at - row_number() OVER (PARTITION BY w, c = least ORDER BY at) AS run FROM ranked WHERE least IS NOT NULL),
-        turn AS (SELECT *, row_number() OVER (PARTITION BY w, c = least, run ORDER BY at) AS k,
-                        row_number() OVER (PARTITION BY w, c = least ORDER BY at) AS k_all FROM hit),
+        hit AS (SELECT *, place - row_number() OVER (PARTITION BY w, c = least ORDER BY place) AS run FROM ranked WHERE least IS NOT NULL),
+        turn AS (SELECT *, row_number() OVER (PARTITION BY w, c = least, run ORDER BY place) AS k,
+                        row_number() OVER (PARTITION BY w, c = least ORDER BY place) AS k_all FROM hit),
         marked AS (SELECT turn.*, coalesce(c = least AND k % 2 = 1 AND (k_all = 1 OR NOT early), false) AS take FROM turn JOIN tokens ON id = least),
-        shed AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY at), false) AS gone FROM marked)
+        shed AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY place), false) AS gone FROM marked)
    SELECT i + 1, w, p, CASE WHEN take THEN least ELSE t END FROM shed WHERE NOT gone AND i < {depth})
 )
 SELECT w, p, t, i FROM s WHERE (w, i) IN (SELECT (w, max(i)) FROM s GROUP BY w) ORDER BY w, p
