@@ -143,16 +143,15 @@ def lexicon_hits(b: Bridge) -> DataFrame:
 
 
 def _spans(b: Bridge) -> DataFrame:
-    """Benchmark passages in documents, met through their second to fourth word, which have spaces on both sides
-    in passage and document alike, and verified; passages of under five words are compared with every document."""
+    """Benchmark passages in documents, met through the longest word that has spaces on both sides in the passage,
+    and so in the document, and verified; passages of under three words are compared with every document."""
     items = b("benchmark").select("item_id", F.col("text").alias("evidence"), F.split("text", " ").alias("w"))
-    words = F.split("text", " ")
-    inner = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
     docs = b("documents").select("doc_id", "text")
-    keyed = docs.select("doc_id", "text", F.explode(F.array_distinct(inner)).alias("lead"))
-    long = items.where(F.size("w") >= 5).select("item_id", "evidence", F.array_join(F.slice("w", 2, 3), " ").alias("lead"))
-    short = items.where(F.size("w") < 5).select("item_id", "evidence")
-    met = keyed.join(long, "lead").drop("lead").unionByName(docs.join(short, F.contains(docs.text, short.evidence)))
+    keyed = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    inner = F.transform(F.slice("w", 2, F.greatest(F.lit(1), F.size("w") - 2)), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
+    long = items.where(F.size("w") >= 3).select("item_id", "evidence", F.array_max(inner)["word"].alias("word"))
+    short = items.where(F.size("w") < 3).select("item_id", "evidence")
+    met = keyed.join(long, "word").drop("word").join(docs, "doc_id").unionByName(docs.join(short, F.contains(docs.text, short.evidence)))
     return met.select("doc_id", "item_id", "text", "evidence", text.span(F.col("text"), F.col("evidence")).alias("s")).where("s is not null")
 
 
