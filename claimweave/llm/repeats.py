@@ -26,6 +26,7 @@ from ._common import Rolling, free_others, row_key, settle
 
 CORE = 128
 BIN = 16
+SALTS = 1024
 _CHUNK_BITS = 20
 
 
@@ -89,15 +90,19 @@ def _classified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the rows whose ``key`` repeats: those whose ``block`` repeats too, and those to look at more closely.
 
     The latter are the rows of a block seen once, and for each of their keys one row of every repeated block,
-    since a match may lie in part of it.
+    since a match may lie in part of it.  A common passage gives one key to a block of every document that has
+    it, so a key's blocks are never met in one place: they are gathered in up to ``SALTS`` parts of a key.
     """
     place = ("k", "first", "last", "anchor")
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.min("block") != F.max("block")).alias("mixed")).where("c > 1").select("key", "mixed")
     repeated = settle(rows.join(keys, "key"))
     mixed = repeated.where("mixed")
-    blocks = settle(mixed.groupBy("key", "block").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*place)).alias("one")))
-    unsettled = blocks.groupBy("key").agg(F.min("c").alias("least")).where("least = 1")
-    closer = blocks.join(unsettled, "key", "left_semi").select("one.*")
+    counted = mixed.groupBy("key", "block").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*place)).alias("one"))
+    blocks = settle(counted.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS))))
+    parts = blocks.groupBy("key", "salt").agg(F.min("c").alias("least"))
+    unsettled = parts.groupBy("key").agg(F.min("least").alias("least")).where("least = 1")
+    opened = parts.join(unsettled, "key", "left_semi").select("key", "salt")
+    closer = blocks.join(opened, ["key", "salt"], "left_semi").select("one.*")
     whole = mixed.join(blocks.where("c > 1").select("key", "block"), ["key", "block"], "left_semi").select(*place)
     return repeated.where("not mixed").select(*place).union(whole), closer
 
