@@ -170,7 +170,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the component's smallest node.
 
     Alternating large-star and small-star contraction; each round is a written table, and no node's
-    neighbours are ever gathered in one row.
+    neighbours are ever gathered in one row.  The least neighbours are written before the join, since Spark can
+    split a hub's edges there only if the join's stage holds no aggregate.
     """
     a, b = F.col("a"), F.col("b")
     now = settle(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -179,12 +180,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         paired = large.join(least, "u")
         small = paired.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         then = settle(small)
+        discard(least)
         discard(now)
         now, before = then, mark
         mark = _mark(now)
