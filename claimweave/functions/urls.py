@@ -42,6 +42,24 @@ def canonical(url: Column, keep_language: bool = True) -> Column:
     return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, clean, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def resolved(base: Column, location: Column) -> Column:
+    """The canonical form of ``location`` as a redirect from the http(s) url ``base`` means it."""
+    origin = F.regexp_extract(base, r"(?i)^\s*(https?://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?i)^\s*https?://[^/?#]*([^?#]*)", 1)
+    bare = F.regexp_extract(location, "^([^?#]*)", 1)
+    tail = F.substr(location, F.length(bare) + 1)
+    whole = F.when(bare == "", path).when(F.startswith(bare, _text("/")), bare).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), _text("/"), bare))
+    parts = F.aggregate(
+        F.split(whole, "/"),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)),
+    )
+    kept = F.when(F.startswith(tail, _text("?")) | (bare != ""), tail).otherwise(F.concat(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1), tail))
+    near = F.concat(origin, _text("/"), F.array_join(parts, "/"), kept)
+    scheme = F.regexp_extract(base, r"(?i)^\s*(https?:)", 1)
+    return canonical(F.when(F.rlike(location, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), location).when(F.startswith(location, _text("//")), F.concat(scheme, location)).otherwise(near))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

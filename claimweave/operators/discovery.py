@@ -49,3 +49,9 @@ def walk(children: DataFrame, roots: DataFrame, most: int = 3) -> DataFrame:
         level = level.join(children, level.url == children.parent).select("root", F.col("child").alias("url"), F.lit(depth).alias("depth"))
         out = out.union(level)
     return out
+
+
+def pending(candidates: DataFrame, run: object = None) -> DataFrame:
+    """Candidates that wait to be fetched, of one crawl run if it is given."""
+    waiting = candidates.where(F.col("status") == "PENDING")
+    return waiting if run is None else waiting.where(F.col("crawl_run_id") == F.lit(run))

@@ -40,6 +40,32 @@ def url_candidates(b: Bridge) -> DataFrame:
     return jobs.url_candidates(found).drop("title")
 
 
+_RESOLVED = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN o || '/moved/x?b=1' WHEN 1 THEN o || regexp_replace(p, '[^/]*$', '') || '/next' WHEN 2 THEN o || '/' || 'top' ELSE 'https://moved.example.org/z' END AS url
+  FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS o, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM pages)"""
+
+
+@query("url_resolve", f"SELECT page_id, canonical FROM ({_canonical_sql(_RESOLVED)})")
+def url_resolve(b: Bridge) -> DataFrame:
+    i = F.col("page_id") % 4
+    location = F.when(i == 0, "/moved/x?b=1#part").when(i == 1, "./next").when(i == 2, "../../../../../top").otherwise("HTTPS://Moved.Example.org:443/z")
+    return b("pages").select("page_id", urls.resolved(F.col("url"), location).alias("canonical"))
+
+
+@query("pending_candidates", "SELECT page_id, url FROM pages WHERE page_id % 3 <> 0 AND page_id % 4 = 1")
+def pending_candidates(b: Bridge) -> DataFrame:
+    found = b("pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "FETCHED").otherwise("PENDING").alias("status"), (F.col("page_id") % 4).alias("crawl_run_id"))
+    return discovery.pending(found, 1).select("page_id", "url")
+
+
+_ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/a\n\nUser-agent: other\nDisallow: /\n"
+
+
+@query("robots_allowed", "SELECT page_id, starts_with(p, '/en/a') OR NOT starts_with(p, '/en/') AS allowed FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM pages)")
+def robots_allowed(b: Bridge) -> DataFrame:
+    told = F.pandas_udf(lambda paths: paths.map(lambda p: urls.robots_allowed(_ROBOTS, p, "Reader/1.0")), "boolean", F.PandasUDFType.SCALAR)
+    return b("pages").select("page_id", told(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)).alias("allowed"))
+
+
 @query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(b: Bridge) -> DataFrame:
     return b("documents").select("doc_id", urls.content_hash(F.col("text")).alias("hash"))

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimweave.functions import html, text, urls
@@ -64,3 +65,22 @@ def test_months_overflow(spark):
 def test_language_tags(spark):
     tag = lambda x: one(spark, text.language(F.col("t")), t=x)
     assert [tag("DE_ch"), tag("en"), tag("german")] == ["de-CH", "en", None]
+
+
+@pytest.mark.parametrize(
+    ("base", "location", "want"),
+    [
+        ("https://a.org/x/y?q=1", "z", "https://a.org/x/z"),
+        ("https://a.org/x/y", "../../../z?b=2&a=1", "https://a.org/z?a=1&b=2"),
+        ("https://a.org", "z", "https://a.org/z"),
+        ("https://a.org/x/y?q=1", "?r=2", "https://a.org/x/y?r=2"),
+        ("https://a.org/x/y?q=1", "#part", "https://a.org/x/y?q=1"),
+        ("https://a.org/x", "//B.org/w", "https://b.org/w"),
+        ("http://a.org/x", "https://b.org:443/", "https://b.org/"),
+        ("https://a.org/x", "mailto:someone@a.org", None),
+        ("https://a.org/x", None, None),
+    ],
+)
+def test_resolved(spark, base, location, want):
+    row = spark.createDataFrame([(base, location)], "base string, location string").select(urls.resolved(F.col("base"), F.col("location")).alias("u")).first()
+    assert row.u == want
