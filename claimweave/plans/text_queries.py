@@ -231,14 +231,36 @@ def resolve_mentions(b: Bridge) -> DataFrame:
     return resolution.resolve(_mentions(b), _scored(b))
 
 
+def _relations(b: Bridge) -> DataFrame:
+    """Every claim with each of its evidence rows, or with none; evidence quotes the document for even parts, and is a benchmark passage for odd ones.
+
+    Wide texts join last.
+    """
+    e, odd = b("g_entities"), F.col("partkey") % 2 != 0
+    unclear = resolution.unclear(_scored(b))
+    r = b("g_claims").select("id", "predicate", "subject_id", "object_id", "partkey", (F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()).alias("ranged"))
+    for s in ("subject", "object"):
+        r = r.join(e.select(F.col("id").alias(f"{s}_id"), F.col("canonical_name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type")), f"{s}_id", "left")
+        r = r.join(unclear.select(F.col("id").alias(f"{s}_id"), F.lit(True).alias(f"{s}_unclear")), f"{s}_id", "left")
+    r = r.join(F.broadcast(b("g_compatible").withColumn("compatible", F.lit(True))), ["predicate", "subject_type", "object_type"], "left")
+    r = r.join(b("g_evidence").select(F.col("claim_id").alias("id"), "document_id"), "id", "left")
+    items = b("benchmark").agg(F.count("*").alias("n_items"))
+    r = r.join(F.broadcast(items)).withColumn("item_id", F.when(odd & F.col("document_id").isNotNull(), F.col("partkey") % F.col("n_items")))
+    r = r.join(F.broadcast(b("benchmark").select("item_id", F.col("text").alias("passage"))), "item_id", "left")
+    sources = b("g_sources").select(F.col("id").alias("source_id"), "source_quality")
+    docs = b("g_documents").select(F.col("id").alias("document_id"), "source_id", "is_published", F.col("extracted_text").alias("text"), F.lit(True).alias("there")).join(F.broadcast(sources), "source_id", "left")
+    r = r.join(docs, "document_id", "left")
+    false = F.lit(False)
+    return r.select(
+        "id", "predicate", F.when(odd, F.col("passage")).otherwise(F.substring("text", 10, 80)).alias("evidence_text"), "text", "subject_name", "object_name", F.coalesce("compatible", false).alias("compatible"), "source_quality",
+        (F.col("ranged") | F.coalesce("is_published", false)).alias("dated"), false.alias("requires_review"), F.coalesce("subject_unclear", "object_unclear", false).alias("ambiguous"),
+        F.coalesce("there", false).alias("known_document"), F.col("object_id").isNotNull().alias("given_object"),
+    )
+
+
 @query("claim_validate")
 def claim_validate(b: Bridge) -> DataFrame:
-    docs = b("g_documents").select(F.col("id").alias("document_id"), "source_id", "is_published", F.col("extracted_text").alias("text")).join(b("g_sources").select(F.col("id").alias("source_id"), "source_quality"), "source_id")
-    e = b("g_entities")
-    c = b("g_claims").join(b("g_evidence").select(F.col("claim_id").alias("id"), "document_id"), "id").join(docs, "document_id")
-    named = c.join(e.select(F.col("id").alias("subject_id"), F.col("canonical_name").alias("subject_name")), "subject_id", "left").join(e.select(F.col("id").alias("object_id"), F.col("canonical_name").alias("object_name")), "object_id", "left")
-    r = named.select("id", "predicate", F.substring("text", 10, 80).alias("evidence_text"), "text", "subject_name", "object_name", F.lit(True).alias("compatible"), "source_quality", (F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull() | F.col("is_published")).alias("dated"), F.lit(False).alias("requires_review"), F.lit(False).alias("ambiguous"))
-    return validation.validate(r).select("id", "status", "evidence_score", F.array_join("reasons", "; ").alias("reasons"))
+    return validation.validate(_relations(b)).select("id", "status", "evidence_score", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("claim_admission", "SELECT id, r IS NULL AS accepted, r AS reason FROM (SELECT id, CASE WHEN object_id IS NULL THEN 'object missing' WHEN subject_id = object_id THEN 'self relation' WHEN valid_from > valid_to THEN 'inverted dates' WHEN status = 'VERIFIED' THEN 'cannot start verified' END AS r FROM g_claims)")
