@@ -197,7 +197,7 @@ def evidence_context(b: Bridge) -> DataFrame:
 
 
 def _mentions(b: Bridge) -> DataFrame:
-    people = b("customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("m:"), F.col("c_custkey").cast("string")).alias("mention_id"), F.lit("PERSON").alias("entity_type"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("canton"), F.col("c_nationkey").cast("string").alias("country"))
+    people = b("customer").select(F.concat(F.lit("m:"), F.col("c_custkey").cast("string")).alias("mention_id"), F.lit("PERSON").alias("entity_type"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("canton"), F.col("c_nationkey").cast("string").alias("country"))
     firms = b("supplier").select(F.concat(F.lit("f:"), F.col("s_suppkey").cast("string")), F.lit("COMPANY"), F.concat(F.lit("the "), F.col("s_name")), F.lit(None).cast("string"), F.col("s_nationkey").cast("string"))
     return people.union(firms)
 
