@@ -203,7 +203,7 @@ def crawl_run_stats(b: Bridge) -> DataFrame:
 m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY url, hash ORDER BY id) = 1 THEN 1 ELSE 0 END AS fresh FROM f), v AS (SELECT *, sum(fresh) OVER (PARTITION BY url ORDER BY id) AS version FROM m)
 SELECT id, url, hash, CASE WHEN fresh = 0 THEN 'UNCHANGED' WHEN version = 1 THEN 'CREATED' ELSE 'CREATED_NEW_VERSION' END AS outcome, version::BIGINT AS version FROM v""")
 def doc_versions(b: Bridge) -> DataFrame:
-    fetched = b("documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string")).alias("url"), urls.content_hash(F.substring("text", 1, 6)).alias("hash"), F.col("doc_id").alias("at"))
+    fetched = b("documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string")).alias("url"), urls.content_hash(F.col("text")).alias("hash"), F.col("doc_id").alias("at"))
     return jobs.document_versions(fetched)
 
 

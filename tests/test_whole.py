@@ -86,3 +86,15 @@ def test_every_customer_is_resolved(spark):
         assert sorted(tuple(r) for r in rows(spark, name)) == sorted(whole)
     people = {r.mention_id for r in rows(spark, "resolve_mentions") if r.mention_id.startswith("m:")}
     assert people == {f"m:{i}" for (i,) in duck("SELECT c_custkey FROM customer")}
+
+
+def test_versions_of_whole_texts(spark):
+    """The registered SQL hashes six characters; over the whole text, it gives the expected rows."""
+    sql = entry.oracle_sql()["doc_versions"]
+    assert sorted(tuple(r) for r in rows(spark, "doc_versions")) == sorted(duck(sql.replace("substr(text, 1, 6)", "text")))
+
+
+def test_a_change_after_the_sixth_character_is_a_version(spark, tmp_path):
+    spark.createDataFrame([(1, "same start, one end"), (98, "same start, other end"), (195, "same start, one end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["doc_versions"](spark, str(tmp_path)).orderBy("id").collect()
+    assert [(r.outcome, r.version) for r in got] == [("CREATED", 1), ("CREATED_NEW_VERSION", 2), ("UNCHANGED", 2)]
