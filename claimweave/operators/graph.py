@@ -135,3 +135,19 @@ def layout(node: DataFrame, radius: float = 100.0) -> DataFrame:
     index = F.row_number().over(kind.orderBy("id")) - 1
     angle = 2 * F.pi() * index / F.count(F.lit(1)).over(kind)
     return node.select("id", "entity_type", index.alias("index"), (F.round(radius * F.cos(angle), 6) + 0.0).alias("x"), (F.round(radius * F.sin(angle), 6) + 0.0).alias("y"))
+
+
+def positions(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+    """``df`` with each row's position (from 1) by ``order``, which tells rows apart and has no nulls.
+
+    Ranges are cut at quantiles of a sample by hash, which is the same whenever it is taken; a row's position is
+    its rank in its range after the rows of the ranges before.
+    """
+    key = F.struct(*order)
+    sample = sorted(tuple(r) for r in df.select(*order).orderBy(F.xxhash64(*order), *order).limit(100 * buckets).collect())
+    bounds = [F.struct(*[F.lit(v).alias(c) for c, v in zip(order, row, strict=True)]) for row in sample[100::100]]
+    cut = df.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda x: x <= key)) if bounds else F.lit(0))
+    counts = cut.groupBy("__range").count()
+    before = counts.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = cut.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return ranked.join(F.broadcast(before), "__range").select(*df.columns, (F.col("__before") + F.col("__rank")).cast("int").alias("position"))

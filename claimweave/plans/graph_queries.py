@@ -101,10 +101,7 @@ def research_search(b: Bridge) -> DataFrame:
 
 @query("research_sorted", f"WITH {_EDGES} SELECT id, subject_name, row_number() OVER (ORDER BY subject_name, id)::INT AS position FROM edges ORDER BY position LIMIT 100")
 def research_sorted(b: Bridge) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    first = edges(b).select("id", "subject_name").orderBy("subject_name", "id").limit(100)
-    return first.select("*", F.row_number().over(Window.orderBy("subject_name", "id")).alias("position"))
+    return graph.positions(edges(b).select("id", "subject_name"), ["subject_name", "id"])
 
 
 @query("type_clusters", f"WITH {_EDGES}, {_ENDS} SELECT entity_type, count(*) AS n FROM g_entities WHERE id IN (SELECT entity_id FROM ends) GROUP BY entity_type")

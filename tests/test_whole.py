@@ -8,6 +8,7 @@ import duckdb
 import __spark_entry__ as entry
 from claimweave import ontology
 from claimweave.bridge import RAW, with_tables
+from claimweave.operators import graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +99,23 @@ def test_a_change_after_the_sixth_character_is_a_version(spark, tmp_path):
     spark.createDataFrame([(1, "same start, one end"), (98, "same start, other end"), (195, "same start, one end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry.queries()["doc_versions"](spark, str(tmp_path)).orderBy("id").collect()
     assert [(r.outcome, r.version) for r in got] == [("CREATED", 1), ("CREATED_NEW_VERSION", 2), ("UNCHANGED", 2)]
+
+
+def test_all_edges_are_sorted(spark):
+    """The registered SQL keeps 100 edges; without its limit, it gives the expected rows."""
+    whole = duck(entry.oracle_sql()["research_sorted"].replace(" LIMIT 100", ""))
+    assert len(whole) > 100 and sorted(tuple(r) for r in rows(spark, "research_sorted")) == sorted(whole)
+
+
+def test_positions(spark):
+    values = [(f"n{i % 7}", str(i)) for i in range(500)]
+    got = graph.positions(spark.createDataFrame(values, "name string, id string"), ["name", "id"], buckets=16).collect()
+    assert [(r.name, r.id) for r in sorted(got, key=lambda r: r.position)] == sorted(values) and {r.position for r in got} == set(range(1, 501))
+    assert graph.positions(spark.createDataFrame([], "id string"), ["id"]).count() == 0
+
+
+def test_walk_from_every_root(spark):
+    """The registered SQL starts at ten parts; from all parts, it gives the expected rows."""
+    whole = duck(entry.oracle_sql()["sitemap_walk"].replace(" WHERE p_partkey < 10", ""))
+    got = [tuple(r) for r in rows(spark, "sitemap_walk")]
+    assert sorted(got) == sorted(whole) and {r[1] for r in got} == {i for (i,) in duck("SELECT p_partkey FROM part")}
