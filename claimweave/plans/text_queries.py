@@ -221,7 +221,7 @@ def _scored(b: Bridge) -> DataFrame:
 
 @query("resolve_candidates", f"WITH {_CANDIDATES} SELECT * FROM r")
 def resolve_candidates(b: Bridge) -> DataFrame:
-    return _scored(b)
+    return _scored(b).drop("surname")
 
 
 @query("resolve_mentions", f"""WITH {_CANDIDATES}, t AS (SELECT mention_id, max(entity_id) FILTER (rank = 1) AS entity_id, max(score) FILTER (rank = 1) AS top, max(score) FILTER (rank = 2) AS second FROM r GROUP BY mention_id),

@@ -119,3 +119,27 @@ def test_walk_from_every_root(spark):
     whole = duck(entry.oracle_sql()["sitemap_walk"].replace(" WHERE p_partkey < 10", ""))
     got = [tuple(r) for r in rows(spark, "sitemap_walk")]
     assert sorted(got) == sorted(whole) and {r[1] for r in got} == {i for (i,) in duck("SELECT p_partkey FROM part")}
+
+
+def test_metadata_signals(spark):
+    """Candidates that reach the threshold by metadata alone, and scores that need every signal."""
+    from claimweave.operators import resolution
+
+    kind = "id string, entity_type string, canonical_name string, metadata map<string,string>"
+    entities = spark.createDataFrame([
+        ("1", "PERSON", "Anna Muster", {"political_party": "Grüne", "office": "Rat", "company": "Eins", "valid_from": "2020", "relatedEntityIds": '["x"]'}),
+        ("2", "PERSON", "Beat Beispiel", {"party": "Mitte", "canton": "ZH"}), ("3", "PERSON", "Carl Muster", {}),
+    ], kind)
+    aliases = spark.createDataFrame([], "entity_id string, alias string")
+    mentions = spark.createDataFrame([
+        ("a", "PERSON", "Nobody", None, {"party": "grune", "role": "RAT", "organisation": "eins"}, None), ("b", "PERSON", "Nobody", None, {"party": "mitte", "canton": "zh"}, None),
+        ("c", "PERSON", "Nobody", ["Anna Muster"], {"party": " ", "to": "2021"}, ["x"]), ("d", "PERSON", "Frau Muster", None, {"party": "Grüne", "position": "rat"}, None),
+        ("e", "PERSON", "Nobody", None, {"party": "Grüne", "office": "rat", "to": "2019"}, None), ("f", "PERSON", "Nobody", None, {"party": "Grüne", "office": "rat", "to": "2020"}, None),
+    ], "mention_id string, entity_type string, name string, aliases array<string>, metadata map<string,string>, co_mentioned array<string>")
+    scored = resolution.candidates(mentions, entities, aliases)
+    got = {(r.mention_id, r.entity_id): (r.score, r.signals) for r in scored.collect()}
+    assert got == {
+        ("a", "1"): (0.21, "party+position+organisation"), ("b", "2"): (0.2, "party+canton"), ("c", "1"): (0.96, "name+period+co-mentioned"), ("c", "3"): (0.34, "surname"),
+        ("d", "1"): (0.49, "surname+party+position"), ("d", "3"): (0.34, "surname"), ("f", "1"): (0.2, "party+position+period"),
+    }
+    assert {r.mention_id: r.decision for r in resolution.resolve(mentions, scored).collect()} == {"a": "BELOW_THRESHOLD", "b": "BELOW_THRESHOLD", "c": "AUTO_RESOLVED", "d": "AMBIGUOUS", "e": "NO_MATCH", "f": "BELOW_THRESHOLD"}
