@@ -36,29 +36,32 @@ def _grams(word: str) -> list[str]:
     return [padded[i : i + ORDER] for i in range(len(word) + 1)]
 
 
-def _backoff(counts: dict[str, tuple[float, float]], shared: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
-    """From both classes' counts of one order, with the order below as base: log ratios of seen grams and of contexts.
+def _backoff(counts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From both classes' counts (gram, o, t) of one order, with the order below as base: log ratios of seen grams and of contexts.
 
-    ``shared``: pooled probability of each shorter gram.  Where a class lacks the context, its probability is the base's.
+    ``shared``: pooled probability (gram, p) of each shorter gram.  Where a class lacks the context, its probability is the base's.
     """
-    total, kinds = Counter(), Counter()
-    for gram, pair in counts.items():
-        for c in (0, 1):
-            if pair[c]:
-                total[gram[:-1], c] += pair[c]
-                kinds[gram[:-1], c] += 1
-
-    def weight(context: str, c: int) -> float:
-        n = total[context, c]
-        return _DISCOUNT * kinds[context, c] / n if n else 1.0
-
-    ratios = {}
-    for gram, pair in counts.items():
-        base = shared.get(gram[1:], 1e-6)
-        p = [max(pair[c] - _DISCOUNT, 0) / (total[gram[:-1], c] or 1) + weight(gram[:-1], c) * base for c in (0, 1)]
-        ratios[gram] = math.log(p[1] / p[0])
-    contexts = {context: math.log(weight(context, 1) / weight(context, 0)) for context, _ in list(total)}
-    return ratios, contexts
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    contexts = counts.groupBy(context.alias("context")).agg(*[x for c in "ot" for x in (F.sum(c).alias(f"total_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))])
+    weight = {c: F.when(F.col(f"total_{c}") > 0, F.lit(_DISCOUNT) * F.col(f"kinds_{c}") / F.col(f"total_{c}")).otherwise(1.0) for c in "ot"}
+    contexts = contexts.select("context", *[F.greatest(F.col(f"total_{c}"), F.lit(1.0)).alias(f"total_{c}") for c in "ot"], *[weight[c].alias(f"weight_{c}") for c in "ot"])
+    both = counts.withColumn("context", context).withColumn("shorter", F.expr("substring(gram, 2)")).join(contexts, "context")
+    both = both.join(shared.select(F.col("gram").alias("shorter"), "p"), "shorter", "left")
+    p = {c: F.greatest(F.col(c) - _DISCOUNT, F.lit(0.0)) / F.col(f"total_{c}") + F.col(f"weight_{c}") * F.coalesce("p", F.lit(1e-6)) for c in "ot"}
+    return both.select("gram", F.log(p["t"] / p["o"]).alias("x")), contexts.select(F.col("context").alias("gram"), F.log(F.col("weight_t") / F.col("weight_o")).alias("x"))
+
+
+def _lower(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Continuation counts (gram, o, t) of the order below ``grams``, and the pooled probabilities of the two orders below."""
+    shorter = F.expr("substring(gram, 2)")
+    continued = grams.groupBy(shorter.alias("gram")).agg(F.count_if(F.col("o") > 0).cast("double").alias("o"), F.count_if(F.col("t") > 0).cast("double").alias("t"), F.count("*").alias("n"))
+    pooled, shared = continued.select("gram", "n"), []
+    for _ in range(2):
+        context = F.expr("substring(gram, 1, length(gram) - 1)")
+        sums = pooled.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
+        shared.append(pooled.withColumn("context", context).join(sums, "context").select("gram", (F.col("n") / F.col("total")).alias("p")))
+        pooled = pooled.groupBy(shorter.alias("gram")).agg(F.count("*").alias("n"))
+    return continued.select("gram", "o", "t"), shared
 
 
 @dataclass
@@ -70,26 +73,16 @@ class Model:
     weights: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, grams: dict[str, tuple[float, float]]) -> Model:
-        """``grams``: counts (ordinary, toxic) of each gram of order ORDER."""
-        lower: dict[str, list[set[str]]] = {}
-        for gram, pair in grams.items():
-            left = lower.setdefault(gram[1:], [set(), set()])
-            for c in (0, 1):
-                if pair[c]:
-                    left[c].add(gram[0])
-        continued = {g: (float(len(a)), float(len(b))) for g, (a, b) in lower.items()}
-        pooled = {g: float(len(a | b)) for g, (a, b) in lower.items()}
-        shared = []
-        for _ in range(2):  # probabilities of the two lower orders from the classes' common counts
-            sums = Counter()
-            for g, n in pooled.items():
-                sums[g[:-1]] += n
-            shared.append({g: n / sums[g[:-1]] for g, n in pooled.items()})
-            shorter = Counter(g[1:] for g in pooled)
-            pooled = {g: float(n) for g, n in shorter.items()}
+    def fit(cls, grams: DataFrame) -> Model:
+        """``grams``: counts (gram, o, t: ordinary, toxic) of every gram of order ORDER."""
+        continued, shared = _lower(grams)
         high, low = _backoff(grams, shared[0]), _backoff(continued, shared[1])
-        return cls([high[0], low[0]], [high[1], low[1]])
+
+        def told(df: DataFrame) -> dict[str, float]:
+            rows = df.toArrow()
+            return dict(zip(rows.column("gram").to_pylist(), rows.column("x").to_pylist(), strict=True))
+
+        return cls([told(high[0]), told(low[0])], [told(high[1]), told(low[1])])
 
     def word(self, word: str) -> float:
         """The difference of the word's log-likelihoods under the two models, by its length."""
@@ -153,14 +146,15 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, grams: int = 250_000) -> Model:
-    """Fit on up to ``rows`` labelled documents of each class (by hash of doc_id, held-out ones excluded), and
-    up to ``grams`` most frequent character grams of them.  Both bounds limit the model, which is all that is
-    broadcast.  A third of the rows fits the logistic regression instead of the counts."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
+    """Counts come from every labelled document that is neither held out nor among the third kept for the logistic
+    regression, and keep every gram; so the model, which is broadcast, grows with the vocabulary of the labelled rows.
+    The regression has few weights and takes up to ``rows`` documents of each class (by hash of doc_id) from its third."""
     told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = [told.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
+    told = told.withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sample = settle(texts.join(F.broadcast(some[0].union(some[1])), "doc_id").withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0))
+    some = [told.where(F.col("fits") & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
+    sample = settle(texts.join(told.where(~F.col("fits")).unionByName(some[0]).unionByName(some[1]), "doc_id"))
 
     def count(batches):
         free_others()
@@ -174,10 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, grams: int = 250
             names = list(pair[0].keys() | pair[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([float(pair[0][g]) for g in names]), pa.array([float(pair[1][g]) for g in names])], names=["gram", "ordinary", "toxic"])
 
-    counts = sample.where("not fits").select("text", "toxic").mapInArrow(count, "gram string, ordinary double, toxic double").groupBy("gram").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
-    best = counts.orderBy(F.desc(F.col("o") + F.col("t")), "gram").limit(grams).toArrow()
-    table = dict(zip(best.column("gram").to_pylist(), zip(best.column("o").to_pylist(), best.column("t").to_pylist(), strict=True), strict=True))
-    model = Model.fit(table)
+    counts = settle(sample.where("not fits").select("text", "toxic").mapInArrow(count, "gram string, ordinary double, toxic double").groupBy("gram").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")))
+    model = Model.fit(counts)
 
     def describe(batches):
         free_others()
