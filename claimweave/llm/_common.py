@@ -20,12 +20,21 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 # --------------------------------------------------------------- shared tables
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session inside one process gets a temporary folder; any other is an error, since a
+    folder of the driver's machine is none that executors can read.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="claimweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _LOCAL.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="claimweave-"))
     return path.rstrip("/")
 
 

@@ -151,7 +151,7 @@ def _kept(length: int):
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
+            out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans")}
             for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), _bytes_of(batch.column("text")), batch.column("found").to_pylist(), strict=True):
                 spans: list[list[int]] = []
                 for lo, hi in sorted((s["first"], s["last"]) for s in found or ()):
@@ -159,15 +159,15 @@ def _kept(length: int):
                         spans[-1][1] = max(spans[-1][1], hi + length)
                     else:
                         spans.append([lo, hi + length])
-                kept, at = hashlib.sha256(), 0
+                pieces, at = [], 0
                 for lo, hi in spans:
-                    kept.update(text[at:lo])
+                    pieces.append(text[at:lo])
                     at = hi
-                kept.update(text[at:])
+                kept = b"".join([*pieces, text[at:]]) if spans else text
                 removed = sum(hi - lo for lo, hi in spans)
-                for name, value in (("doc_id", doc_id), ("n_bytes", len(text)), ("n_removed", removed), ("n_spans", len(spans)), ("kept_sha256", kept.hexdigest()), ("spans", spans)):
+                for name, value in (("doc_id", doc_id), ("n_bytes", len(text)), ("n_removed", removed), ("n_spans", len(spans)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("text", kept.decode("utf-8", "replace")), ("spans", spans)):
                     out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
@@ -176,8 +176,9 @@ def _kept(length: int):
 def remove_repeats(docs: DataFrame, length: int = 400, core: int = CORE) -> DataFrame:
     """Find the bytes of ``docs`` (doc_id, text) covered by a ``length``-byte string that also starts elsewhere.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and spans
-    ([start, end) of each run), one row for each input row.
+    Returns doc_id, n_bytes (of the input), n_removed, n_spans (maximal removed runs), kept_sha256, text (what is
+    left; a character cut in half by a run becomes U+FFFD there, not in the digest) and spans ([start, end) of
+    each run, in bytes), one row for each input row.
 
     Null and empty texts: 0 bytes, nothing removed.  Texts shorter than ``length`` hold no such string.
     Repeated rows are occurrences of their own and cover each other.  Null doc_ids are kept.
@@ -197,4 +198,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = CORE) -> Data
     found = whole.union(whole_bins).union(single).select("k", "first", "last")
     covered = found.groupBy("k").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     joined = base.join(covered, "k", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    return joined.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans array<array<long>>")

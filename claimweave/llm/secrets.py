@@ -1,14 +1,18 @@
 """Secret scanning through a trigram inverted index, in DataFrame functions alone.
 
-Each rule's regular expression implies a Boolean trigram query: an OR over its alternatives of the AND
-of the trigrams that a match must hold.  The index has the postings (row, trigram) of the trigrams that
+A Boolean trigram query is derived from each rule's parsed regular expression: an OR over its alternatives of
+the AND of the trigrams that a match must hold.  The index has the postings (row, trigram) of the trigrams that
 the rules ask for; they are intersected for each row, and only candidates are verified with the regular
 expression.  A rule whose matches have no mandatory trigram (the hex rule: any digits) scans all rows.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import product
+from re import _constants as sre
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,38 +22,107 @@ from ._common import row_key
 
 @dataclass(frozen=True)
 class Rule:
-    """One kind of secret.
-
-    ``needs``: alternatives, each the literals that a match holds; none: no mandatory trigram.
-    ``part``: the group of the pattern of which ``least`` characters are asked for.
-    """
+    """One kind of secret; ``part``: the group of the pattern of which ``least`` characters are asked for."""
 
     kind: str
     pattern: str
     least: int
     part: int = 0
-    needs: tuple[tuple[str, ...], ...] = ()
-    any_case: bool = False
 
 
 _NAME = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 #: Fixed patterns of the contract, in the order of its kinds.
 RULES = (
-    Rule("assign", f"{_NAME}[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8, 1, (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)), True),
-    Rule("access", "(AKIA[A-Z0-9]+)", 16, 1, (("AKIA",),)),
+    Rule("assign", f"{_NAME}[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8, 1),
+    Rule("access", "(AKIA[A-Z0-9]+)", 16, 1),
     Rule("hex", "([0-9a-f]+)", 32, 1),
 )
 
 
-def trigrams(literal: str) -> list[str]:
-    """The trigrams that any text with ``literal`` holds."""
-    return [literal[i : i + 3] for i in range(len(literal) - 2)]
+#: Strings that a part of a pattern may stand for, up to which they are enumerated; and characters of a class.
+ENUMERATED, CLASS = 64, 4
 
 
-def _query(rule: Rule) -> list[set[str]]:
-    """The rule's Boolean query: any of these sets has to be there as a whole; no sets: no query."""
-    found = [{t for literal in alternative for t in trigrams(literal)} for alternative in rule.needs]
-    return [] if not all(found) else found
+def trigrams(literal: str) -> frozenset[str]:
+    """The trigrams that any text with ``literal`` holds."""
+    return frozenset(literal[i : i + 3] for i in range(len(literal) - 2))
+
+
+def _least(sets: list[frozenset[str]]) -> list[frozenset[str]]:
+    """The alternatives that no other one makes needless."""
+    kept = [x for x in dict.fromkeys(sets) if not any(y < x for y in sets)]
+    return [frozenset()] if frozenset() in kept else kept
+
+
+def _members(items: list) -> set[str] | None:
+    """The characters of a class, if they are few."""
+    out: set[str] = set()
+    for kind, value in items:
+        if kind is sre.LITERAL:
+            out.add(chr(value))
+        elif kind is sre.RANGE and value[1] - value[0] < CLASS:
+            out.update(map(chr, range(value[0], value[1] + 1)))
+        else:
+            return None
+    return out if len(out) <= CLASS else None
+
+
+def _read(parsed, fold: bool) -> tuple[set[str] | None, list[frozenset[str]]]:
+    """Of a parsed pattern: all the strings it stands for, if they are few, and its trigram query."""
+    exact: set[str] = {""}
+    query: list[frozenset[str]] = [frozenset()]
+    whole = True
+
+    def both(a, b):
+        return _least([x | y for x, y in product(a, b)])
+
+    def end_run() -> None:
+        nonlocal exact, query, whole
+        query, exact, whole = both(query, _least([trigrams(x) for x in exact])), {""}, False
+
+    for kind, value in parsed:
+        told: set[str] | None = None
+        inner: list[frozenset[str]] = [frozenset()]
+        if kind is sre.LITERAL:
+            told = {chr(value)}
+        elif kind is sre.IN:
+            told = _members(value)
+        elif kind is sre.SUBPATTERN:
+            told, inner = _read(value[-1], fold)
+        elif kind is sre.BRANCH:
+            parts = [_read(x, fold) for x in value[1]]
+            inner = _least([q for _, query_ in parts for q in query_])
+            if all(x is not None for x, _ in parts):
+                told = set().union(*(x for x, _ in parts))
+        elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            low, high, sub = value
+            some, inner = _read(sub, fold)
+            if (low, high) == (0, 1) and some is not None:
+                told, inner = some | {""}, [frozenset()]
+            elif low == 0:
+                inner = [frozenset()]
+        if told is not None and fold:
+            told = {x.lower() for x in told}
+        if told is not None and len(told) * len(exact) <= ENUMERATED:
+            exact = {x + y for x, y in product(exact, told)}
+        else:
+            end_run()
+            query = both(query, inner if told is None else _least([trigrams(x) for x in told]))
+    if whole:
+        return exact, _least([trigrams(x) for x in exact])
+    end_run()
+    return None, query
+
+
+def folds(rule: Rule) -> bool:
+    """Whether the pattern takes letters in either case."""
+    return any(a != b and a.lower() == b.lower() for a, b in re.findall(r"\[(\w)(\w)\]", rule.pattern))
+
+
+def query_of(rule: Rule) -> list[frozenset[str]]:
+    """The rule's Boolean query, derived from its pattern: any of these sets has to be there as a whole; none: no query."""
+    query = _read(parser.parse(rule.pattern), folds(rule))[1]
+    return [] if frozenset() in query else query
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -73,18 +146,20 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def _quick(rule: Rule) -> Rule:
-    """The same rule for single classes of characters, with its least length in the pattern: the same spans, found faster."""
-    if rule.kind == "hex":
-        return Rule(rule.kind, f"([0-9a-f]{{{rule.least},}})", rule.least, 1)
-    if rule.kind == "access":
-        return Rule(rule.kind, f"(AKIA[A-Z0-9]{{{rule.least - 4},}})", rule.least, 1, rule.needs)
-    return rule
+    """The same rule with its least length in the pattern, found faster, where that gives the same spans.
+
+    That holds for ``(literal[class]+)`` with the literal in the class: a match is then the rest of a maximal run.
+    """
+    plain = re.fullmatch(r"\((\w*)(\[[^\]^]+\])\+\)", rule.pattern)
+    if not plain or rule.part != 1 or rule.least <= len(plain[1]) or not re.fullmatch(f"{plain[2]}*", plain[1]):
+        return rule
+    return Rule(rule.kind, f"({plain[1]}{plain[2]}{{{rule.least - len(plain[1])},}})", rule.least, 1)
 
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (k, trigram) of the trigrams that ``rules`` ask for; docs has k and text."""
-    exact = sorted({t for r in rules if not r.any_case for s in _query(r) for t in s})
-    folded = sorted({t for r in rules if r.any_case for s in _query(r) for t in s})
+    exact = sorted({t for r in rules if not folds(r) for s in query_of(r) for t in s})
+    folded = sorted({t for r in rules if folds(r) for s in query_of(r) for t in s})
     lower = F.lower("text")
     held = [F.when(F.contains("text", F.lit(t)), F.lit("=" + t)) for t in exact] + [F.when(F.contains(lower, F.lit(t)), F.lit("~" + t)) for t in folded]
     return docs.select("k", F.explode(F.array_compact(F.array(*held))).alias("trigram"))
@@ -92,7 +167,7 @@ def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(k, the kinds whose Boolean query the row's postings meet), by intersecting the postings of each row."""
-    terms = sorted({("~" if r.any_case else "=") + t for r in rules for s in _query(r) for t in s})
+    terms = sorted({("~" if folds(r) else "=") + t for r in rules for s in query_of(r) for t in s})
     bit = {t: 1 << i for i, t in enumerate(terms)}
     have = postings.groupBy("k").agg(*[F.bit_or(sum((F.when(F.col("trigram") == t, b).otherwise(0).cast("long") for t, b in list(bit.items())[i : i + 8]), F.lit(0).cast("long"))).alias(f"h{i}") for i in range(0, len(terms), 8)])
     bits = F.lit(0).cast("long")
@@ -100,8 +175,8 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         bits = bits.bitwiseOR(F.col(f"h{i}"))
     kinds = []
     for r in rules:
-        if sets := _query(r):
-            masks = [sum(bit[("~" if r.any_case else "=") + t] for t in s) for s in sets]
+        if sets := query_of(r):
+            masks = [sum(bit[("~" if folds(r) else "=") + t] for t in s) for s in sets]
             met = F.lit(False)
             for m in masks:
                 met = met | (bits.bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
@@ -114,7 +189,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     (start, kind_order, kind, end) in code points, end exclusive, by start and then kind.
 
     Null and empty texts have none.  Repeated rows are scanned each; null doc_ids stay.  A text of any
-    length is scanned whole.  Matches of one rule are leftmost and do not overlap; rules may overlap.
+    length is scanned whole; an empty table gives an empty result.  Matches of one rule are leftmost and do not overlap; rules may overlap.
     """
     base = docs.select(*[F.col(c).alias(f"__{c}") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("k", row_key(*(f"__{c}" for c in keep if c != "text"), "text"))
     met = candidates(index(base, rules), rules)
@@ -123,7 +198,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     spans = []
     for order, rule in enumerate(rules):
         quick = _quick(rule)
-        verify = F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), rule.kind) if _query(rule) else F.col("text").rlike(quick.pattern)
+        verify = F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), rule.kind) if query_of(rule) else F.col("text").rlike(quick.pattern)
         spans.append(F.when(verify, _spans(F.col("text"), quick, order)).otherwise(none))
     return joined.select(*[F.col(f"__{c}").alias(c) for c in keep], F.array_sort(F.concat(*spans)).alias("found"))
 
