@@ -122,7 +122,7 @@ def folds(rule: Rule) -> bool:
 def query_of(rule: Rule) -> list[frozenset[str]]:
     """The rule's Boolean query, derived from its pattern: any of these sets has to be there as a whole; none: no query."""
     query = _read(parser.parse(rule.pattern), folds(rule))[1]
-    return [] if frozenset() in query else query
+    return [] if frozenset() in query else sorted(query, key=sorted)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
