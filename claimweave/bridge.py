@@ -18,7 +18,7 @@ TABLES: dict[str, str] = {
     CASE WHEN k % 13 < 4 THEN 'NEWS_ARTICLE' WHEN k % 13 < 8 THEN 'PARLIAMENT' ELSE 'GOVERNMENT' END AS source_type, k % 7 <> 0 AS enabled, CAST(k AS INT) AS k
   FROM (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) AS k FROM {documents} WHERE source IS NOT NULL) s""",
     "g_documents": """SELECT 'd' || CAST(doc_id AS STRING) AS id, source AS source_id, 'https://' || source || '.example.org/doc/' || CAST(doc_id AS STRING) || '?utm_source=feed' AS original_url,
-    CASE WHEN doc_id % 5 <> 0 THEN 'https://' || source || '.example.org/doc/' || CAST(doc_id AS STRING) END AS canonical_url, doc_id % 3 <> 0 AS is_published, doc_id AS number, text AS extracted_text
+    CASE WHEN doc_id % 5 <> 0 THEN 'https://' || source || '.example.org/doc/' || CAST(doc_id AS STRING) END AS canonical_url, doc_id % 3 <> 0 AS is_published, doc_id AS number, text AS extracted_text, CASE WHEN doc_id % 4 <> 0 THEN upper(source) || ' Press' END AS publisher
   FROM {documents} WHERE doc_id IS NOT NULL""",
     "g_entities": """SELECT 'c:' || CAST(c_custkey AS STRING) AS id, 'PERSON' AS entity_type, c_name AS canonical_name, lower(replace(replace(c_name, '#', '-'), ' ', '-')) AS slug, c_mktsegment AS canton, CAST(c_nationkey AS STRING) AS country FROM {customer}
   UNION ALL SELECT 's:' || CAST(s_suppkey AS STRING), 'COMPANY', s_name, lower(replace(replace(s_name, '#', '-'), ' ', '-')), CAST(NULL AS STRING), CAST(s_nationkey AS STRING) FROM {supplier}
@@ -38,11 +38,18 @@ TABLES: dict[str, str] = {
   UNION ALL SELECT 'n-' || CAST(c_custkey AS STRING), 'c:' || CAST(c_custkey AS STRING), 'HAS_BUSINESS_ACTIVITY_IN', 'n:' || CAST(c_nationkey AS STRING), 'DIRECT', 'VERIFIED', CAST(NULL AS DATE), CAST(NULL AS DATE), CAST(NULL AS STRING), c_custkey, 10, c_custkey, CAST(0 AS INT), DATE '1995-01-01' FROM {{customer}}
   UNION ALL SELECT 'p-' || CAST(user_id AS STRING) || '-' || event_type, 'c:' || CAST(user_id AS STRING), 'PARTICIPATED_IN', 'e:' || event_type, 'OFFICIAL', 'VERIFIED', day, CAST(NULL AS DATE), CAST(NULL AS STRING), user_id, 10, user_id, CAST(0 AS INT), day
     FROM (SELECT user_id, event_type, min(CAST(ts AS DATE)) AS day FROM {{events}} GROUP BY user_id, event_type) u""",
-    "g_evidence": """SELECT c.id || ':1' AS id, c.id AS claim_id, 'd' || CAST(c.partkey % n.n AS STRING) AS document_id FROM {g_claims} c, (SELECT count(*) AS n FROM {documents}) n WHERE c.quantity >= 5
-  UNION ALL SELECT c.id || ':2', c.id, 'd' || CAST((c.partkey + 1) % n.n AS STRING) FROM {g_claims} c, (SELECT count(*) AS n FROM {documents}) n WHERE c.quantity >= 5 AND c.partkey % 4 = 0""",
+    "g_evidence": """SELECT c.id || ':1' AS id, c.id AS claim_id, 'd' || CAST(c.partkey % n.n AS STRING) AS document_id, CASE WHEN c.partkey % 11 = 0 THEN ' ' ELSE 'Part ' || CAST(c.partkey AS STRING) || ' of ' || lower(c.predicate) END AS evidence_text FROM {g_claims} c, (SELECT count(*) AS n FROM {documents}) n WHERE c.quantity >= 5
+  UNION ALL SELECT c.id || ':2', c.id, 'd' || CAST((c.partkey + 1) % n.n AS STRING), 'Second part ' || CAST(c.partkey AS STRING) FROM {g_claims} c, (SELECT count(*) AS n FROM {documents}) n WHERE c.quantity >= 5 AND c.partkey % 4 = 0""",
     "g_queue": """SELECT id || ':q' AS id, id AS claim_id, CASE partkey % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ASSIGNED' WHEN 2 THEN 'RESOLVED' ELSE 'OPEN' END AS status, created_on FROM {g_claims} WHERE status <> 'VERIFIED' AND orderkey % 3 = 0""",
     "g_jobs": """SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN 'FETCH_URL' ELSE 'EXTRACT_DOCUMENT' END AS job_kind, event_type, user_id, CAST(floor(abs(value)) AS BIGINT) % 4 AS attempts, 3 AS max_attempts,
     CASE CAST(floor(abs(value)) AS BIGINT) % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'RUNNING' ELSE 'FAILED' END AS status, ts AS scheduled_at, CASE WHEN event_id % 3 = 0 THEN 'timeout' WHEN event_id % 3 = 1 THEN ' ' END AS error_message FROM {events}""",
+    "g_tasks": """SELECT 't' || CAST(number AS STRING) AS id, id AS document_id, CASE WHEN number % 3 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS status, number FROM {g_documents}""",
+    "g_task_candidates": """SELECT id AS task_id, 'c:' || CAST(number % 700 + 1 AS STRING) AS entity_id, CAST(0.5 AS DOUBLE) AS score FROM {g_tasks} WHERE status = 'OPEN'
+  UNION ALL SELECT id, 's:' || CAST(number % 9 + 1 AS STRING), CAST(0.75 AS DOUBLE) FROM {g_tasks}""",
+    "g_requests": """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN ' c:7 ' WHEN 1 THEN ' ' END AS entity_id, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'HUMAN' END AS entity_type, CASE event_id % 5 WHEN 0 THEN 'OWNS' WHEN 1 THEN 'owns' END AS predicate,
+    CASE event_id % 7 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'SECRET' END AS connection_class, CASE WHEN event_id % 2 = 0 THEN ' energy' END AS topic, CAST(NULL AS STRING) AS person, CASE event_id % 6 WHEN 0 THEN 'a' WHEN 1 THEN '' END AS organization, CASE event_id % 9 WHEN 1 THEN 'b' END AS organisation,
+    CASE event_id % 8 WHEN 0 THEN '2024-02-29' WHEN 1 THEN '2023-02-29' WHEN 2 THEN '2024-2-3' WHEN 3 THEN '2025-01-01' END AS date_from, CASE event_id % 11 WHEN 0 THEN '2024-06-30' WHEN 1 THEN 'June' END AS date_to,
+    CASE event_id % 13 WHEN 0 THEN 'true' WHEN 1 THEN '0' WHEN 2 THEN 'yes' WHEN 3 THEN 'false' WHEN 4 THEN '1' END AS include_historical FROM {events}""",
     "g_compatible": "__compatible__",
 }
 

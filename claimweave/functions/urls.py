@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that never count.
-TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "amp", "amp_js_v", "usqp")
+#: Query parameters that never count, of trackers and of mobile variants.
+TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "msclkid")
+MOBILE = ("amp", "amp_js_v", "usqp")
 LANGUAGE = ("lang", "language", "locale")
 
 
@@ -14,27 +17,50 @@ def _text(x: str) -> Column:
     return F.lit(x)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def canonical(url: Column, keep_language: bool = True) -> Column:
-    """The canonical form of an http(s) url; null for others.
+    """The canonical form of an http(s) url of ASCII characters; null for other schemes.
 
     Scheme and host in lower case, no default port or fragment; no empty path segments, no amp or print segment
     at either end, no trailing slash; parameters without tracking and print ones, sorted by key and value.
     """
+    return bound(url, lambda u: _canonical(u, keep_language))
+
+
+def _without_first(word: str):
+    return lambda p: F.when(F.lower(F.try_element_at(p, F.lit(1))) == word, F.slice(p, 2, F.size(p))).otherwise(p)
+
+
+def _without_last(word: str):
+    return lambda p: F.when(F.lower(F.try_element_at(p, F.lit(-1))) == word, F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+
+
+def _without_infix(word: str):
+    """``name.word.ext`` becomes ``name.ext``."""
+    return lambda x: F.regexp_replace(x, rf"(?i)\.{word}(\.[a-z0-9]+)$", "$1")
+
+
+def _canonical(url: Column, keep_language: bool) -> Column:
     scheme = F.lower(F.regexp_extract(url, r"(?i)^\s*(https?)://", 1))
     authority = F.lower(F.regexp_extract(url, r"(?i)^\s*https?://([^/?#]*)", 1))
     host = F.when(scheme == "http", F.regexp_replace(authority, ":80$", "")).otherwise(F.regexp_replace(authority, ":443$", ""))
     path = F.regexp_extract(url, r"(?i)^\s*https?://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     for word in ("amp", "print"):
-        parts = F.when((F.size(parts) > 0) & (F.lower(F.element_at(F.concat(parts, F.array(F.lit(""))), 1)) == word), F.slice(parts, 2, 100000)).otherwise(parts)
-        parts = F.when((F.size(parts) > 0) & (F.lower(F.element_at(F.concat(F.array(F.lit("")), parts), -1)) == word), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    clean = F.regexp_replace(F.concat(F.lit("/"), F.array_join(parts, "/")), r"(?i)\.(amp|print)(\.[a-z0-9]+)$", "$2")
+        parts = bound(bound(parts, _without_first(word)), _without_last(word))
+    for word in ("amp", "print"):
+        parts = F.transform(parts, _without_infix(word))
+    clean = F.concat(F.lit("/"), F.array_join(parts, "/"))
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v")))
 
     def stays(p: Column) -> Column:
         k, v = F.lower(p["k"]), F.lower(p["v"])
-        gone = F.startswith(k, F.lit("utm_")) | k.isin(*TRACKING)
+        gone = F.startswith(k, F.lit("utm_")) | k.isin(*TRACKING, *MOBILE)
         gone = gone | (k.isin("print", "printable") & v.isin("", "1", "true")) | (k.isin("view", "output", "display", "format") & (v == "print"))
         return ~(gone if keep_language else gone | k.isin(*LANGUAGE))
 
@@ -48,9 +74,8 @@ def resolved(base: Column, location: Column) -> Column:
     path = F.regexp_extract(base, r"(?i)^\s*https?://[^/?#]*([^?#]*)", 1)
     bare = F.regexp_extract(location, "^([^?#]*)", 1)
     tail = F.substr(location, F.length(bare) + 1)
-    whole = F.when(bare == "", path).when(F.startswith(bare, _text("/")), bare).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), _text("/"), bare))
     parts = F.aggregate(
-        F.split(whole, "/"),
+        F.split(bound(F.struct(path.alias("p"), bare.alias("b")), lambda x: F.when(x["b"] == "", x["p"]).when(F.startswith(x["b"], _text("/")), x["b"]).otherwise(F.concat(F.regexp_replace(x["p"], "[^/]*$", ""), _text("/"), x["b"]))), "/"),
         F.array().cast("array<string>"),
         lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)),
     )
@@ -64,30 +89,40 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def storage_path(source_id: Column, url_hash: Column, version: Column, content_type: Column) -> Column:
-    """Where a raw body is kept: sanitised source, hash and version, with the type's extension."""
-    safe = F.regexp_replace(F.lower(source_id), "[^a-z0-9._-]+", "-")
-    kind = F.lower(content_type)
-    extension = F.when(F.contains(kind, _text("html")), "html").when(F.contains(kind, _text("json")), "json").when(F.contains(kind, _text("xml")), "xml").when(F.contains(kind, _text("pdf")), "pdf").when(F.contains(kind, _text("text/")), "txt").otherwise("bin")
-    return F.concat_ws("/", safe, url_hash, F.concat(F.lit("v"), version.cast("string"), F.lit("."), extension))
+def _segment(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+
+
+def storage_path(source_type: Column, source_id: Column, canonical_url: Column, content_hash_: Column, content_type: Column) -> Column:
+    """Where a raw body is kept: by source type, source and host, under its hash, with the type's extension."""
+    kind = F.lower(F.trim(F.regexp_extract(F.coalesce(content_type, F.lit("")), "^([^;]*)", 1)))
+    extension = F.when(kind == "application/pdf", "pdf").when(kind.isin("application/json", "application/ld+json"), "json").when(kind == "text/plain", "txt").otherwise("html")
+    host = F.regexp_extract(canonical_url, r"(?i)^\s*https?://([^/?#]*)", 1)
+    return F.concat_ws("/", F.lit("raw-documents"), _segment(source_type), _segment(source_id), _segment(host), F.concat(content_hash_, F.lit("."), extension))
 
 
 def access_status(status: Column, body: Column, paywall_header: Column) -> Column:
-    """What a response says about access; the order of the tests matters."""
+    """What a response says about access; the order of the tests matters.  ``paywall_header``: the header's text."""
     words = F.lower(F.coalesce(body, F.lit(""))).rlike("subscribe to continue|subscriber-only|paywall")
     return (
         F.when(status == 401, "LOGIN_REQUIRED")
-        .when((status == 402) | F.coalesce(paywall_header, F.lit(False)), "PAYWALLED")
+        .when((status == 402) | F.coalesce(F.lower(paywall_header) == "true", F.lit(False)), "PAYWALLED")
         .when(status.isin(403, 451), "BLOCKED")
-        .when(status.isin(404, 410), "NOT_FOUND")
+        .when(status.isin(404, 410), "REMOVED")
         .when(words, "PAYWALLED")
-        .when(status.between(200, 299), "ACCESSIBLE")
+        .when(status.between(200, 299), "PUBLIC")
         .otherwise("UNKNOWN")
     )
 
 
 def extraction_status(access: Column, status: Column, size: Column) -> Column:
-    return F.when(access == "PAYWALLED", "PARTIAL").when((access != "ACCESSIBLE") | ~status.between(200, 299), "FAILED").when(size == 0, "METADATA_ONLY").otherwise("PENDING")
+    """A paywalled body is partial, without one there is metadata only; any other success waits for extraction."""
+    return F.when(access == "PAYWALLED", F.when(size > 0, "PARTIAL").otherwise("METADATA_ONLY")).when(status.between(200, 299), "PENDING").otherwise("FAILED")
+
+
+def header_map(headers: Column) -> Column:
+    """Headers by lower-case name; of names that differ in case alone the last counts."""
+    return F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
 def is_redirect(status: Column) -> Column:
@@ -104,26 +139,39 @@ def domain(value: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(bare, "^[a-z]+://", ""), "^([^/?#:]*)", 1), F.lit(""))
 
 
-def robots_allowed(txt: str | None, path: str, agent: str) -> bool:
-    """Longest matching rule of the agent's and the general groups; allow wins a tie.  A blank line ends a group."""
-    if not txt:
-        return True
-    best, verdict, names, rules_begun = -1, True, [], False
-    for line in txt.splitlines():
-        line = line.split("#", 1)[0].strip()
+def robots_rules(txt: str | None, agent: str) -> list[tuple[str, bool]]:
+    """(prefix, allowed) of the rules for ``agent``'s first token: those of its groups and of the general ones.
+
+    A blank line ends a group, and so does a user-agent line after rules.  One trailing * of a prefix goes.
+    """
+    token = re.split(r"[ /\t]", agent.lower())[0]
+    rules: list[tuple[str, bool]] = []
+    names: list[str] = []
+    begun = False
+    for raw in re.split(r"\r?\n", txt or ""):
+        line = raw.split("#", 1)[0].strip()
         if not line:
-            names, rules_begun = [], False
+            names, begun = [], False
+        if ":" not in line:
             continue
-        key, _, value = (x.strip() for x in line.partition(":"))
-        key = key.lower()
-        if key == "user-agent":
-            if rules_begun:
-                names, rules_begun = [], False
-            names.append(value.lower())
-        elif key in ("allow", "disallow"):
-            rules_begun = True
-            if value and any(n == "*" or n in agent.lower() for n in names):
-                prefix = value.removesuffix("*")
-                if path.startswith(prefix) and (len(prefix) > best or (len(prefix) == best and key == "allow")):
-                    best, verdict = len(prefix), key == "allow"
-    return verdict
+        key, value = (x.strip() for x in line.split(":", 1))
+        if key.lower() == "user-agent":
+            names = [*([] if begun else names), value.lower()]
+            begun = False
+        elif names and key.lower() in ("allow", "disallow"):
+            begun = True
+            if any(n == "*" or n in token for n in names):
+                rules.append((value.strip().removesuffix("*"), key.lower() == "allow"))
+    return [r for r in rules if r[0]]
+
+
+def robots_verdict(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the longest fitting prefix allows ``path``; allow wins a tie, and no rule allows."""
+    fits = [F.when(F.startswith(path, F.lit(prefix)), F.struct(F.lit(len(prefix)).alias("n"), F.lit(allowed).alias("allowed"))) for prefix, allowed in rules]
+    return F.coalesce(F.array_max(F.array(*fits))["allowed"], F.lit(True)) if fits else F.lit(True)
+
+
+def robots_allowed(txt: str | None, path: str, agent: str) -> bool:
+    """``robots_verdict`` of one path."""
+    fits = [(len(prefix), allowed) for prefix, allowed in robots_rules(txt, agent) if path.startswith(prefix)]
+    return max(fits)[1] if fits else True

@@ -38,20 +38,42 @@ def run_status(candidates: Column, errors: Column) -> Column:
     return F.when(errors == 0, "SUCCEEDED").when(candidates > 0, "PARTIAL").otherwise("FAILED")
 
 
+#: Fixed value: why an index is not followed.
+TOO_DEEP = "Sitemap recursion depth exceeded."
+
+
 def walk(children: DataFrame, roots: DataFrame, most: int = 3) -> DataFrame:
-    """(root, url, depth) below ``roots`` (url) along ``children`` (parent, child): a loop of at most ``most`` joins.
+    """(root, url, depth, error) below ``roots`` (url) along ``children`` (parent, child): a loop of at most ``most`` joins.
 
-    What lies at depth ``most`` is reported with that depth, and not followed.
+    What lies at depth ``most`` and has children itself is not followed, and has an error.
     """
     level = roots.select(F.col("url").alias("root"), "url", F.lit(0).alias("depth"))
     out = level
     for depth in range(1, most + 1):
         level = level.join(children, level.url == children.parent).select("root", F.col("child").alias("url"), F.lit(depth).alias("depth"))
         out = out.union(level)
-    return out
+    parents = children.select(F.col("parent").alias("url"), F.lit(most).alias("depth"), F.lit(TOO_DEEP).alias("error")).distinct()
+    return out.join(parents, ["url", "depth"], "left").select("root", "url", "depth", "error")
+
+
+def candidate_errors(found: DataFrame) -> DataFrame:
+    """(discovery_url, url, reason, depth) of found items (discovery_url, url, canonical_url, depth) that make no candidate."""
+    return found.where(F.col("canonical_url").isNull()).select("discovery_url", "url", F.lit("Only http and https URLs can be ingested.").alias("reason"), "depth")  # a fixed value
 
 
 def pending(candidates: DataFrame, run: object = None) -> DataFrame:
     """Candidates that wait to be fetched, of one crawl run if it is given."""
     waiting = candidates.where(F.col("status") == "PENDING")
     return waiting if run is None else waiting.where(F.col("crawl_run_id") == F.lit(run))
+
+
+def submit(given: DataFrame, candidates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(canonical_url, candidate_id, job_id, reused_candidate, reused_job) of submitted urls (canonical_url), one for each.
+
+    candidates: canonical_url, candidate_id; jobs: id, url_candidate_id, job_kind, status.  A known candidate and its active fetch
+    job are reused; new ones get an id from the url.
+    """
+    active = jobs.where((F.col("job_kind") == "FETCH_URL") & F.col("status").isin("PENDING", "RUNNING")).groupBy(F.col("url_candidate_id").alias("candidate_id")).agg(F.min("id").alias("job"))
+    known = given.select("canonical_url").distinct().join(candidates, "canonical_url", "left").join(active, "candidate_id", "left")
+    fresh = F.sha2("canonical_url", 256)
+    return known.select("canonical_url", F.coalesce(F.col("candidate_id").cast("string"), fresh).alias("candidate_id"), F.coalesce(F.col("job").cast("string"), F.concat(F.lit("FETCH_URL:"), fresh)).alias("job_id"), F.col("candidate_id").isNotNull().alias("reused_candidate"), F.col("job").isNotNull().alias("reused_job"))

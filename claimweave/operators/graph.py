@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..ontology import ORG8
+from ..written import written
 
 
 @dataclass(frozen=True)
@@ -29,9 +32,9 @@ class Filters:
 
 def evidence_full(evidence: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
     """Evidence that resolves to a document and its source, with the columns that the public may see."""
-    d = documents.select(F.col("id").alias("document_id"), "source_id", F.coalesce("canonical_url", "original_url").alias("url"), F.col("extracted_text").isNotNull().alias("has_text"))
+    d = documents.select(F.col("id").alias("document_id"), "source_id", F.coalesce("canonical_url", "original_url").alias("url"), "publisher")
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "source_quality")
-    return evidence.select(F.col("id").alias("evidence_id"), "claim_id", "document_id").join(d, "document_id").join(s, "source_id")
+    return evidence.select(F.col("id").alias("evidence_id"), "claim_id", "document_id", "evidence_text").join(d, "document_id").join(s, "source_id")
 
 
 def _selected(side: str, token: str, types: tuple[str, ...]) -> Column:
@@ -76,15 +79,32 @@ def publishable(claims: DataFrame, entities: DataFrame, compatible: DataFrame, f
 
 
 def edges(claims: DataFrame, entities: DataFrame, evidence: DataFrame, compatible: DataFrame, filters: Filters = Filters()) -> DataFrame:
-    """Edges with their evidence: number, sources and qualities.  ``evidence`` comes from ``evidence_full``."""
-    of_claim = evidence.groupBy(F.col("claim_id").alias("id")).agg(
+    """Edges with their evidence: number, qualities, and the primary one, which is the first with a source's name, url and text.
+
+    ``evidence`` comes from ``evidence_full``.  Only the evidence of claims that pass the filters is aggregated.
+    """
+    shown = publishable(claims, entities, compatible, filters)
+    usable = (F.col("source_name") != "") & (F.col("url") != "") & (F.col("evidence_text") != "")
+    primary = F.struct(F.col("evidence_id").alias("id"), "url", "source_name", "publisher", "evidence_text")
+    of_claim = evidence.withColumnRenamed("claim_id", "id").join(shown.select("id"), "id", "left_semi").groupBy("id").agg(
         F.count(F.lit(1)).alias("n_evidence"),
         F.array_join(F.sort_array(F.collect_set("source_quality")), ",").alias("qualities"),
         F.array_join(F.sort_array(F.collect_list("evidence_id")), ",").alias("evidence_ids"),
-        F.min_by("url", "evidence_id").alias("url"),
-        F.min_by("source_name", "evidence_id").alias("source_name"),
+        F.min(F.when(usable, primary)).alias("primary"),
     )
-    return publishable(claims, entities, compatible, filters).join(of_claim, "id")
+    return shown.join(of_claim, "id").select("*", "primary.url", "primary.source_name", "primary.publisher", "primary.evidence_text").drop("primary")
+
+
+def nested(edge: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Edges as the API shows them: evidence as an array of structs with document and source inside, times in ISO form."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    told = evidence.select(F.col("claim_id").alias("id"), F.struct(
+        F.col("evidence_id").alias("id"), F.col("evidence_text").alias("evidenceText"),
+        F.struct(F.col("document_id").alias("id"), "url", "publisher", iso("published_at").alias("publishedAt") if "published_at" in evidence.columns else F.lit(None).cast("string").alias("publishedAt")).alias("document"),
+        F.struct(F.col("source_id").alias("id"), F.col("source_name").alias("name"), F.col("source_quality").alias("sourceQuality")).alias("source"),
+    ).alias("e"))
+    lists = told.join(edge.select("id"), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("evidence"))
+    return edge.join(lists, "id").select("id", F.col("subject_id").alias("subjectEntityId"), "predicate", F.col("object_id").alias("objectEntityId"), F.col("connection_class").alias("connectionClass"), F.col("valid_from").cast("string").alias("validFrom"), F.col("valid_to").cast("string").alias("validTo"), "evidence")
 
 
 def endpoints(edge: DataFrame) -> DataFrame:
@@ -115,39 +135,88 @@ def timeline(edge: DataFrame, entities: DataFrame, undated_last: bool = False) -
     return dated.select("entity_id", "id", F.col("other_name"), label.alias("label"), key.alias("day"), F.row_number().over(order).alias("position"))
 
 
+#: Fields that the free-text search looks into: of the edge, and of its primary evidence.
+SEARCHED = ("subject_name", "object_name", "predicate", "connection_class", "source_name", "publisher", "evidence_text")
+
+
 def search(edge: DataFrame, text: str) -> DataFrame:
-    """Edges with ``text`` in one of their visible fields, whatever its case."""
+    """Edges with ``text`` in one of the SEARCHED fields, whatever its case; blank text keeps all."""
     q = text.strip().lower()
-    fields = ("subject_name", "object_name", "predicate", "connection_class", "source_name", "url")
-    hit = F.lit(False)
-    for f in fields:
+    hit = F.lit(not q)
+    for f in SEARCHED:
         hit = hit | F.coalesce(F.contains(F.lower(f), F.lit(q)), F.lit(False))
     return edge.where(hit)
 
 
+#: What a table of edges may be sorted by; ties go by id.
+SORT_KEYS = {
+    "person": "subject_name", "predicate": "predicate", "object": "object_name", "connectionClass": "connection_class",
+    "validFrom": "coalesce(CAST(valid_from AS STRING), CAST(valid_to AS STRING), '')", "source": "coalesce(source_name, '')",
+}
+
+
+def sorted_edges(edge: DataFrame, keys: tuple[str, ...] = tuple(SORT_KEYS)) -> DataFrame:
+    """(sort_key, id, position from 1) of each edge under each of ``keys``, from one range-partitioned pass."""
+    values = F.array(*[F.struct(F.lit(k).alias("sort_key"), F.expr(SORT_KEYS[k]).alias("value")) for k in keys])
+    placed = positions(edge.select("id", F.explode(values).alias("v")).select("v.*", "id"), ["sort_key", "value", "id"])
+    first = placed.groupBy("sort_key").agg(F.min("position").alias("first"))
+    return placed.join(F.broadcast(first), "sort_key").select("sort_key", "id", (F.col("position") - F.col("first") + 1).alias("position"))  # a row for each of six keys
+
+
+def json_leaves(value) -> list[str]:
+    """The string leaves of parsed JSON, through arrays and objects; keys do not count."""
+    if isinstance(value, str):
+        return [value]
+    children = value if isinstance(value, list) else value.values() if isinstance(value, dict) else ()
+    return [x for child in children for x in json_leaves(child)]
+
+
+def leaf_equals(text: Column, token: str) -> Column:
+    """Whether a string leaf of a JSON object's text equals ``token`` in any case; what is no object has none.
+
+    Rows without the token anywhere in their text never reach Python.
+    """
+    wanted = token.strip().lower()
+
+    @F.pandas_udf("boolean")
+    def run(values: pd.Series) -> pd.Series:
+        def test(x: str | None) -> bool:
+            try:
+                parsed = json.loads(x) if x else None
+            except ValueError:
+                return False
+            return isinstance(parsed, dict) and any(leaf.lower() == wanted for leaf in json_leaves(parsed))
+
+        return values.map(test).astype(bool)
+
+    if not wanted:
+        return F.lit(False)
+    quick = F.when(F.contains(F.lower(text), F.lit(wanted)) | F.contains(text, F.lit("\\")), text)
+    return run(quick)
+
+
 def clusters(node: DataFrame) -> DataFrame:
     return node.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def layout(node: DataFrame, radius: float = 100.0) -> DataFrame:
-    """Polar places inside each type's cluster."""
-    kind = Window.partitionBy("entity_type")
-    index = F.row_number().over(kind.orderBy("id")) - 1
-    angle = 2 * F.pi() * index / F.count(F.lit(1)).over(kind)
-    return node.select("id", "entity_type", index.alias("index"), (F.round(radius * F.cos(angle), 6) + 0.0).alias("x"), (F.round(radius * F.sin(angle), 6) + 0.0).alias("y"))
+    """Polar places inside each type's cluster: ranks from a range-partitioned pass, since one type may hold most nodes."""
+    placed = positions(node.select("entity_type", "id"), ["entity_type", "id"])
+    kinds = placed.groupBy("entity_type").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n"))  # a row for each type
+    index = F.col("position") - F.col("first")
+    angle = 2 * F.pi() * index / F.col("n")
+    return placed.join(F.broadcast(kinds), "entity_type").select("id", "entity_type", index.alias("index"), (F.round(radius * F.cos(angle), 6) + 0.0).alias("x"), (F.round(radius * F.sin(angle), 6) + 0.0).alias("y"))
 
 
-def positions(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with each row's position (from 1) by ``order``, which tells rows apart and has no nulls.
 
-    Ranges are cut at quantiles of a sample by hash, which is the same whenever it is taken; a row's position is
-    its rank in its range after the rows of the ranges before.
+    Rows are range-partitioned and written with the number of their range; a row's position is its rank in its range
+    after the rows of the ranges before.
     """
-    key = F.struct(*order)
-    sample = sorted(tuple(r) for r in df.select(*order).orderBy(F.xxhash64(*order), *order).limit(100 * buckets).collect())
-    bounds = [F.struct(*[F.lit(v).alias(c) for c, v in zip(order, row, strict=True)]) for row in sample[100::100]]
-    cut = df.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda x: x <= key)) if bounds else F.lit(0))
-    counts = cut.groupBy("__range").count()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy("__range").count()  # a row for each of ``parts``
     before = counts.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = cut.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    ranked = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     return ranked.join(F.broadcast(before), "__range").select(*df.columns, (F.col("__before") + F.col("__rank")).cast("int").alias("position"))

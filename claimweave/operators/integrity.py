@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ontology import ROLES, STATUSES
+from ..ontology import ACCESS_STATUSES, CONNECTION_CLASSES, ENTITY_TYPES, EXTRACTION_STATUSES, ROLES, SOURCE_QUALITIES, SOURCE_TYPES, STATUSES
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
@@ -14,18 +16,68 @@ def violations(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     return df.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("id"))
 
 
-#: Conditions in SQL, so that they can be stated without a session.
-CLAIM_RULES = {
-    "status_known": f"status IN ({', '.join(repr(x) for x in STATUSES)})",
-    "dates_ordered": "valid_from <= valid_to",
-    "object_given": "object_id IS NOT NULL",
-    "no_self_relation": "subject_id <> object_id",
-}
-ENTITY_RULES = {
-    "name_not_blank": "trim(canonical_name) <> ''",
-    "slug_form": "slug RLIKE '^[a-z0-9]+(-[a-z0-9]+)*$'",
+_LANGUAGE = "language RLIKE '^[a-z]{2}(-[A-Z]{2})?$'"
+_HASH = "{} RLIKE '^[a-f0-9]{{64}}$'"
+#: Conditions in SQL by table, so that they can be stated without a session; a null counts as holding.
+RULES = {
+    "sources": {
+        "name_not_blank": "length(trim(name)) > 0", "requests_not_negative": "requests_per_minute >= 0", "concurrency_bounded": "concurrency BETWEEN 1 AND 10",
+        "type_known": f"source_type IN ({', '.join(map(repr, SOURCE_TYPES))})", "quality_known": f"source_quality IN ({', '.join(map(repr, SOURCE_QUALITIES))})",
+    },
+    "entities": {
+        "name_not_blank": "length(trim(canonical_name)) > 0", "slug_form": "slug = lower(slug) AND slug RLIKE '^[a-z0-9]+(-[a-z0-9]+)*$'", "country_form": "country_code RLIKE '^[A-Z]{2}$'",
+        "type_known": f"entity_type IN ({', '.join(map(repr, ENTITY_TYPES))})",
+    },
+    "entity_aliases": {"alias_not_blank": "length(trim(alias)) > 0", "language_form": _LANGUAGE, "dates_ordered": "valid_from <= valid_to"},
+    "documents": {
+        "original_url_not_blank": "length(trim(original_url)) > 0", "canonical_url_not_blank": "length(trim(canonical_url)) > 0", "language_form": _LANGUAGE, "hash_form": _HASH.format("content_hash"),
+        "http_status_bounded": "http_status BETWEEN 100 AND 599", "access_known": f"access_status IN ({', '.join(map(repr, ACCESS_STATUSES))})", "extraction_known": f"extraction_status IN ({', '.join(map(repr, EXTRACTION_STATUSES))})",
+    },
+    "claims": {
+        "status_known": f"status IN ({', '.join(map(repr, STATUSES))})", "class_known": f"connection_class IN ({', '.join(map(repr, CONNECTION_CLASSES))})", "confidence_bounded": "confidence_score BETWEEN 0 AND 1",
+        "object_or_literal": "object_id IS NOT NULL OR literal_value IS NOT NULL", "no_self_relation": "object_id <> subject_id", "dates_ordered": "valid_from <= valid_to", "review_dated": "reviewed_by IS NULL OR reviewed_at IS NOT NULL",
+    },
+    "claim_evidence": {"text_not_blank": "length(trim(evidence_text)) > 0", "start_not_negative": "start_char >= 0", "end_not_negative": "end_char >= 0", "page_positive": "page_number > 0", "hash_form": _HASH.format("evidence_hash"), "span_ordered": "start_char <= end_char"},
+    "audit_log": {"action_not_blank": "length(trim(action)) > 0", "type_not_blank": "length(trim(entity_type)) > 0"},
+    "llm_runs": {"model_not_blank": "length(trim(model)) > 0", "prompt_not_blank": "length(trim(prompt_version)) > 0", "schema_not_blank": "length(trim(schema_version)) > 0", "temperature_bounded": "temperature BETWEEN 0 AND 2"},
+    "crawl_runs": {f"{c}_not_negative": f"{c} >= 0" for c in ("urls_discovered", "documents_fetched", "documents_changed", "documents_failed")} | {"times_ordered": "finished_at >= started_at"},
+    "ingestion_jobs": {
+        "attempts_not_negative": "attempts >= 0", "max_attempts_positive": "max_attempts > 0", "attempts_bounded": "attempts <= max_attempts", "ended_dated": "status NOT IN ('SUCCEEDED', 'FAILED', 'SKIPPED') OR finished_at IS NOT NULL",
+        "target_given": "CASE job_kind WHEN 'FETCH_URL' THEN url_candidate_id IS NOT NULL WHEN 'DISCOVER_URLS' THEN true ELSE document_id IS NOT NULL END",
+    },
 }
 
+#: Unique indexes: table, key expressions, and the condition of a partial one.
+UNIQUE = (
+    ("sources", ("domain",), "domain IS NOT NULL"),
+    ("entities", ("slug",), "true"),
+    ("entity_aliases", ("entity_id", "lower(alias)", "coalesce(language, '')"), "true"),
+    ("documents", ("canonical_url", "content_hash"), "canonical_url IS NOT NULL AND content_hash IS NOT NULL"),
+    ("claim_evidence", ("claim_id", "document_id", "evidence_hash"), "true"),
+    ("url_candidates", ("source_id", "canonical_url"), "true"),
+    ("ingestion_jobs", ("url_candidate_id", "job_kind"), "url_candidate_id IS NOT NULL AND status IN ('PENDING', 'RUNNING')"),
+    ("ingestion_jobs", ("document_id", "job_kind"), "document_id IS NOT NULL AND job_kind IN ('EXTRACT_DOCUMENT', 'ANALYZE_DOCUMENT')"),
+)
+
+
+def check(df: DataFrame, table: str, key: str = "id") -> DataFrame:
+    """(rule, id) of the rows of ``df`` that break a rule of ``table``; rules on columns that ``df`` lacks hold."""
+    columns = {f.lower() for f in df.columns}
+    words = lambda rule: set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", rule))) - _SQL_WORDS
+    missing = {c for rule in RULES[table].values() for c in words(rule) - columns}
+    whole = df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
+    rules = {n: r for n, r in RULES[table].items() if words(r) & columns}
+    return violations(whole, key, rules)
+
+
+_SQL_WORDS = {"length", "trim", "lower"}
+
+
+def unique_violations(df: DataFrame, table: str, number: int = 0) -> DataFrame:
+    """(key, n) of the key values that break the ``number``-th unique index of ``table``; rows outside a partial index do not count."""
+    _, keys, condition = [u for u in UNIQUE if u[0] == table][number]
+    return duplicates(df.where(condition), *[F.expr(k) for k in keys])
+
 
 def duplicates(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Key values that occur more than once, as one string, with their number."""
@@ -65,11 +117,52 @@ def role(app_role: Column, user_role: Column) -> Column:
     return F.coalesce(known(app_role), known(user_role), F.lit("PUBLIC"))
 
 
-#: role, table, action; fixed values.
-PERMISSIONS = (
-    *((r, t, "read") for r in ("RESEARCHER", "REVIEWER", "ADMIN") for t in ("sources", "documents", "claims", "entities", "evidence", "queue", "jobs")),
-    *(("PUBLIC", t, "read") for t in ("claims", "entities", "evidence")),
-    *((r, "claims", "propose") for r in ("RESEARCHER", "REVIEWER", "ADMIN")),
-    *((r, "claims", "decide") for r in ("REVIEWER", "ADMIN")),
-    ("ADMIN", "sources", "write"),
+#: Tables that internal roles read, and those that the anonymous role may select from at all.
+TABLES = ("sources", "entities", "entity_aliases", "documents", "claims", "claim_evidence", "review_queue", "audit_log", "llm_runs", "crawl_runs", "entity_resolution_tasks", "entity_resolution_candidates", "url_candidates", "crawl_schedules", "ingestion_jobs")
+ANONYMOUS = ("entities", "claims", "claim_evidence")
+INTERNAL = ("ADMIN", "RESEARCHER", "REVIEWER")
+_ALL = ("insert", "update", "delete")
+#: Tables, roles and actions of the write policies.
+WRITES = (
+    (TABLES, ("ADMIN",), _ALL),
+    (("entities", "entity_aliases", "sources", "documents", "claims"), ("RESEARCHER",), ("insert",)),
+    (("claim_evidence",), ("RESEARCHER", "REVIEWER"), ("insert",)),
+    (("claims",), ("REVIEWER",), ("update",)),
+    (("review_queue",), ("REVIEWER",), _ALL),
+    (("audit_log",), ("RESEARCHER", "REVIEWER"), ("insert",)),
+    (("entity_resolution_tasks", "entity_resolution_candidates"), ("RESEARCHER",), ("insert",)),
+    (("entity_resolution_tasks",), ("REVIEWER",), ("update",)),
+    (("url_candidates",), ("RESEARCHER",), ("insert", "update")),
+    (("crawl_schedules", "ingestion_jobs"), ("RESEARCHER",), _ALL),
 )
+
+
+def permissions() -> list[tuple[str, str, str]]:
+    """(role, table, action): what the policies allow.  PUBLIC selects only rows of public claims; see ``public_claims``."""
+    reads = [(r, t, "select") for r in INTERNAL for t in TABLES] + [("PUBLIC", t, "select") for t in ANONYMOUS]
+    return sorted({*reads, *((r, t, a) for tables, roles, actions in WRITES for t in tables for r in roles for a in actions)})
+
+
+def grants() -> list[tuple[str, str, str]]:
+    """(api role, table, privilege), which come before any policy."""
+    return sorted([("anon", t, "select") for t in ANONYMOUS] + [("authenticated", t, a) for t in TABLES for a in ("select", *_ALL)])
+
+
+def claim_writes(writes: DataFrame) -> DataFrame:
+    """(id, allowed) of writes to claims (id, role, action, status): researchers only propose, reviewers only update, admins do all."""
+    proposed = (F.col("action") == "insert") & (F.col("role") == "RESEARCHER") & F.col("status").isin("DETECTED", "PENDING_REVIEW")
+    reviewed = (F.col("action") == "update") & (F.col("role") == "REVIEWER")
+    return writes.select("id", F.coalesce((F.col("role") == "ADMIN") | proposed | reviewed, F.lit(False)).alias("allowed"))
+
+
+def visible_evidence(role_name: str, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence that a role reads: internal roles all, others that of public claims."""
+    if role_name in INTERNAL:
+        return evidence
+    return evidence.join(public_claims(claims, evidence).select(F.col("id").alias("claim_id")), "claim_id", "left_semi")
+
+
+def touched(before: DataFrame, after: DataFrame, key: str, at: Column) -> DataFrame:
+    """``after`` with updated_at set to ``at`` where a row was there before, as a trigger on updates does."""
+    old = before.select(key, F.lit(True).alias("__old"))
+    return after.drop("updated_at").join(old, key, "left").withColumn("updated_at", F.when(F.col("__old"), at)).drop("__old")

@@ -30,12 +30,101 @@ def due_jobs(jobs: DataFrame, kind: str, as_of: str, limit: int = 5) -> DataFram
     return due.orderBy("scheduled_at", "id").limit(limit).where("attempts < max_attempts")
 
 
-def failed(jobs: DataFrame) -> DataFrame:
-    """Jobs after a failing attempt: retried after the backoff, or FAILED at the last attempt."""
-    attempts = F.col("attempts") + 1
-    last = attempts >= F.col("max_attempts")
-    again = F.col("scheduled_at") + F.make_dt_interval(F.lit(0), F.lit(0), backoff_minutes(attempts).cast("int"))
-    return jobs.select("id", attempts.alias("attempts"), F.when(last, "FAILED").otherwise("PENDING").alias("status"), F.when(last, F.col("scheduled_at")).otherwise(again).alias("scheduled_at"))
+def batch_limit(asked: object) -> int:
+    """The limit of a batch that a caller asks for: a whole number from 1 to 10, 1 if it is none."""
+    try:
+        return max(1, min(10, int(float(asked))))
+    except (TypeError, ValueError, OverflowError):
+        return 1
+
+
+def due_schedules(schedules: DataFrame, as_of: str) -> DataFrame:
+    """ACTIVE schedules (id, status, frequency, next_run_at) due at ``as_of``, with their run and the next one after it."""
+    at = F.lit(as_of).cast("timestamp_ntz")
+    due = schedules.where((F.col("status") == "ACTIVE") & (F.col("next_run_at") <= at))
+    return due.select("*", at.alias("last_run_at"), next_run(at, F.col("frequency")).alias("following_run_at")).orderBy("next_run_at")
+
+
+def transition(jobs: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
+    """Jobs after one event each (id, event: start, complete, skip or fail; error_message), with error where it is refused.
+
+    Starting needs a PENDING job with attempts left, and uses one; the other events need a RUNNING job.  A failed job waits
+    for its backoff, or is FAILED after the last attempt.  A refused event leaves the job as it was.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    e = events.select("id", "event", F.col("error_message").alias("told"))
+    j = jobs.join(e, "id", "left")
+    running, event = F.col("status") == "RUNNING", F.col("event")
+    refused = (  # fixed values
+        F.when((event == "start") & (F.col("status") != "PENDING"), "Only pending ingestion jobs can be started.")
+        .when((event == "start") & (F.col("attempts") >= F.col("max_attempts")), "Ingestion job has no retry attempts remaining.")
+        .when(event.isin("complete", "skip") & ~running, "Only running ingestion jobs can be completed.")
+        .when((event == "fail") & ~running, "Only running ingestion jobs can fail.")
+    )
+    again = F.col("attempts") < F.col("max_attempts")
+    wait = now + F.make_dt_interval(F.lit(0), F.lit(0), backoff_minutes(F.col("attempts")).cast("int"))
+    acted = event.isNotNull() & refused.isNull()
+
+    def after(column: str, changed: Column) -> Column:
+        return F.when(acted, changed).otherwise(F.col(column)).alias(column)
+
+    status = F.when(event == "start", "RUNNING").when(event == "complete", "SUCCEEDED").when(event == "skip", "SKIPPED").otherwise(F.when(again, "PENDING").otherwise("FAILED"))
+    ended = event.isin("complete", "skip") | ((event == "fail") & ~again)
+    return j.select(
+        "id", after("status", status), after("attempts", F.col("attempts") + F.when(event == "start", 1).otherwise(0)), after("scheduled_at", F.when((event == "fail") & again, wait).otherwise(F.col("scheduled_at"))),
+        F.when(acted & ended, now).alias("finished_at"), F.when(acted & (event == "start"), now).alias("locked_at"),
+        after("error_message", F.when(event == "fail", F.col("told")).when(event == "start", F.lit(None)).otherwise(F.col("error_message"))), refused.alias("error"),
+    )
+
+
+def failed(jobs: DataFrame, as_of: str) -> DataFrame:
+    """RUNNING ``jobs`` after a failing attempt."""
+    events = jobs.select("id", F.lit("fail").alias("event"), F.lit("failed").alias("error_message"))
+    return transition(jobs, events, as_of).select("id", "attempts", "status", "scheduled_at")
+
+
+def create_or_reuse(wanted: DataFrame, jobs: DataFrame, key: str, active_only: bool) -> DataFrame:
+    """(key, job_kind, job_id, reused) of wanted jobs (key, job_kind): one that is there, or a new one with a derived id.
+
+    A fetch job is reused while it is active; a document's job whatever its status.  The least id counts.
+    """
+    there = jobs.where(F.col("status").isin("PENDING", "RUNNING")) if active_only else jobs
+    first = there.where(F.col(key).isNotNull()).groupBy(key, "job_kind").agg(F.min("id").alias("found"))
+    joined = wanted.select(key, "job_kind").distinct().join(first, [key, "job_kind"], "left")
+    return joined.select(key, "job_kind", F.coalesce(F.col("found").cast("string"), F.concat_ws(":", "job_kind", F.col(key).cast("string"))).alias("job_id"), F.col("found").isNotNull().alias("reused"))
+
+
+def fetch_outcomes(jobs: DataFrame, candidates: DataFrame, responses: DataFrame, stored: DataFrame, as_of: str) -> DataFrame:
+    """What becomes of a batch of started fetch jobs (id, url_candidate_id, attempts, max_attempts), one row each.
+
+    candidates: id, canonical_url, crawl_run_id; responses: canonical_url, content_hash, error; stored: canonical_url,
+    content_hash of documents.  A known hash is UNCHANGED and skips the rest; else the document is CREATED or a
+    CREATED_NEW_VERSION, and extraction and analysis jobs follow.  A failing item fails alone, and its candidate only after the last
+    attempt; so does a job without a candidate or without a response.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    c = candidates.select(F.col("id").alias("url_candidate_id"), "canonical_url", "crawl_run_id", F.lit(True).alias("has_candidate"))
+    known = stored.groupBy("canonical_url").agg(F.lit(True).alias("known_url"))
+    same = stored.select("canonical_url", "content_hash").distinct().withColumn("known_hash", F.lit(True))
+    j = jobs.join(c, "url_candidate_id", "left").join(responses, "canonical_url", "left").join(known, "canonical_url", "left").join(same, ["canonical_url", "content_hash"], "left")
+    error = (  # fixed values
+        F.when(F.col("url_candidate_id").isNull(), "FETCH_URL jobs require a URL candidate.")
+        .when(F.col("has_candidate").isNull(), "FETCH_URL job references an unknown URL candidate.")
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("content_hash").isNull(), "Unknown ingestion error.")
+    )
+    outcome = F.when(error.isNotNull(), "FAILED").when(F.col("known_hash"), "UNCHANGED").when(F.col("known_url"), "CREATED_NEW_VERSION").otherwise("CREATED")
+    told = j.withColumn("error_message", error).withColumn("outcome", outcome)
+    retry = F.col("attempts") < F.col("max_attempts")
+    bad, changed = F.col("outcome") == "FAILED", F.col("outcome").isin("CREATED", "CREATED_NEW_VERSION")
+    wait = now + F.make_dt_interval(F.lit(0), F.lit(0), backoff_minutes(F.col("attempts")).cast("int"))
+    return told.select(
+        "id", "url_candidate_id", "crawl_run_id", "outcome", "error_message",
+        F.when(bad & retry, "PENDING").when(bad, "FAILED").when(changed, "SUCCEEDED").otherwise("SKIPPED").alias("job_status"),
+        F.when(bad & retry, wait).alias("retry_at"),
+        F.when(bad & retry, "PENDING").when(bad, "FAILED").when(changed, "FETCHED").otherwise("SKIPPED").alias("candidate_status"),
+        F.when(changed, F.array(F.lit("EXTRACT_DOCUMENT"), F.lit("ANALYZE_DOCUMENT"))).otherwise(F.array().cast("array<string>")).alias("follow_up_jobs"),
+    )
 
 
 def latest(changes: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -66,13 +155,33 @@ def url_candidates(found: DataFrame) -> DataFrame:
     )
 
 
-def crawl_run_stats(outcomes: DataFrame) -> DataFrame:
-    """Counters and status of each run (run_id, outcome): FAILED before PARTIAL before SUCCEEDED."""
-    ok, bad = F.count_if(F.col("outcome") != "FAILED"), F.count_if(F.col("outcome") == "FAILED")
-    return outcomes.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("urls"), ok.alias("succeeded"), bad.alias("failed"), F.count_if(F.col("outcome") == "UNCHANGED").alias("unchanged"),
-        F.when(bad == 0, "SUCCEEDED").when(ok > 0, "PARTIAL").otherwise("FAILED").alias("status"),
-    )
+def crawl_run_stats(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Runs (run_id, status) with the counters of their items (run_id, outcome) and the status after them.
+
+    An item that failed for good counts as failed, any other as fetched; changed ones are those that gave a document.  FAILED stays,
+    then any failure is PARTIAL, else the status is as it was.
+    """
+    bad, changed = F.col("outcome") == "FAILED", F.col("outcome").isin("CREATED", "CREATED_NEW_VERSION")
+    counted = outcomes.groupBy("run_id").agg(F.count_if(~bad).alias("fetched"), F.count_if(changed).alias("changed"), F.count_if(bad).alias("failed"))
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    status = F.when(F.col("status") == "FAILED", "FAILED").when(F.col("failed") > 0, "PARTIAL").otherwise(F.col("status"))
+    return runs.join(counted, "run_id", "left").select("run_id", n("fetched"), n("changed"), n("failed"), status.alias("status"))
+
+
+def write_extraction(documents: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Documents (id, title, text, metadata map) after extraction drafts (id, title, text, description, metadata): drafts overwrite,
+    with nothing clearing what was there; metadata is merged, later keys winning, with the description among it."""
+    d = drafts.select("id", F.struct("title", "text", "description", "metadata").alias("draft"))
+    joined = documents.join(d, "id", "left")
+    none = F.create_map().cast("map<string,string>")
+    described = F.when(F.col("draft.description") != "", F.create_map(F.lit("extractedDescription"), F.col("draft.description"))).otherwise(none)
+
+    def over(base: Column, more: Column) -> Column:
+        return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
+
+    merged = over(over(F.coalesce("metadata", none), described), F.coalesce("draft.metadata", none))
+    drafted = F.col("draft").isNotNull()
+    return joined.select("id", F.when(drafted, F.col("draft.title")).otherwise(F.col("title")).alias("title"), F.when(drafted, F.col("draft.text")).otherwise(F.col("text")).alias("text"), F.when(drafted, merged).otherwise(F.col("metadata")).alias("metadata"))
 
 
 def host_slots(requests: DataFrame, per_minute: int = 10) -> DataFrame:

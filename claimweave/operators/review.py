@@ -56,7 +56,7 @@ def merge_entities(claims: DataFrame, merges: DataFrame) -> DataFrame:
     """Claims with endpoints rewritten by ``merges`` (source_id, target_id)."""
     s = merges.select(F.col("source_id").alias("subject_id"), F.col("target_id").alias("s_to"))
     o = merges.select(F.col("source_id").alias("object_id"), F.col("target_id").alias("o_to"))
-    joined = claims.join(F.broadcast(s) if s.isLocal() else s, "subject_id", "left").join(F.broadcast(o) if o.isLocal() else o, "object_id", "left")
+    joined = claims.join(s, "subject_id", "left").join(o, "object_id", "left")
     return joined.select("id", F.coalesce("s_to", "subject_id").alias("subject_id"), F.coalesce("o_to", "object_id").alias("object_id"), "predicate")
 
 
@@ -65,13 +65,81 @@ def merge_conflicts(claims: DataFrame, merges: DataFrame) -> DataFrame:
     return merge_entities(claims, merges).where("subject_id = object_id")
 
 
-def lineage(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, root, depth) along supersedes links (id, supersedes_id), by pointer doubling."""
-    now = links.select("id", F.coalesce("supersedes_id", "id").alias("root"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, rounds.bit_length())):
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        now = now.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    return now
+#: Why two entities are not merged.
+UNMERGEABLE = {"self": "Cannot merge an entity into itself.", "unknown": "Cannot merge unknown entities.", "types": "Only entities with the same type can be merged.", "relation": "Cannot merge entities while claims would become self-relations."}
+
+
+def merge_verdicts(merges: DataFrame, entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """(source_id, target_id, reason) of proposed merges, each judged alone; a null reason allows it."""
+    sides = merges
+    for s in ("source", "target"):
+        sides = sides.join(entities.select(F.col("id").alias(f"{s}_id"), F.col("entity_type").alias(f"{s}_type")), f"{s}_id", "left")
+    ends = claims.where("object_id is not null").select(F.explode(F.array(F.struct(F.col("subject_id").alias("source_id"), F.col("object_id").alias("target_id")), F.struct(F.col("object_id").alias("source_id"), F.col("subject_id").alias("target_id")))).alias("p")).select("p.*").distinct()
+    own = claims.where("subject_id = object_id").limit(1).select(F.lit(True).alias("any_self"))
+    judged = sides.join(ends.withColumn("related", F.lit(True)), ["source_id", "target_id"], "left").join(F.broadcast(own), F.lit(True), "left")
+    told = lambda k: F.lit(UNMERGEABLE[k])
+    reason = F.when(F.col("source_id") == F.col("target_id"), told("self")).when(F.col("source_type").isNull() | F.col("target_type").isNull(), told("unknown")).when(F.col("source_type") != F.col("target_type"), told("types")).when(F.col("related").isNotNull() | F.col("any_self").isNotNull(), told("relation"))
+    return judged.select("source_id", "target_id", reason.alias("reason"))
+
+
+def mark_merged(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """(id, old_value, new_value) audit rows ENTITY_MERGED of merged entities, which stay and point to what they went into."""
+    value = lambda *more: F.to_json(F.struct("id", F.col("entity_type").alias("entityType"), F.col("canonical_name").alias("canonicalName"), *more))
+    joined = entities.join(merges.withColumnRenamed("source_id", "id"), "id")
+    return joined.select("id", F.lit("ENTITY_MERGED").alias("action"), value().alias("old_value"), value(F.col("target_id").alias("targetEntityId")).alias("new_value"))
+
+
+def resolve_queue(queue: DataFrame, decided: DataFrame) -> DataFrame:
+    """Queue items after decisions on claims (claim_id): active ones become RESOLVED."""
+    done = decided.select("claim_id").distinct().withColumn("done", F.lit(True))
+    return queue.join(done, "claim_id", "left").select("id", "claim_id", F.when(F.col("done") & F.col("status").isin(*ACTIVE), "RESOLVED").otherwise(F.col("status")).alias("status"))
+
+
+def evidence_sides(evidence: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """(claim_id, n_evidence, qualities): a claim's evidence, left joined with documents and sources, which may be missing."""
+    d = documents.select(F.col("id").alias("document_id"), "source_id")
+    s = sources.select(F.col("id").alias("source_id"), "source_quality")
+    sides = evidence.select("claim_id", "document_id").join(d, "document_id", "left").join(s, "source_id", "left")
+    return sides.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.array_join(F.sort_array(F.collect_set("source_quality")), ",").alias("qualities"))
+
+
+def review_resolution(evidence: DataFrame, documents: DataFrame, tasks: DataFrame, candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    """(claim_id, task_id, status, candidates): resolution tasks of the documents that a claim's evidence is from.
+
+    candidates: array of (entity_id, name, score), best first; a task without candidates stays, with an empty array.
+    """
+    known = evidence.select("claim_id", "document_id").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi").distinct()
+    named = candidates.join(entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name")), "entity_id", "left")
+    lists = named.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "entity_id", "name", "score"))).alias("l")).select("task_id", F.transform("l", lambda x: F.struct(x["entity_id"].alias("entity_id"), x["name"].alias("name"), x["score"].alias("score"))).alias("candidates"))
+    of_task = tasks.select(F.col("id").alias("task_id"), "document_id", "status").join(lists, "task_id", "left")
+    none = F.array().cast(lists.schema["candidates"].dataType)
+    return known.join(of_task, "document_id").select("claim_id", "task_id", "status", F.coalesce("candidates", none).alias("candidates"))
+
+
+def lineage(links: DataFrame) -> DataFrame:
+    """(id, root, depth) along supersedes links (id, supersedes_id), by pointer doubling until nothing changes.
+
+    Each round is written, so that the plan does not double with it.  A circle has no root and is an error.
+    """
+    from ..written import written
+
+    now = written(links.select("id", F.coalesce("supersedes_id", "id").alias("root"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).alias("depth"), F.col("supersedes_id").isNull().alias("done")))
+    left = now.where("not done").count()
+    while left:
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
+        joined = now.where("not done").join(up, "root", "left")
+        stepped = joined.select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("ended", F.lit(True)).alias("done"))
+        now = written(now.where("done").unionByName(stepped))
+        before, left = left, now.where("not done").count()
+        if left == before:  # each round ends at least the next longer chains, unless what is left has no end
+            raise ValueError("supersedes links form a circle")
+    return now.select("id", "root", "depth")
+
+
+def superseding(claims: DataFrame, edits: DataFrame) -> DataFrame:
+    """Claims after edits (id of the new claim, supersedes_id): the superseded become OUTDATED, and keep their dates."""
+    old = edits.select(F.col("supersedes_id").alias("id")).distinct().withColumn("gone", F.lit(True))
+    return claims.join(old, "id", "left").select("id", F.when(F.col("gone"), "OUTDATED").otherwise(F.col("status")).alias("status"))
 
 
 def dashboard(sources: DataFrame, documents: DataFrame, claims: DataFrame, queue: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:

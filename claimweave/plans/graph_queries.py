@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bridge import Bridge
-from ..operators import graph
+from ..operators import api, graph
 from ..operators.graph import Filters
 from .registry import query
 
-_FULL = "SELECT ev.id AS evidence_id, ev.claim_id, ev.document_id, d.source_id, coalesce(d.canonical_url, d.original_url) AS url, s.name AS source_name, s.source_quality FROM g_evidence ev JOIN g_documents d ON d.id = ev.document_id JOIN g_sources s ON s.id = d.source_id"
+_FULL = "SELECT ev.id AS evidence_id, ev.claim_id, ev.document_id, d.source_id, coalesce(d.canonical_url, d.original_url) AS url, s.name AS source_name, s.source_quality, d.publisher, ev.evidence_text FROM g_evidence ev JOIN g_documents d ON d.id = ev.document_id JOIN g_sources s ON s.id = d.source_id"
 _EDGES = f"""full_ev AS ({_FULL}), ev AS (SELECT claim_id, count(*) AS n_evidence, string_agg(DISTINCT source_quality, ',' ORDER BY source_quality) AS qualities, string_agg(evidence_id, ',' ORDER BY evidence_id) AS evidence_ids,
-    arg_min(url, evidence_id) AS url, arg_min(source_name, evidence_id) AS source_name FROM full_ev GROUP BY claim_id),
+    min({{'i': evidence_id, 'u': url, 's': source_name, 'p': publisher, 't': evidence_text}}) FILTER (source_name <> '' AND url <> '' AND evidence_text <> '') AS main FROM full_ev GROUP BY claim_id),
 edges AS (SELECT c.*, s.entity_type AS subject_type, s.canonical_name AS subject_name, s.slug AS subject_slug, s.canton AS subject_canton, o.entity_type AS object_type, o.canonical_name AS object_name, o.slug AS object_slug, o.canton AS object_canton,
-    n_evidence, qualities, evidence_ids, url, source_name
+    n_evidence, qualities, evidence_ids, main.u AS url, main.s AS source_name, main.p AS publisher, main.t AS evidence_text
   FROM g_claims c JOIN g_entities s ON s.id = c.subject_id JOIN g_entities o ON o.id = c.object_id JOIN g_compatible k ON k.predicate = c.predicate AND k.subject_type = s.entity_type AND k.object_type = o.entity_type
   JOIN ev ON ev.claim_id = c.id WHERE c.status = 'VERIFIED')"""
 _OUT = "id, subject_id, predicate, object_id, connection_class, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to, n_evidence, qualities, evidence_ids"
@@ -51,9 +51,9 @@ def graph_nodes(b: Bridge) -> DataFrame:
     return graph.nodes(edges(b), b("g_entities"))
 
 
-@query("claim_evidence_full", f"SELECT evidence_id, claim_id, document_id, source_id, url, source_name, source_quality FROM ({_FULL})")
+@query("claim_evidence_full", f"SELECT evidence_id, claim_id, document_id, source_id, url, source_name, source_quality, publisher, evidence_text FROM ({_FULL})")
 def claim_evidence_full(b: Bridge) -> DataFrame:
-    return graph.evidence_full(b("g_evidence"), b("g_documents"), b("g_sources")).drop("has_text")
+    return graph.evidence_full(b("g_evidence"), b("g_documents"), b("g_sources"))
 
 
 @query("person_degree", f"WITH {_EDGES}, {_ENDS} SELECT entity_id, count(*) AS degree, count(DISTINCT other_id) AS neighbours FROM ends GROUP BY entity_id")
@@ -83,25 +83,70 @@ def timeline(b: Bridge) -> DataFrame:
     return graph.timeline(edges(b), b("g_entities"), undated_last=True)
 
 
-@query("research_view", f"WITH {_EDGES} SELECT id, subject_name, object_name, url, source_name FROM edges WHERE source_name <> '' AND url <> ''")
+@query("research_view", f"WITH {_EDGES} SELECT id, subject_name, object_name, url, source_name FROM edges WHERE url IS NOT NULL")
 def research_view(b: Bridge) -> DataFrame:
-    return edges(b).where("source_name <> '' AND url <> ''").select("id", "subject_name", "object_name", "url", "source_name")
+    return edges(b).where("url is not null").select("id", "subject_name", "object_name", "url", "source_name")
 
 
-@query("research_filter", f"WITH {_EDGES} SELECT id, qualities FROM edges WHERE list_contains(string_split(qualities, ','), 'A') AND connection_class <> 'HISTORICAL' AND subject_type = 'PERSON'")
+@query("research_filter", f"WITH {_EDGES} SELECT id, qualities FROM edges WHERE list_contains(string_split(qualities, ','), 'A') AND connection_class = 'DIRECT' AND predicate = 'EMPLOYED_BY' AND subject_type = 'PERSON'")
 def research_filter(b: Bridge) -> DataFrame:
-    found = edges(b, Filters(historical=False, entity_type="PERSON"))
+    found = edges(b, Filters(historical=False, entity_type="PERSON", predicate="EMPLOYED_BY", connection_class="DIRECT"))
     return found.where(F.array_contains(F.split("qualities", ","), "A")).select("id", "qualities")
 
 
-@query("research_search", f"WITH {_EDGES} SELECT id, source_name FROM edges WHERE contains(lower(subject_name), 'src1') OR contains(lower(object_name), 'src1') OR contains(lower(predicate), 'src1') OR contains(lower(connection_class), 'src1') OR contains(lower(source_name), 'src1') OR contains(lower(url), 'src1')")
+@query("research_search", f"""WITH {_EDGES} SELECT id, source_name FROM edges WHERE contains(lower(subject_name), 'src1') OR contains(lower(object_name), 'src1') OR contains(lower(predicate), 'src1') OR contains(lower(connection_class), 'src1')
+  OR contains(lower(source_name), 'src1') OR contains(lower(publisher), 'src1') OR contains(lower(evidence_text), 'src1')""")
 def research_search(b: Bridge) -> DataFrame:
     return graph.search(edges(b), " SRC1 ").select("id", "source_name")
 
 
-@query("research_sorted", f"WITH {_EDGES} SELECT id, subject_name, row_number() OVER (ORDER BY subject_name, id)::INT AS position FROM edges ORDER BY position LIMIT 100")
+_SORTS = " UNION ALL ".join(f"SELECT '{k}' AS sort_key, id, {v} AS value FROM edges" for k, v in (
+    ("person", "subject_name"), ("predicate", "predicate"), ("object", "object_name"), ("connectionClass", "connection_class"),
+    ("validFrom", "coalesce(CAST(valid_from AS VARCHAR), CAST(valid_to AS VARCHAR), '')"), ("source", "coalesce(source_name, '')")))
+
+
+@query("research_sorted", f"WITH {_EDGES} SELECT sort_key, id, row_number() OVER (PARTITION BY sort_key ORDER BY value, id)::INT AS position FROM ({_SORTS})")
 def research_sorted(b: Bridge) -> DataFrame:
-    return graph.positions(edges(b).select("id", "subject_name"), ["subject_name", "id"])
+    return graph.sorted_edges(edges(b))
+
+
+@query("graph_nested", f"WITH {_EDGES}, f AS (SELECT claim_id, min({{'i': evidence_id, 'u': url, 'q': source_quality}}) AS first FROM full_ev GROUP BY claim_id) SELECT id, n_evidence::INT AS n_evidence, evidence_ids, first.u AS first_url, first.q AS first_quality FROM edges JOIN f ON f.claim_id = edges.id")
+def graph_nested(b: Bridge) -> DataFrame:
+    full = graph.evidence_full(b("g_evidence"), b("g_documents"), b("g_sources"))
+    e = graph.nested(edges(b), full)
+    return e.select("id", F.size("evidence").alias("n_evidence"), F.array_join(F.col("evidence.id"), ",").alias("evidence_ids"), F.col("evidence")[0]["document"]["url"].alias("first_url"), F.col("evidence")[0]["source"]["sourceQuality"].alias("first_quality"))
+
+
+_NOTES = "'{\"reasons\": [\"' || coalesce(topic, 'none') || '\", 7], \"deep\": {\"list\": [{\"leaf\": \"' || connection_class || '\"}]}, \"official\": 1}'"
+
+
+@query("topic_leaves", "SELECT id FROM g_claims WHERE lower(connection_class) = 'official' UNION ALL SELECT id FROM g_claims WHERE lower(topic) = 'official' AND lower(connection_class) <> 'official'")
+def topic_leaves(b: Bridge) -> DataFrame:
+    noted = b("g_claims").select("id", F.expr(_NOTES).alias("notes"))
+    return noted.where(graph.leaf_equals(F.col("notes"), " OFFICIAL ")).select("id")
+
+
+@query("public_base", """SELECT 'aliases' AS name, count(*) AS n FROM g_aliases WHERE entity_id IN (SELECT id FROM g_entities) UNION ALL SELECT 'documents', count(*) FROM g_documents WHERE source_id IN (SELECT id FROM g_sources)
+UNION ALL SELECT 'claims', count(*) FROM g_claims WHERE subject_id IN (SELECT id FROM g_entities) AND (object_id IS NULL OR object_id IN (SELECT id FROM g_entities)) UNION ALL SELECT 'sources', count(*) FROM g_sources UNION ALL SELECT 'entities', count(*) FROM g_entities
+UNION ALL SELECT 'evidence', count(*) FROM g_evidence WHERE claim_id IN (SELECT id FROM g_claims WHERE subject_id IN (SELECT id FROM g_entities) AND (object_id IS NULL OR object_id IN (SELECT id FROM g_entities))) AND document_id IN (SELECT id FROM g_documents WHERE source_id IN (SELECT id FROM g_sources))""")
+def public_base(b: Bridge) -> DataFrame:
+    from ..sources.tables import public_base as base
+
+    tables = base({t: b(f"g_{t}") for t in ("entities", "aliases", "sources", "documents", "claims", "evidence")})
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
+@query("entity_detail", f"""WITH {_EDGES}, {_ENDS}, known AS (SELECT DISTINCT entity_id FROM ends), asked AS (SELECT id FROM g_entities UNION ALL SELECT 'x:' || id FROM g_sources)
+SELECT asked.id, CASE WHEN entity_id IS NULL THEN 404 ELSE 200 END AS status, CASE WHEN entity_id IS NULL THEN '{{"error":"Public entity not found."}}' ELSE '{{"entityType":"' || e.entity_type || '","slug":"' || e.slug || '"}}' END AS body
+FROM asked LEFT JOIN known ON known.entity_id = asked.id LEFT JOIN g_entities e ON e.id = asked.id""")
+def entity_detail(b: Bridge) -> DataFrame:
+    asked = b("g_entities").select("id").union(b("g_sources").select(F.concat(F.lit("x:"), "id")))
+    found = graph.nodes(edges(b), b("g_entities")).select("id", F.struct(F.col("entity_type").alias("entityType"), "slug").alias("body"))
+    return api.detail(asked, found, "entity")
 
 
 @query("type_clusters", f"WITH {_EDGES}, {_ENDS} SELECT entity_type, count(*) AS n FROM g_entities WHERE id IN (SELECT entity_id FROM ends) GROUP BY entity_type")

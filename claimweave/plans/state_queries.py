@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..bridge import Bridge
 from ..functions import urls
-from ..operators import integrity, jobs, review
+from ..ontology import ENTITY_TYPES, PREDICATES
+from ..operators import api, contracts, integrity, jobs, review
 from .registry import query
 
 _UNQ = "g_claims c WHERE c.status IN ('DETECTED', 'PENDING_REVIEW', 'DISPUTED') AND NOT EXISTS (SELECT 1 FROM g_queue q WHERE q.claim_id = c.id AND q.status IN ('OPEN', 'ASSIGNED'))"
@@ -44,10 +45,27 @@ def unqueued_claims(b: Bridge) -> DataFrame:
 
 
 @query("review_items", f"""WITH i AS (SELECT q.id AS queue_id, q.claim_id, q.status AS queue_status, q.created_on AS queued_on, c.subject_id, c.object_id, c.predicate, c.status, c.created_on FROM g_queue q JOIN g_claims c ON c.id = q.claim_id WHERE q.status IN ('OPEN', 'ASSIGNED')
-UNION ALL SELECT NULL, c.id, NULL, NULL, c.subject_id, c.object_id, c.predicate, c.status, c.created_on FROM {_UNQ})
-SELECT queue_id, claim_id, queue_status, predicate, status, s.canonical_name AS subject_name, o.canonical_name AS object_name, CAST(coalesce(queued_on, created_on) AS VARCHAR) AS sort_day FROM i LEFT JOIN g_entities s ON s.id = i.subject_id LEFT JOIN g_entities o ON o.id = i.object_id""")
+UNION ALL SELECT NULL, c.id, NULL, NULL, c.subject_id, c.object_id, c.predicate, c.status, c.created_on FROM {_UNQ}),
+e AS (SELECT ev.claim_id, count(*) AS n, string_agg(DISTINCT s.source_quality, ',' ORDER BY s.source_quality) AS qualities FROM g_evidence ev LEFT JOIN g_documents d ON d.id = ev.document_id LEFT JOIN g_sources s ON s.id = d.source_id GROUP BY ev.claim_id)
+SELECT queue_id, i.claim_id, queue_status, predicate, status, s.canonical_name AS subject_name, o.canonical_name AS object_name, CAST(coalesce(queued_on, created_on) AS VARCHAR) AS sort_day, coalesce(e.n, 0) AS n_evidence, e.qualities
+FROM i LEFT JOIN g_entities s ON s.id = i.subject_id LEFT JOIN g_entities o ON o.id = i.object_id LEFT JOIN e ON e.claim_id = i.claim_id""")
 def review_items(b: Bridge) -> DataFrame:
-    return review.review_items(b("g_claims"), b("g_queue"), b("g_entities")).select("queue_id", "claim_id", "queue_status", "predicate", "status", "subject_name", "object_name", F.col("sort_day").cast("string").alias("sort_day"))
+    items = review.review_items(b("g_claims"), b("g_queue"), b("g_entities")).join(review.evidence_sides(b("g_evidence"), b("g_documents"), b("g_sources")), "claim_id", "left")
+    shown = items.select("queue_id", "claim_id", "queue_status", "predicate", "status", "subject_name", "object_name", F.col("sort_day").cast("string").alias("sort_day"), F.coalesce("n_evidence", F.lit(0).cast("long")).alias("n_evidence"), "qualities")
+    return shown.orderBy("sort_day", "claim_id")
+
+
+@query("review_resolution", """WITH k AS (SELECT DISTINCT claim_id, document_id FROM g_evidence WHERE document_id IN (SELECT id FROM g_documents)),
+l AS (SELECT task_id, string_agg(entity_id || '=' || coalesce(e.canonical_name, ''), ';' ORDER BY score DESC, entity_id) AS c FROM g_task_candidates t LEFT JOIN g_entities e ON e.id = t.entity_id GROUP BY task_id)
+SELECT k.claim_id, t.id AS task_id, t.status, coalesce(l.c, '') AS candidates FROM k JOIN g_tasks t ON t.document_id = k.document_id LEFT JOIN l ON l.task_id = t.id""")
+def review_resolution(b: Bridge) -> DataFrame:
+    found = review.review_resolution(b("g_evidence"), b("g_documents"), b("g_tasks"), b("g_task_candidates"), b("g_entities"))
+    return found.select("claim_id", "task_id", "status", F.array_join(F.transform("candidates", lambda c: F.concat(c["entity_id"], F.lit("="), F.coalesce(c["name"], F.lit("")))), ";").alias("candidates"))
+
+
+@query("resolve_queue", "SELECT id, claim_id, CASE WHEN status IN ('OPEN', 'ASSIGNED') AND claim_id IN (SELECT id FROM g_claims WHERE status = 'DISPUTED') THEN 'RESOLVED' ELSE status END AS status FROM g_queue")
+def resolve_queue(b: Bridge) -> DataFrame:
+    return review.resolve_queue(b("g_queue"), b("g_claims").where("status = 'DISPUTED'").select(F.col("id").alias("claim_id")))
 
 
 @query("queue_claims", f"SELECT c.id || ':new' AS id, c.id AS claim_id, 'OPEN' AS status FROM {_UNQ}")
@@ -92,13 +110,40 @@ def merge_check(b: Bridge) -> DataFrame:
     return review.merge_conflicts(b("g_claims"), merges).select("id")
 
 
+_PROPOSED = "SELECT id AS source_id, CASE WHEN k % 5 = 0 THEN id WHEN k % 5 = 1 THEN 's:' || CAST(k + 1 AS STRING) WHEN k % 5 = 2 THEN 'c:' || CAST(k AS STRING) WHEN k % 5 = 3 THEN 'n:' || CAST(k AS STRING) ELSE 's:1' END AS target_id FROM (SELECT s_suppkey AS k, 's:' || CAST(s_suppkey AS STRING) AS id FROM supplier) p"
+
+
+def _proposed(b: Bridge) -> DataFrame:
+    return b.spark.sql(_PROPOSED.replace("FROM supplier", "FROM {supplier}"), supplier=b("supplier"))
+
+
+@query("merge_verdicts", f"""WITH p AS ({_PROPOSED}) SELECT source_id, target_id, CASE WHEN source_id = target_id THEN 'Cannot merge an entity into itself.' WHEN s.id IS NULL OR t.id IS NULL THEN 'Cannot merge unknown entities.' WHEN s.entity_type <> t.entity_type THEN 'Only entities with the same type can be merged.'
+  WHEN EXISTS (SELECT 1 FROM g_claims c WHERE (c.subject_id = p.source_id AND c.object_id = p.target_id) OR (c.subject_id = p.target_id AND c.object_id = p.source_id)) THEN 'Cannot merge entities while claims would become self-relations.' END AS reason
+FROM p LEFT JOIN g_entities s ON s.id = p.source_id LEFT JOIN g_entities t ON t.id = p.target_id""")
+def merge_verdicts(b: Bridge) -> DataFrame:
+    return review.merge_verdicts(_proposed(b), b("g_entities"), b("g_claims"))
+
+
+@query("merge_audit", f"""WITH m AS ({_MERGES}) SELECT e.id, 'ENTITY_MERGED' AS action, '{{"id":"' || e.id || '","entityType":"' || entity_type || '","canonicalName":"' || canonical_name || '"}}' AS old_value, '{{"id":"' || e.id || '","entityType":"' || entity_type || '","canonicalName":"' || canonical_name || '","targetEntityId":"' || target_id || '"}}' AS new_value FROM g_entities e JOIN m ON m.source_id = e.id""")
+def merge_audit(b: Bridge) -> DataFrame:
+    return review.mark_merged(b("g_entities"), _merges(b))
+
+
+@query("superseded", "WITH l AS (SELECT lag(id) OVER (PARTITION BY orderkey ORDER BY line) AS old FROM g_claims WHERE line > 0) SELECT id, CASE WHEN id IN (SELECT old FROM l WHERE old IS NOT NULL) THEN 'OUTDATED' ELSE status END AS status FROM g_claims")
+def superseded(b: Bridge) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    edits = b("g_claims").where("line > 0").select("id", F.lag("id").over(Window.partitionBy("orderkey").orderBy("line")).alias("supersedes_id")).where("supersedes_id is not null")
+    return review.superseding(b("g_claims"), edits)
+
+
 @query("claim_lineage", "WITH RECURSIVE l AS (SELECT orderkey, line, id, CASE WHEN row_number() OVER (PARTITION BY orderkey ORDER BY line) > 1 THEN lag(id) OVER (PARTITION BY orderkey ORDER BY line) END AS prior FROM g_claims WHERE line > 0), r(id, root, depth) AS (SELECT id, id, 0 FROM l WHERE prior IS NULL UNION ALL SELECT l.id, r.root, r.depth + 1 FROM l JOIN r ON l.prior = r.id) SELECT id, root, depth FROM r")
 def claim_lineage(b: Bridge) -> DataFrame:
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("orderkey").orderBy("line")
     links = b("g_claims").where("line > 0").select("id", F.lag("id").over(order).alias("supersedes_id"))
-    return review.lineage(links, rounds=8)
+    return review.lineage(links)
 
 
 @query("dashboard", f"""SELECT (SELECT count(*) FROM g_sources) AS sources, (SELECT count(*) FROM g_documents) AS documents, (SELECT count(*) FROM g_claims) AS claims, (SELECT count(*) FROM g_claims WHERE status = 'VERIFIED') AS public_claims,
@@ -115,10 +160,24 @@ def referential_cascade(b: Bridge) -> DataFrame:
     return integrity.cascade(b("g_entities"), b("g_aliases"), b("g_sources"), b("g_documents"), b("g_claims"), b("g_evidence"))["evidence"].select("id")
 
 
-@query("constraint_violations", """SELECT 'object_given' AS rule, id FROM g_claims WHERE object_id IS NULL UNION ALL SELECT 'dates_ordered', id FROM g_claims WHERE valid_from > valid_to
-UNION ALL SELECT 'slug_form', id FROM g_entities WHERE NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') UNION ALL SELECT 'name_not_blank', id FROM g_entities WHERE trim(canonical_name) = ''""")
+@query("constraint_violations", """SELECT 'object_or_literal' AS rule, id FROM g_claims WHERE object_id IS NULL UNION ALL SELECT 'dates_ordered', id FROM g_claims WHERE valid_from > valid_to
+UNION ALL SELECT 'slug_form', id FROM g_entities WHERE NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') UNION ALL SELECT 'name_not_blank', id FROM g_entities WHERE trim(canonical_name) = '' UNION ALL SELECT 'text_not_blank', id FROM g_evidence WHERE trim(evidence_text) = ''
+UNION ALL SELECT 'target_given', CAST(id AS VARCHAR) FROM g_jobs UNION ALL SELECT 'ended_dated', CAST(id AS VARCHAR) FROM g_jobs WHERE status = 'FAILED'""")
 def constraint_violations(b: Bridge) -> DataFrame:
-    return integrity.violations(b("g_claims"), "id", integrity.CLAIM_RULES).union(integrity.violations(b("g_entities"), "id", integrity.ENTITY_RULES))
+    out = integrity.check(b("g_claims"), "claims")
+    for name, table in (("g_entities", "entities"), ("g_evidence", "claim_evidence"), ("g_jobs", "ingestion_jobs"), ("g_aliases", "entity_aliases"), ("g_sources", "sources"), ("g_documents", "documents")):
+        out = out.union(integrity.check(b(name), table))
+    return out
+
+
+@query("unique_partial", "SELECT CAST(user_id AS VARCHAR) || '|' || job_kind AS key, count(*) AS n FROM g_jobs WHERE user_id IS NOT NULL AND status IN ('PENDING', 'RUNNING') GROUP BY user_id, job_kind HAVING count(*) > 1")
+def unique_partial(b: Bridge) -> DataFrame:
+    return integrity.unique_violations(b("g_jobs").withColumnRenamed("user_id", "url_candidate_id"), "ingestion_jobs")
+
+
+@query("rls_public_evidence", "SELECT id FROM g_evidence WHERE claim_id IN (SELECT id FROM g_claims WHERE status = 'VERIFIED')")
+def rls_public_evidence(b: Bridge) -> DataFrame:
+    return integrity.visible_evidence("PUBLIC", b("g_claims"), b("g_evidence")).select("id")
 
 
 @query("verified_without_evidence", "SELECT id FROM g_claims WHERE status = 'VERIFIED' AND id NOT IN (SELECT claim_id FROM g_evidence)")
@@ -147,16 +206,67 @@ def role_resolve(b: Bridge) -> DataFrame:
     return b("events").select("event_id", integrity.role(app, user).alias("role"))
 
 
-@query("role_matrix", "SELECT * FROM (VALUES " + ", ".join(str(p) for p in integrity.PERMISSIONS) + ") t(role, tbl, action)")
+_ALL_TABLES = "['sources', 'entities', 'entity_aliases', 'documents', 'claims', 'claim_evidence', 'review_queue', 'audit_log', 'llm_runs', 'crawl_runs', 'entity_resolution_tasks', 'entity_resolution_candidates', 'url_candidates', 'crawl_schedules', 'ingestion_jobs']"
+
+
+@query("role_matrix", f"""WITH t AS (SELECT unnest({_ALL_TABLES}) AS tbl) SELECT unnest(['ADMIN', 'RESEARCHER', 'REVIEWER']) AS role, tbl, 'select' AS action FROM t UNION SELECT 'ADMIN', tbl, unnest(['insert', 'update', 'delete']) FROM t
+UNION SELECT 'PUBLIC', unnest(['entities', 'claims', 'claim_evidence']), 'select' UNION SELECT 'RESEARCHER', unnest(['entities', 'entity_aliases', 'sources', 'documents', 'claims', 'claim_evidence', 'audit_log', 'entity_resolution_tasks', 'entity_resolution_candidates', 'url_candidates', 'crawl_schedules', 'ingestion_jobs']), 'insert'
+UNION SELECT 'RESEARCHER', unnest(['url_candidates', 'crawl_schedules', 'ingestion_jobs']), 'update' UNION SELECT 'RESEARCHER', unnest(['crawl_schedules', 'ingestion_jobs']), 'delete'
+UNION SELECT 'REVIEWER', unnest(['claim_evidence', 'review_queue', 'audit_log']), 'insert' UNION SELECT 'REVIEWER', unnest(['claims', 'review_queue', 'entity_resolution_tasks']), 'update' UNION SELECT 'REVIEWER', 'review_queue', 'delete'""")
 def role_matrix(b: Bridge) -> DataFrame:
-    return b.spark.createDataFrame(list(integrity.PERMISSIONS), "role string, tbl string, action string")
+    return b.spark.createDataFrame(integrity.permissions(), "role string, tbl string, action string")
+
+
+@query("api_grants", f"SELECT 'anon' AS role, unnest(['entities', 'claims', 'claim_evidence']) AS tbl, 'select' AS privilege UNION ALL SELECT 'authenticated', tbl, unnest(['select', 'insert', 'update', 'delete']) FROM (SELECT unnest({_ALL_TABLES}) AS tbl)")
+def api_grants(b: Bridge) -> DataFrame:
+    return b.spark.createDataFrame(integrity.grants(), "role string, tbl string, privilege string")
+
+
+_WRITERS = "SELECT id, CASE partkey % 5 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'RESEARCHER' WHEN 2 THEN 'REVIEWER' WHEN 3 THEN 'PUBLIC' END AS role, CASE line % 2 WHEN 0 THEN 'insert' ELSE 'update' END AS action, status FROM {g_claims}"
+
+
+@query("claim_writes", f"SELECT id, CASE WHEN role = 'ADMIN' THEN true WHEN role = 'RESEARCHER' AND action = 'insert' AND status IN ('DETECTED', 'PENDING_REVIEW') THEN true WHEN role = 'REVIEWER' AND action = 'update' THEN true ELSE false END AS allowed FROM ({_WRITERS.replace('{g_claims}', 'g_claims')})")
+def claim_writes(b: Bridge) -> DataFrame:
+    return integrity.claim_writes(b.spark.sql(_WRITERS, g_claims=b("g_claims")))
 
 
-@query("ontology_check", "SELECT predicate, count(*) AS n FROM g_claims WHERE predicate IN (SELECT predicate FROM g_compatible) GROUP BY predicate")
+@query("ontology_check", """SELECT 'predicate' AS kind, predicate AS value, count(*) AS n FROM g_claims WHERE predicate IN (SELECT predicate FROM g_compatible) GROUP BY predicate
+UNION ALL SELECT 'connection_class', connection_class, count(*) FROM g_claims WHERE connection_class IN ('DIRECT', 'INDIRECT', 'OFFICIAL', 'HISTORICAL') GROUP BY connection_class
+UNION ALL SELECT 'status', status, count(*) FROM g_claims WHERE status IN ('DETECTED', 'PENDING_REVIEW', 'VERIFIED', 'REJECTED', 'DISPUTED', 'OUTDATED') GROUP BY status
+UNION ALL SELECT 'entity_type', entity_type, count(*) FROM g_entities WHERE entity_type IN ('PERSON', 'COMPANY', 'COUNTRY', 'LOCATION', 'EVENT', 'ORGANISATION') GROUP BY entity_type
+UNION ALL SELECT 'source_type', source_type, count(*) FROM g_sources WHERE source_type IN ('NEWS_ARTICLE', 'PARLIAMENT', 'GOVERNMENT') GROUP BY source_type""")
 def ontology_check(b: Bridge) -> DataFrame:
-    from ..ontology import PREDICATES
+    from .. import ontology as o
 
-    return b("g_claims").where(F.col("predicate").isin(*PREDICATES)).groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+    claims, guards = b("g_claims"), {"predicate": o.PREDICATES, "connection_class": o.CONNECTION_CLASSES, "status": o.STATUSES}
+    told = claims.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.col(k).isin(*known).alias("known")) for k, known in guards.items()])).alias("g")).select("g.*")
+    for name, column, known in (("g_entities", "entity_type", o.ENTITY_TYPES), ("g_sources", "source_type", o.SOURCE_TYPES)):
+        told = told.union(b(name).select(F.lit(column), F.col(column), F.col(column).isin(*known)))
+    return told.where("known").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("filter_validate", f"""WITH t AS (SELECT id, trim(entity_type) AS et, trim(predicate) AS p, trim(connection_class) AS cc, nullif(trim(organization), '') AS oz, nullif(trim(organisation), '') AS os, trim(date_from) AS f, trim(date_to) AS d, trim(include_historical) AS h, nullif(trim(entity_id), '') AS eid, nullif(trim(topic), '') AS topic FROM g_requests),
+v AS (SELECT *, CASE WHEN regexp_full_match(f, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(f AS DATE) IS NOT NULL THEN f END AS fs, CASE WHEN regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(d AS DATE) IS NOT NULL THEN d END AS ds FROM t),
+e AS (SELECT *, list_filter([CASE WHEN et = 'HUMAN' THEN 'entity_type must be one of: {', '.join(ENTITY_TYPES)}.' END, CASE WHEN p = 'owns' THEN 'predicate must be one of: {', '.join(PREDICATES)}.' END, CASE WHEN cc = 'SECRET' THEN 'connection_class must be one of: DIRECT, INDIRECT, OFFICIAL, HISTORICAL.' END,
+  CASE WHEN f IS NOT NULL AND fs IS NULL THEN 'date_from must use YYYY-MM-DD format.' END, CASE WHEN d IS NOT NULL AND ds IS NULL THEN 'date_to must use YYYY-MM-DD format.' END, CASE WHEN fs > ds THEN 'date_from must be before or equal to date_to.' END, CASE WHEN h = 'yes' THEN 'include_historical must be true or false.' END], lambda x: x IS NOT NULL) AS errors FROM v)
+SELECT id, CASE WHEN len(errors) > 0 THEN 400 ELSE 200 END AS status, array_to_string(errors, ' ') AS errors, CASE WHEN len(errors) = 0 THEN coalesce(eid, '-') || '/' || coalesce(topic, '-') || '/' || coalesce(oz, os, '-') || '/' || coalesce(fs, '-') || '/' || coalesce(CASE WHEN h IN ('true', '1') THEN 'true' WHEN h IN ('false', '0') THEN 'false' END, '-') END AS filters FROM e""")
+def filter_validate(b: Bridge) -> DataFrame:
+    parsed = api.bad_request(api.parse_filters(b("g_requests")))
+    shown = F.concat_ws("/", *[F.coalesce(F.col(f"filters.{c}").cast("string"), F.lit("-")) for c in ("entity_id", "topic", "organisation", "date_from", "include_historical")])
+    return parsed.select("id", "status", F.array_join("errors", " ").alias("errors"), F.when(F.col("filters").isNotNull(), shown).alias("filters"))
+
+
+@query("record_rows", """SELECT CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'd' || doc_id END AS id, CASE WHEN doc_id % 4 <> 0 THEN 't' || doc_id END AS title, CASE WHEN doc_id % 7 < 3 THEN 200 + doc_id % 7 END AS http_status, CASE WHEN doc_id % 3 = 0 THEN '{"a":1}' ELSE '{}' END AS metadata,
+ CASE WHEN doc_id % 6 = 0 THEN 'Expected id to be a non-empty string.' WHEN doc_id % 5 = 0 THEN 'Expected retrieved_at to be a valid date.' END AS error FROM documents""")
+def record_rows(b: Bridge) -> DataFrame:
+    from ..sources.tables import records
+
+    i = F.col("doc_id")
+    raw = b("documents").select(
+        F.when(i % 6 == 0, "  ").otherwise(F.concat(F.lit("d"), i.cast("string"))).alias("id"), F.col("source").alias("source_id"), F.lit("http://x").alias("original_url"), F.when(i % 4 == 0, " ").otherwise(F.concat(F.lit("t"), i.cast("string"))).alias("title"),
+        F.when(i % 7 < 3, (200 + i % 7).cast("string")).otherwise("many").alias("http_status"), F.when(i % 3 == 0, '{"a":1}').when(i % 3 == 1, "[1]").alias("metadata"), F.when(i % 5 == 0, "never").otherwise("2024-01-02").alias("retrieved_at"),
+        F.lit("PUBLIC").alias("access_status"), F.lit("PENDING").alias("extraction_status"), F.lit("2024-01-02").alias("created_at"), F.lit("2024-01-02").alias("updated_at"))
+    return records(raw, "documents", strict=False).select("id", "title", F.col("http_status").cast("long").alias("http_status"), "metadata", "error")
 
 
 @query("due_jobs", f"SELECT id, attempts FROM (SELECT * FROM g_jobs WHERE job_kind = 'FETCH_URL' AND status = 'PENDING' AND scheduled_at <= TIMESTAMP '{AS_OF}' ORDER BY scheduled_at, id LIMIT 5) WHERE attempts < max_attempts")
@@ -175,9 +285,70 @@ def retry_backoff(b: Bridge) -> DataFrame:
     return b.spark.range(0, 12).select(F.col("id").alias("attempts"), jobs.backoff_minutes(F.col("id")).alias("minutes"))
 
 
-@query("job_transition", "SELECT id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= max_attempts THEN 'FAILED' ELSE 'PENDING' END AS status, strftime(CASE WHEN attempts + 1 >= max_attempts THEN scheduled_at ELSE scheduled_at + to_minutes(least(60, power(2, attempts))::BIGINT) END, '%Y-%m-%d %H:%M:%S') AS scheduled_at FROM g_jobs WHERE status = 'RUNNING'")
+_AT = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+@query("job_transition", f"""WITH e AS (SELECT *, CASE id % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'complete' WHEN 2 THEN 'fail' WHEN 3 THEN 'skip' END AS ev FROM g_jobs),
+r AS (SELECT *, CASE WHEN ev = 'start' THEN CASE WHEN status <> 'PENDING' THEN 'Only pending ingestion jobs can be started.' WHEN attempts >= max_attempts THEN 'Ingestion job has no retry attempts remaining.' END WHEN ev IN ('complete', 'skip') AND status <> 'RUNNING' THEN 'Only running ingestion jobs can be completed.' WHEN ev = 'fail' AND status <> 'RUNNING' THEN 'Only running ingestion jobs can fail.' END AS error FROM e)
+SELECT id, error, CASE WHEN error IS NOT NULL THEN status WHEN ev = 'start' THEN 'RUNNING' WHEN ev = 'complete' THEN 'SUCCEEDED' WHEN ev = 'skip' THEN 'SKIPPED' WHEN attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END AS status,
+  attempts + CASE WHEN error IS NULL AND ev = 'start' THEN 1 ELSE 0 END AS attempts, strftime(CASE WHEN error IS NULL AND ev = 'fail' AND attempts < max_attempts THEN {_AT} + to_minutes(least(60, power(2, greatest(0, attempts - 1)))::BIGINT) ELSE scheduled_at END, '%Y-%m-%d %H:%M:%S') AS scheduled_at,
+  error IS NULL AND (ev IN ('complete', 'skip') OR (ev = 'fail' AND attempts >= max_attempts)) AS finished FROM r""")
 def job_transition(b: Bridge) -> DataFrame:
-    return jobs.failed(b("g_jobs").where("status = 'RUNNING'")).withColumn("scheduled_at", F.date_format("scheduled_at", "yyyy-MM-dd HH:mm:ss"))
+    kinds = F.array(*[F.lit(x) for x in ("start", "complete", "fail", "skip")])
+    events = b("g_jobs").select("id", F.element_at(kinds, (F.col("id") % 4 + 1).cast("int")).alias("event"), F.lit("e").alias("error_message"))
+    return jobs.transition(b("g_jobs"), events, "2024-01-31 00:00:00").select("id", "error", "status", "attempts", F.date_format("scheduled_at", "yyyy-MM-dd HH:mm:ss").alias("scheduled_at"), F.col("finished_at").isNotNull().alias("finished"))
+
+
+@query("job_reuse", "WITH w AS (SELECT DISTINCT user_id FROM events), f AS (SELECT user_id, min(id) AS id FROM g_jobs WHERE status IN ('PENDING', 'RUNNING') AND job_kind = 'FETCH_URL' GROUP BY user_id) SELECT w.user_id, 'FETCH_URL' AS job_kind, coalesce(CAST(f.id AS VARCHAR), 'FETCH_URL:' || w.user_id) AS job_id, f.id IS NOT NULL AS reused FROM w LEFT JOIN f ON f.user_id = w.user_id")
+def job_reuse(b: Bridge) -> DataFrame:
+    wanted = b("events").select("user_id", F.lit("FETCH_URL").alias("job_kind"))
+    return jobs.create_or_reuse(wanted, b("g_jobs"), "user_id", active_only=True)
+
+
+@query("fetch_outcome", f"""WITH j AS (SELECT id, CASE WHEN id % 17 = 0 THEN NULL ELSE user_id + CASE WHEN id % 19 = 0 THEN 1000000 ELSE 0 END END AS cand, attempts, max_attempts FROM g_jobs WHERE status = 'RUNNING'),
+c AS (SELECT DISTINCT user_id AS cand, 'u' || (user_id % 97) AS url FROM events), r AS (SELECT 'u' || doc_id AS url, sha256(text) AS hash, CASE WHEN doc_id % 10 = 3 THEN 'timed out' END AS err FROM documents WHERE doc_id % 10 <> 4),
+s AS (SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE 'old' END AS hash FROM documents WHERE doc_id % 2 = 0),
+o AS (SELECT j.*, CASE WHEN j.cand IS NULL THEN 'FETCH_URL jobs require a URL candidate.' WHEN c.cand IS NULL THEN 'FETCH_URL job references an unknown URL candidate.' WHEN err IS NOT NULL THEN err WHEN r.hash IS NULL THEN 'Unknown ingestion error.' END AS error_message, c.url, r.hash FROM j LEFT JOIN c USING (cand) LEFT JOIN r USING (url)),
+k AS (SELECT o.*, CASE WHEN error_message IS NOT NULL THEN 'FAILED' WHEN EXISTS (SELECT 1 FROM s WHERE s.url = o.url AND s.hash = o.hash) THEN 'UNCHANGED' WHEN EXISTS (SELECT 1 FROM s WHERE s.url = o.url) THEN 'CREATED_NEW_VERSION' ELSE 'CREATED' END AS outcome FROM o)
+SELECT id, outcome, error_message, CASE outcome WHEN 'FAILED' THEN CASE WHEN attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END WHEN 'UNCHANGED' THEN 'SKIPPED' ELSE 'SUCCEEDED' END AS job_status, CASE outcome WHEN 'FAILED' THEN CASE WHEN attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END WHEN 'UNCHANGED' THEN 'SKIPPED' ELSE 'FETCHED' END AS candidate_status,
+  CASE WHEN outcome IN ('CREATED', 'CREATED_NEW_VERSION') THEN 'EXTRACT_DOCUMENT,ANALYZE_DOCUMENT' ELSE '' END AS follow_up_jobs FROM k""")
+def fetch_outcome(b: Bridge) -> DataFrame:
+    i, u = F.col("id"), lambda c: F.concat(F.lit("u"), c.cast("string"))
+    started = b("g_jobs").where("status = 'RUNNING'").select("id", F.when(i % 17 != 0, F.col("user_id") + F.when(i % 19 == 0, 1000000).otherwise(0)).alias("url_candidate_id"), "attempts", "max_attempts")
+    candidates = b("events").select(F.col("user_id").alias("id")).distinct().select("id", u(F.col("id") % 97).alias("canonical_url"), (F.col("id") % 5).alias("crawl_run_id"))
+    d, docs = F.col("doc_id"), b("documents")
+    responses = docs.where(d % 10 != 4).select(u(d).alias("canonical_url"), urls.content_hash(F.col("text")).alias("content_hash"), F.when(d % 10 == 3, "timed out").alias("error"))
+    stored = docs.where(d % 2 == 0).select(u(d).alias("canonical_url"), F.when(d % 3 == 0, urls.content_hash(F.col("text"))).otherwise("old").alias("content_hash"))
+    told = jobs.fetch_outcomes(started, candidates, responses, stored, "2024-01-31 00:00:00")
+    return told.select("id", "outcome", "error_message", "job_status", "candidate_status", F.array_join("follow_up_jobs", ",").alias("follow_up_jobs"))
+
+
+@query("write_extraction", """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'new' END ELSE 'old' END AS title, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'a=2,extractedDescription=about,z=9' ELSE 'a=2,z=9' END ELSE 'a=1,z=9' END AS metadata FROM documents""")
+def write_extraction(b: Bridge) -> DataFrame:
+    i = F.col("doc_id")
+    there = b("documents").select(i.alias("id"), F.lit("old").alias("title"), "text", F.create_map(F.lit("a"), F.lit("1"), F.lit("z"), F.lit("9")).alias("metadata"))
+    drafts = b("documents").where(i % 2 == 0).select(i.alias("id"), F.when(i % 4 == 0, "new").alias("title"), F.lit("t").alias("text"), F.when(i % 4 == 0, "about").alias("description"), F.create_map(F.lit("a"), F.lit("2")).alias("metadata"))
+    told = jobs.write_extraction(there, drafts)
+    return told.select("id", "title", F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("metadata"))
+
+
+def model_provider(given: dict) -> dict:
+    """A stand-in for a provider: entities for odd items, an answer that breaks the contract for every fifth, an error for every seventh."""
+    number = int(given["document"]["id"][1:])
+    if number % 7 == 0:
+        raise RuntimeError("no answer")
+    found = {"local_id": "m1", "type": "PERSON", "name": "A", "evidence": given["document"]["extractedText"][:5] or "x"}
+    return {"entities": [found] * (number % 3)} if number % 5 else {"entities": [found | {"type": "HUMAN", "age": 3}]}
+
+
+@query("llm_run_summary", f"""WITH t AS (SELECT item_id AS k, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS x FROM benchmark)
+SELECT 'r' || k AS request_id, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, sha256('{{"document":{{"id":"b' || k || '","extractedText":"' || x || '"}}}}') AS input_hash, '{{"documentId": "b' || k || '", "textLength": ' || length(x) || '}}' AS input_summary,
+  CASE WHEN k % 7 <> 0 AND k % 5 <> 0 THEN '{{"entityCount": ' || (k % 3) || '}}' END AS output_summary, CASE WHEN k % 7 = 0 THEN 'no answer' WHEN k % 5 = 0 THEN 'entities.0.type: expected one of {', '.join(ENTITY_TYPES)}; entities.0: unknown key age' END AS error_message, 'entity-extraction.v1' AS schema_version FROM t""")
+def llm_run_summary(b: Bridge) -> DataFrame:
+    document = F.struct(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.regexp_replace("text", "[^A-Za-z ]", "").alias("extractedText"))
+    asked = b("benchmark").select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("request_id"), F.to_json(F.struct(document.alias("document"))).alias("input"))
+    told = contracts.run(asked, "extractEntities", model_provider, "none", "none", "p1")
+    return told.select("request_id", "status", "input_hash", "input_summary", "output_summary", "error_message", "schema_version")
 
 
 @query("next_run", """SELECT event_id, strftime(CASE event_id % 4 WHEN 0 THEN ts + INTERVAL 1 HOUR WHEN 1 THEN ts + INTERVAL 1 DAY WHEN 2 THEN ts + INTERVAL 7 DAY
@@ -187,19 +358,28 @@ def next_run(b: Bridge) -> DataFrame:
     return b("events").select("event_id", F.date_format(jobs.next_run(F.col("ts"), kind), "yyyy-MM-dd HH:mm:ss").alias("next_at"))
 
 
-@query("due_schedules", f"SELECT user_id, strftime(next_run_at, '%Y-%m-%d %H:%M:%S') AS next_run_at FROM (SELECT user_id, max(ts) AS next_run_at FROM events GROUP BY user_id) WHERE user_id % 5 <> 0 AND next_run_at <= TIMESTAMP '{AS_OF}'")
+_DUE = "2024-01-30 12:00:00"
+
+
+@query("due_schedules", f"""SELECT user_id, strftime(next_run_at, '%Y-%m-%d %H:%M:%S') AS next_run_at, CASE user_id % 4 WHEN 0 THEN '2024-01-30 13:00:00' WHEN 1 THEN '2024-01-31 12:00:00' WHEN 2 THEN '2024-02-06 12:00:00' ELSE '2024-03-01 12:00:00' END AS following_run_at
+FROM (SELECT user_id, max(ts) AS next_run_at FROM events GROUP BY user_id) WHERE user_id % 5 <> 0 AND next_run_at <= TIMESTAMP '{_DUE}'""")
 def due_schedules(b: Bridge) -> DataFrame:
-    schedules = b("events").groupBy("user_id").agg(F.max("ts").alias("next_run_at")).withColumn("status", F.when(F.col("user_id") % 5 == 0, "PAUSED").otherwise("ACTIVE"))
-    due = schedules.where((F.col("status") == "ACTIVE") & (F.col("next_run_at") <= F.lit(AS_OF).cast("timestamp_ntz"))).orderBy("next_run_at")
-    return due.select("user_id", F.date_format("next_run_at", "yyyy-MM-dd HH:mm:ss").alias("next_run_at"))
+    kinds = F.array(*[F.lit(x) for x in ("HOURLY", "DAILY", "WEEKLY", "MONTHLY")])
+    schedules = b("events").groupBy("user_id").agg(F.max("ts").alias("next_run_at")).select("*", F.when(F.col("user_id") % 5 == 0, "PAUSED").otherwise("ACTIVE").alias("status"), F.element_at(kinds, (F.col("user_id") % 4 + 1).cast("int")).alias("frequency"))
+    due = jobs.due_schedules(schedules, _DUE)
+    return due.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("next_run_at", "following_run_at")])
 
 
-@query("crawl_run_stats", "SELECT user_id AS run_id, count(*) AS urls, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, 0::BIGINT AS unchanged, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'SUCCEEDED' WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM events GROUP BY user_id")
+@query("crawl_run_stats", """WITH o AS (SELECT user_id, count(*) FILTER (event_type <> 'error') AS fetched, count(*) FILTER (event_type IN ('click', 'view')) AS changed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id)
+SELECT user_id AS run_id, fetched, changed, failed, CASE WHEN user_id % 9 = 0 THEN 'FAILED' WHEN failed > 0 THEN 'PARTIAL' ELSE 'RUNNING' END AS status FROM o""")
 def crawl_run_stats(b: Bridge) -> DataFrame:
-    return jobs.crawl_run_stats(b("events").select(F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "error", "FAILED").otherwise("CREATED").alias("outcome")))
+    kind = F.col("event_type")
+    runs = b("events").select(F.col("user_id").alias("run_id")).distinct().withColumn("status", F.when(F.col("run_id") % 9 == 0, "FAILED").otherwise("RUNNING"))
+    outcomes = b("events").select(F.col("user_id").alias("run_id"), F.when(kind == "error", "FAILED").when(kind == "click", "CREATED").when(kind == "view", "CREATED_NEW_VERSION").otherwise("UNCHANGED").alias("outcome"))
+    return jobs.crawl_run_stats(runs, outcomes)
 
 
-@query("doc_versions", """WITH f AS (SELECT doc_id AS id, 'u' || CAST(doc_id % 97 AS VARCHAR) AS url, sha256(substr(text, 1, 6)) AS hash FROM documents),
+@query("doc_versions", """WITH f AS (SELECT doc_id AS id, 'u' || CAST(doc_id % 97 AS VARCHAR) AS url, sha256(text) AS hash FROM documents),
 m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY url, hash ORDER BY id) = 1 THEN 1 ELSE 0 END AS fresh FROM f), v AS (SELECT *, sum(fresh) OVER (PARTITION BY url ORDER BY id) AS version FROM m)
 SELECT id, url, hash, CASE WHEN fresh = 0 THEN 'UNCHANGED' WHEN version = 1 THEN 'CREATED' ELSE 'CREATED_NEW_VERSION' END AS outcome, version::BIGINT AS version FROM v""")
 def doc_versions(b: Bridge) -> DataFrame:

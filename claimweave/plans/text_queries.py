@@ -62,8 +62,8 @@ _ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/a\n\nUser-agent: other\nDis
 
 @query("robots_allowed", "SELECT page_id, starts_with(p, '/en/a') OR NOT starts_with(p, '/en/') AS allowed FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM pages)")
 def robots_allowed(b: Bridge) -> DataFrame:
-    told = F.pandas_udf(lambda paths: paths.map(lambda p: urls.robots_allowed(_ROBOTS, p, "Reader/1.0")), "boolean", F.PandasUDFType.SCALAR)
-    return b("pages").select("page_id", told(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)).alias("allowed"))
+    rules = urls.robots_rules(_ROBOTS, "Reader/1.0 (no other)")
+    return b("pages").select("page_id", urls.robots_verdict(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1), rules).alias("allowed"))
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -76,20 +76,27 @@ def evidence_hash(b: Bridge) -> DataFrame:
     return b("benchmark").select("item_id", F.sha2(F.trim("text"), 256).alias("hash"))
 
 
-@query("storage_path", "SELECT page_id, 'src-' || CAST(page_id % 5 AS VARCHAR) || '/' || sha256(url) || '/v1.' || CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE 'bin' END AS path FROM pages")
+@query("evidence_admission", """SELECT e.id, CASE WHEN trim(evidence_text) = '' THEN 'evidenceText must not be empty.' WHEN e.claim_id NOT IN (SELECT id FROM g_claims WHERE status <> 'DISPUTED') THEN 'Cannot add evidence to an unknown claim.' WHEN e.document_id NOT IN (SELECT id FROM g_documents) THEN 'Cannot add evidence from an unknown document.' WHEN length(e.id) % 5 = 0 THEN 'startChar must be before or equal to endChar.' END AS reason, sha256(trim(evidence_text)) AS evidence_hash FROM g_evidence e""")
+def evidence_admission(b: Bridge) -> DataFrame:
+    drafts = b("g_evidence").select("*", F.lit(5).alias("start_char"), F.when(F.length("id") % 5 == 0, 4).alias("end_char"))
+    return validation.add_evidence(drafts, b("g_claims").where("status <> 'DISPUTED'"), b("g_documents")).select("id", "reason", "evidence_hash")
+
+
+@query("storage_path", """SELECT page_id, 'raw-documents/news_article/src-' || CAST(page_id % 5 AS VARCHAR) || '/' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || '/' || sha256(url) || '.' || CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 2 THEN 'json' WHEN 3 THEN 'txt' ELSE 'html' END AS path FROM pages""")
 def storage_path(b: Bridge) -> DataFrame:
-    kind = F.when(F.col("page_id") % 3 == 0, "text/HTML; charset=utf-8").when(F.col("page_id") % 3 == 1, "application/pdf").otherwise("x/y")
-    return b("pages").select("page_id", urls.storage_path(F.concat(F.lit("SRC "), (F.col("page_id") % 5).cast("string")), F.sha2("url", 256), F.lit(1), kind).alias("path"))
+    kinds = F.array(*[F.lit(x) for x in ("text/HTML; charset=utf-8", " Application/PDF", "application/ld+json;x", "text/plain", "application/rss+xml")])
+    kind = F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int"))
+    return b("pages").select("page_id", urls.storage_path(F.lit("NEWS_ARTICLE"), F.concat(F.lit("!SRC "), (F.col("page_id") % 5).cast("string"), F.lit("?")), F.col("url"), F.sha2("url", 256), kind).alias("path"))
 
 
-@query("fetch_classify", """WITH r AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN 401 WHEN 1 THEN 402 WHEN 2 THEN 403 WHEN 3 THEN 404 WHEN 4 THEN 503 WHEN 5 THEN 301 ELSE 200 END AS status, CASE WHEN event_id % 13 = 0 THEN 'Subscribe to continue' ELSE '' END AS body FROM events),
-a AS (SELECT *, CASE WHEN status = 401 THEN 'LOGIN_REQUIRED' WHEN status = 402 THEN 'PAYWALLED' WHEN status = 403 THEN 'BLOCKED' WHEN status = 404 THEN 'NOT_FOUND' WHEN body <> '' THEN 'PAYWALLED' WHEN status = 200 THEN 'ACCESSIBLE' ELSE 'UNKNOWN' END AS access FROM r)
-SELECT event_id, access, CASE WHEN access = 'PAYWALLED' THEN 'PARTIAL' WHEN access <> 'ACCESSIBLE' THEN 'FAILED' ELSE 'METADATA_ONLY' END AS extraction, status = 301 AS redirect, status = 503 AS retry FROM a""")
+@query("fetch_classify", """WITH r AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN 401 WHEN 1 THEN 402 WHEN 2 THEN 451 WHEN 3 THEN 410 WHEN 4 THEN 503 WHEN 5 THEN 301 WHEN 6 THEN 429 ELSE 200 END AS status, CASE WHEN event_id % 13 = 0 THEN 'Subscribe to continue' WHEN event_id % 13 < 4 THEN 'text' ELSE '' END AS body, event_id % 17 = 0 AS wall FROM events),
+a AS (SELECT *, CASE WHEN status = 401 THEN 'LOGIN_REQUIRED' WHEN status = 402 OR wall THEN 'PAYWALLED' WHEN status IN (403, 451) THEN 'BLOCKED' WHEN status IN (404, 410) THEN 'REMOVED' WHEN contains(lower(body), 'subscribe to continue') THEN 'PAYWALLED' WHEN status BETWEEN 200 AND 299 THEN 'PUBLIC' ELSE 'UNKNOWN' END AS access FROM r)
+SELECT event_id, access, CASE WHEN access = 'PAYWALLED' THEN CASE WHEN body <> '' THEN 'PARTIAL' ELSE 'METADATA_ONLY' END WHEN status BETWEEN 200 AND 299 THEN 'PENDING' ELSE 'FAILED' END AS extraction, status = 301 AS redirect, status IN (408, 429) OR status >= 500 AS retry FROM a""")
 def fetch_classify(b: Bridge) -> DataFrame:
-    i = F.col("event_id") % 11
-    status = F.when(i == 0, 401).when(i == 1, 402).when(i == 2, 403).when(i == 3, 404).when(i == 4, 503).when(i == 5, 301).otherwise(200)
-    r = b("events").select("event_id", status.alias("status"), F.when(F.col("event_id") % 13 == 0, "Subscribe to continue").otherwise("").alias("body"))
-    a = r.withColumn("access", urls.access_status(F.col("status"), F.col("body"), F.lit(False)))
+    i, j = F.col("event_id") % 11, F.col("event_id") % 13
+    status = F.when(i == 0, 401).when(i == 1, 402).when(i == 2, 451).when(i == 3, 410).when(i == 4, 503).when(i == 5, 301).when(i == 6, 429).otherwise(200)
+    r = b("events").select("event_id", status.alias("status"), F.when(j == 0, "Subscribe to continue").when(j < 4, "text").otherwise("").alias("body"), F.create_map(F.lit("X-Paywall"), F.when(F.col("event_id") % 17 == 0, "True").otherwise("no")).alias("headers"))
+    a = r.withColumn("access", urls.access_status(F.col("status"), F.col("body"), urls.header_map(F.col("headers"))["x-paywall"]))
     return a.select("event_id", "access", urls.extraction_status(F.col("access"), F.col("status"), F.length("body")).alias("extraction"), urls.is_redirect(F.col("status")).alias("redirect"), urls.is_retryable(F.col("status")).alias("retry"))
 
 
@@ -99,10 +106,12 @@ def source_normalize(b: Bridge) -> DataFrame:
     return s.select("id", urls.domain(F.concat(F.lit(" HTTPS://"), F.upper("domain"), F.lit(":443/path "))).alias("domain"), F.least(F.lit(10), F.greatest(F.lit(1), F.col("k"))).alias("concurrency"))
 
 
-@query("manual_candidates", "SELECT page_id, url, NOT (page_id % 2 = 0) AS is_new FROM pages")
+@query("manual_candidates", f"""WITH v AS ({_canonical_sql("SELECT page_id, url FROM pages")}), c AS (SELECT canonical, min(page_id) AS cand FROM v WHERE page_id % 2 = 0 GROUP BY canonical), j AS (SELECT min(id) AS job, user_id FROM g_jobs WHERE job_kind = 'FETCH_URL' AND status IN ('PENDING', 'RUNNING') GROUP BY user_id)
+SELECT DISTINCT v.canonical AS canonical_url, c.cand IS NOT NULL AS reused_candidate, j.job IS NOT NULL AS reused_job FROM v LEFT JOIN c USING (canonical) LEFT JOIN j ON j.user_id = c.cand""")
 def manual_candidates(b: Bridge) -> DataFrame:
-    there = b("pages").where("page_id % 2 = 0").select("page_id", F.lit(True).alias("there"))
-    return b("pages").select("page_id", "url").join(there, "page_id", "left").select("page_id", "url", F.col("there").isNull().alias("is_new"))
+    given = b("pages").select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
+    there = given.where("page_id % 2 = 0").groupBy("canonical_url").agg(F.min("page_id").alias("candidate_id"))
+    return discovery.submit(given, there, b("g_jobs").withColumnRenamed("user_id", "url_candidate_id")).select("canonical_url", "reused_candidate", "reused_job")
 
 
 @query("html_text", """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
@@ -111,14 +120,21 @@ def html_text(b: Bridge) -> DataFrame:
     return b("pages").select("page_id", html.visible_text(F.col("html")).alias("text"))
 
 
-@query("html_meta", "SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
+_TEXT = """trim(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\u00a0]+', ' ', 'g'))"""
+
+
+@query("html_meta", "SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '') AS lang, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset FROM pages")
 def html_meta(b: Bridge) -> DataFrame:
-    return b("pages").select("page_id", html.lang(F.col("html")).alias("lang"))
+    tag = F.regexp_extract("html", r"(?is)(<meta\b[^>]*>)", 1)
+    return b("pages").select("page_id", html.lang(F.col("html")).alias("lang"), html.attribute(tag, "charset").alias("charset"))
 
 
-@query("html_extract")
+@query("html_extract", f"""WITH p AS (SELECT page_id, {_TEXT.format("regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '(?s)<[^>]*>', ' ', 'g')")} AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS language,
+ {_TEXT.format("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article>(.*?)</article>', 1), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")} AS text FROM pages WHERE html IS NOT NULL)
+SELECT page_id, nullif(title, '') AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS publisher, NULL::VARCHAR AS published_at, NULL::VARCHAR AS description, language, nullif(text, '') AS text, CASE WHEN text = '' THEN 'METADATA_ONLY' ELSE 'SUCCESS' END AS extraction_status, 'html' AS title_from FROM p""")
 def html_extract(b: Bridge) -> DataFrame:
-    return b("pages").select("page_id", html.metadata(F.col("html")).alias("m")).select("page_id", "m.*")
+    told = html.metadata(b("pages").select("page_id", "html"))
+    return told.select("page_id", *html.FIELDS[:3], F.col("published_at").cast("string").alias("published_at"), "description", "language", "text", "extraction_status", F.col("field_sources")["title"].alias("title_from"))
 
 
 @query("lang_normalize", "SELECT doc_id, lang || '-' || upper(lang) AS tag FROM documents")
@@ -146,7 +162,8 @@ def discovery_status(b: Bridge) -> DataFrame:
     return b("events").groupBy("user_id").agg(discovery.run_status(F.count_if(~error), F.count_if(error)).alias("status"))
 
 
-@query("sitemap_walk", "WITH RECURSIVE w(root, url, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 10 UNION ALL SELECT root, c.p_partkey, depth + 1 FROM w JOIN part c ON c.p_partkey // 7 = w.url AND c.p_partkey <> w.url WHERE depth < 3) SELECT root, url, depth FROM w")
+@query("sitemap_walk", """WITH RECURSIVE w(root, url, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT root, c.p_partkey, depth + 1 FROM w JOIN part c ON c.p_partkey // 7 = w.url AND c.p_partkey <> w.url WHERE depth < 3)
+SELECT root, url, depth, CASE WHEN depth = 3 AND url IN (SELECT p_partkey // 7 FROM part WHERE p_partkey // 7 <> p_partkey) THEN 'Sitemap recursion depth exceeded.' END AS error FROM w""")
 def sitemap_walk(b: Bridge) -> DataFrame:
     p = F.col("p_partkey")
     children = b("part").select(F.floor(p / 7).alias("parent"), p.alias("child")).where("parent <> child")
@@ -203,34 +220,42 @@ def _mentions(b: Bridge) -> DataFrame:
 
 
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-_CANDIDATES = f"""m AS (SELECT 'm:' || CAST(c_custkey AS VARCHAR) AS mention_id, 'PERSON' AS entity_type, {_NORM.format('c_name')} AS n, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS canton, CAST(c_nationkey AS VARCHAR) AS country FROM customer WHERE c_custkey % 3 = 0
+_CANDIDATES = f"""m AS (SELECT 'm:' || CAST(c_custkey AS VARCHAR) AS mention_id, 'PERSON' AS entity_type, {_NORM.format('c_name')} AS n, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS canton, CAST(c_nationkey AS VARCHAR) AS country FROM customer
   UNION ALL SELECT 'f:' || CAST(s_suppkey AS VARCHAR), 'COMPANY', {_NORM.format("'the ' || s_name")}, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier),
 e AS (SELECT id AS entity_id, entity_type, canonical_name, {_NORM.format('canonical_name')} AS n, lower(canton) AS canton, country, string_split({_NORM.format('canonical_name')}, ' ')[-1] AS last FROM g_entities WHERE entity_type IN ('PERSON', 'COMPANY')),
 al AS (SELECT entity_id, list(DISTINCT {_NORM.format('alias')}) AS names FROM g_aliases GROUP BY entity_id),
-p AS (SELECT m.mention_id, e.entity_id, e.canonical_name, m.canton IS NOT DISTINCT FROM e.canton AND m.canton IS NOT NULL AS canton, m.country = e.country AS country,
-   CASE WHEN m.n = e.n THEN 'name' WHEN list_contains(al.names, m.n) THEN 'alias' WHEN m.entity_type = 'PERSON' AND list_contains(string_split(m.n, ' '), e.last) THEN 'surname' WHEN m.entity_type <> 'PERSON' AND (contains(e.n, m.n) OR contains(m.n, e.n)) THEN 'partial' END AS sig
+p AS (SELECT m.mention_id, e.entity_id, e.canonical_name, e.last, m.canton IS NOT DISTINCT FROM e.canton AND m.canton IS NOT NULL AS canton, m.country = e.country AS country,
+   CASE WHEN m.n = e.n THEN 'exact canonical name' WHEN list_contains(al.names, m.n) THEN 'exact alias' WHEN m.entity_type = 'PERSON' AND list_contains(string_split(m.n, ' '), e.last) THEN 'same surname' WHEN m.entity_type <> 'PERSON' AND (contains(e.n, m.n) OR contains(m.n, e.n)) THEN 'partial name' END AS sig
    FROM m JOIN e ON e.entity_type = m.entity_type LEFT JOIN al USING (entity_id)),
-c AS (SELECT mention_id, entity_id, canonical_name, least(1.0::DOUBLE, round(CASE sig WHEN 'name' THEN 0.86 WHEN 'alias' THEN 0.90 WHEN 'surname' THEN 0.34 WHEN 'partial' THEN 0.42 ELSE 0.0 END::DOUBLE + CASE WHEN canton THEN 0.12 ELSE 0.0 END::DOUBLE + CASE WHEN country THEN 0.08 ELSE 0.0 END::DOUBLE, 4)) AS score,
-   array_to_string(list_filter([sig, CASE WHEN canton THEN 'canton' END, CASE WHEN country THEN 'country' END], lambda x: x IS NOT NULL), '+') AS signals FROM p),
-r AS (SELECT mention_id, entity_id, score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, canonical_name, entity_id)::INT AS rank, signals FROM c WHERE score >= 0.20)"""
+c AS (SELECT mention_id, entity_id, canonical_name, sig, last, least(1.0::DOUBLE, round(CASE sig WHEN 'exact canonical name' THEN 0.86 WHEN 'exact alias' THEN 0.90 WHEN 'same surname' THEN 0.34 WHEN 'partial name' THEN 0.42 ELSE 0.0 END::DOUBLE + CASE WHEN canton THEN 0.12 ELSE 0.0 END::DOUBLE + CASE WHEN country THEN 0.08 ELSE 0.0 END::DOUBLE, 4)) AS score,
+   array_to_string(list_filter([sig, CASE WHEN canton THEN 'same canton' END, CASE WHEN country THEN 'same country' END], lambda x: x IS NOT NULL), '+') AS signals FROM p),
+r AS (SELECT mention_id, entity_id, score, CASE WHEN sig = 'same surname' THEN last END AS surname, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, canonical_name, entity_id)::INT AS rank, signals FROM c WHERE score >= 0.20)"""
 
 
 def _scored(b: Bridge) -> DataFrame:
     return resolution.candidates(_mentions(b), b("g_entities").where("entity_type in ('PERSON', 'COMPANY')"), b("g_aliases"))
 
 
-@query("resolve_candidates", f"WITH {_CANDIDATES} SELECT * FROM r")
+@query("resolve_candidates", f"WITH {_CANDIDATES} SELECT * EXCLUDE (surname) FROM r")
 def resolve_candidates(b: Bridge) -> DataFrame:
     return _scored(b).drop("surname")
 
 
-@query("resolve_mentions", f"""WITH {_CANDIDATES}, t AS (SELECT mention_id, max(entity_id) FILTER (rank = 1) AS entity_id, max(score) FILTER (rank = 1) AS top, max(score) FILTER (rank = 2) AS second FROM r GROUP BY mention_id),
-d AS (SELECT m.mention_id, CASE WHEN top IS NULL THEN 'NO_MATCH' WHEN second IS NOT NULL AND top - second <= 0.08::DOUBLE THEN 'AMBIGUOUS' WHEN top < 0.82::DOUBLE THEN 'BELOW_THRESHOLD' ELSE 'AUTO_RESOLVED' END AS decision, t.entity_id, top FROM m LEFT JOIN t USING (mention_id))
-SELECT mention_id, decision, CASE WHEN decision = 'AUTO_RESOLVED' THEN entity_id END AS entity_id, top FROM d""")
+_RESOLVED_MENTIONS = f"""{_CANDIDATES}, t AS (SELECT mention_id, max(entity_id) FILTER (rank = 1) AS entity_id, max(score) FILTER (rank = 1) AS top, max(score) FILTER (rank = 2) AS second, max(surname) FILTER (rank = 1) AS s1, max(surname) FILTER (rank = 2) AS s2 FROM r GROUP BY mention_id),
+d AS (SELECT m.mention_id, CASE WHEN top IS NULL THEN 0 WHEN second IS NOT NULL AND (top - second <= 0.08::DOUBLE OR s1 = s2) THEN 1 WHEN top < 0.82::DOUBLE THEN 2 ELSE 3 END AS k, t.entity_id, top FROM m LEFT JOIN t USING (mention_id))"""
+
+
+@query("resolve_mentions", f"""WITH {_RESOLVED_MENTIONS} SELECT mention_id, CASE k WHEN 0 THEN 'NO_MATCH' WHEN 3 THEN 'AUTO_RESOLVED' ELSE 'MANUAL_REVIEW' END AS status,
+CASE k WHEN 0 THEN 'No candidate met the minimum score.' WHEN 1 THEN 'Ambiguous entity candidates require manual review.' WHEN 2 THEN 'Top candidate is below the automatic resolution threshold.' END AS reason, CASE WHEN k = 3 THEN entity_id END AS entity_id, top FROM d""")
 def resolve_mentions(b: Bridge) -> DataFrame:
     return resolution.resolve(_mentions(b), _scored(b))
 
 
+@query("review_tasks", f"WITH {_RESOLVED_MENTIONS} SELECT 't:' || mention_id AS id, mention_id AS local_id, 'OPEN' AS status FROM d WHERE k <> 3")
+def review_tasks(b: Bridge) -> DataFrame:
+    return resolution.review_tasks(resolution.resolve(_mentions(b), _scored(b))).drop("reason")
+
+
 def _relations(b: Bridge) -> DataFrame:
     """Every claim with each of its evidence rows, or with none; evidence quotes the document for even parts, and is a benchmark passage for odd ones.
 
@@ -249,11 +274,19 @@ def _relations(b: Bridge) -> DataFrame:
     r = r.join(F.broadcast(b("benchmark").select("item_id", F.col("text").alias("passage"))), "item_id", "left")
     sources = b("g_sources").select(F.col("id").alias("source_id"), "source_quality")
     docs = b("g_documents").select(F.col("id").alias("document_id"), "source_id", "is_published", F.col("extracted_text").alias("text"), F.lit(True).alias("there")).join(F.broadcast(sources), "source_id", "left")
-    r = r.join(docs, "document_id", "left")
+    names = b("g_aliases").groupBy("entity_id").agg(F.collect_list("alias").alias("aliases"))
+    for s in ("subject", "object"):
+        r = r.join(names.select(F.col("entity_id").alias(f"{s}_id"), F.col("aliases").alias(f"{s}_aliases")), f"{s}_id", "left")
+    # Whole texts meet each passage once: spans belong to a document and its evidence, not to a claim.
+    asked = r.where("document_id is not null").select("document_id", F.when(odd, F.col("passage")).alias("passage"), odd.alias("quoted")).distinct()
+    placed = asked.join(docs, "document_id").withColumn("evidence_text", F.when(F.col("quoted"), F.col("passage")).otherwise(F.substring("text", 10, 80)))
+    told = validation.located(placed).select("document_id", "passage", "quoted", "evidence_text", "has_text", "span", "context", "near", "source_quality", "is_published", "there")
+    same = r.document_id.eqNullSafe(told.document_id) & told.quoted.eqNullSafe(odd) & F.when(odd, r.passage).eqNullSafe(told.passage)
+    r = r.join(told, same, "left").select(r["*"], *[told[c] for c in ("evidence_text", "has_text", "span", "context", "near", "source_quality", "is_published", "there")])
     false = F.lit(False)
     return r.select(
-        "id", "predicate", F.when(odd, F.col("passage")).otherwise(F.substring("text", 10, 80)).alias("evidence_text"), "text", "subject_name", "object_name", F.coalesce("compatible", false).alias("compatible"), "source_quality",
-        (F.col("ranged") | F.coalesce("is_published", false)).alias("dated"), false.alias("requires_review"), F.coalesce("subject_unclear", "object_unclear", false).alias("ambiguous"),
+        "id", "predicate", F.when(odd, F.coalesce("evidence_text", "passage")).otherwise(F.col("evidence_text")).alias("evidence_text"), F.coalesce("has_text", false).alias("has_text"), "span", F.coalesce("context", F.when(odd, F.col("passage")), F.lit("")).alias("context"), "near", "subject_name", "object_name", "subject_aliases", "object_aliases",
+        F.coalesce("compatible", false).alias("compatible"), "source_quality", (F.col("ranged") | F.coalesce("is_published", false)).alias("dated"), false.alias("requires_review"), F.coalesce("subject_unclear", "object_unclear", false).alias("ambiguous"),
         F.coalesce("there", false).alias("known_document"), F.col("object_id").isNotNull().alias("given_object"),
     )
 
@@ -263,6 +296,27 @@ def claim_validate(b: Bridge) -> DataFrame:
     return validation.validate(_relations(b)).select("id", "status", "evidence_score", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("claim_admission", "SELECT id, r IS NULL AS accepted, r AS reason FROM (SELECT id, CASE WHEN object_id IS NULL THEN 'object missing' WHEN subject_id = object_id THEN 'self relation' WHEN valid_from > valid_to THEN 'inverted dates' WHEN status = 'VERIFIED' THEN 'cannot start verified' END AS r FROM g_claims)")
+_SHAPE = """CASE WHEN valid_from > valid_to THEN 'Date range must start before it ends.' WHEN s.id IS NULL THEN 'Claim subject entity does not exist.' WHEN c.object_id IS NULL AND literal IS NULL THEN 'A claim needs either an object entity or a literal value.'
+  WHEN c.object_id IS NOT NULL AND o.id IS NULL THEN 'Claim object entity does not exist.' WHEN c.object_id = c.subject_id THEN 'A claim cannot relate an entity to itself.' WHEN c.object_id IS NOT NULL AND k.predicate IS NULL THEN 'Claim predicate is incompatible with the subject or object entity type.'"""
+_SHAPED = "(SELECT *, CASE WHEN partkey % 2 = 0 THEN '{{}}' END AS literal FROM g_claims) c LEFT JOIN g_entities s ON s.id = c.subject_id LEFT JOIN g_entities o ON o.id = c.object_id LEFT JOIN g_compatible k ON k.predicate = c.predicate AND k.subject_type = s.entity_type AND k.object_type = o.entity_type".replace("{{}}", "{}")
+
+
+def _drafts(b: Bridge) -> DataFrame:
+    return b("g_claims").withColumn("literal_value", F.when(F.col("partkey") % 2 == 0, "{}"))
+
+
+@query("claim_admission", f"SELECT id, r IS NULL AS accepted, r AS reason FROM (SELECT c.id, {_SHAPE} WHEN c.status = 'VERIFIED' THEN 'Claims must be verified through the reviewer transition service.' END AS r FROM {_SHAPED}) x")
 def claim_admission(b: Bridge) -> DataFrame:
-    return validation.admit(b("g_claims"))
+    return validation.admit(_drafts(b), b("g_entities"), b("g_compatible"))
+
+
+@query("claim_verifiable", f"SELECT id, r IS NULL AS verifiable, r AS reason FROM (SELECT c.id, {_SHAPE} WHEN c.id NOT IN (SELECT claim_id FROM g_evidence) THEN 'A claim cannot be verified without evidence.' WHEN c.object_id IS NULL THEN 'Literal claims are not publishable graph relationships yet.' END AS r FROM {_SHAPED}) x")
+def claim_verifiable(b: Bridge) -> DataFrame:
+    return validation.verifiable(_drafts(b), b("g_entities"), b("g_compatible"), b("g_evidence"))
+
+
+@query("publish_rule", "WITH e AS (SELECT claim_id, count(*) FILTER (trim(evidence_text) <> '') AS n FROM g_evidence GROUP BY claim_id) SELECT c.id FROM g_claims c JOIN e ON e.claim_id = c.id WHERE c.status = 'VERIFIED' AND e.n > 0 AND c.predicate <> 'SPOKE_AT'")
+def publish_rule(b: Bridge) -> DataFrame:
+    texts = b("g_evidence").groupBy(F.col("claim_id").alias("id")).agg(F.collect_list("evidence_text").alias("texts"))
+    claim = F.struct("status", (F.col("predicate") != "SPOKE_AT").alias("compatible"))
+    return b("g_claims").join(texts, "id").where(validation.publishable(claim, F.col("texts"))).select("id")

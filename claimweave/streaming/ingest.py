@@ -1,9 +1,11 @@
-"""Structured Streaming forms of candidate de-duplication and change detection."""
+"""Structured Streaming forms of candidate de-duplication, change detection, host pacing, retries and polling."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators import jobs
 
@@ -18,17 +20,77 @@ def counts_by_window(events: DataFrame, size: str = "1 hour", late: str = "2 hou
 
 
 def detect_changes(fetched: DataFrame, out: str, checkpoint: str):
-    """Micro-batches of fetches appended as versions: each batch is compared with what was stored before."""
+    """Micro-batches of fetches appended as versions: each is compared with what was stored of its urls before.
 
-    def step(batch: DataFrame, _: int) -> None:
+    A batch is written to a folder of its number, which a retry writes anew, and reads only the folders before it; so nothing
+    is appended twice.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            stored = spark.read.parquet(out).select("id", "url", "hash", "at")
+            stored = spark.read.option("basePath", out).parquet(out).where(F.col("batch") < number).select("id", "url", "hash", "at")
         except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             stored = batch.limit(0)
-        told = jobs.document_versions(stored.unionByName(batch)).join(batch.select("id", "at"), "id")
-        told.write.mode("append").parquet(out)
+        known = stored.join(batch.select("url").distinct(), "url", "left_semi").select("id", "url", "hash", "at")
+        told = jobs.document_versions(known.unionByName(batch)).join(batch.select("id", "at"), "id")
+        told.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return fetched.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def paced(requests: DataFrame, per_minute: int = 10) -> DataFrame:
+    """(host, id, at_ms, start_ms) of streamed requests (host, id, at_ms): a host's next free slot is its state.
+
+    Inside a batch requests go by time and id; ``host_slots`` is the form for a whole table.
+    """
+    gap = 60_000 // per_minute
+
+    def slots(key, frames, state: GroupState):
+        free = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values(["at_ms", "id"])
+        starts = []
+        for at in rows["at_ms"]:
+            free = max(int(at), free)
+            starts.append(free)
+            free += gap
+        state.update((free,))
+        yield pd.DataFrame({"host": key[0], "id": rows["id"], "at_ms": rows["at_ms"], "start_ms": starts})
+
+    kind = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    return requests.groupBy("host").applyInPandasWithState(slots, f"host {kind['host']}, id {kind['id']}, at_ms long, start_ms long", "free long", "update", "NoTimeout")
+
+
+def retried(failures: DataFrame, now: str = "at") -> DataFrame:
+    """(id, attempts, run_at) of streamed failures (id, at, max_attempts): a job's attempts are its state, each later by its backoff.
+
+    What fails for the last time comes out with a null run_at and leaves the state.
+    """
+
+    def step(key, frames, state: GroupState):
+        attempts, out = (state.get[0] if state.exists else 0), []
+        for row in pd.concat(list(frames)).sort_values(now).itertuples():
+            attempts += 1
+            last = attempts >= row.max_attempts
+            wait = pd.Timedelta(minutes=min(60, 2 ** min(attempts - 1, 6)))
+            out.append((key[0], attempts, None if last else getattr(row, now) + wait))
+        if out[-1][2] is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((attempts,))
+        yield pd.DataFrame(out, columns=["id", "attempts", "run_at"])
+
+    kind = failures.schema["id"].dataType.simpleString()
+    return failures.groupBy("id").applyInPandasWithState(step, f"id {kind}, attempts int, run_at timestamp", "attempts int", "append", "NoTimeout")
+
+
+def poll_due(jobs_stream: DataFrame, as_of: str, act, checkpoint: str):
+    """Each available micro-batch of jobs, reduced to the due ones of fetch kind, handed to ``act(batch, number)``."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        act(jobs.due_jobs(batch, "FETCH_URL", as_of), number)
+
+    return jobs_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -26,8 +26,23 @@ def test_canonical_urls(spark):
 
 
 def test_access_order(spark):
-    status = lambda code, body: one(spark, urls.access_status(F.col("s"), F.col("b"), F.lit(False)), s=code, b=body)
-    assert [status(401, ""), status(402, ""), status(451, ""), status(410, ""), status(503, "paywall"), status(200, ""), status(503, "")] == ["LOGIN_REQUIRED", "PAYWALLED", "BLOCKED", "NOT_FOUND", "PAYWALLED", "ACCESSIBLE", "UNKNOWN"]
+    status = lambda code, body, header="": one(spark, urls.access_status(F.col("s"), F.col("b"), F.col("h")), s=code, b=body, h=header)
+    assert [status(401, ""), status(402, ""), status(451, ""), status(410, ""), status(503, "paywall"), status(200, ""), status(503, ""), status(200, "", "TRUE")] == ["LOGIN_REQUIRED", "PAYWALLED", "BLOCKED", "REMOVED", "PAYWALLED", "PUBLIC", "UNKNOWN", "PAYWALLED"]
+    extraction = lambda access, code, n: one(spark, urls.extraction_status(F.col("a"), F.col("s"), F.col("n")), a=access, s=code, n=n)
+    assert [extraction("PAYWALLED", 402, 0), extraction("PAYWALLED", 402, 5), extraction("PUBLIC", 204, 0), extraction("BLOCKED", 403, 9)] == ["METADATA_ONLY", "PARTIAL", "PENDING", "FAILED"]
+
+
+def test_storage_paths(spark):
+    path = lambda kind: one(spark, urls.storage_path(F.lit("NEWS_ARTICLE"), F.lit("-Src 1!"), F.lit("https://News.Example.org:8080/a"), F.lit("h"), F.col("k")), k=kind)
+    assert path("application/PDF; x") == "raw-documents/news_article/src-1/news.example.org-8080/h.pdf"
+    assert [path(k).rsplit(".")[-1] for k in ("text/xml", None or "", "application/ld+json", "text/plain")] == ["html", "html", "json", "txt"]
+
+
+def test_every_segment_loses_its_infix(spark):
+    url = "http://e.org/a.amp.html/b.print.PDF/amp/" + "x/" * 3
+    assert one(spark, urls.canonical(F.col("u")), u=url) == "http://e.org/a.html/b.PDF/amp/x/x/x"
+    long = "http://e.org/amp/" + "/".join(str(i) for i in range(120_000))
+    assert one(spark, urls.canonical(F.col("u")), u=long) == long.replace("/amp", "")
 
 
 def test_robots():
@@ -36,6 +51,14 @@ def test_robots():
     assert urls.robots_allowed(txt, "/private/open/x", "reader")
     assert not urls.robots_allowed(txt, "/any", "mybot/1.0")
     assert urls.robots_allowed(None, "/any", "reader")
+    assert urls.robots_allowed(txt, "/any", "reader (like bot)")  # the first token alone counts
+
+
+def test_robots_on_a_column(spark):
+    rules = urls.robots_rules("User-agent: *\nDisallow: /private*\nAllow: /private/open\nDisallow:\n", "reader/2")
+    assert rules == [("/private", False), ("/private/open", True)]
+    assert [one(spark, urls.robots_verdict(F.col("p"), rules), p=x) for x in ("/private/x", "/private/open/x", "/")] == [False, True, True]
+    assert one(spark, urls.robots_verdict(F.col("p"), []), p="/")
 
 
 def test_normalised_text(spark):
@@ -50,11 +73,42 @@ def test_spans_and_sentences(spark):
     assert one(spark, text.sentence(F.col("t"), F.lit(11), F.lit(20)), t=t) == "Anna owns the firm."
 
 
+def meta(spark, page):
+    return html.metadata(spark.createDataFrame([(page,)], "html string")).first()
+
+
 def test_page_metadata(spark):
     page = '<html lang="de"><head><title>T &amp; U</title><meta property="og:title" content="Graph"></head><body><nav>menu</nav><article><h1>H</h1><script>x</script><p>A&nbsp;b</p></article></body></html>'
-    m = one(spark, html.metadata(F.col("h")), h=page)
-    assert (m.title, m.language, m.text, m.title_from, m.status) == ("Graph", "de", "H A b", "openGraph", "SUCCESS")
-    assert one(spark, html.metadata(F.col("h")), h="").status == "FAILED"
+    m = meta(spark, page)
+    assert (m.title, m.language, m.text, m.field_sources, m.extraction_status) == ("Graph", "de", "H A b", {"title": "openGraph", "language": "html", "text": "visibleContent"}, "SUCCESS")
+    assert meta(spark, "").extraction_status == "FAILED" and meta(spark, None).extraction_status == "FAILED"
+    assert meta(spark, "<title>only</title><body> </body>").extraction_status in ("METADATA_ONLY", "SUCCESS")
+    assert meta(spark, "<body><p>text</p></body>").extraction_status == "PARTIAL"
+
+
+def test_json_ld_in_graphs_and_lists(spark):
+    page = """<script type="application/ld+json">{broken</script>
+    <script type='application/ld+json'>{"@graph": [{"@type": "Person", "name": "P"}, {"@type": ["Thing", "NewsArticle"], "headline": " A &amp; B ", "author": [{"x": 1}, {"name": "Ann"}], "publisher": {"headline": "Pub"},
+    "datePublished": "2024-03-01T10:00:00Z", "inLanguage": "de_CH", "description": 7}]}</script>
+    <meta name="author" content="Other"><meta itemprop="headline" content="Item"><body><main><h1>x</h1>body</main></body>"""
+    m = meta(spark, page)
+    assert (m.title, m.author, m.publisher, m.description, m.language) == ("A & B", "Ann", "Pub", "7", "de-CH")
+    assert m.published_at.isoformat().startswith("2024-03-01T10:00") and set(m.field_sources.values()) == {"jsonLd", "visibleContent"}
+
+
+def test_precedence_and_dates(spark):
+    page = """<html lang="fr-CH"><meta name="Author" content="first"><meta name="author" content='last'><meta property=article:published_time content="soon"><meta name="date" content="2024-01-01">
+    <meta name="application-name" content="App"><meta name="twitter:title" content="Tw"><time itemprop="datePublished" datetime="2023-05-06"></time><body>b</body>"""
+    m = meta(spark, page)
+    assert (m.author, m.publisher, m.title, m.language) == ("last", "App", "Tw", "fr-CH")
+    assert m.published_at.isoformat().startswith("2023-05-06") and m.field_sources["published_at"] == "schemaOrg"
+    bad = meta(spark, page.replace("<time", "<tim"))
+    assert bad.published_at is None and bad.field_sources["published_at"] == "openGraph"
+
+
+def test_references(spark):
+    for given, expected in {"&#65;&#x42;&#x1F600; &copy; &lt;": "AB😀 &copy; <", "&amp;lt; &#38;lt;": "&lt; &lt;", "&#0; &#xD800; &": "&#0; &#xD800; &", "plain": "plain"}.items():
+        assert one(spark, html.decoded(F.col("t")), t=given) == expected
 
 
 def test_months_overflow(spark):
@@ -64,7 +118,7 @@ def test_months_overflow(spark):
 
 def test_language_tags(spark):
     tag = lambda x: one(spark, text.language(F.col("t")), t=x)
-    assert [tag("DE_ch"), tag("en"), tag("german")] == ["de-CH", "en", None]
+    assert [tag("DE_ch"), tag("en"), tag("german"), tag("en-latin"), tag("de_CH_x")] == ["de-CH", "en", None, "en", "de"]
 
 
 @pytest.mark.parametrize(

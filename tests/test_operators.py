@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from claimweave.operators import discovery, jobs, resolution, review, validation
+from claimweave.operators import contracts, discovery, graph, integrity, jobs, resolution, review, validation
 from claimweave.sources import tables
 from claimweave.streaming import ingest
 
@@ -28,8 +28,8 @@ def test_resolution_rule(spark):
     aliases = spark.createDataFrame([("3", "F1")], "entity_id string, alias string")
     mentions = spark.createDataFrame([("a", "PERSON", "anna muster", "ZH", None), ("b", "PERSON", "Anna Muster", None, None), ("c", "COMPANY", "Firma Eins", None, None), ("d", "COMPANY", "F1", None, None), ("e", "COMPANY", "Nobody", None, None)], "mention_id string, entity_type string, name string, canton string, country string")
     scored = resolution.candidates(mentions, entities, aliases)
-    got = {r.mention_id: (r.decision, r.entity_id, r.top) for r in resolution.resolve(mentions, scored).collect()}
-    assert got == {"a": ("AUTO_RESOLVED", "1", 0.98), "b": ("AMBIGUOUS", None, 0.86), "c": ("BELOW_THRESHOLD", None, 0.42), "d": ("AUTO_RESOLVED", "3", 0.9), "e": ("NO_MATCH", None, None)}
+    got = {r.mention_id: (r.status, (r.reason or "")[:3], r.entity_id, r.top) for r in resolution.resolve(mentions, scored).collect()}
+    assert got == {"a": ("AUTO_RESOLVED", "", "1", 0.98), "b": ("MANUAL_REVIEW", "Amb", None, 0.86), "c": ("MANUAL_REVIEW", "Top", None, 0.42), "d": ("AUTO_RESOLVED", "", "3", 0.9), "e": ("NO_MATCH", "No ", None, None)}
     with pytest.raises(ValueError):
         resolution.candidates(mentions, entities, aliases, least=0.1)
 
@@ -48,6 +48,85 @@ def test_versions_and_lineage(spark):
     assert {(r.id, r.root, r.depth) for r in review.lineage(links).collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 3)}
 
 
+def test_long_and_circular_lineage(spark):
+    links = [("0", None)] + [(str(i), str(i - 1)) for i in range(1, 300)]
+    got = {r.id: (r.root, r.depth) for r in review.lineage(spark.createDataFrame(links, "id string, supersedes_id string")).collect()}
+    assert got == {str(i): ("0", i) for i in range(300)}
+    with pytest.raises(ValueError, match="circle"):
+        review.lineage(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, supersedes_id string"))
+
+
+def test_records(spark):
+    row = {"id": " x ", "entity_id": "e", "alias": "a", "language": " ", "created_at": "2024-01-01"}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
+    got = tables.records(df, "entity_aliases").first()
+    assert (got.id, got.language, got.source_id) == (" x ", None, None)
+    with pytest.raises(Exception, match="Expected alias to be a non-empty string"):
+        tables.records(df.withColumn("alias", F.lit(" ")), "entity_aliases").collect()
+    assert tables.records(df.withColumn("created_at", F.lit("x")), "entity_aliases", strict=False).first().error == "Expected created_at to be a valid date."
+    texts = spark.createDataFrame([('{"a":1}',), ("[1]",), ("3",), (None,), ("no",)], "t string")
+    assert [r[0] for r in texts.select(tables.json_record(F.col("t"))).collect()] == ['{"a":1}', "{}", "{}", "{}", "{}"]
+
+
+def test_changes_and_lookups(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    changes = spark.createDataFrame([(2, "c", 1), (2, None, 2)], "id int, v string, change int")
+    assert {tuple(r) for r in tables.apply_changes(base, changes).collect()} == {(1, "a"), (2, None)}
+    new = spark.createDataFrame([(3, "n", 1)], "id int, v string, change int")
+    with pytest.raises(ValueError):
+        tables.apply_changes(base, new)
+    assert tables.apply_changes(base, new, upsert=True).count() == 3
+    assert tables.at_most_one(tables.lookup(base, 2)).first().v == "b"
+    with pytest.raises(ValueError):
+        tables.at_most_one(base)
+    bodies = spark.createDataFrame([("raw-documents/t/1.html", b"x")], "path string, body binary")
+    tables.write_bodies(bodies, f"{tmp_path}/bodies")
+    with pytest.raises(ValueError, match="exists"):
+        tables.write_bodies(bodies, f"{tmp_path}/bodies")
+
+
+def test_contracts(spark):
+    entity = {"local_id": " e ", "type": "PERSON", "name": "A", "evidence": "x"}
+    assert contracts.parse("extractEntities", {"entities": [entity]})["entities"][0] == {"local_id": "e", "type": "PERSON", "name": "A", "evidence": "x", "aliases": [], "metadata": {}}
+    relation = {"subject_entity_id": "s", "predicate": "OWNS", "connection_class": "DIRECT", "evidence_text": "t", "confidence": 0.5, "requires_review": False}
+    with pytest.raises(contracts.ContractError, match="either object_entity_id or literal_value"):
+        contracts.parse("extractClaims", {"relations": [relation]})
+    assert contracts.parse("extractClaims", {"relations": [relation | {"literal_value": None, "valid_from": "2024-02-31"}]})
+    for broken in (relation | {"confidence": 2, "object_entity_id": "o"}, relation | {"object_entity_id": "o", "more": 1}, relation | {"object_entity_id": "o", "valid_to": "2024"}):
+        with pytest.raises(contracts.ContractError):
+            contracts.parse("extractClaims", {"relations": [broken]})
+    with pytest.raises(contracts.ContractError, match="<root>"):
+        contracts.parse("validateClaim", [])
+    assert contracts.summary("validateClaim", contracts.parse("validateClaim", {"result": "SUPPORTED"})) == {"result": "SUPPORTED"}
+    assert contracts.input_summary({"documentId": "d"}) == {"documentId": "d"}
+    asked = spark.createDataFrame([("1", '{"documentId": "d"}'), ("2", "no json")], "request_id string, input string")
+    got = {r.request_id: r.status for r in contracts.run(asked, "validateClaim", lambda _: {"result": "INSUFFICIENT"}, "p", "m", "v").collect()}
+    assert got == {"1": "SUCCEEDED", "2": "FAILED"}
+
+
+def test_substring_names_meet(spark):
+    entities = spark.createDataFrame([("1", "COMPANY", "Acmecorp Holding"), ("2", "COMPANY", "me"), ("3", "COMPANY", "")], "id string, entity_type string, canonical_name string")
+    mentions = spark.createDataFrame([("a", "COMPANY", "acme"), ("b", "COMPANY", "The Acmecorp Holding AG"), ("c", "COMPANY", "zz")], "mention_id string, entity_type string, name string")
+    got = {(r.mention_id, r.entity_id, r.score) for r in resolution.candidates(mentions, entities, spark.createDataFrame([], "entity_id string, alias string")).collect()}
+    assert got == {("a", "1", 0.42), ("a", "2", 0.42), ("b", "1", 0.42), ("b", "2", 0.42)}
+
+
+def test_json_leaves(spark):
+    rows = spark.createDataFrame([(1, '{"a": ["Energy", {"b": "x"}]}'), (2, '{"energy": 1}'), (3, '["energy"]'), (4, None), (5, '{"a": "ener\\u0067y"}'), (6, "no")], "id int, t string")
+    assert [r.id for r in rows.where(graph.leaf_equals(F.col("t"), " ENERGY ")).orderBy("id").collect()] == [1, 5]
+    assert rows.where(graph.leaf_equals(F.col("t"), " ")).count() == 0
+
+
+def test_batch_limits():
+    assert [jobs.batch_limit(x) for x in (None, "x", 0, 5, "7.9", 99, float("nan"))] == [1, 1, 1, 5, 7, 10, 1]
+
+
+def test_updates_are_dated(spark):
+    old, new = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string")
+    got = {r.id: r.updated_at for r in integrity.touched(old, new, "id", F.lit("now")).collect()}
+    assert got == {1: "now", 2: None}
+
+
 def test_optional_and_typed_tables(spark, tmp_path):
     schema = StructType.fromDDL("id string, n int")
     assert tables.optional(spark, f"file://{tmp_path}/none", schema).count() == 0
@@ -63,6 +142,35 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.detect_changes(spark.readStream.schema(df.schema).parquet(src), out, f"{tmp_path}/cp").start().awaitTermination()
     batch = {tuple(r) for r in jobs.document_versions(df).select("id", "outcome", "version").collect()}
     assert {tuple(r) for r in spark.read.parquet(out).select("id", "outcome", "version").collect()} == batch
+    more = spark.createDataFrame([(4, "u", "h1", 4), (5, "v", "h9", 5)], "id int, url string, hash string, at int")
+    more.write.mode("append").parquet(src)
+    ingest.detect_changes(spark.readStream.schema(df.schema).parquet(src), out, f"{tmp_path}/cp").start().awaitTermination()
+    both = {tuple(r) for r in jobs.document_versions(df.unionByName(more)).select("id", "outcome", "version").collect()}
+    assert {tuple(r) for r in spark.read.parquet(out).select("id", "outcome", "version").collect()} == both
+
+
+def test_paced_and_retried_streams(spark, tmp_path):
+    spark.createDataFrame([("h", i, 1000 * i) for i in range(5)] + [("g", 9, 50)], "host string, id long, at_ms long").coalesce(1).write.parquet(f"{tmp_path}/r")
+    source = spark.readStream.schema("host string, id long, at_ms long").parquet(f"{tmp_path}/r")
+    ingest.paced(source).writeStream.format("memory").queryName("paced").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    expected = {tuple(r) for r in jobs.host_slots(spark.read.parquet(f"{tmp_path}/r")).collect()}
+    assert {tuple(r) for r in spark.table("paced").collect()} == expected
+    spark.sql("SELECT 1 id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, n) at, 3 max_attempts FROM VALUES (0), (10), (20) t(n)").coalesce(1).write.parquet(f"{tmp_path}/f")
+    failures = spark.readStream.schema("id int, at timestamp, max_attempts int").parquet(f"{tmp_path}/f")
+    ingest.retried(failures).writeStream.format("memory").queryName("retried").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.attempts, r.run_at and r.run_at.minute) for r in spark.table("retried").orderBy("attempts").collect()] == [(1, 1), (2, 12), (3, None)]
+    seen = []
+    due = spark.createDataFrame([(1, "FETCH_URL", "PENDING", 0, 3), (2, "FETCH_URL", "RUNNING", 0, 3)], "id int, job_kind string, status string, attempts int, max_attempts int").withColumn("scheduled_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    due.write.parquet(f"{tmp_path}/j")
+    ingest.poll_due(spark.readStream.schema(due.schema).parquet(f"{tmp_path}/j"), "2024-02-01", lambda batch, _: seen.extend(r.id for r in batch.collect()), f"{tmp_path}/jc").start().awaitTermination()
+    assert seen == [1]
+
+
+def test_new_candidates_stream(spark, tmp_path):
+    spark.sql("SELECT 1 source_id, 'u' canonical_url, timestamp'2024-01-01 00:00:00' at UNION ALL SELECT 1, 'u', timestamp'2024-01-01 00:01:00' UNION ALL SELECT 2, 'u', timestamp'2024-01-01 00:01:00'").write.parquet(f"{tmp_path}/c")
+    found = spark.readStream.schema("source_id int, canonical_url string, at timestamp").parquet(f"{tmp_path}/c")
+    ingest.new_candidates(found).writeStream.format("memory").queryName("fresh").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.source_id for r in spark.table("fresh").collect()) == [1, 2]
 
 
 def test_queries_have_names_without_session_state():

@@ -81,18 +81,15 @@ def test_unclear_entities(spark):
 
 
 def test_every_customer_is_resolved(spark):
-    """The registered SQL keeps the modulo filter; without it, it gives the expected rows."""
     for name in ("resolve_candidates", "resolve_mentions"):
-        whole = duck(entry.oracle_sql()[name].replace(" WHERE c_custkey % 3 = 0", ""))
-        assert sorted(tuple(r) for r in rows(spark, name)) == sorted(whole)
+        whole = duck(entry.oracle_sql()[name])
+        assert sorted(map(tuple, rows(spark, name)), key=str) == sorted(whole, key=str)
     people = {r.mention_id for r in rows(spark, "resolve_mentions") if r.mention_id.startswith("m:")}
     assert people == {f"m:{i}" for (i,) in duck("SELECT c_custkey FROM customer")}
 
 
 def test_versions_of_whole_texts(spark):
-    """The registered SQL hashes six characters; over the whole text, it gives the expected rows."""
-    sql = entry.oracle_sql()["doc_versions"]
-    assert sorted(tuple(r) for r in rows(spark, "doc_versions")) == sorted(duck(sql.replace("substr(text, 1, 6)", "text")))
+    assert sorted(tuple(r) for r in rows(spark, "doc_versions")) == sorted(duck(entry.oracle_sql()["doc_versions"]))
 
 
 def test_a_change_after_the_sixth_character_is_a_version(spark, tmp_path):
@@ -102,23 +99,21 @@ def test_a_change_after_the_sixth_character_is_a_version(spark, tmp_path):
 
 
 def test_all_edges_are_sorted(spark):
-    """The registered SQL keeps 100 edges; without its limit, it gives the expected rows."""
-    whole = duck(entry.oracle_sql()["research_sorted"].replace(" LIMIT 100", ""))
+    whole = duck(entry.oracle_sql()["research_sorted"])
     assert len(whole) > 100 and sorted(tuple(r) for r in rows(spark, "research_sorted")) == sorted(whole)
 
 
 def test_positions(spark):
     values = [(f"n{i % 7}", str(i)) for i in range(500)]
-    got = graph.positions(spark.createDataFrame(values, "name string, id string"), ["name", "id"], buckets=16).collect()
+    got = graph.positions(spark.createDataFrame(values, "name string, id string"), ["name", "id"]).collect()
     assert [(r.name, r.id) for r in sorted(got, key=lambda r: r.position)] == sorted(values) and {r.position for r in got} == set(range(1, 501))
     assert graph.positions(spark.createDataFrame([], "id string"), ["id"]).count() == 0
 
 
 def test_walk_from_every_root(spark):
-    """The registered SQL starts at ten parts; from all parts, it gives the expected rows."""
-    whole = duck(entry.oracle_sql()["sitemap_walk"].replace(" WHERE p_partkey < 10", ""))
+    whole = duck(entry.oracle_sql()["sitemap_walk"])
     got = [tuple(r) for r in rows(spark, "sitemap_walk")]
-    assert sorted(got) == sorted(whole) and {r[1] for r in got} == {i for (i,) in duck("SELECT p_partkey FROM part")}
+    assert sorted(got, key=str) == sorted(whole, key=str) and {r[1] for r in got} == {i for (i,) in duck("SELECT p_partkey FROM part")}
 
 
 def test_metadata_signals(spark):
@@ -139,7 +134,9 @@ def test_metadata_signals(spark):
     scored = resolution.candidates(mentions, entities, aliases)
     got = {(r.mention_id, r.entity_id): (r.score, r.signals) for r in scored.collect()}
     assert got == {
-        ("a", "1"): (0.21, "party+position+organisation"), ("b", "2"): (0.2, "party+canton"), ("c", "1"): (0.96, "name+period+co-mentioned"), ("c", "3"): (0.34, "surname"),
-        ("d", "1"): (0.49, "surname+party+position"), ("d", "3"): (0.34, "surname"), ("f", "1"): (0.2, "party+position+period"),
+        ("a", "1"): (0.21, "same party+same position+same organisation"), ("b", "2"): (0.2, "same party+same canton"), ("c", "1"): (0.96, "exact canonical name+overlapping time period+co-mentioned entity"), ("c", "3"): (0.34, "same surname"),
+        ("d", "1"): (0.49, "same surname+same party+same position"), ("d", "3"): (0.34, "same surname"), ("f", "1"): (0.2, "same party+same position+overlapping time period"),
     }
-    assert {r.mention_id: r.decision for r in resolution.resolve(mentions, scored).collect()} == {"a": "BELOW_THRESHOLD", "b": "BELOW_THRESHOLD", "c": "AUTO_RESOLVED", "d": "AMBIGUOUS", "e": "NO_MATCH", "f": "BELOW_THRESHOLD"}
+    told = {r.mention_id: (r.status, (r.reason or "-")[:3]) for r in resolution.resolve(mentions, scored).collect()}
+    weak = ("MANUAL_REVIEW", "Top")
+    assert told == {"a": weak, "b": weak, "c": ("AUTO_RESOLVED", "-"), "d": ("MANUAL_REVIEW", "Amb"), "e": ("NO_MATCH", "No "), "f": weak}
