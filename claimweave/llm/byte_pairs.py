@@ -187,6 +187,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
     of text or word is encoded whole.
     """
     keep = keep or ["doc_id"]
+    if clash := {"n_tokens", "ids_sha256", "decoded_sha256", "token_ids"} & set(keep):
+        raise ValueError(f"cannot keep columns of these names: {sorted(clash)}")
     base = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
 
     def run(batches):

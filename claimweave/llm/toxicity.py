@@ -187,10 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default doc_id), score (0 to 1) and predicted (1 from ``threshold`` on) of each row's whole text.
 
-    Null and empty texts are scored as texts without words.  Repeated rows score alike.  Without labelled rows of
-    both classes every score is 0.
+    Null and empty texts are scored as texts without words.  Repeated rows score alike; ties at the threshold are
+    predicted.  Texts of any length are scored whole.  Without labelled rows of both classes every score is 0.  An empty
+    table gives an empty result.
     """
     keep = keep or ["doc_id"]
+    if clash := {"score", "predicted"} & set(keep):
+        raise ValueError(f"cannot keep columns of these names: {sorted(clash)}")
     base = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")]))
     place = keep.index("text") if "text" in keep else len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
