@@ -93,24 +93,30 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def links_of_tile(names: list[int], sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a tile (side all 0), or between sides 0 and 1, as many as connect what is linked.
+def links_of_tile(names: list[int], sets: list[np.ndarray], both: bool, side: np.ndarray, home: np.ndarray, copies: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Every link of a tile, or (``both``) between its sides 0 and 1, told as pairs that connect all that is linked
+    and each set's number of linked rows.
 
-    A pair whose members are already connected needs no proof and is passed over.
+    Sets that are both guests of the tile's band (``home`` false) meet in the band below, and not here.  For the exact
+    intersection each set is an array of places in the tile's sorted dictionary: the larger sets' arrays are looked up
+    in the marked places of the smaller one.
     """
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    names, sets, side, sizes = [names[i] for i in order], [sets[i] for i in order], side[order], sizes[order]
+    names, sets, side, home, copies, sizes = [names[i] for i in order], [sets[i] for i in order], side[order], home[order], copies[order], sizes[order]
     bitmap = _signatures(sets)
-    root = np.arange(len(sets))
-    both = side.any() and not side.all()
+    dictionary, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(places.astype(np.int32), np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(dictionary), np.uint8)
+    root, linked = np.arange(len(sets)), np.zeros(len(sets), np.int64)
     out = []
     for i in range(len(sets)):
         end = np.searchsorted(sizes, sizes[i] * DENOMINATOR // NUMERATOR, side="right")
         other = np.arange(i + 1, end)
-        other = other[root[other] != root[i]]
         if both:
             other = other[side[other] != side[i]]
+        if not home[i]:
+            other = other[home[other]]
         if not len(other):
             continue
         # every bit that i has and j lacks stands for a shingle of i that is not in j
@@ -118,30 +124,39 @@ def links_of_tile(names: list[int], sets: list[np.ndarray], side: np.ndarray) ->
         beyond = np.bitwise_count(bitmap[other] & ~bitmap[i]).sum(axis=1, dtype=np.int64)
         most = np.minimum(sizes[i] - alone, sizes[other] - beyond)
         other = other[(DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (sizes[i] + sizes[other])]
-        for j in other:
-            if root[j] == root[i]:
-                continue
-            at = np.searchsorted(sets[j], sets[i])
-            at[at == sizes[j]] = 0
-            common = int(np.count_nonzero(sets[j][at] == sets[i]))
-            if DENOMINATOR * common >= NUMERATOR * (sizes[i] + sizes[j] - common):
+        if not len(other):
+            continue
+        marked[places[i]] = 1
+        starts = np.concatenate([[0], np.cumsum(sizes[other])[:-1]])
+        common = np.add.reduceat(marked[np.concatenate([places[j] for j in other])], starts, dtype=np.int64)
+        marked[places[i]] = 0
+        other = other[DENOMINATOR * common >= NUMERATOR * (sizes[i] + sizes[other] - common)]
+        linked[i] += copies[other].sum()
+        linked[other] += copies[i]
+        for j in other[root[other] != root[i]]:
+            if root[j] != root[i]:
                 out.append((names[i], names[j]))
                 root[root == root[j]] = root[i]
-    return out
+    return out, [(names[i], int(linked[i])) for i in np.flatnonzero(linked)]
 
 
 def _tile(table: pa.Table) -> pa.Table:
     names = table.column("fp").to_pylist()
     sets = [shingle_set(x.as_py()) for x in table.column("text")]
-    found = links_of_tile(names, sets, table.column("side").to_numpy()) if len(names) > 1 else []
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    side, home, copies = (table.column(c).to_numpy() for c in ("side", "home", "c"))
+    cross = table.column("t")[0].as_py() != table.column("other")[0].as_py()
+    found, linked = links_of_tile(names, sets, cross, side, home.astype(bool), copies) if len(names) > 1 else ([], [])
+    a, b = [x for x, _ in found] + [x for x, _ in linked], [y for _, y in found] + [None] * len(linked)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([0] * len(found) + [n for _, n in linked], pa.int64())})
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, k (a hash of the row's doc_id and text), n_shingles and component_id of each row of ``docs``.
+    """doc_id, k (a hash of the row's doc_id and text), n_shingles, component_id and n_links of each row of ``docs``.
 
     Two documents link when their sets of distinct five-word shingles have a Jaccard similarity of 0.75 or
-    more; component_id is the smallest doc_id reachable.  A document with fewer than five words has its
+    more; component_id is the smallest doc_id reachable, n_links the number of other rows that link with the row,
+    copies included.  Links are all verified and counted in their tiles; what leaves a tile is no more than its
+    sets: a spanning forest and the counts.  A document with fewer than five words has its
     whole sequence as its one shingle.  Null, empty and blank texts have no shingles and link with nothing.
     Repeated rows are members of one component.  Null doc_ids stay, and count only where no other id is there.
     """
@@ -177,7 +192,7 @@ def _shared(held: DataFrame) -> DataFrame:
 
 
 def _finished(base: DataFrame, told: DataFrame, families: DataFrame) -> DataFrame:
-    sets = told.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"), F.min("k").alias("k"))
+    sets = told.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"), F.min("k").alias("k"), F.count(F.lit(1)).alias("c"))
     members = families.select(F.col("node").alias("fp"), F.col("root").alias("family")).join(sets, "fp")
     level = F.log(F.col("n").cast("double")) / float(np.log(BAND))
     own, low = F.floor(level).cast("int"), F.floor(level - float(np.log(OVERLAP) / np.log(BAND))).cast("int")
@@ -187,22 +202,35 @@ def _finished(base: DataFrame, told: DataFrame, families: DataFrame) -> DataFram
     plan = settle(bands.join(whole, "family").select("family", "band", (F.col("total") <= TILE).alias("small"), "tiles"))
     dealt = members.withColumn("home", F.col("band") == own).join(plan, ["family", "band"]).where("home or not small")
     t, n = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"), F.col("tiles")
-    place = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.col("band").alias("band"), F.least(o, t).alias("t"), F.greatest(o, t).alias("other"), (t > o).cast("int").alias("side")))
-    one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).alias("t"), F.lit(0).alias("other"), F.lit(0).alias("side")))
-    placed = dealt.select("k", "fp", "family", F.when(F.col("small"), one).otherwise(place).alias("places"))
-    gathered = placed.groupBy("k", "fp", "family").agg(F.flatten(F.collect_list("places")).alias("places"))
+    place = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.col("band").alias("band"), F.least(o, t).alias("t"), F.greatest(o, t).alias("other"), (t > o).cast("int").alias("side"), F.col("home").cast("int").alias("home")))
+    one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).alias("t"), F.lit(0).alias("other"), F.lit(0).alias("side"), F.lit(1).alias("home")))
+    placed = dealt.select("k", "fp", "c", "family", F.when(F.col("small"), one).otherwise(place).alias("places"))
+    gathered = placed.groupBy("k", "fp", "c", "family").agg(F.flatten(F.collect_list("places")).alias("places"))
     gathered = settle(gathered)
     if gathered.count() <= BROADCAST:
         gathered = F.broadcast(gathered)
-    texts = base.select("k", "text").join(gathered, "k").select("fp", "family", F.explode("places").alias("p"), "text")
-    links = texts.select("fp", "family", "p.band", "p.t", "p.other", "p.side", "text").groupBy("family", "band", "t", "other").applyInArrow(_tile, "a long, b long")
-    linked = components(links)
+    texts = base.select("k", "text").join(gathered, "k")
+    if _repeated(told):
+        texts = texts.dropDuplicates(["k"])
+    texts = texts.select("fp", "c", "family", F.explode("places").alias("p"), "text")
+    tiles = texts.select("fp", "c", "family", "p.band", "p.t", "p.other", "p.side", "p.home", "text").groupBy("family", "band", "t", "other")
+    links = settle(tiles.applyInArrow(_tile, "a long, b long, n long"))
+    linked = components(links.where("b IS NOT NULL").select("a", "b"))
+    counted = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
 
     owners = told.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
     in_component = owners.join(linked, owners.fp == linked.node).groupBy("root").agg(F.min("least").alias("component_id"))
-    by_link = linked.join(in_component, "root").select(F.col("node").alias("fp"), "component_id")
-    copies = owners.where("c > 1").join(linked, owners.fp == linked.node, "left_anti").select("fp", F.col("least").alias("component_id"))
-    return told.join(by_link.union(copies), "fp", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    owned = owners.withColumnRenamed("fp", "node")
+    by_link = linked.join(counted.withColumnRenamed("a", "node"), "node").join(owned, "node").join(in_component, "root")
+    by_link = by_link.select(F.col("node").alias("fp"), "component_id", (F.col("c") - 1 + F.col("others")).alias("n_links"))
+    copies = owners.where("c > 1").join(linked, owners.fp == linked.node, "left_anti").select("fp", F.col("least").alias("component_id"), (F.col("c") - 1).alias("n_links"))
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return told.join(by_link.union(copies), "fp", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _repeated(told: DataFrame) -> bool:
+    """Whether a row with shingles occurs more than once as a whole."""
+    return bool(told.where("n > 0").groupBy("k").count().where("count > 1").limit(1).count())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -211,7 +239,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = settle(join(docs))
     first = found.groupBy("component_id", F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("k")).alias("alone")).agg(F.min(F.struct("doc_id", "k")).alias("f"))
     chosen = first.select(F.col("f.k").alias("__k"))
-    repeated = found.where("n_shingles > 0").groupBy("k").count().where("count > 1").limit(1).count()
+    repeated = _repeated(found.select("k", F.col("n_shingles").alias("n")))
     kept = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__k", row_key("doc_id", "__text")).join(chosen, "__k", "left_semi")
     if repeated:
         blank = F.col("__text").rlike(r"^[\x20\x09-\x0D]*$")

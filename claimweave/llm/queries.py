@@ -54,7 +54,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles"), "component_id")
+    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +122,6 @@ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM dw UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
-SELECT dw.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM dw LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
+SELECT dw.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(l.n_links, 0)::BIGINT AS n_links
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a) l USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
 }

@@ -163,20 +163,22 @@ def test_decontamination(spark):
     assert {r.doc_id for r in near.where("array_contains(near, '1')").collect()} >= {30, 31}
 
 
-def brute_components(rows):
+def brute_components(rows, links=False):
     def shingles(t):
         w = (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
         return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
     sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
+    root, n_links = list(range(len(rows))), [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if sets[i] and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
+                n_links[i], n_links[j] = n_links[i] + 1, n_links[j] + 1
                 root = [b if r == a else r for r in root]
-    return [(i, len(s), min((rows[j][0] for j in range(len(rows)) if root[j] == r and rows[j][0] is not None), default=None) if s else i) for (i, _), s, r in zip(rows, sets, root, strict=True)]
+    found = [(i, len(s), min((rows[j][0] for j in range(len(rows)) if root[j] == r and rows[j][0] is not None), default=None) if s else i) for (i, _), s, r in zip(rows, sets, root, strict=True)]
+    return [(*f, n) for f, n in zip(found, n_links, strict=True)] if links else found
 
 
 def families(seed, n=60):
@@ -197,8 +199,9 @@ def families(seed, n=60):
 def test_jaccard(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     rows = [*ROWS, *families(7), (901, "A b c"), (900, "a B c"), (902, "a b c d e"), (903, "A b c d E")]
-    got = by_id(jaccard.join(docs(spark, rows)).select("doc_id", "n_shingles", "component_id"))
-    assert got == sorted(brute_components(rows), key=lambda r: (r[0] is not None, r[0] or 0, str(r)))
+    rows += rows[20:24]
+    got = by_id(jaccard.join(docs(spark, rows)).select("doc_id", "n_shingles", "component_id", "n_links"))
+    assert got == sorted(brute_components(rows, links=True), key=lambda r: (r[0] is not None, r[0] or 0, str(r)))
 
 
 def test_jaccard_keeps_one(spark):
