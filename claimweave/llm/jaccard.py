@@ -84,18 +84,32 @@ def _prefixes(frequent: np.ndarray):
     return run
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap of each set: one bit for each shingle, by hash; as many bits as twice the largest set."""
-    bits = 1 << max(9, min(16, int(2 * max(map(len, sets))).bit_length()))
-    out = np.zeros((len(sets), bits), bool)
+def _signatures(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A bitmap of each set: one bit for each shingle, by hash."""
+    out = np.empty((len(sets), bits // 8), np.uint8)
     for row, s in zip(out, sets, strict=True):
-        row[(mix(s) & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+        one = np.zeros(bits, bool)
+        one[(mix(s) & np.uint64(bits - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(one)
+    return out.view(np.uint64)
+
+
+def _may_link(bitmap: np.ndarray, sizes: np.ndarray, i: int, other: np.ndarray) -> np.ndarray:
+    """Those of ``other`` whose overlap with i, by the bits that only one of both has, may suffice; some at a time, to bound memory."""
+    step, kept = max(1, (1 << 19) // bitmap.shape[1]), []
+    for at in range(0, len(other), step):
+        some = other[at : at + step]
+        # every bit that i has and j lacks stands for a shingle of i that is not in j
+        alone = np.bitwise_count(bitmap[i] & ~bitmap[some]).sum(axis=1, dtype=np.int64)
+        beyond = np.bitwise_count(bitmap[some] & ~bitmap[i]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(sizes[i] - alone, sizes[some] - beyond)
+        kept.append(some[(DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (sizes[i] + sizes[some])])
+    return np.concatenate(kept) if kept else other
 
 
 def links_of_tile(names: list[int], sets: list[np.ndarray], both: bool, side: np.ndarray, home: np.ndarray, copies: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Every link of a tile, or (``both``) between its sides 0 and 1, told as pairs that connect all that is linked
-    and each set's number of linked rows.
+    and each set's number of linked rows.  A bitmap has at least as many bits as twice the shingles of the smaller set, up to 65536.
 
     Sets that are both guests of the tile's band (``home`` false) meet in the band below, and not here.  For the exact
     intersection each set is an array of places in the tile's sorted dictionary: the larger sets' arrays are looked up
@@ -104,7 +118,8 @@ def links_of_tile(names: list[int], sets: list[np.ndarray], both: bool, side: np
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     names, sets, side, home, copies, sizes = [names[i] for i in order], [sets[i] for i in order], side[order], home[order], copies[order], sizes[order]
-    bitmap = _signatures(sets)
+    widths = np.array([1 << max(9, min(16, int(2 * n).bit_length())) for n in sizes])
+    bitmap, width, first = np.empty((0, 0), np.uint64), 0, 0
     dictionary, places = np.unique(np.concatenate(sets), return_inverse=True)
     places = np.split(places.astype(np.int32), np.cumsum(sizes)[:-1])
     marked = np.zeros(len(dictionary), np.uint8)
@@ -117,13 +132,12 @@ def links_of_tile(names: list[int], sets: list[np.ndarray], both: bool, side: np
             other = other[side[other] != side[i]]
         if not home[i]:
             other = other[home[other]]
-        if not len(other):
-            continue
-        # every bit that i has and j lacks stands for a shingle of i that is not in j
-        alone = np.bitwise_count(bitmap[i] & ~bitmap[other]).sum(axis=1, dtype=np.int64)
-        beyond = np.bitwise_count(bitmap[other] & ~bitmap[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(sizes[i] - alone, sizes[other] - beyond)
-        other = other[(DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (sizes[i] + sizes[other])]
+        if width != widths[i]:
+            # sets by size: this width is that of the next sets, whose partners are up to a third larger
+            width, first = widths[i], i
+            last = np.searchsorted(widths, width, side="right") - 1
+            bitmap = _signatures(sets[first : np.searchsorted(sizes, sizes[last] * DENOMINATOR // NUMERATOR, side="right")], width)
+        other = _may_link(bitmap, sizes[first:], i - first, other - first) + first
         if not len(other):
             continue
         marked[places[i]] = 1
