@@ -216,12 +216,17 @@ def evidence_context(b: Bridge) -> DataFrame:
 def _mentions(b: Bridge) -> DataFrame:
     people = b("customer").select(F.concat(F.lit("m:"), F.col("c_custkey").cast("string")).alias("mention_id"), F.lit("PERSON").alias("entity_type"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("canton"), F.col("c_nationkey").cast("string").alias("country"))
     firms = b("supplier").select(F.concat(F.lit("f:"), F.col("s_suppkey").cast("string")), F.lit("COMPANY"), F.concat(F.lit("the "), F.col("s_name")), F.lit(None).cast("string"), F.col("s_nationkey").cast("string"))
-    return people.union(firms)
+    # Mentions that do not resolve: a surname alone, two surnames, and a name that no one has.
+    i, number = F.col("c_custkey"), F.substring_index("c_name", "#", -1)
+    name = F.when(i % 3 == 0, F.concat(F.lit("Mx "), number)).when(i % 3 == 1, F.concat(number, F.lit(" "), F.lpad((i + 1).cast("string"), 9, "0"))).otherwise("Nobody Else")
+    vague = b("customer").select(F.concat(F.lit("x:"), i.cast("string")), F.lit("PERSON"), name, F.lit(None).cast("string"), F.when(i % 3 == 0, F.col("c_nationkey").cast("string")))
+    return people.union(firms).union(vague)
 
 
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _CANDIDATES = f"""m AS (SELECT 'm:' || CAST(c_custkey AS VARCHAR) AS mention_id, 'PERSON' AS entity_type, {_NORM.format('c_name')} AS n, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS canton, CAST(c_nationkey AS VARCHAR) AS country FROM customer
-  UNION ALL SELECT 'f:' || CAST(s_suppkey AS VARCHAR), 'COMPANY', {_NORM.format("'the ' || s_name")}, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier),
+  UNION ALL SELECT 'f:' || CAST(s_suppkey AS VARCHAR), 'COMPANY', {_NORM.format("'the ' || s_name")}, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier
+  UNION ALL SELECT 'x:' || CAST(c_custkey AS VARCHAR), 'PERSON', CASE c_custkey % 3 WHEN 0 THEN 'mx ' || split_part(c_name, '#', 2) WHEN 1 THEN split_part(c_name, '#', 2) || ' ' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0') ELSE 'nobody else' END, NULL, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey AS VARCHAR) END FROM customer),
 e AS (SELECT id AS entity_id, entity_type, canonical_name, {_NORM.format('canonical_name')} AS n, lower(canton) AS canton, country, string_split({_NORM.format('canonical_name')}, ' ')[-1] AS last FROM g_entities WHERE entity_type IN ('PERSON', 'COMPANY')),
 al AS (SELECT entity_id, list(DISTINCT {_NORM.format('alias')}) AS names FROM g_aliases GROUP BY entity_id),
 p AS (SELECT m.mention_id, e.entity_id, e.canonical_name, e.last, m.canton IS NOT DISTINCT FROM e.canton AND m.canton IS NOT NULL AS canton, m.country = e.country AS country,
