@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .written import kept
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
 
 _PREDICATE = "CASE l.l_orderkey % 8 WHEN 0 THEN 'BOARD_MEMBER_OF' WHEN 1 THEN 'EMPLOYED_BY' WHEN 2 THEN 'OWNS' WHEN 3 THEN 'SHAREHOLDER_OF' WHEN 4 THEN 'HAS_MANDATE_AT' WHEN 5 THEN 'MEMBER_OF' WHEN 6 THEN 'ADVISOR_TO' ELSE 'SPOKE_AT' END"
@@ -68,6 +70,15 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+def _raw(name: str) -> list[str]:
+    """The driver's tables that a domain table comes from, directly or not."""
+    return [name] if name not in TABLES else list(dict.fromkeys(r for n in _needs(sql_of(name)) for r in _raw(n)))
+
+
+#: Domain tables that many queries name more than once: written once, so that plans read them instead of deriving them anew.
+WRITTEN = ("g_claims", "g_evidence")
+
+
 class Bridge:
     """Domain tables as DataFrames, made when asked for."""
 
@@ -78,7 +89,8 @@ class Bridge:
         if name not in self.made:
             if name in TABLES:
                 sql = sql_of(name)
-                self.made[name] = self.spark.sql(sql, **{n: self(n) for n in _needs(sql)})
+                make = lambda: self.spark.sql(sql, **{n: self(n) for n in _needs(sql)})
+                self.made[name] = kept(self.spark, name, [f"{self.sf_dir}/{r}.parquet" for r in _raw(name)], make) if name in WRITTEN else make()
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]

@@ -95,31 +95,40 @@ def create_or_reuse(wanted: DataFrame, jobs: DataFrame, key: str, active_only: b
 
 
 def fetch_outcomes(jobs: DataFrame, candidates: DataFrame, responses: DataFrame, stored: DataFrame, as_of: str) -> DataFrame:
-    """What becomes of a batch of started fetch jobs (id, url_candidate_id, attempts, max_attempts), one row each.
+    """What becomes of a batch of started fetch jobs (id, url_candidate_id, attempts, max_attempts, scheduled_at), one row each.
 
-    candidates: id, canonical_url, crawl_run_id; responses: canonical_url, content_hash, error; stored: canonical_url,
-    content_hash of documents.  A known hash is UNCHANGED and skips the rest; else the document is CREATED or a
-    CREATED_NEW_VERSION, and extraction and analysis jobs follow.  A failing item fails alone, and its candidate only after the last
-    attempt; so does a job without a candidate or without a response.
+    candidates: id, crawl_run_id; responses: id of the job, canonical_url after redirects, content_hash, error (the least of several
+    counts); stored: canonical_url, content_hash of documents.  The batch is worked through by scheduled_at and id, and each job sees what
+    the jobs before it stored: a hash of the url that is known by then is UNCHANGED and skips the rest; else the document is CREATED, or a
+    CREATED_NEW_VERSION of the url, with its number, and extraction and analysis jobs follow.  A failing item fails alone, and its
+    candidate only after the last attempt; so does a job without a candidate or without a response.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
-    c = candidates.select(F.col("id").alias("url_candidate_id"), "canonical_url", "crawl_run_id", F.lit(True).alias("has_candidate"))
-    known = stored.groupBy("canonical_url").agg(F.lit(True).alias("known_url"))
-    same = stored.select("canonical_url", "content_hash").distinct().withColumn("known_hash", F.lit(True))
-    j = jobs.join(c, "url_candidate_id", "left").join(responses, "canonical_url", "left").join(known, "canonical_url", "left").join(same, ["canonical_url", "content_hash"], "left")
+    c = candidates.select(F.col("id").alias("url_candidate_id"), "crawl_run_id", F.lit(True).alias("has_candidate"))
+    r = responses.groupBy("id").agg(F.min(F.struct("canonical_url", "content_hash", "error")).alias("r")).select("id", "r.*")
+    j = jobs.join(c, "url_candidate_id", "left").join(r, "id", "left")
     error = (  # fixed values
         F.when(F.col("url_candidate_id").isNull(), "FETCH_URL jobs require a URL candidate.")
         .when(F.col("has_candidate").isNull(), "FETCH_URL job references an unknown URL candidate.")
         .when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("content_hash").isNull(), "Unknown ingestion error.")
+        .when(F.col("content_hash").isNull() | F.col("canonical_url").isNull(), "Unknown ingestion error.")
     )
-    outcome = F.when(error.isNotNull(), "FAILED").when(F.col("known_hash"), "UNCHANGED").when(F.col("known_url"), "CREATED_NEW_VERSION").otherwise("CREATED")
-    told = j.withColumn("error_message", error).withColumn("outcome", outcome)
+    told = j.withColumn("error_message", error).withColumn("turn", F.struct("scheduled_at", "id"))
+    # A url's new hashes in the order of their first jobs: one row for each, before any window, however many jobs a url has.
+    known = stored.select("canonical_url", "content_hash").distinct()
+    first = told.where("error_message is null").groupBy("canonical_url", "content_hash").agg(F.min("turn").alias("first")).join(known, ["canonical_url", "content_hash"], "left_anti")
+    before = stored.groupBy("canonical_url").agg(F.count(F.lit(1)).alias("n_stored"))
+    number = F.row_number().over(Window.partitionBy("canonical_url").orderBy("first")) + F.coalesce("n_stored", F.lit(0))
+    made = first.join(before, "canonical_url", "left").select("canonical_url", "content_hash", "first", number.cast("long").alias("made"))
+    told = told.join(made, ["canonical_url", "content_hash"], "left")
+    makes = F.col("turn") == F.col("first")
+    outcome = F.when(F.col("error_message").isNotNull(), "FAILED").when(makes & (F.col("made") == 1), "CREATED").when(makes, "CREATED_NEW_VERSION").otherwise("UNCHANGED")
+    told = told.withColumn("outcome", outcome)
     retry = F.col("attempts") < F.col("max_attempts")
     bad, changed = F.col("outcome") == "FAILED", F.col("outcome").isin("CREATED", "CREATED_NEW_VERSION")
     wait = now + F.make_dt_interval(F.lit(0), F.lit(0), backoff_minutes(F.col("attempts")).cast("int"))
     return told.select(
-        "id", "url_candidate_id", "crawl_run_id", "outcome", "error_message",
+        "id", "url_candidate_id", "crawl_run_id", "outcome", F.when(changed, F.col("made")).alias("version"), "error_message",
         F.when(bad & retry, "PENDING").when(bad, "FAILED").when(changed, "SUCCEEDED").otherwise("SKIPPED").alias("job_status"),
         F.when(bad & retry, wait).alias("retry_at"),
         F.when(bad & retry, "PENDING").when(bad, "FAILED").when(changed, "FETCHED").otherwise("SKIPPED").alias("candidate_status"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..ontology import CANDIDATE_STATUSES
 
@@ -33,36 +34,76 @@ def queue_claims(claims: DataFrame, queue: DataFrame) -> DataFrame:
     return unqueued(claims, queue).select(F.concat("id", F.lit(":new")).alias("id"), F.col("id").alias("claim_id"), F.lit("OPEN").alias("status"), "created_on")
 
 
-def current_state(claims: DataFrame, events: DataFrame) -> DataFrame:
-    """Claims after a log of transitions (claim_id, seq, to_status): the last of each claim counts.
+def transitions(claims: DataFrame, events: DataFrame, entities: DataFrame, compatible: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each transition (claim_id, seq, to_status, actor_id) of a log with what it met: before, reason (null if it was accepted) and the claim.
 
-    VERIFIED needs an object; such a transition without one is left out.
+    VERIFIED needs what the claim and its evidence are at that point of the log: a sound shape, entities that fit, evidence of a seq no
+    later than its own (evidence without a seq was there from the start), and an object entity.  A transition of an unknown claim is
+    refused.  Refused ones change nothing, so ``before`` is the status after the last accepted one.
     """
-    sound = events.join(claims.select(F.col("id").alias("claim_id"), "object_id"), "claim_id").where((F.col("to_status") != "VERIFIED") | F.col("object_id").isNotNull())
-    last = sound.groupBy("claim_id").agg(F.max_by("to_status", "seq").alias("to_status"), F.count(F.lit(1)).alias("n_transitions"))
-    return claims.join(last, claims.id == last.claim_id, "left").select("id", F.coalesce("to_status", "status").alias("status"), F.coalesce("n_transitions", F.lit(0).cast("long")).alias("n_transitions"))
-
-
-def audit(claims: DataFrame, events: DataFrame) -> DataFrame:
-    """One audit row for each transition with the status before and after, as JSON."""
-    from pyspark.sql.window import Window
-
-    before = F.lag("to_status").over(Window.partitionBy("claim_id").orderBy("seq"))
-    logged = events.withColumn("before", before).join(claims.select(F.col("id").alias("claim_id"), F.col("status").alias("first"), "predicate"), "claim_id")
-    return logged.select("claim_id", "seq", F.to_json(F.struct(F.coalesce("before", "first").alias("status"), "predicate")).alias("old_value"), F.to_json(F.struct(F.col("to_status").alias("status"), "predicate")).alias("new_value"))
+    from .validation import UNVERIFIABLE, refusals
+
+    since = F.min(F.col("seq") if "seq" in evidence.columns else F.lit(0))
+    backed = evidence.groupBy(F.col("claim_id").alias("id")).agg(since.alias("backed_since"))
+    told = refusals(claims, entities, compatible).join(backed, "id", "left")
+    c = told.select(F.col("id").alias("claim_id"), F.lit(True).alias("known"), "shape", "backed_since", F.col("status").alias("first"), "predicate", "connection_class", "subject_id", "object_id", "literal_value", "supersedes_id")
+    judged = events.join(c, "claim_id", "left")
+    verify = F.col("to_status") == "VERIFIED"
+    reason = (
+        F.when(F.col("known").isNull(), "Claim does not exist.")  # fixed value
+        .when(verify & F.col("shape").isNotNull(), F.col("shape"))
+        .when(verify & ~F.coalesce(F.col("backed_since") <= F.col("seq"), F.lit(False)), UNVERIFIABLE["evidence"])
+        .when(verify & F.col("literal_value").isNotNull() & F.col("object_id").isNull(), UNVERIFIABLE["literal"])
+    )
+    judged = judged.withColumn("reason", reason)
+    earlier = Window.partitionBy("claim_id").orderBy("seq", "to_status").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("reason").isNull(), F.col("to_status")), ignorenulls=True).over(earlier)
+    return judged.withColumn("before", F.coalesce(before, "first"))
+
+
+def current_state(claims: DataFrame, judged: DataFrame) -> DataFrame:
+    """Claims after ``transitions``: the last accepted one of each counts, and who made it."""
+    last = judged.where("reason is null").groupBy(F.col("claim_id").alias("id")).agg(F.max(F.struct("seq", "to_status", "actor_id")).alias("last"), F.count(F.lit(1)).alias("n_transitions"))
+    return claims.join(last, "id", "left").select("id", F.coalesce("last.to_status", "status").alias("status"), F.col("last.actor_id").alias("reviewed_by"), F.coalesce("n_transitions", F.lit(0).cast("long")).alias("n_transitions"))
+
+
+def audit(judged: DataFrame) -> DataFrame:
+    """One audit row for each accepted one of ``transitions``, with the claim before and after it as JSON."""
+    value = lambda status: F.to_json(F.struct("predicate", F.col("connection_class").alias("connectionClass"), F.col(status).alias("verificationStatus"), F.col("subject_id").alias("subjectEntityId"), F.col("object_id").alias("objectEntityId"), F.col("supersedes_id").alias("supersedesClaimId")))
+    return judged.where("reason is null").select("claim_id", "seq", "actor_id", F.concat(F.lit("CLAIM_"), "to_status").alias("action"), value("before").alias("old_value"), value("to_status").alias("new_value"))
+
+
+def final_targets(merges: DataFrame) -> DataFrame:
+    """(id, target_id) of every merged entity: where its claims are after all ``merges`` (source_id, target_id, seq; seq is unique), done by seq.
+
+    A merge takes along what is at its source at that time.  Claims of A go on with the first merge of A, then with the first later one of its
+    target, and so on; an earlier merge of the target is no step of theirs.  A merge of an entity into itself, or of null, is none.
+    """
+    m = merges.where("source_id <> target_id").select("source_id", "target_id", "seq")
+    later = m.select(F.col("source_id").alias("target_id"), F.col("seq").alias("next"))
+    after = m.select("target_id", "seq").join(later, "target_id").where("next > seq").groupBy("seq").agg(F.min("next").alias("next"))
+    steps = m.join(after, "seq", "left")
+    ends = lineage(steps.select(F.col("seq").alias("id"), F.col("next").alias("supersedes_id"))).join(m.select(F.col("seq").alias("root"), F.col("target_id").alias("last")), "root")
+    first = m.groupBy(F.col("source_id").alias("entity_id")).agg(F.min("seq").alias("id"))
+    return first.join(ends, "id").select(F.col("entity_id").alias("id"), F.col("last").alias("target_id"))
+
+
+def _renamed(claims: DataFrame, targets: DataFrame) -> DataFrame:
+    """Claims with endpoints rewritten by ``targets`` (id, target_id)."""
+    s = targets.select(F.col("id").alias("subject_id"), F.col("target_id").alias("s_to"))
+    o = targets.select(F.col("id").alias("object_id"), F.col("target_id").alias("o_to"))
+    joined = claims.join(s, "subject_id", "left").join(o, "object_id", "left")
+    return joined.select("id", F.coalesce("s_to", "subject_id").alias("subject_id"), F.coalesce("o_to", "object_id").alias("object_id"), "predicate")
 
 
 def merge_entities(claims: DataFrame, merges: DataFrame) -> DataFrame:
-    """Claims with endpoints rewritten by ``merges`` (source_id, target_id)."""
-    s = merges.select(F.col("source_id").alias("subject_id"), F.col("target_id").alias("s_to"))
-    o = merges.select(F.col("source_id").alias("object_id"), F.col("target_id").alias("o_to"))
-    joined = claims.join(s, "subject_id", "left").join(o, "object_id", "left")
-    return joined.select("id", F.coalesce("s_to", "subject_id").alias("subject_id"), F.coalesce("o_to", "object_id").alias("object_id"), "predicate")
+    """Claims with endpoints rewritten by all ``merges`` (source_id, target_id, seq), those of merged targets included."""
+    return _renamed(claims, final_targets(merges))
 
 
 def merge_conflicts(claims: DataFrame, merges: DataFrame) -> DataFrame:
-    """Claims that a merge would turn into a relation of an entity with itself; any refuses the merge."""
-    return merge_entities(claims, merges).where("subject_id = object_id")
+    """Claims that a batch of merges (source_id, target_id), done at once, would turn into a relation of an entity with itself."""
+    return _renamed(claims, merges.withColumnRenamed("source_id", "id")).where("subject_id = object_id")
 
 
 #: Why two entities are not merged.
@@ -136,6 +177,57 @@ def lineage(links: DataFrame) -> DataFrame:
     return now.select("id", "root", "depth")
 
 
+#: Why a verified claim is not edited.
+UNEDITABLE = {"bare": "Edited verified claims require replacement evidence.", "unknown": "Claim does not exist.", "status": "Only verified claims can be superseded."}
+
+
+def edit_verdicts(edits: DataFrame, drafts: DataFrame, claims: DataFrame, entities: DataFrame, compatible: DataFrame, documents: DataFrame) -> DataFrame:
+    """``edits`` with reason, the first refusal (null: the edit is made).
+
+    edits: id (of the replacement), claim_id (what it replaces), seq, actor_id, and the replacement's subject_id, predicate, object_id,
+    connection_class, valid_from, valid_to, literal_value; drafts: claim_id (the replacement's id), document_id, evidence_text, start_char, end_char.
+    An edit needs evidence, a VERIFIED claim, a sound replacement, sound evidence, and an object entity.  Of several sound edits of a claim
+    the first by seq is made; the others then find it OUTDATED.
+    """
+    from .validation import UNVERIFIABLE, add_evidence, refusals
+
+    sound = refusals(edits.drop("status"), entities, compatible).select("id", "shape")
+    bad = add_evidence(drafts.withColumn("id", F.monotonically_increasing_id()), edits.select("id"), documents)
+    told = bad.groupBy(F.col("claim_id").alias("id")).agg(F.count(F.lit(1)).alias("n_drafts"), F.min("reason").alias("evidence_reason"))
+    old = claims.select(F.col("id").alias("claim_id"), F.col("status").alias("old_status"))
+    judged = edits.join(sound, "id").join(told, "id", "left").join(old, "claim_id", "left")
+    reason = (
+        F.when(F.col("n_drafts").isNull(), UNEDITABLE["bare"]).when(F.col("old_status").isNull(), UNEDITABLE["unknown"]).when(F.col("old_status") != "VERIFIED", UNEDITABLE["status"])
+        .when(F.col("shape").isNotNull(), F.col("shape")).when(F.col("evidence_reason").isNotNull(), F.col("evidence_reason")).when(F.col("object_id").isNull(), UNVERIFIABLE["literal"])
+    )
+    judged = judged.withColumn("reason", reason)
+    first = judged.where("reason is null").groupBy("claim_id").agg(F.min(F.struct("seq", "id")).alias("first"))
+    late = F.col("reason").isNull() & (F.struct("seq", "id") != F.col("first"))
+    return judged.join(first, "claim_id", "left").withColumn("reason", F.when(late, UNEDITABLE["status"]).otherwise(F.col("reason"))).select(*edits.columns, "reason")
+
+
+def edit_changes(judged: DataFrame, drafts: DataFrame, claims: DataFrame, queue: DataFrame) -> dict[str, DataFrame]:
+    """The rows that ``edit_verdicts`` adds to the tables claims, evidence, audit and queue: to be committed together.
+
+    The replacement is VERIFIED and points to what it replaces, which becomes OUTDATED and keeps all else; their active queue items are
+    RESOLVED; and three audit rows tell of it, in order.
+    """
+    made = judged.where("reason is null")
+    fields = ["subject_id", "predicate", "object_id", "connection_class", "valid_from", "valid_to"]
+    new = made.select("id", F.lit("VERIFIED").alias("status"), F.col("claim_id").alias("supersedes_id"), F.col("actor_id").alias("reviewed_by"), *fields)
+    by = made.select(F.col("claim_id").alias("id"), "actor_id")
+    prior = F.col("supersedes_id") if "supersedes_id" in claims.columns else F.lit(None).cast("string").alias("supersedes_id")
+    old = claims.join(by, "id").select("id", F.lit("OUTDATED").alias("status"), prior, F.col("actor_id").alias("reviewed_by"), *fields)
+    text = F.trim("evidence_text")
+    evidence = drafts.join(made.select(F.col("id").alias("claim_id")), "claim_id", "left_semi").select(F.sha2(F.concat_ws("|", "claim_id", "document_id", text), 256).alias("id"), "claim_id", "document_id", text.alias("evidence_text"), F.sha2(text, 256).alias("evidence_hash"))
+    rows = [(0, "CLAIM_OUTDATED", "claim_id"), (1, "CLAIM_SUPERSEDED", "id"), (2, "CLAIM_VERIFIED", "id")]
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(a).alias("action"), F.col(c).alias("entity_id")) for i, a, c in rows])
+    audit_rows = made.select("seq", "actor_id", F.explode(steps).alias("s")).select(F.concat_ws(":", F.col("seq").cast("string"), F.col("s.step").cast("string")).alias("id"), "seq", "s.step", "s.action", "s.entity_id", "actor_id")
+    done = made.select(F.explode(F.array("claim_id", "id")).alias("claim_id"))
+    resolved = resolve_queue(queue, done).join(queue.where(F.col("status").isin(*ACTIVE)).select("id"), "id", "left_semi").where("status = 'RESOLVED'")
+    return {"claims": new.unionByName(old), "evidence": evidence, "audit": audit_rows, "queue": resolved}
+
+
 def superseding(claims: DataFrame, edits: DataFrame) -> DataFrame:
     """Claims after edits (id of the new claim, supersedes_id): the superseded become OUTDATED, and keep their dates."""
     old = edits.select(F.col("supersedes_id").alias("id")).distinct().withColumn("gone", F.lit(True))

@@ -73,33 +73,61 @@ def queue_claims(b: Bridge) -> DataFrame:
     return review.queue_claims(b("g_claims"), b("g_queue")).select("id", "claim_id", "status")
 
 
-_LOG = "SELECT id AS claim_id, 1 AS seq, CASE WHEN partkey % 3 = 0 THEN 'REJECTED' ELSE 'VERIFIED' END AS to_status FROM g_claims WHERE status = 'PENDING_REVIEW' AND partkey % 2 = 0 UNION ALL SELECT id, 2, 'OUTDATED' FROM g_claims WHERE status = 'PENDING_REVIEW' AND partkey % 4 = 0"
+#: A log of reviews: some claims are verified before their evidence comes, some twice, and some transitions are of claims that do not exist.
+_LOG = """SELECT CASE WHEN partkey % 7 = 0 THEN 'gone-' || id ELSE id END AS claim_id, 1 AS seq, CASE WHEN partkey % 3 = 0 THEN 'REJECTED' ELSE 'VERIFIED' END AS to_status, 'r1' AS actor_id FROM {g_claims} WHERE status = 'PENDING_REVIEW'
+  UNION ALL SELECT id, 2, 'DISPUTED', 'r2' FROM {g_claims} WHERE status = 'PENDING_REVIEW' AND partkey % 4 = 0 UNION ALL SELECT id, 3, 'VERIFIED', 'r3' FROM {g_claims} WHERE status = 'PENDING_REVIEW' AND partkey % 2 = 0
+  UNION ALL SELECT id, 4, 'OUTDATED', 'r1' FROM {g_claims} WHERE status IN ('VERIFIED', 'DISPUTED') AND partkey % 8 = 0"""
+_DATED = "SELECT claim_id, min(CASE WHEN document_id LIKE '%1' THEN 2 WHEN document_id LIKE '%2' THEN 9 ELSE 0 END) AS seq FROM g_evidence GROUP BY claim_id"
+_LITERAL = "SELECT *, CASE WHEN partkey % 2 = 0 THEN '{}' END AS literal FROM g_claims"
+_JUDGED = f"""log AS ({_LOG.replace('{g_claims}', 'g_claims')}), ev AS ({_DATED}), cl AS ({_LITERAL}),
+shape AS (SELECT c.*, CASE WHEN c.valid_from > c.valid_to THEN 'Date range must start before it ends.' WHEN s.id IS NULL THEN 'Claim subject entity does not exist.' WHEN c.object_id IS NULL AND literal IS NULL THEN 'A claim needs either an object entity or a literal value.'
+   WHEN c.object_id IS NOT NULL AND o.id IS NULL THEN 'Claim object entity does not exist.' WHEN c.object_id = c.subject_id THEN 'A claim cannot relate an entity to itself.' WHEN c.object_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g_compatible k WHERE k.predicate = c.predicate AND k.subject_type = s.entity_type AND k.object_type = o.entity_type) THEN 'Claim predicate is incompatible with the subject or object entity type.' END AS shape
+   FROM cl c LEFT JOIN g_entities s ON s.id = c.subject_id LEFT JOIN g_entities o ON o.id = c.object_id),
+judged AS (SELECT log.*, c.*, CASE WHEN c.id IS NULL THEN 'Claim does not exist.' WHEN to_status = 'VERIFIED' THEN CASE WHEN shape IS NOT NULL THEN shape WHEN ev.seq IS NULL OR ev.seq > log.seq THEN 'A claim cannot be verified without evidence.' WHEN object_id IS NULL THEN 'Literal claims are not publishable graph relationships yet.' END END AS reason
+   FROM log LEFT JOIN shape c ON c.id = log.claim_id LEFT JOIN ev ON ev.claim_id = log.claim_id)"""
 
 
-def _log(b: Bridge) -> DataFrame:
-    c = b("g_claims").where("status = 'PENDING_REVIEW' and partkey % 2 = 0")
-    one = c.select(F.col("id").alias("claim_id"), F.lit(1).alias("seq"), F.when(F.col("partkey") % 3 == 0, "REJECTED").otherwise("VERIFIED").alias("to_status"))
-    return one.union(c.where("partkey % 4 = 0").select("id", F.lit(2), F.lit("OUTDATED")))
+def _judged(b: Bridge) -> DataFrame:
+    document = F.col("document_id")
+    dated = b("g_evidence").select("claim_id", F.when(document.endswith("1"), 2).when(document.endswith("2"), 9).otherwise(0).alias("seq"))
+    claims = b("g_claims").withColumn("literal_value", F.when(F.col("partkey") % 2 == 0, "{}"))
+    return review.transitions(claims, b.spark.sql(_LOG, g_claims=b("g_claims")), b("g_entities"), b("g_compatible"), dated)
 
 
-@query("claim_current_state", f"WITH log AS ({_LOG}), ok AS (SELECT log.* FROM log JOIN g_claims c ON c.id = log.claim_id WHERE to_status <> 'VERIFIED' OR c.object_id IS NOT NULL), l AS (SELECT claim_id, arg_max(to_status, seq) AS to_status, count(*) AS n FROM ok GROUP BY claim_id) SELECT c.id, coalesce(l.to_status, c.status) AS status, coalesce(n, 0) AS n_transitions FROM g_claims c LEFT JOIN l ON l.claim_id = c.id")
+@query("transition_log", f"WITH {_JUDGED} SELECT claim_id, seq, to_status, reason FROM judged")
+def transition_log(b: Bridge) -> DataFrame:
+    return _judged(b).select("claim_id", "seq", "to_status", "reason")
+
+
+@query("claim_current_state", f"WITH {_JUDGED}, l AS (SELECT id, arg_max(to_status, seq) AS to_status, arg_max(actor_id, seq) AS actor_id, count(*) AS n FROM judged WHERE reason IS NULL GROUP BY id) SELECT c.id, coalesce(l.to_status, c.status) AS status, l.actor_id AS reviewed_by, coalesce(n, 0) AS n_transitions FROM g_claims c LEFT JOIN l ON l.id = c.id")
 def claim_current_state(b: Bridge) -> DataFrame:
-    return review.current_state(b("g_claims"), _log(b))
+    return review.current_state(b("g_claims"), _judged(b))
+
+
+_VALUE = """'{{"predicate":"' || predicate || '","connectionClass":"' || connection_class || '","verificationStatus":"' || {} || '","subjectEntityId":"' || subject_id || CASE WHEN object_id IS NULL THEN '' ELSE '","objectEntityId":"' || object_id END || '"}}'"""
 
 
-@query("audit_values", f"""WITH log AS ({_LOG}) SELECT claim_id, seq, '{{"status":"' || coalesce(lag(to_status) OVER (PARTITION BY claim_id ORDER BY seq), c.status) || '","predicate":"' || predicate || '"}}' AS old_value, '{{"status":"' || to_status || '","predicate":"' || predicate || '"}}' AS new_value FROM log JOIN g_claims c ON c.id = claim_id""")
+@query("audit_values", f"""WITH {_JUDGED}, a AS (SELECT *, coalesce(lag(to_status) OVER (PARTITION BY claim_id ORDER BY seq), status) AS old FROM judged WHERE reason IS NULL)
+SELECT claim_id, seq, actor_id, 'CLAIM_' || to_status AS action, {_VALUE.format('old')} AS old_value, {_VALUE.format('to_status')} AS new_value FROM a""")
 def audit_values(b: Bridge) -> DataFrame:
-    return review.audit(b("g_claims"), _log(b))
+    return review.audit(_judged(b))
 
 
-_MERGES = "SELECT 's:' || CAST(s_suppkey AS STRING) AS source_id, 's:' || CAST(s_suppkey - 1 AS STRING) AS target_id FROM supplier WHERE s_suppkey % 10 = 9"
+#: Suppliers merge into the next smaller one or into one of a tenth of their number, in an order that mixes them: chains, and targets that are gone before or after.
+_MERGES = "SELECT 's:' || CAST(s_suppkey AS STRING) AS source_id, 's:' || CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey - 1 ELSE s_suppkey // 10 + 1 END AS STRING) AS target_id, (s_suppkey * 7919) % 1000003 AS seq FROM {supplier} WHERE s_suppkey % 4 <> 1".replace("//", "DIV")
 
 
 def _merges(b: Bridge) -> DataFrame:
-    return b("supplier").where("s_suppkey % 10 = 9").selectExpr("'s:' || CAST(s_suppkey AS STRING) AS source_id", "'s:' || CAST(s_suppkey - 1 AS STRING) AS target_id")
+    return b.spark.sql(_MERGES, supplier=b("supplier"))
 
 
-@query("merge_entities", f"WITH m AS ({_MERGES}) SELECT c.id, coalesce(a.target_id, c.subject_id) AS subject_id, coalesce(z.target_id, c.object_id) AS object_id, c.predicate FROM g_claims c LEFT JOIN m a ON a.source_id = c.subject_id LEFT JOIN m z ON z.source_id = c.object_id")
+_M = _MERGES.replace("{supplier}", "supplier").replace("DIV", "//")
+
+
+@query("merge_entities", f"""WITH RECURSIVE m AS (SELECT * FROM ({_M}) WHERE source_id <> target_id),
+go(first, here, seq) AS (SELECT id, id, -1 FROM g_entities UNION ALL SELECT first, m.target_id, m.seq FROM go JOIN m ON m.source_id = go.here AND m.seq > go.seq AND NOT EXISTS (SELECT 1 FROM m e WHERE e.source_id = go.here AND e.seq > go.seq AND e.seq < m.seq)),
+f AS (SELECT first, arg_max(here, seq) AS here FROM go GROUP BY first)
+SELECT c.id, coalesce(a.here, c.subject_id) AS subject_id, coalesce(z.here, c.object_id) AS object_id, c.predicate FROM g_claims c LEFT JOIN f a ON a.first = c.subject_id LEFT JOIN f z ON z.first = c.object_id""")
 def merge_entities(b: Bridge) -> DataFrame:
     return review.merge_entities(b("g_claims"), _merges(b))
 
@@ -124,7 +152,7 @@ def merge_verdicts(b: Bridge) -> DataFrame:
     return review.merge_verdicts(_proposed(b), b("g_entities"), b("g_claims"))
 
 
-@query("merge_audit", f"""WITH m AS ({_MERGES}) SELECT e.id, 'ENTITY_MERGED' AS action, '{{"id":"' || e.id || '","entityType":"' || entity_type || '","canonicalName":"' || canonical_name || '"}}' AS old_value, '{{"id":"' || e.id || '","entityType":"' || entity_type || '","canonicalName":"' || canonical_name || '","targetEntityId":"' || target_id || '"}}' AS new_value FROM g_entities e JOIN m ON m.source_id = e.id""")
+@query("merge_audit", f"""WITH m AS ({_M}) SELECT e.id, 'ENTITY_MERGED' AS action, '{{"id":"' || e.id || '","entityType":"' || entity_type || '","canonicalName":"' || canonical_name || '"}}' AS old_value, '{{"id":"' || e.id || '","entityType":"' || entity_type || '","canonicalName":"' || canonical_name || '","targetEntityId":"' || target_id || '"}}' AS new_value FROM g_entities e JOIN m ON m.source_id = e.id""")
 def merge_audit(b: Bridge) -> DataFrame:
     return review.mark_merged(b("g_entities"), _merges(b))
 
@@ -305,22 +333,32 @@ def job_reuse(b: Bridge) -> DataFrame:
     return jobs.create_or_reuse(wanted, b("g_jobs"), "user_id", active_only=True)
 
 
-@query("fetch_outcome", f"""WITH j AS (SELECT id, CASE WHEN id % 17 = 0 THEN NULL ELSE user_id + CASE WHEN id % 19 = 0 THEN 1000000 ELSE 0 END END AS cand, attempts, max_attempts FROM g_jobs WHERE status = 'RUNNING'),
-c AS (SELECT DISTINCT user_id AS cand, 'u' || (user_id % 97) AS url FROM events), r AS (SELECT 'u' || doc_id AS url, sha256(text) AS hash, CASE WHEN doc_id % 10 = 3 THEN 'timed out' END AS err FROM documents WHERE doc_id % 10 <> 4),
-s AS (SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE 'old' END AS hash FROM documents WHERE doc_id % 2 = 0),
-o AS (SELECT j.*, CASE WHEN j.cand IS NULL THEN 'FETCH_URL jobs require a URL candidate.' WHEN c.cand IS NULL THEN 'FETCH_URL job references an unknown URL candidate.' WHEN err IS NOT NULL THEN err WHEN r.hash IS NULL THEN 'Unknown ingestion error.' END AS error_message, c.url, r.hash FROM j LEFT JOIN c USING (cand) LEFT JOIN r USING (url)),
-k AS (SELECT o.*, CASE WHEN error_message IS NOT NULL THEN 'FAILED' WHEN EXISTS (SELECT 1 FROM s WHERE s.url = o.url AND s.hash = o.hash) THEN 'UNCHANGED' WHEN EXISTS (SELECT 1 FROM s WHERE s.url = o.url) THEN 'CREATED_NEW_VERSION' ELSE 'CREATED' END AS outcome FROM o)
-SELECT id, outcome, error_message, CASE outcome WHEN 'FAILED' THEN CASE WHEN attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END WHEN 'UNCHANGED' THEN 'SKIPPED' ELSE 'SUCCEEDED' END AS job_status, CASE outcome WHEN 'FAILED' THEN CASE WHEN attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END WHEN 'UNCHANGED' THEN 'SKIPPED' ELSE 'FETCHED' END AS candidate_status,
+#: Jobs in order of their time; a job's response has the text of one of three documents of its user at one of seven pages of its candidate's site.
+_FETCHED = f"""j AS (SELECT id, scheduled_at, CASE WHEN id % 17 = 0 THEN NULL ELSE user_id + CASE WHEN id % 19 = 0 THEN 1000000 ELSE 0 END END AS cand, attempts, max_attempts FROM g_jobs WHERE status = 'RUNNING'),
+c AS (SELECT DISTINCT user_id AS cand FROM events), r AS (SELECT id, 'u' || (id % 7) || '-' || (user_id % 97) AS url, sha256(text) AS hash, CASE WHEN id % 10 = 3 THEN 'timed out' END AS err FROM g_jobs LEFT JOIN documents ON doc_id = CASE WHEN g_jobs.id % 11 <> 4 THEN (user_id * 7 + g_jobs.id % 3) % (SELECT count(*) FROM documents) END),
+s AS (SELECT DISTINCT 'u' || (doc_id % 7) || '-' || (doc_id % 97) AS url, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE 'old' END AS hash FROM documents),
+o AS (SELECT j.*, CASE WHEN j.cand IS NULL THEN 'FETCH_URL jobs require a URL candidate.' WHEN c.cand IS NULL THEN 'FETCH_URL job references an unknown URL candidate.' WHEN err IS NOT NULL THEN err WHEN r.hash IS NULL THEN 'Unknown ingestion error.' END AS error_message, r.url, r.hash FROM j LEFT JOIN c USING (cand) LEFT JOIN r ON r.id = j.id)"""
+
+
+@query("fetch_outcome", f"""WITH {_FETCHED}, ok AS (SELECT * FROM o WHERE error_message IS NULL),
+fresh AS (SELECT DISTINCT ON (url, hash) url, hash, scheduled_at, id FROM ok WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.url = ok.url AND s.hash = ok.hash) ORDER BY url, hash, scheduled_at, id),
+v AS (SELECT f.id, (SELECT count(*) FROM s WHERE s.url = f.url) + (SELECT count(*) FROM fresh e WHERE e.url = f.url AND (e.scheduled_at, e.id) <= (f.scheduled_at, f.id)) AS version FROM fresh f),
+k AS (SELECT o.*, version, CASE WHEN error_message IS NOT NULL THEN 'FAILED' WHEN version IS NULL THEN 'UNCHANGED' WHEN version > 1 THEN 'CREATED_NEW_VERSION' ELSE 'CREATED' END AS outcome FROM o LEFT JOIN v ON v.id = o.id)
+SELECT id, outcome, version, error_message, CASE outcome WHEN 'FAILED' THEN CASE WHEN attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END WHEN 'UNCHANGED' THEN 'SKIPPED' ELSE 'SUCCEEDED' END AS job_status, CASE outcome WHEN 'FAILED' THEN CASE WHEN attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END WHEN 'UNCHANGED' THEN 'SKIPPED' ELSE 'FETCHED' END AS candidate_status,
   CASE WHEN outcome IN ('CREATED', 'CREATED_NEW_VERSION') THEN 'EXTRACT_DOCUMENT,ANALYZE_DOCUMENT' ELSE '' END AS follow_up_jobs FROM k""")
 def fetch_outcome(b: Bridge) -> DataFrame:
-    i, u = F.col("id"), lambda c: F.concat(F.lit("u"), c.cast("string"))
-    started = b("g_jobs").where("status = 'RUNNING'").select("id", F.when(i % 17 != 0, F.col("user_id") + F.when(i % 19 == 0, 1000000).otherwise(0)).alias("url_candidate_id"), "attempts", "max_attempts")
-    candidates = b("events").select(F.col("user_id").alias("id")).distinct().select("id", u(F.col("id") % 97).alias("canonical_url"), (F.col("id") % 5).alias("crawl_run_id"))
-    d, docs = F.col("doc_id"), b("documents")
-    responses = docs.where(d % 10 != 4).select(u(d).alias("canonical_url"), urls.content_hash(F.col("text")).alias("content_hash"), F.when(d % 10 == 3, "timed out").alias("error"))
-    stored = docs.where(d % 2 == 0).select(u(d).alias("canonical_url"), F.when(d % 3 == 0, urls.content_hash(F.col("text"))).otherwise("old").alias("content_hash"))
+    i, d, docs = F.col("id"), F.col("doc_id"), b("documents")
+    page = lambda a, z: F.concat(F.lit("u"), (a % 7).cast("string"), F.lit("-"), (z % 97).cast("string"))
+    running = b("g_jobs").where("status = 'RUNNING'")
+    started = running.select("id", F.when(i % 17 != 0, F.col("user_id") + F.when(i % 19 == 0, 1000000).otherwise(0)).alias("url_candidate_id"), "attempts", "max_attempts", "scheduled_at")
+    candidates = b("events").select(F.col("user_id").alias("id")).distinct().select("id", (F.col("id") % 5).alias("crawl_run_id"))
+    texts = docs.select(d.alias("doc"), urls.content_hash(F.col("text")).alias("content_hash"))
+    n_docs = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n_docs")))  # one row
+    asked = running.join(n_docs).withColumn("doc", F.when(i % 11 != 4, (F.col("user_id") * 7 + i % 3) % F.col("n_docs")))
+    responses = asked.join(texts, "doc", "left").select("id", page(i, F.col("user_id")).alias("canonical_url"), "content_hash", F.when(i % 10 == 3, "timed out").alias("error"))
+    stored = docs.select(page(d, d).alias("canonical_url"), F.when(d % 3 == 0, urls.content_hash(F.col("text"))).otherwise("old").alias("content_hash")).distinct()
     told = jobs.fetch_outcomes(started, candidates, responses, stored, "2024-01-31 00:00:00")
-    return told.select("id", "outcome", "error_message", "job_status", "candidate_status", F.array_join("follow_up_jobs", ",").alias("follow_up_jobs"))
+    return told.select("id", "outcome", "version", "error_message", "job_status", "candidate_status", F.array_join("follow_up_jobs", ",").alias("follow_up_jobs"))
 
 
 @query("write_extraction", """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'new' END ELSE 'old' END AS title, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'a=2,extractedDescription=about,z=9' ELSE 'a=2,z=9' END ELSE 'a=1,z=9' END AS metadata FROM documents""")

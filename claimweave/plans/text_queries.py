@@ -9,6 +9,7 @@ from ..bridge import Bridge
 from ..functions import html, text, urls
 from ..operators import discovery, jobs, resolution, validation
 from ..ontology import NEGATIONS
+from ..written import written
 from .registry import query
 
 _TRACK = "('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'msclkid', 'amp', 'amp_js_v', 'usqp')"
@@ -237,8 +238,8 @@ c AS (SELECT mention_id, entity_id, canonical_name, sig, last, least(1.0::DOUBLE
 r AS (SELECT mention_id, entity_id, score, CASE WHEN sig = 'same surname' THEN last END AS surname, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, canonical_name, entity_id)::INT AS rank, signals FROM c WHERE score >= 0.20)"""
 
 
-def _scored(b: Bridge) -> DataFrame:
-    return resolution.candidates(_mentions(b), b("g_entities").where("entity_type in ('PERSON', 'COMPANY')"), b("g_aliases"))
+def _scored(b: Bridge, best: int | None = None) -> DataFrame:
+    return resolution.candidates(_mentions(b), b("g_entities").where("entity_type in ('PERSON', 'COMPANY')"), b("g_aliases"), best=best)
 
 
 @query("resolve_candidates", f"WITH {_CANDIDATES} SELECT * EXCLUDE (surname) FROM r")
@@ -253,12 +254,12 @@ d AS (SELECT m.mention_id, CASE WHEN top IS NULL THEN 0 WHEN second IS NOT NULL
 @query("resolve_mentions", f"""WITH {_RESOLVED_MENTIONS} SELECT mention_id, CASE k WHEN 0 THEN 'NO_MATCH' WHEN 3 THEN 'AUTO_RESOLVED' ELSE 'MANUAL_REVIEW' END AS status,
 CASE k WHEN 0 THEN 'No candidate met the minimum score.' WHEN 1 THEN 'Ambiguous entity candidates require manual review.' WHEN 2 THEN 'Top candidate is below the automatic resolution threshold.' END AS reason, CASE WHEN k = 3 THEN entity_id END AS entity_id, top FROM d""")
 def resolve_mentions(b: Bridge) -> DataFrame:
-    return resolution.resolve(_mentions(b), _scored(b))
+    return resolution.resolve(_mentions(b), _scored(b, best=2))
 
 
 @query("review_tasks", f"WITH {_RESOLVED_MENTIONS} SELECT 't:' || mention_id AS id, mention_id AS local_id, 'OPEN' AS status FROM d WHERE k <> 3")
 def review_tasks(b: Bridge) -> DataFrame:
-    return resolution.review_tasks(resolution.resolve(_mentions(b), _scored(b))).drop("reason")
+    return resolution.review_tasks(resolution.resolve(_mentions(b), _scored(b, best=2))).drop("reason")
 
 
 def _relations(b: Bridge) -> DataFrame:
@@ -267,7 +268,7 @@ def _relations(b: Bridge) -> DataFrame:
     Wide texts join last.
     """
     e, odd = b("g_entities"), F.col("partkey") % 2 != 0
-    unclear = resolution.unclear(_scored(b))
+    unclear = written(resolution.unclear(written(_scored(b))))  # each is named twice
     r = b("g_claims").select("id", "predicate", "subject_id", "object_id", "partkey", (F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()).alias("ranged"))
     for s in ("subject", "object"):
         r = r.join(e.select(F.col("id").alias(f"{s}_id"), F.col("canonical_name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type")), f"{s}_id", "left")

@@ -25,3 +25,21 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a table's file or folder was changed, and its length: another table under one path has another state."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
+    return status.getModificationTime(), status.getLen()
+
+
+def kept(spark: SparkSession, name: str, inputs: list[str], make) -> DataFrame:
+    """The table that ``make()`` gives, written once for each application and state of its ``inputs`` (paths)."""
+    key = (spark.sparkContext.applicationId, name, *((p, *_state(spark, p)) for p in inputs))
+    if key not in _KEPT:
+        _KEPT[key] = written(make())
+    return _KEPT[key]
