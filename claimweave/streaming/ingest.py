@@ -1,7 +1,8 @@
 """Structured Streaming forms of candidate de-duplication, change detection, host pacing, retries and polling.
 
 What a key has to remember between batches is state of its own, in RocksDB, with timers or a time to live; no batch reads what
-earlier batches wrote.
+earlier batches wrote.  Streams with timers or a time to live go on while they wait: they need a trigger by time, since one that ends
+with the data at hand never ends.  Times are in UTC, as the session's time zone must be.
 """
 
 from __future__ import annotations
@@ -99,12 +100,12 @@ class _Slots(StatefulProcessor):
 
 
 def paced(requests: DataFrame, per_minute: int = 10, ttl_ms: int = HOUR) -> DataFrame:
-    """(host, id, at_ms, start_ms) of streamed requests (host, id, at_ms): a host's next free slot is its state, for ``ttl_ms`` after it was used.
+    """(host, id, at_ms, start_ms) of streamed requests (host, id, at_ms): a host's next free slot is its state, for ``ttl_ms`` after it was used (0: for ever).
 
     Inside a batch requests go by time and id; ``host_slots`` is the form for a whole table.
     """
     out = f"host {_kind(requests, 'host')}, id {_kind(requests, 'id')}, at_ms long, start_ms long"
-    return _stateful(requests).groupBy("host").transformWithStateInPandas(_Slots(60_000 // per_minute, ttl_ms), out, "update", "processingTime")
+    return _stateful(requests).groupBy("host").transformWithStateInPandas(_Slots(60_000 // per_minute, ttl_ms), out, "update", "processingTime" if ttl_ms else "none")
 
 
 def _millis(at) -> int:

@@ -134,38 +134,6 @@ def test_optional_and_typed_tables(spark, tmp_path):
     assert {tuple(r) for r in rows.collect()} == {("a", 1), ("b", None)} and rejected.count() == 1
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    rows = [(1, "u", "h1"), (2, "u", "h2"), (3, "v", "h1")]
-    df = spark.createDataFrame(rows, "id int, url string, hash string").withColumn("at", F.col("id"))
-    df.write.parquet(src)
-    ingest.detect_changes(spark.readStream.schema(df.schema).parquet(src), out, f"{tmp_path}/cp").start().awaitTermination()
-    batch = {tuple(r) for r in jobs.document_versions(df).select("id", "outcome", "version").collect()}
-    assert {tuple(r) for r in spark.read.parquet(out).select("id", "outcome", "version").collect()} == batch
-    more = spark.createDataFrame([(4, "u", "h1", 4), (5, "v", "h9", 5)], "id int, url string, hash string, at int")
-    more.write.mode("append").parquet(src)
-    ingest.detect_changes(spark.readStream.schema(df.schema).parquet(src), out, f"{tmp_path}/cp").start().awaitTermination()
-    both = {tuple(r) for r in jobs.document_versions(df.unionByName(more)).select("id", "outcome", "version").collect()}
-    assert {tuple(r) for r in spark.read.parquet(out).select("id", "outcome", "version").collect()} == both
-
-
-def test_paced_and_retried_streams(spark, tmp_path):
-    spark.createDataFrame([("h", i, 1000 * i) for i in range(5)] + [("g", 9, 50)], "host string, id long, at_ms long").coalesce(1).write.parquet(f"{tmp_path}/r")
-    source = spark.readStream.schema("host string, id long, at_ms long").parquet(f"{tmp_path}/r")
-    ingest.paced(source).writeStream.format("memory").queryName("paced").outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    expected = {tuple(r) for r in jobs.host_slots(spark.read.parquet(f"{tmp_path}/r")).collect()}
-    assert {tuple(r) for r in spark.table("paced").collect()} == expected
-    spark.sql("SELECT 1 id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, n) at, 3 max_attempts FROM VALUES (0), (10), (20) t(n)").coalesce(1).write.parquet(f"{tmp_path}/f")
-    failures = spark.readStream.schema("id int, at timestamp, max_attempts int").parquet(f"{tmp_path}/f")
-    ingest.retried(failures).writeStream.format("memory").queryName("retried").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert [(r.attempts, r.run_at and r.run_at.minute) for r in spark.table("retried").orderBy("attempts").collect()] == [(1, 1), (2, 12), (3, None)]
-    seen = []
-    due = spark.createDataFrame([(1, "FETCH_URL", "PENDING", 0, 3), (2, "FETCH_URL", "RUNNING", 0, 3)], "id int, job_kind string, status string, attempts int, max_attempts int").withColumn("scheduled_at", F.lit("2024-01-01").cast("timestamp_ntz"))
-    due.write.parquet(f"{tmp_path}/j")
-    ingest.poll_due(spark.readStream.schema(due.schema).parquet(f"{tmp_path}/j"), "2024-02-01", lambda batch, _: seen.extend(r.id for r in batch.collect()), f"{tmp_path}/jc").start().awaitTermination()
-    assert seen == [1]
-
-
 def test_new_candidates_stream(spark, tmp_path):
     spark.sql("SELECT 1 source_id, 'u' canonical_url, timestamp'2024-01-01 00:00:00' at UNION ALL SELECT 1, 'u', timestamp'2024-01-01 00:01:00' UNION ALL SELECT 2, 'u', timestamp'2024-01-01 00:01:00'").write.parquet(f"{tmp_path}/c")
     found = spark.readStream.schema("source_id int, canonical_url string, at timestamp").parquet(f"{tmp_path}/c")
