@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import row_key, settle
+from ._common import settle
 
 CANDIDATES, QUERIES = 8192, 512
 _FLOOR = np.iinfo(np.int64).min
@@ -53,17 +53,18 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def _best(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         q_id, c_id = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        out: list[list] = [[], [], []]
+        q_row, c_row = left.column("row").to_numpy(), right.column("row").to_numpy()
+        out: list[list] = [[], [], [], []]
         if len(q_id) and len(c_id):
             width = max(int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max()) for t in (left, right))
-            order = np.argsort(c_id)
-            c_id, weights = c_id[order], _matrix(right.column("v"), width)[order]
+            order = np.argsort(c_row)
+            c_row, c_id, weights = c_row[order], c_id[order], _matrix(right.column("v"), width)[order]
             for at in range(0, len(q_id), 64):
                 some = slice(at, at + 64)
                 scores = accumulate(_matrix(left.column("v").slice(at, 64), width), weights)
-                for q, row in zip(q_id[some], scores, strict=True):
-                    own = np.searchsorted(c_id, q)
-                    if own < len(c_id) and c_id[own] == q:
+                for r, q, row in zip(q_row[some], q_id[some], scores, strict=True):
+                    own = np.searchsorted(c_row, r)
+                    if own < len(c_row) and c_row[own] == r:
                         keep = np.ones(len(row), bool)
                         keep[own] = False
                         ids, row = c_id[keep], row[keep]
@@ -75,10 +76,11 @@ def _best(k: int):
                     else:
                         near = np.arange(len(row))
                     near = near[np.lexsort((ids[near], -row[near]))][:k]
-                    out[0] += [q] * len(near)
-                    out[1] += ids[near].tolist()
-                    out[2] += row[near].tolist()
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
+                    out[0] += [r] * len(near)
+                    out[1] += [q] * len(near)
+                    out[2] += ids[near].tolist()
+                    out[3] += row[near].tolist()
+        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_row", "query_id", "vec_id", "score"), out, strict=True)})
 
     return run
 
@@ -90,15 +92,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     all rows but the query's own.  Returns query_id, rank (from 1), vec_id, score.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null vec_ids.  Shorter
-    vectors count as padded with zeros.  Of several rows with one vec_id the smallest vector counts.  Fewer
-    candidates than ``k``: all.  No queries or candidates: no rows.
+    vectors count as padded with zeros.  Rows with one vec_id are queries and candidates each: one may find the other, and each has its own
+    ranks.  Fewer candidates than ``k``: all.  No queries or candidates: no rows.
     """
-    base = settle(quantised(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v")))
+    base = settle(quantised(vectors, scale).withColumn("row", F.monotonically_increasing_id()))
     total, asked = base.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     c_tiles, q_tiles = -(-total // CANDIDATES) or 1, -(-asked // QUERIES) or 1
-    dealt = row_key("vec_id")
-    ask = base.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.pmod(dealt, F.lit(q_tiles)).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_tiles - 1).cast("long"))).alias("c"))
-    hold = base.select("vec_id", "v", F.pmod(dealt, F.lit(c_tiles)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))).alias("q"))
-    found = ask.groupBy("q", "c").cogroup(hold.groupBy("q", "c")).applyInArrow(_best(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    dealt = F.xxhash64("row")
+    ask = base.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", F.pmod(dealt, F.lit(q_tiles)).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_tiles - 1).cast("long"))).alias("c"))
+    hold = base.select("row", "vec_id", "v", F.pmod(dealt, F.lit(c_tiles)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))).alias("q"))
+    found = ask.groupBy("q", "c").cogroup(hold.groupBy("q", "c")).applyInArrow(_best(k), "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -70,16 +70,18 @@ def test_repeats(spark):
 
 
 def test_top_k(spark):
+    """Rows of one vec_id are rows of their own: each a query, and each found by the other."""
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [0.5, -0.25]), (50, [0.5, -0.25]), (50, [0.5, -0.25]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [None, 1.0]), (100, [inf, 0.0]), (None, [1.0, 1.0]), (8, [-0.001, 0.3])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = {0: (128, -64), 50: (128, -64), 3: (256, 0), 4: (256, 0), 8: (-1, 76)}
+    rows = [(0, [0.5, -0.25]), (50, [0.5, -0.25]), (50, [0.5, -0.25]), (50, [0.25, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [None, 1.0]), (100, [inf, 0.0]), (None, [1.0, 1.0]), (8, [-0.001, 0.3])]
+    df = spark.createDataFrame([(i, v, 1, "r", 9) for i, v in rows], "vec_id long, embedding array<float>, rank int, row string, score int")
+    whole = [(0, (128, -64)), (50, (128, -64)), (50, (128, -64)), (50, (64, 0)), (3, (256, 0)), (4, (256, 0)), (8, (-1, 76))]
     expected = []
-    for q in (0, 50):
-        best = sorted(((-(whole[q][0] * v[0] + whole[q][1] * v[1]), c) for c, v in whole.items() if c != q))[:3]
-        expected += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
-    assert sorted(tuple(r) for r in top_k.top_k(df, k=3).collect()) == expected
-    assert top_k.top_k(df.limit(0)).count() == 0
+    for at, (q, w) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-(w[0] * v[0] + w[1] * v[1]), c) for other, (c, v) in enumerate(whole) if other != at)[:3]
+            expected += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in top_k.top_k(df, k=3).collect()) == sorted(expected)
+    assert top_k.top_k(df.limit(0)).count() == top_k.top_k(df.where("embedding is null")).count() == 0
 
 
 def test_html(spark):
