@@ -15,6 +15,10 @@ _LINES = """SELECT l.l_orderkey, l.l_linenumber, min(l.l_suppkey) AS suppkey, mi
     min(CAST(l.l_shipdate AS DATE)) AS ship, min(o.o_custkey) AS custkey, min(CAST(o.o_orderdate AS DATE)) AS ordered, min(o.o_orderpriority) AS priority, min(o.o_orderstatus) AS orderstatus
   FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey GROUP BY l.l_orderkey, l.l_linenumber"""
 
+# JSON texts; braces are written as characters, since those of a template name tables.
+_NOTES = """chr(123) || '"reasons": ["' || coalesce(topic, 'none') || '", 7], "deep": ' || chr(123) || '"list": [' || chr(123) || '"leaf": "' || connection_class || '"' || chr(125) || ']' || chr(125) || ', "official": 1' || chr(125)"""
+_METADATA = """chr(123) || '"home": [' || chr(123) || '"canton": "' || coalesce(canton, '') || '"' || chr(125) || '], "country": ' || coalesce(country, 'null') || chr(125)"""
+
 TABLES: dict[str, str] = {
     "g_sources": """SELECT source AS id, upper(source) AS name, source || '.example.org' AS domain, substr('ABCDEX', CAST(k % 6 + 1 AS INT), 1) AS source_quality,
     CASE WHEN k % 13 < 4 THEN 'NEWS_ARTICLE' WHEN k % 13 < 8 THEN 'PARLIAMENT' ELSE 'GOVERNMENT' END AS source_type, k % 7 <> 0 AS enabled, CAST(k AS INT) AS k
@@ -22,15 +26,15 @@ TABLES: dict[str, str] = {
     "g_documents": """SELECT 'd' || CAST(doc_id AS STRING) AS id, source AS source_id, 'https://' || source || '.example.org/doc/' || CAST(doc_id AS STRING) || '?utm_source=feed' AS original_url,
     CASE WHEN doc_id % 5 <> 0 THEN 'https://' || source || '.example.org/doc/' || CAST(doc_id AS STRING) END AS canonical_url, doc_id % 3 <> 0 AS is_published, doc_id AS number, text AS extracted_text, CASE WHEN doc_id % 4 <> 0 THEN upper(source) || ' Press' END AS publisher
   FROM {documents} WHERE doc_id IS NOT NULL""",
-    "g_entities": """SELECT 'c:' || CAST(c_custkey AS STRING) AS id, 'PERSON' AS entity_type, c_name AS canonical_name, lower(replace(replace(c_name, '#', '-'), ' ', '-')) AS slug, c_mktsegment AS canton, CAST(c_nationkey AS STRING) AS country FROM {customer}
-  UNION ALL SELECT 's:' || CAST(s_suppkey AS STRING), 'COMPANY', s_name, lower(replace(replace(s_name, '#', '-'), ' ', '-')), CAST(NULL AS STRING), CAST(s_nationkey AS STRING) FROM {supplier}
-  UNION ALL SELECT 'n:' || CAST(n_nationkey AS STRING), 'COUNTRY', n_name, lower(replace(n_name, ' ', '-')), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {nation}
-  UNION ALL SELECT 'r:' || CAST(r_regionkey AS STRING), 'LOCATION', r_name, lower(replace(r_name, ' ', '-')), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {region}
-  UNION ALL SELECT 'e:' || event_type, 'EVENT', event_type, lower(event_type), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM (SELECT DISTINCT event_type FROM {events}) e
-  UNION ALL SELECT 'b:' || p_brand, 'ORGANISATION', p_brand, lower(replace(p_brand, '#', '-')), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM (SELECT DISTINCT p_brand FROM {part}) b""",
+    "g_entities": f"""SELECT *, {_METADATA} AS metadata, CASE WHEN canton IS NOT NULL THEN 'Lives in ' || canton END AS description FROM (SELECT 'c:' || CAST(c_custkey AS STRING) AS id, 'PERSON' AS entity_type, c_name AS canonical_name, lower(replace(replace(c_name, '#', '-'), ' ', '-')) AS slug, c_mktsegment AS canton, CAST(c_nationkey AS STRING) AS country FROM {{customer}}
+  UNION ALL SELECT 's:' || CAST(s_suppkey AS STRING), 'COMPANY', s_name, lower(replace(replace(s_name, '#', '-'), ' ', '-')), CAST(NULL AS STRING), CAST(s_nationkey AS STRING) FROM {{supplier}}
+  UNION ALL SELECT 'n:' || CAST(n_nationkey AS STRING), 'COUNTRY', n_name, lower(replace(n_name, ' ', '-')), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {{nation}}
+  UNION ALL SELECT 'r:' || CAST(r_regionkey AS STRING), 'LOCATION', r_name, lower(replace(r_name, ' ', '-')), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {{region}}
+  UNION ALL SELECT 'e:' || event_type, 'EVENT', event_type, lower(event_type), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM (SELECT DISTINCT event_type FROM {{events}}) e
+  UNION ALL SELECT 'b:' || p_brand, 'ORGANISATION', p_brand, lower(replace(p_brand, '#', '-')), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM (SELECT DISTINCT p_brand FROM {{part}}) b) e""",
     "g_aliases": """SELECT id || ':a' AS id, id AS entity_id, lower(canonical_name) AS alias, 'en' AS language FROM {g_entities} WHERE entity_type IN ('PERSON', 'COMPANY')
   UNION ALL SELECT id || ':b', id, 'The ' || canonical_name, 'de' FROM {g_entities} WHERE entity_type = 'COMPANY'""",
-    "g_claims": f"""SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) AS id, 'c:' || CAST(custkey AS STRING) AS subject_id, {_PREDICATE} AS predicate,
+    "g_claims": f"""SELECT *, {_NOTES} AS notes FROM (SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) AS id, 'c:' || CAST(custkey AS STRING) AS subject_id, {_PREDICATE} AS predicate,
     CASE WHEN l.l_orderkey % 50 = 49 THEN CAST(NULL AS STRING) ELSE 's:' || CAST(suppkey AS STRING) END AS object_id,
     CASE substr(priority, 1, 1) WHEN '1' THEN 'OFFICIAL' WHEN '2' THEN 'INDIRECT' WHEN '3' THEN 'HISTORICAL' ELSE 'DIRECT' END AS connection_class,
     CASE linestatus WHEN 'F' THEN 'VERIFIED' ELSE CASE WHEN l.l_orderkey % 4 = 0 THEN 'DISPUTED' ELSE 'PENDING_REVIEW' END END AS status,
@@ -39,7 +43,7 @@ TABLES: dict[str, str] = {
   FROM ({_LINES}) l
   UNION ALL SELECT 'n-' || CAST(c_custkey AS STRING), 'c:' || CAST(c_custkey AS STRING), 'HAS_BUSINESS_ACTIVITY_IN', 'n:' || CAST(c_nationkey AS STRING), 'DIRECT', 'VERIFIED', CAST(NULL AS DATE), CAST(NULL AS DATE), CAST(NULL AS STRING), c_custkey, 10, c_custkey, CAST(0 AS INT), DATE '1995-01-01' FROM {{customer}}
   UNION ALL SELECT 'p-' || CAST(user_id AS STRING) || '-' || event_type, 'c:' || CAST(user_id AS STRING), 'PARTICIPATED_IN', 'e:' || event_type, 'OFFICIAL', 'VERIFIED', day, CAST(NULL AS DATE), CAST(NULL AS STRING), user_id, 10, user_id, CAST(0 AS INT), day
-    FROM (SELECT user_id, event_type, min(CAST(ts AS DATE)) AS day FROM {{events}} GROUP BY user_id, event_type) u""",
+    FROM (SELECT user_id, event_type, min(CAST(ts AS DATE)) AS day FROM {{events}} GROUP BY user_id, event_type) u) c""",
     "g_evidence": """SELECT c.id || ':1' AS id, c.id AS claim_id, 'd' || CAST(c.partkey % n.n AS STRING) AS document_id, CASE WHEN c.partkey % 11 = 0 THEN ' ' ELSE 'Part ' || CAST(c.partkey AS STRING) || ' of ' || lower(c.predicate) END AS evidence_text FROM {g_claims} c, (SELECT count(*) AS n FROM {documents}) n WHERE c.quantity >= 5
   UNION ALL SELECT c.id || ':2', c.id, 'd' || CAST((c.partkey + 1) % n.n AS STRING), 'Second part ' || CAST(c.partkey AS STRING) FROM {g_claims} c, (SELECT count(*) AS n FROM {documents}) n WHERE c.quantity >= 5 AND c.partkey % 4 = 0""",
     "g_queue": """SELECT id || ':q' AS id, id AS claim_id, CASE partkey % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ASSIGNED' WHEN 2 THEN 'RESOLVED' ELSE 'OPEN' END AS status, created_on FROM {g_claims} WHERE status <> 'VERIFIED' AND orderkey % 3 = 0""",

@@ -53,3 +53,17 @@ def detail(asked: DataFrame, found: DataFrame, what: str) -> DataFrame:
     missing = F.to_json(F.struct(F.lit(f"Public {what} not found.").alias("error")))
     joined = asked.select("id").join(found.select("id", F.to_json("body").alias("body")), "id", "left")
     return joined.select("id", F.when(F.col("body").isNull(), 404).otherwise(200).alias("status"), F.coalesce("body", missing).alias("body"))
+
+
+def answered(asked: DataFrame, load, what: str) -> DataFrame:
+    """``detail`` of what ``load()`` finds (id, body); 503 with the reason for every asked id if it cannot be read.
+
+    What is missing or unreadable shows when its schema is asked for; a job that fails later fails as any other.
+    """
+    try:
+        found = load()
+        found.schema  # noqa: B018
+    except Exception as e:  # whatever the store says
+        body = F.to_json(F.struct(F.lit(f"Public {what} API is unavailable.").alias("error"), F.lit(str(e).split("\n")[0]).alias("details")))  # fixed value
+        return asked.select("id", F.lit(503).alias("status"), body.alias("body"))
+    return detail(asked, found, what)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,7 +43,8 @@ def _selected(side: str, token: str, types: tuple[str, ...]) -> Column:
 def publishable(claims: DataFrame, entities: DataFrame, compatible: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """Verified claims with an object and compatible types, joined with both entities, under ``filters``.
 
-    A date filter leaves undated claims out; a claim with one date counts as that day.
+    A date filter leaves undated claims out; a claim with one date counts as that day.  A topic is a string leaf of the claim's notes or of
+    either entity's metadata (JSON objects), at any depth.
     """
     c = claims.where((F.col("status") == "VERIFIED") & F.col("object_id").isNotNull())
     if filters.predicate:
@@ -68,9 +67,12 @@ def publishable(claims: DataFrame, entities: DataFrame, compatible: DataFrame, f
     if filters.entity_type:
         c = c.where((F.col("subject_type") == filters.entity_type) | (F.col("object_type") == filters.entity_type))
     if filters.topic is not None:
-        token = filters.topic.strip().lower()
-        leaves = F.array("topic", "subject_canton", "object_canton")
-        c = c.where(F.lit(bool(token)) & F.exists(leaves, lambda v: F.coalesce(F.lower(v) == token, F.lit(False))))
+        noted = with_leaf(c.select("id", F.col("notes").alias("text")), filters.topic).withColumn("noted", F.lit(True))
+        about = with_leaf(entities.select("id", F.col("metadata").alias("text")), filters.topic)
+        c = c.join(noted, "id", "left")
+        for side in ("subject", "object"):
+            c = c.join(about.select(F.col("id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_about")), f"{side}_id", "left")
+        c = c.where(F.coalesce("noted", "subject_about", "object_about", F.lit(False))).drop("noted", "subject_about", "object_about")
     if filters.person:
         c = c.where(_selected("subject", filters.person, ("PERSON",)) | _selected("object", filters.person, ("PERSON",)))
     if filters.organisation:
@@ -113,8 +115,8 @@ def endpoints(edge: DataFrame) -> DataFrame:
 
 
 def nodes(edge: DataFrame, entities: DataFrame) -> DataFrame:
-    """The entities of surviving edges; isolated ones never show."""
-    return entities.join(endpoints(edge).select(F.col("entity_id").alias("id")).distinct(), "id", "left_semi").select("id", "entity_type", "canonical_name", "slug")
+    """The entities of surviving edges, with what the public may see of them; isolated ones never show."""
+    return entities.join(endpoints(edge).select(F.col("entity_id").alias("id")).distinct(), "id", "left_semi").select("id", "entity_type", "canonical_name", "slug", "description", F.col("country").alias("country_code"))
 
 
 def degrees(edge: DataFrame) -> DataFrame:
@@ -163,36 +165,23 @@ def sorted_edges(edge: DataFrame, keys: tuple[str, ...] = tuple(SORT_KEYS)) -> D
     return placed.join(F.broadcast(first), "sort_key").select("sort_key", "id", (F.col("position") - F.col("first") + 1).alias("position"))  # a row for each of six keys
 
 
-def json_leaves(value) -> list[str]:
-    """The string leaves of parsed JSON, through arrays and objects; keys do not count."""
-    if isinstance(value, str):
-        return [value]
-    children = value if isinstance(value, list) else value.values() if isinstance(value, dict) else ()
-    return [x for child in children for x in json_leaves(child)]
+def with_leaf(texts: DataFrame, token: str) -> DataFrame:
+    """(id) of ``texts`` (id, text; JSON objects) with a string leaf that equals ``token`` in any case; keys do not count, and what is no object has none.
 
-
-def leaf_equals(text: Column, token: str) -> Column:
-    """Whether a string leaf of a JSON object's text equals ``token`` in any case; what is no object has none.
-
-    Rows without the token anywhere in their text never reach Python.
+    Values are exploded level by level, each level written, so that nesting has no bound.  Texts without the token anywhere never start.
     """
     wanted = token.strip().lower()
-
-    @F.pandas_udf("boolean")
-    def run(values: pd.Series) -> pd.Series:
-        def test(x: str | None) -> bool:
-            try:
-                parsed = json.loads(x) if x else None
-            except ValueError:
-                return False
-            return isinstance(parsed, dict) and any(leaf.lower() == wanted for leaf in json_leaves(parsed))
-
-        return values.map(test).astype(bool)
-
-    if not wanted:
-        return F.lit(False)
-    quick = F.when(F.contains(F.lower(text), F.lit(wanted)) | F.contains(text, F.lit("\\")), text)
-    return run(quick)
+    spark = texts.sparkSession
+    value = F.expr("try_parse_json(text)")
+    level = texts.where(F.lit(bool(wanted)) & (F.contains(F.lower("text"), F.lit(wanted)) | F.contains("text", F.lit("\\")))).select("id", value.alias("value")).where(F.startswith(F.to_json("value"), F.lit("{")))
+    found = texts.select("id").limit(0)
+    while True:
+        # A value's JSON text tells its kind by the first character.
+        inner = written(spark.sql("SELECT id, e.value, left(to_json(e.value), 1) AS kind FROM {level}, LATERAL variant_explode(value) e", level=level).where(F.col("kind").isin('"', "{", "[")))
+        found = found.unionByName(inner.where((F.col("kind") == '"') & (F.lower(F.expr("variant_get(value, '$', 'string')")) == wanted)).select("id"))
+        level = inner.where(F.col("kind") != '"').select("id", "value")
+        if level.isEmpty():
+            return found.distinct()
 
 
 def clusters(node: DataFrame) -> DataFrame:

@@ -60,14 +60,30 @@ UNIQUE = (
 )
 
 
+def _columns(rule: str) -> set[str]:
+    return set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", rule))) - _SQL_WORDS
+
+
 def check(df: DataFrame, table: str, key: str = "id") -> DataFrame:
-    """(rule, id) of the rows of ``df`` that break a rule of ``table``; rules on columns that ``df`` lacks hold."""
+    """(rule, id) of the rows of ``df`` that break a rule of ``table``; columns that ``df`` lacks are null, and ``unchecked`` tells the rules that ask for nothing else."""
     columns = {f.lower() for f in df.columns}
-    words = lambda rule: set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", rule))) - _SQL_WORDS
-    missing = {c for rule in RULES[table].values() for c in words(rule) - columns}
+    missing = {c for rule in RULES[table].values() for c in _columns(rule) - columns}
     whole = df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
-    rules = {n: r for n, r in RULES[table].items() if words(r) & columns}
-    return violations(whole, key, rules)
+    return violations(whole, key, {n: r for n, r in RULES[table].items() if _columns(r) & columns})
+
+
+def unchecked(df: DataFrame, table: str) -> list[str]:
+    """The rules of ``table`` that say nothing of ``df``, since it has none of their columns."""
+    columns = {f.lower() for f in df.columns}
+    return [n for n, r in RULES[table].items() if not _columns(r) & columns]
+
+
+def report(df: DataFrame, table: str, key: str = "id") -> DataFrame:
+    """(tbl, rule, state, n) of every rule of ``table``: how many rows break it, or that it was not checked."""
+    silent = unchecked(df, table)
+    told = df.sparkSession.createDataFrame([(table, n, "unchecked" if n in silent else "checked") for n in RULES[table]], "tbl string, rule string, state string")
+    broken = check(df, table, key).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return told.join(broken, "rule", "left").select("tbl", "rule", "state", F.when(F.col("state") == "checked", F.coalesce("n", F.lit(0).cast("long"))).alias("n"))
 
 
 _SQL_WORDS = {"length", "trim", "lower"}

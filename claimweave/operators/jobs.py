@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..written import written
+
 
 def backoff_minutes(attempts: Column) -> Column:
     """Doubling from one minute, an hour at most."""
@@ -194,12 +196,21 @@ def write_extraction(documents: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def host_slots(requests: DataFrame, per_minute: int = 10) -> DataFrame:
-    """When each request (host, id, at) may start: hosts are paced at equal intervals.
+    """When each request (host, id, at_ms) may start: hosts are paced at equal intervals.
 
-    slot_i = max(at_i, slot_(i-1) + gap) unrolls to gap * i + max over j <= i of (at_j - gap * j).
+    slot_i = max(at_i, slot_(i-1) + gap) unrolls to gap * i + max over j <= i of (at_j - gap * j), which is a running count and a running
+    maximum.  Requests are dealt into ranges by host and time, so that a hot host is several ranges; each range tells its count and
+    maximum of each of its hosts, and takes those of the ranges before it as a carry.
     """
     gap = 60_000 // per_minute
-    order = Window.partitionBy("host").orderBy("at_ms", "id")
-    i = F.row_number().over(order)
-    lead = F.max(F.col("at_ms") - gap * F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return requests.withColumn("i", i).select("host", "id", "at_ms", (lead + gap * F.col("i")).cast("long").alias("start_ms"))
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(requests.select("host", "id", "at_ms").repartitionByRange(parts, "host", "at_ms", "id").withColumn("range", F.spark_partition_id()))
+    inside = Window.partitionBy("range", "host").orderBy("at_ms", "id")
+    here = ranged.withColumn("i", F.row_number().over(inside)).withColumn("lead", F.max(F.col("at_ms") - gap * F.col("i")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    told = here.groupBy("range", "host").agg(F.max("i").alias("n"), F.max("lead").alias("most"))
+    earlier = Window.partitionBy("host").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = told.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    carried = before.select(F.col("range").alias("r"), F.col("host").alias("h"), "before", F.max(F.col("most") - gap * F.col("before")).over(earlier).alias("carry"))
+    joined = here.join(carried, (F.col("range") == F.col("r")) & F.col("host").eqNullSafe(F.col("h")))
+    start = gap * (F.col("before") + F.col("i")) + F.greatest(F.col("lead") - gap * F.col("before"), "carry")
+    return joined.select("host", "id", "at_ms", start.cast("long").alias("start_ms"))

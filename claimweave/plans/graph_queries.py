@@ -30,8 +30,8 @@ def shown(edge: DataFrame) -> DataFrame:
     return edge.select("id", "subject_id", "predicate", "object_id", "connection_class", F.col("valid_from").cast("string"), F.col("valid_to").cast("string"), "n_evidence", "qualities", "evidence_ids")
 
 
-def _filtered(name: str, filters: Filters, where: str) -> None:
-    query(name, f"WITH {_EDGES} SELECT {_OUT} FROM edges WHERE {where}")(lambda b: shown(edges(b, filters)))
+def _filtered(name: str, filters: Filters, where: str, *more: str) -> None:
+    query(name, f"WITH {', '.join([_EDGES, *more])} SELECT {_OUT} FROM edges WHERE {where}")(lambda b: shown(edges(b, filters)))
 
 
 _filtered("graph_edges", Filters(), "true")
@@ -41,12 +41,12 @@ _filtered("graph_current_only", Filters(historical=False), "connection_class <>
 _filtered("graph_date_range", Filters(date_from="1996-01-01", date_to="1996-12-31"), "(valid_from IS NOT NULL OR valid_to IS NOT NULL) AND coalesce(valid_from, valid_to) <= DATE '1996-12-31' AND coalesce(valid_to, valid_from) >= DATE '1996-01-01'")
 _filtered("graph_by_entity", Filters(entity_id="s:1"), "subject_id = 's:1' OR object_id = 's:1'")
 _filtered("graph_by_entity_type", Filters(entity_type="EVENT"), "subject_type = 'EVENT' OR object_type = 'EVENT'")
-_filtered("graph_topic", Filters(topic=" health "), "lower(topic) = 'health' OR lower(subject_canton) = 'health' OR lower(object_canton) = 'health'")
+_filtered("graph_topic", Filters(topic=" health "), "id IN (SELECT g.id FROM g_claims g, json_tree(g.notes) t WHERE t.type = 'VARCHAR' AND lower(t.atom->>'$') = 'health') OR subject_id IN (SELECT id FROM about) OR object_id IN (SELECT id FROM about)", "about AS (SELECT g.id FROM g_entities g, json_tree(g.metadata) t WHERE t.type = 'VARCHAR' AND lower(t.atom->>'$') = 'health')")
 _filtered("graph_person", Filters(person="C:7"), "(subject_type = 'PERSON' AND (lower(subject_id) = 'c:7' OR lower(subject_slug) = 'c:7' OR lower(subject_name) = 'c:7')) OR (object_type = 'PERSON' AND (lower(object_id) = 'c:7' OR lower(object_slug) = 'c:7' OR lower(object_name) = 'c:7'))")
 _filtered("graph_organization", Filters(organisation="s:2"), "object_type = 'COMPANY' AND lower(object_id) = 's:2'")
 
 
-@query("graph_nodes", f"WITH {_EDGES}, {_ENDS} SELECT id, entity_type, canonical_name, slug FROM g_entities WHERE id IN (SELECT entity_id FROM ends)")
+@query("graph_nodes", f"WITH {_EDGES}, {_ENDS} SELECT id, entity_type, canonical_name, slug, description, country AS country_code FROM g_entities WHERE id IN (SELECT entity_id FROM ends)")
 def graph_nodes(b: Bridge) -> DataFrame:
     return graph.nodes(edges(b), b("g_entities"))
 
@@ -117,13 +117,9 @@ def graph_nested(b: Bridge) -> DataFrame:
     return e.select("id", F.size("evidence").alias("n_evidence"), F.array_join(F.col("evidence.id"), ",").alias("evidence_ids"), F.col("evidence")[0]["document"]["url"].alias("first_url"), F.col("evidence")[0]["source"]["sourceQuality"].alias("first_quality"))
 
 
-_NOTES = "'{\"reasons\": [\"' || coalesce(topic, 'none') || '\", 7], \"deep\": {\"list\": [{\"leaf\": \"' || connection_class || '\"}]}, \"official\": 1}'"
-
-
-@query("topic_leaves", "SELECT id FROM g_claims WHERE lower(connection_class) = 'official' UNION ALL SELECT id FROM g_claims WHERE lower(topic) = 'official' AND lower(connection_class) <> 'official'")
+@query("topic_leaves", "SELECT DISTINCT g.id FROM g_claims g, json_tree(g.notes) t WHERE t.type = 'VARCHAR' AND lower(t.atom->>'$') = 'official'")
 def topic_leaves(b: Bridge) -> DataFrame:
-    noted = b("g_claims").select("id", F.expr(_NOTES).alias("notes"))
-    return noted.where(graph.leaf_equals(F.col("notes"), " OFFICIAL ")).select("id")
+    return graph.with_leaf(b("g_claims").select("id", F.col("notes").alias("text")), " OFFICIAL ")
 
 
 @query("public_base", """SELECT 'aliases' AS name, count(*) AS n FROM g_aliases WHERE entity_id IN (SELECT id FROM g_entities) UNION ALL SELECT 'documents', count(*) FROM g_documents WHERE source_id IN (SELECT id FROM g_sources)

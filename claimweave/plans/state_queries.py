@@ -198,6 +198,39 @@ def constraint_violations(b: Bridge) -> DataFrame:
     return out
 
 
+#: Tables with the columns that rules ask for, many of them out of bounds.
+_WIDE = {
+    "claims": ("SELECT id, status, connection_class, object_id, subject_id, valid_from, valid_to, CASE WHEN partkey % 2 = 0 THEN '{{}}' END AS literal_value, partkey / 1000.0 AS confidence_score, CASE WHEN partkey % 3 = 0 THEN 'r' END AS reviewed_by, CASE WHEN partkey % 5 <> 0 THEN created_on END AS reviewed_at FROM {g_claims}", "g_claims"),
+    "entities": ("SELECT id, entity_type, CASE WHEN slug LIKE '%3' THEN ' ' ELSE canonical_name END AS canonical_name, CASE WHEN slug LIKE '%5' THEN upper(slug) ELSE slug END AS slug, CASE WHEN slug LIKE '%7' THEN 'ch' ELSE 'CH' END AS country_code FROM {g_entities}", "g_entities"),
+    "claim_evidence": ("SELECT id, evidence_text, length(id) - 4 AS start_char, length(document_id) AS end_char, length(document_id) - 2 AS page_number FROM {g_evidence}", "g_evidence"),
+    "documents": ("SELECT id, original_url, CASE WHEN number % 5 = 0 THEN ' ' ELSE canonical_url END AS canonical_url, CASE WHEN number % 3 = 0 THEN 'de-CH' WHEN number % 3 = 1 THEN 'german' ELSE 'fr' END AS language, sha2(extracted_text, 256) AS content_hash, number AS http_status, CASE WHEN number % 4 = 0 THEN 'SECRET' ELSE 'PUBLIC' END AS access_status FROM {g_documents}", "g_documents"),
+    "ingestion_jobs": ("SELECT id, status, job_kind, attempts - 1 AS attempts, CASE WHEN id % 9 = 0 THEN 0 ELSE 2 END AS max_attempts, CASE WHEN id % 2 = 0 THEN scheduled_at END AS finished_at, CASE WHEN id % 6 <> 0 THEN user_id END AS url_candidate_id, CASE WHEN id % 5 <> 0 THEN user_id END AS document_id FROM {g_jobs}", "g_jobs"),
+}
+_HELD = {
+    "claims": {"status_known": "true", "class_known": "true", "confidence_bounded": "confidence_score BETWEEN 0 AND 1", "object_or_literal": "object_id IS NOT NULL OR literal_value IS NOT NULL", "no_self_relation": "object_id <> subject_id", "dates_ordered": "valid_from <= valid_to", "review_dated": "reviewed_by IS NULL OR reviewed_at IS NOT NULL"},
+    "entities": {"name_not_blank": "trim(canonical_name) <> ''", "slug_form": "regexp_full_match(slug, '[a-z0-9]+(-[a-z0-9]+)*')", "country_form": "regexp_full_match(country_code, '[A-Z]{2}')", "type_known": "true"},
+    "claim_evidence": {"text_not_blank": "trim(evidence_text) <> ''", "start_not_negative": "start_char >= 0", "end_not_negative": "end_char >= 0", "page_positive": "page_number > 0", "hash_form": None, "span_ordered": "start_char <= end_char"},
+    "documents": {"original_url_not_blank": "trim(original_url) <> ''", "canonical_url_not_blank": "trim(canonical_url) <> ''", "language_form": "language <> 'german'", "hash_form": "true", "http_status_bounded": "http_status BETWEEN 100 AND 599", "access_known": "access_status = 'PUBLIC'", "extraction_known": None},
+    "ingestion_jobs": {"attempts_not_negative": "attempts >= 0", "max_attempts_positive": "max_attempts > 0", "attempts_bounded": "attempts <= max_attempts", "ended_dated": "status <> 'FAILED' OR finished_at IS NOT NULL", "target_given": "CASE job_kind WHEN 'FETCH_URL' THEN url_candidate_id IS NOT NULL ELSE document_id IS NOT NULL END"},
+}
+
+
+def _rule_sql() -> str:
+    duck = lambda sql: sql.replace("{{}}", "\x00").replace("{", "").replace("}", "").replace("\x00", "{}").replace("sha2(extracted_text, 256)", "sha256(extracted_text)")
+    tables = ", ".join(f"w_{t} AS ({duck(sql)})" for t, (sql, _) in _WIDE.items())
+    rows = [f"SELECT '{t}' AS tbl, '{n}' AS rule, '{'unchecked' if held is None else 'checked'}' AS state, " + ("NULL" if held is None else f"(SELECT count(*) FROM w_{t} WHERE NOT coalesce({held}, true))") + " AS n" for t, rules in _HELD.items() for n, held in rules.items()]
+    return f"WITH {tables} {' UNION ALL '.join(rows)}"
+
+
+@query("rule_report", _rule_sql())
+def rule_report(b: Bridge) -> DataFrame:
+    out = None
+    for table, (sql, name) in _WIDE.items():
+        told = integrity.report(b.spark.sql(sql, **{name: b(name)}), table)
+        out = told if out is None else out.union(told)
+    return out
+
+
 @query("unique_partial", "SELECT CAST(user_id AS VARCHAR) || '|' || job_kind AS key, count(*) AS n FROM g_jobs WHERE user_id IS NOT NULL AND status IN ('PENDING', 'RUNNING') GROUP BY user_id, job_kind HAVING count(*) > 1")
 def unique_partial(b: Bridge) -> DataFrame:
     return integrity.unique_violations(b("g_jobs").withColumnRenamed("user_id", "url_candidate_id"), "ingestion_jobs")

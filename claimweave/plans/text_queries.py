@@ -292,14 +292,14 @@ def _relations(b: Bridge) -> DataFrame:
     false = F.lit(False)
     return r.select(
         "id", "predicate", F.when(odd, F.coalesce("evidence_text", "passage")).otherwise(F.col("evidence_text")).alias("evidence_text"), F.coalesce("has_text", false).alias("has_text"), "span", F.coalesce("context", F.when(odd, F.col("passage")), F.lit("")).alias("context"), "near", "subject_name", "object_name", "subject_aliases", "object_aliases",
-        F.coalesce("compatible", false).alias("compatible"), "source_quality", (F.col("ranged") | F.coalesce("is_published", false)).alias("dated"), false.alias("requires_review"), F.coalesce("subject_unclear", "object_unclear", false).alias("ambiguous"),
+        F.coalesce("compatible", false).alias("compatible"), "source_quality", (F.col("ranged") | F.coalesce("is_published", false)).alias("dated"), (F.col("partkey") % 29 == 0).alias("requires_review"), F.coalesce("subject_unclear", "object_unclear", false).alias("ambiguous"),
         F.coalesce("there", false).alias("known_document"), F.col("object_id").isNotNull().alias("given_object"),
     )
 
 
 @query("claim_validate")
 def claim_validate(b: Bridge) -> DataFrame:
-    return validation.validate(_relations(b)).select("id", "status", "evidence_score", F.array_join("reasons", "; ").alias("reasons"))
+    return validation.validate(_relations(b)).select("id", "status", "evidence_score", F.array_join("reasons", "; ").alias("reasons"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 _SHAPE = """CASE WHEN valid_from > valid_to THEN 'Date range must start before it ends.' WHEN s.id IS NULL THEN 'Claim subject entity does not exist.' WHEN c.object_id IS NULL AND literal IS NULL THEN 'A claim needs either an object entity or a literal value.'

@@ -235,3 +235,18 @@ def test_hot_blocks_are_parted_and_best_suffice(spark):
     keyed = lambda df, i: df.select("entity_type", i, F.col("country").alias("key"))
     met = resolution._met(keyed(m, "mention_id"), keyed(e.withColumnRenamed("id", "entity_id"), "entity_id"), part=7)
     assert met.count() == met.distinct().count() == 60 * 40
+
+
+# --------------------------------------------------------------------- pacing
+def test_slots_by_brute_force(spark):
+    """One host holds most requests, so its ranges carry on; null hosts are a host."""
+    rng = random.Random(9)
+    rows = [(rng.choice(("hot",) * 8 + ("a", "b", None)), i, rng.choice((rng.randint(0, 400_000), 5000))) for i in range(600)]
+    expected, free = [], {}
+    for host, i, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        start = max(at, free.get(host, 0))
+        free[host] = start + 6000
+        expected.append((host, i, at, start))
+    got = jobs.host_slots(spark.createDataFrame(rows, "host string, id int, at_ms long"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    assert jobs.host_slots(spark.createDataFrame([], "host string, id int, at_ms long")).count() == 0

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -112,9 +114,10 @@ def test_substring_names_meet(spark):
 
 
 def test_json_leaves(spark):
-    rows = spark.createDataFrame([(1, '{"a": ["Energy", {"b": "x"}]}'), (2, '{"energy": 1}'), (3, '["energy"]'), (4, None), (5, '{"a": "ener\\u0067y"}'), (6, "no")], "id int, t string")
-    assert [r.id for r in rows.where(graph.leaf_equals(F.col("t"), " ENERGY ")).orderBy("id").collect()] == [1, 5]
-    assert rows.where(graph.leaf_equals(F.col("t"), " ")).count() == 0
+    deep = '{"a": ' * 40 + '["Energy"]' + "}" * 40
+    rows = spark.createDataFrame([(1, '{"a": ["Energy", {"b": "x"}]}'), (2, '{"energy": 1}'), (3, '["energy"]'), (4, None), (5, '{"a": "ener\\u0067y"}'), (6, "no"), (7, deep), (8, '"energy"'), (9, '{"a": 7, "b": null, "c": [[], {}]}'), (10, '{"a": "energy x"}')], "id int, text string")
+    assert sorted(r.id for r in graph.with_leaf(rows, " ENERGY ").collect()) == [1, 5, 7]
+    assert graph.with_leaf(rows, " ").count() == 0
 
 
 def test_batch_limits():
@@ -145,3 +148,19 @@ def test_queries_have_names_without_session_state():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_unavailable_tables(spark, tmp_path):
+    from claimweave.operators import api
+
+    asked = spark.createDataFrame([("a",), ("b",)], "id string")
+    gone = {r.id: (r.status, json.loads(r.body)["error"]) for r in api.answered(asked, lambda: spark.read.parquet(f"{tmp_path}/none"), "entity").collect()}
+    assert gone == dict.fromkeys("ab", (503, "Public entity API is unavailable."))
+    there = spark.createDataFrame([("a", 1)], "id string, n int").select("id", F.struct("n").alias("body"))
+    assert {(r.id, r.status) for r in api.answered(asked, lambda: there, "entity").collect()} == {("a", 200), ("b", 404)}
+
+
+def test_unchecked_rules(spark):
+    df = spark.createDataFrame([("1", " "), ("2", "x")], "id string, alias string")
+    told = {r.rule: (r.state, r.n) for r in integrity.report(df, "entity_aliases").collect()}
+    assert told == {"alias_not_blank": ("checked", 1), "language_form": ("unchecked", None), "dates_ordered": ("unchecked", None)}

@@ -29,8 +29,8 @@ def plain(x):
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in x).split())
 
 
-def judged(claim, subject_type, object_type, evidence, text, unclear, quality, dated, names):
-    """(status, evidence_score, reasons) by the reference's rule, one claim at a time."""
+def judged(claim, marked, subject_type, object_type, evidence, text, unclear, quality, dated, names):
+    """(status, evidence_score, reasons, warnings) by the rule, one claim at a time."""
     _, predicate, subject, obj = claim
     at = -1 if not text or not evidence else text.find(evidence) if evidence in text else text.lower().find(evidence.lower())
     context = evidence or ""
@@ -52,7 +52,8 @@ def judged(claim, subject_type, object_type, evidence, text, unclear, quality, d
     ]
     reasons = [r for test, r in tests if test]
     score = (3 if cued else -3) - sum(k and not h for k, h in zip(known, has, strict=True)) + 2 * all(has) + 2 * (quality in ("A", "B")) + dated - 4 * some(ontology.NEGATIONS) - 4 * some(ontology.CONTRADICTIONS) - 3 * quoted - 3 * unclear
-    return ("REJECTED" if reasons else "PENDING_REVIEW", score, "; ".join(reasons))
+    warnings = [(marked, "LLM marked the relation for review"), (quoted, "evidence appears to rely on a third-party quote or attribution"), (unclear, "entity resolution is ambiguous"), (some(ontology.SENSITIVE), "sensitive topic requires human verification")]
+    return ("REJECTED" if reasons else "PENDING_REVIEW", score, "; ".join(reasons), "; ".join(w for test, w in warnings if test))
 
 
 def test_claims_are_all_validated(spark):
@@ -67,12 +68,12 @@ def test_claims_are_all_validated(spark):
     expected = []
     for i, predicate, subject, obj, part, text, quality, dated, evident in found:
         evidence = None if not evident else items.get(part % len(items)) if part % 2 else text and text[9:89]
-        expected.append((i, *judged((i, predicate, subject, obj), types.get(subject), types.get(obj), evidence, text, bool({subject, obj} & unclear), quality, dated, names)))
+        expected.append((i, *judged((i, predicate, subject, obj), part % 29 == 0, types.get(subject), types.get(obj), evidence, text, bool({subject, obj} & unclear), quality, dated, names)))
     got = [tuple(r) for r in rows(spark, "claim_validate")]
     assert sorted(got) == sorted(expected)
     for reason in ("document is unknown", "predicate is incompatible", "evidence text is not present", "object entity is missing"):
         assert any(reason in r[3] for r in got)
-    assert any("evidence text is not present" not in r[3] for r in got)
+    assert any("evidence text is not present" not in r[3] for r in got) and {w for r in got for w in r[4].split("; ")} >= {"LLM marked the relation for review", "entity resolution is ambiguous"}
 
 
 def test_unclear_entities(spark):
