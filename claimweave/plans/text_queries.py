@@ -265,34 +265,30 @@ def review_tasks(b: Bridge) -> DataFrame:
 def _relations(b: Bridge) -> DataFrame:
     """Every claim with each of its evidence rows, or with none; evidence quotes the document for even parts, and is a benchmark passage for odd ones.
 
-    Wide texts join last.
+    A passage is located in its document once, however many claims it is evidence of; entities have their names normalised once.
     """
-    e, odd = b("g_entities"), F.col("partkey") % 2 != 0
-    unclear = written(resolution.unclear(written(_scored(b))))  # each is named twice
+    odd = F.col("partkey") % 2 != 0
+    unclear = written(resolution.unclear(written(_scored(b)))).withColumn("unclear", F.lit(True))  # named twice each
+    names = b("g_aliases").groupBy(F.col("entity_id").alias("id")).agg(F.collect_list("alias").alias("aliases"))
+    e = written(b("g_entities").select("id", "canonical_name", "entity_type").join(names, "id", "left").join(unclear, "id", "left").select("id", F.col("canonical_name").alias("name"), F.col("entity_type").alias("type"), validation.explicit_names(F.col("canonical_name"), F.col("aliases")).alias("names"), "unclear"))
     r = b("g_claims").select("id", "predicate", "subject_id", "object_id", "partkey", (F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()).alias("ranged"))
-    for s in ("subject", "object"):
-        r = r.join(e.select(F.col("id").alias(f"{s}_id"), F.col("canonical_name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type")), f"{s}_id", "left")
-        r = r.join(unclear.select(F.col("id").alias(f"{s}_id"), F.lit(True).alias(f"{s}_unclear")), f"{s}_id", "left")
-    r = r.join(F.broadcast(b("g_compatible").withColumn("compatible", F.lit(True))), ["predicate", "subject_type", "object_type"], "left")
     r = r.join(b("g_evidence").select(F.col("claim_id").alias("id"), "document_id"), "id", "left")
-    items = b("benchmark").agg(F.count("*").alias("n_items"))
+    items = b("benchmark").agg(F.count("*").alias("n_items"))  # one row
     r = r.join(F.broadcast(items)).withColumn("item_id", F.when(odd & F.col("document_id").isNotNull(), F.col("partkey") % F.col("n_items")))
-    r = r.join(F.broadcast(b("benchmark").select("item_id", F.col("text").alias("passage"))), "item_id", "left")
+    pair = F.struct("document_id", "item_id")
     sources = b("g_sources").select(F.col("id").alias("source_id"), "source_quality")
-    docs = b("g_documents").select(F.col("id").alias("document_id"), "source_id", "is_published", F.col("extracted_text").alias("text"), F.lit(True).alias("there")).join(F.broadcast(sources), "source_id", "left")
-    names = b("g_aliases").groupBy("entity_id").agg(F.collect_list("alias").alias("aliases"))
+    docs = b("g_documents").select(F.col("id").alias("document_id"), "source_id", "is_published", F.col("extracted_text").alias("text"), F.lit(True).alias("there")).join(sources, "source_id", "left")
+    asked = r.select(pair.alias("pair")).distinct().select("pair", "pair.*")
+    placed = asked.join(docs, "document_id", "left").join(b("benchmark").select("item_id", F.col("text").alias("passage")), "item_id", "left")
+    told = validation.located(placed.withColumn("evidence_text", F.when(F.col("item_id").isNotNull(), F.col("passage")).otherwise(F.substring("text", 10, 80))))
+    r = r.withColumn("pair", pair).join(told.select("pair", "evidence_text", *validation.LOCATED, "source_quality", "is_published", "there"), "pair")
     for s in ("subject", "object"):
-        r = r.join(names.select(F.col("entity_id").alias(f"{s}_id"), F.col("aliases").alias(f"{s}_aliases")), f"{s}_id", "left")
-    # Whole texts meet each passage once: spans belong to a document and its evidence, not to a claim.
-    asked = r.where("document_id is not null").select("document_id", F.when(odd, F.col("passage")).alias("passage"), odd.alias("quoted")).distinct()
-    placed = asked.join(docs, "document_id").withColumn("evidence_text", F.when(F.col("quoted"), F.col("passage")).otherwise(F.substring("text", 10, 80)))
-    told = validation.located(placed).select("document_id", "passage", "quoted", "evidence_text", "has_text", "span", "context", "near", "source_quality", "is_published", "there")
-    same = r.document_id.eqNullSafe(told.document_id) & told.quoted.eqNullSafe(odd) & F.when(odd, r.passage).eqNullSafe(told.passage)
-    r = r.join(told, same, "left").select(r["*"], *[told[c] for c in ("evidence_text", "has_text", "span", "context", "near", "source_quality", "is_published", "there")])
+        r = r.join(e.select(*[F.col(c).alias(f"{s}_{c}") for c in e.columns]), f"{s}_id", "left")
+    r = r.join(F.broadcast(b("g_compatible").withColumn("compatible", F.lit(True))), ["predicate", "subject_type", "object_type"], "left")
     false = F.lit(False)
     return r.select(
-        "id", "predicate", F.when(odd, F.coalesce("evidence_text", "passage")).otherwise(F.col("evidence_text")).alias("evidence_text"), F.coalesce("has_text", false).alias("has_text"), "span", F.coalesce("context", F.when(odd, F.col("passage")), F.lit("")).alias("context"), "near", "subject_name", "object_name", "subject_aliases", "object_aliases",
-        F.coalesce("compatible", false).alias("compatible"), "source_quality", (F.col("ranged") | F.coalesce("is_published", false)).alias("dated"), (F.col("partkey") % 29 == 0).alias("requires_review"), F.coalesce("subject_unclear", "object_unclear", false).alias("ambiguous"),
+        "id", "predicate", "evidence_text", *validation.LOCATED, "subject_name", "object_name", "subject_names", "object_names", F.coalesce("compatible", false).alias("compatible"), "source_quality",
+        (F.col("ranged") | F.coalesce("is_published", false)).alias("dated"), (F.col("partkey") % 29 == 0).alias("requires_review"), F.coalesce("subject_unclear", "object_unclear", false).alias("ambiguous"),
         F.coalesce("there", false).alias("known_document"), F.col("object_id").isNotNull().alias("given_object"),
     )
 
