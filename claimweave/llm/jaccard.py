@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import components, discard, free_others, mix, row_key, settle, shingle_set
+from ._common import components, discard, free_others, mix, row_key, settle, shingle_set, trim
 
 #: Shingles in a tile, more or less.
 TILE = 1_500_000
@@ -45,6 +45,7 @@ def _described(batches):
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "k", "n", "fp"])
+    trim()
 
 
 def _shingles(batches):
@@ -80,6 +81,8 @@ def _prefixes(frequent: np.ndarray):
                 owners.append(np.full(len(keys[-1]), fp, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "fp"])
+        seen.clear()
+        trim()
 
     return run
 

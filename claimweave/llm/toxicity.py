@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_others, settle
+from ._common import free_others, hold, settle
 
 ORDER = 6
 _WORD = re.compile(r"[^\W_]+")
@@ -172,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
     model = Model.fit(counts)
 
     def describe(batches):
-        free_others()
+        free_others("toxicity")
         known: dict[str, float] = {}
+        hold("toxicity", known.clear)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([model.features(t, known) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
@@ -199,8 +200,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        free_others()
+        free_others("toxicity")
         known: dict[str, float] = {}
+        hold("toxicity", known.clear)
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             x = np.array([shared.value.features(t, known) for t in texts]).reshape(len(texts), -1)
