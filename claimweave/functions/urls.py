@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Query parameters that never count, of trackers and of mobile variants.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "msclkid")
@@ -22,13 +25,77 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def canonical(url: Column, keep_language: bool = True) -> Column:
-    """The canonical form of an http(s) url of ASCII characters; null for other schemes.
+def canonical(url: Column, keep_language: bool = True, international: bool = False) -> Column:
+    """The canonical form of an http(s) url; null for other schemes and for what is no url.
 
-    Scheme and host in lower case, no default port or fragment; no empty path segments, no amp or print segment
-    at either end, no trailing slash; parameters without tracking and print ones, sorted by key and value.
+    Scheme and host in lower case, no default port or fragment; dot segments resolved, no empty path segments, no amp or print segment
+    at either end, no trailing slash; parameters without tracking and print ones, sorted by key and value as a reader would sort them.
+    Path and parameters are percent-encoded anew as browsers do.  Hosts beyond ASCII are null, or Punycode if ``international``: that alone
+    needs Python, and only for such hosts.
     """
-    return bound(url, lambda u: _canonical(u, keep_language))
+    plain = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20\u00A0]+|[\x00-\x20\u00A0]+$", ""), r"[\t\n\r]", "")
+    if not international:
+        return bound(plain, lambda u: _canonical(u, F.lit(None).cast("string"), keep_language))
+    name = _name(_authority(plain))
+    coded = _punycode(F.when(name.rlike(_BEYOND), name))
+    return bound(F.struct(plain.alias("u"), coded.alias("coded")), lambda x: _canonical(x["u"], x["coded"], keep_language))
+
+
+#: The characters that paths, and hosts, hold as they are.
+_IN_PATH = r"^[!$%&'()*+,\-./0-9:;=@A-Z\[\]\\_a-z|~]*$"
+_BEYOND = r"[^\x00-\x7F]"
+_NO_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
+
+
+def _in_path(text: Column) -> Column:
+    """``text`` with what a path cannot hold percent-encoded; what is encoded already stays."""
+    coded = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_IN_PATH), c).when(c == " ", "%20").otherwise(F.url_encode(c)))
+    return F.when(text.rlike(_IN_PATH), text).otherwise(F.array_join(coded, ""))
+
+
+def _decoded(text: Column) -> Column:
+    """A key or value of a form: plus signs are spaces; a percent sign that encodes nothing stands for itself."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+@F.pandas_udf(StringType())
+def _punycode(hosts: pd.Series) -> pd.Series:
+    def one(host: str | None) -> str | None:
+        if host is None:
+            return None
+        labels = re.split("[.\u3002\uff0e\uff61]", unicodedata.normalize("NFKC", host).lower())
+        try:
+            return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels)
+        except UnicodeError:
+            return None
+
+    return hosts.map(one)
+
+
+def _head(url: Column) -> Column:
+    """What comes before parameters and fragment, with slashes alone."""
+    return F.replace(F.regexp_extract(url, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/"))
+
+
+def _authority(url: Column) -> Column:
+    return F.regexp_extract(_head(url), r"(?i)^https?:/*([^/]*)", 1)
+
+
+def _name(authority: Column) -> Column:
+    """The host's name as it is written, decoded and in lower case, without user and port."""
+    place = F.regexp_replace(authority, "^.*@", "")
+    return F.lower(F.url_decode(F.regexp_replace(F.replace(F.regexp_replace(place, r":[^:\]]*$", ""), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")))
+
+
+def _host(authority: Column, coded: Column, default: Column) -> Column:
+    """User, host and port as they are kept; null if they are none.  ``coded`` is the name of a host beyond ASCII, if it is known."""
+    user, port = F.regexp_extract(authority, "^(.*@)", 1), F.regexp_extract(F.regexp_replace(authority, "^.*@", ""), r":([^:\]]*)$", 1)
+    name = _name(authority)
+    known = F.when(name.rlike(_BEYOND), coded).otherwise(name)
+    number = F.regexp_replace(port, "^0+(?=[0-9])", "")
+    sound = (port == "") | (port.rlike("^[0-9]+$") & (F.length(number) <= 5) & (number.try_cast("int") <= 65535))
+    held = known.rlike(r"^\[[0-9a-f:.]+\]$") | ((known != "") & ~known.rlike(_NO_HOST))
+    return F.when(sound & held, F.concat(F.when(user != "@", user).otherwise(""), known, F.when((number == "") | (number == default), "").otherwise(F.concat(F.lit(":"), number))))
 
 
 def _without_first(word: str):
@@ -44,19 +111,24 @@ def _without_infix(word: str):
     return lambda x: F.regexp_replace(x, rf"(?i)\.{word}(\.[a-z0-9]+)$", "$1")
 
 
-def _canonical(url: Column, keep_language: bool) -> Column:
-    scheme = F.lower(F.regexp_extract(url, r"(?i)^\s*(https?)://", 1))
-    authority = F.lower(F.regexp_extract(url, r"(?i)^\s*https?://([^/?#]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(authority, ":80$", "")).otherwise(F.regexp_replace(authority, ":443$", ""))
-    path = F.regexp_extract(url, r"(?i)^\s*https?://[^/?#]*([^?#]*)", 1)
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+def _undotted(path: Column) -> Column:
+    """Segments after ``.`` and ``..``, written out or encoded, are gone."""
+    dots = lambda x: F.regexp_replace(x, "(?i)%2e", ".")
+    return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda done, x: F.when((x == "") | (dots(x) == "."), done).when(dots(x) == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)))
+
+
+def _canonical(url: Column, coded: Column, keep_language: bool) -> Column:
+    scheme = F.lower(F.regexp_extract(url, r"(?i)^(https?):", 1))
+    path = F.regexp_extract(_head(url), r"(?i)^https?:/*[^/]*(.*)$", 1)
+    host = _host(_authority(url), coded, F.when(scheme == "http", "80").otherwise("443"))
+    parts = F.transform(F.when(path.rlike(r"(?i)(/|^)(\.|%2e){1,2}(/|$)"), _undotted(path)).otherwise(F.filter(F.split(path, "/"), lambda s: s != "")), _in_path)
     for word in ("amp", "print"):
         parts = bound(bound(parts, _without_first(word)), _without_last(word))
     for word in ("amp", "print"):
         parts = F.transform(parts, _without_infix(word))
     clean = F.concat(F.lit("/"), F.array_join(parts, "/"))
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v")))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v"), i.alias("i")))
 
     def stays(p: Column) -> Column:
         k, v = F.lower(p["k"]), F.lower(p["v"])
@@ -64,8 +136,10 @@ def _canonical(url: Column, keep_language: bool) -> Column:
         gone = gone | (k.isin("print", "printable") & v.isin("", "1", "true")) | (k.isin("view", "output", "display", "format") & (v == "print"))
         return ~(gone if keep_language else gone | k.isin(*LANGUAGE))
 
-    kept = F.array_join(F.transform(F.array_sort(F.filter(pairs, stays)), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, clean, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    # Equal keys and values by the collation stay in their order.
+    told = F.transform(F.filter(pairs, stays), lambda p: F.struct(F.collate(p["k"], "UNICODE").alias("ck"), F.collate(p["v"], "UNICODE").alias("cv"), p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v")))
+    kept = F.array_join(F.transform(F.array_sort(told), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, clean, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
 def resolved(base: Column, location: Column) -> Column:

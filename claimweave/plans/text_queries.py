@@ -52,6 +52,15 @@ def url_resolve(b: Bridge) -> DataFrame:
     return b("pages").select("page_id", urls.resolved(F.col("url"), location).alias("canonical"))
 
 
+_PARTS = "page_id, CASE page_id % 6 WHEN 0 THEN 'HTTP://Bücher.Example:80/a b/' || page_id || '/ü\"x\"?z=%7e&ü=é&a=1+2' WHEN 1 THEN 'https://user:pw@EXAMPLE.org:8443/x/../' || page_id || '/%2e/ok?b=%zz&B=2&a=x%26y#f' WHEN 2 THEN ' http:{b}{b}example.org{b}dir{b}' || page_id || '  '  WHEN 3 THEN 'https://example.org:99999/' || page_id WHEN 4 THEN 'https://日本語.example/' || page_id || '?utm_source=x&q=%E6%97%A5%20本' ELSE url END AS url"
+
+
+@query("url_international", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://xn--bcher-kva.example/a%20b/' || page_id || '/%C3%BC%22x%22?a=1+2&%C3%BC=%C3%A9&z=%7E' WHEN 1 THEN 'https://user:pw@example.org:8443/' || page_id || '/ok?a=x%26y&b=%25zz&B=2' WHEN 2 THEN 'http://example.org/dir/' || page_id WHEN 4 THEN 'https://xn--wgv71a119e.example/' || page_id || '?q=%E6%97%A5+%E6%9C%AC' WHEN 5 THEN canonical END AS canonical FROM (""" + _canonical_sql("SELECT page_id, url FROM pages") + ")")
+def url_international(b: Bridge) -> DataFrame:
+    given = b.spark.sql(f"SELECT {_PARTS.replace('{b}', chr(92) * 2)} FROM {{pages}}", pages=b("pages"))
+    return given.select("page_id", urls.canonical(F.col("url"), international=True).alias("canonical"))
+
+
 @query("pending_candidates", "SELECT page_id, url FROM pages WHERE page_id % 3 <> 0 AND page_id % 4 = 1")
 def pending_candidates(b: Bridge) -> DataFrame:
     found = b("pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "FETCHED").otherwise("PENDING").alias("status"), (F.col("page_id") % 4).alias("crawl_run_id"))

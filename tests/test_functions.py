@@ -138,3 +138,22 @@ def test_language_tags(spark):
 def test_resolved(spark, base, location, want):
     row = spark.createDataFrame([(base, location)], "base string, location string").select(urls.resolved(F.col("base"), F.col("location")).alias("u")).first()
     assert row.u == want
+
+
+def test_urls_beyond_ascii(spark):
+    from claimweave.functions import urls
+
+    told = {
+        "HTTPS://Example.COM:443/news/story/?utm_source=newsletter&b=2&a=1&fbclid=abc#section": "https://example.com/news/story?a=1&b=2",
+        "https://example.com/amp/news/story?amp=1": "https://example.com/news/story", "https://example.com/news/story/amp": "https://example.com/news/story",
+        "https://example.com/news/story.print.html?view=print": "https://example.com/news/story.html", "https://example.ch/article?lang=de&utm_medium=social": "https://example.ch/article?lang=de",
+        "http://bücher.example/straße?q=größe": "http://xn--bcher-kva.example/stra%C3%9Fe?q=gr%C3%B6%C3%9Fe", "https://日本語.jp": "https://xn--wgv71a119e.jp/", "https://faß.de/": "https://xn--fa-hia.de/",
+        "https://e.org/a%2Fb/%7Ex/{y}?k=a%2Fb&e=~": "https://e.org/a%2Fb/%7Ex/%7By%7D?e=%7E&k=a%2Fb", "https://e.org/./a/%2E%2e/b/..": "https://e.org/", "https://e.org?b=1&a=2&A=1&a=1&ä=3": "https://e.org/?a=1&a=2&A=1&%C3%A4=3&b=1",
+        "https://e.org/?a&b=&=c": "https://e.org/?=c&a=&b=", "https://e.org:0443/": "https://e.org/", "http://e.org:443/": "http://e.org:443/", "https://e.org:x/": None, "https://e.org:70000/": None, "https://:80/": None,
+        "https://a b/": None, "ftp://e.org/": None, "mailto:a@b": None, "": None, "https://[::1]:8080/x": "https://[::1]:8080/x", "http:\\\\e.org\\a": "http://e.org/a", "http:/e.org/a": "http://e.org/a", " \thttps://e.org/\n ": "https://e.org/",
+        "https://e%78.org/": "https://ex.org/", "https://u@E.org/": "https://u@e.org/", "https://e.org/?q=a+b%20c%": "https://e.org/?q=a+b+c%25",
+    }
+    rows = spark.createDataFrame([(u,) for u in told] + [(None,)], "url string")
+    got = {r.url: r.c for r in rows.select("url", urls.canonical(F.col("url"), international=True).alias("c")).collect()}
+    assert got == told | {None: None}
+    assert rows.where("url = 'https://日本語.jp'").select(urls.canonical(F.col("url")).alias("c")).first().c is None
