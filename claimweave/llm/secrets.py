@@ -1,8 +1,9 @@
 """Secret scanning through a trigram inverted index, in DataFrame functions alone.
 
 A Boolean trigram query is derived from each rule's parsed regular expression: an OR over its alternatives of
-the AND of the trigrams that a match must hold.  The index has the postings (row, trigram) of the trigrams that
-the rules ask for; they are intersected for each row, and only candidates are verified with the regular
+the AND of the trigrams that a match must hold.  The index is a written table of posting lists, keyed by trigram and segment, of the
+trigrams that the rules ask for; a segment is a few thousand rows, so no list has more.  An alternative's lists are intersected, the
+alternatives' results united, and only these candidates are verified with the regular
 expression.  A rule whose matches have no mandatory trigram (the hex rule: any digits) scans all rows.
 """
 
@@ -17,7 +18,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import row_key
+from ._common import row_key, settle
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,8 @@ RULES = (
 )
 
 
+#: Keys of a segment of the index, more or less.
+SEGMENT = 4096
 #: Strings that a part of a pattern may stand for, up to which they are enumerated; and characters of a class.
 ENUMERATED, CLASS = 64, 4
 
@@ -156,32 +159,46 @@ def _quick(rule: Rule) -> Rule:
     return Rule(rule.kind, f"({plain[1]}{plain[2]}{{{rule.least - len(plain[1])},}})", rule.least, 1)
 
 
+def terms(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The trigrams that the queries of ``rules`` name, marked ``=`` as they are and ``~`` where letters fold."""
+    return sorted({("~" if folds(r) else "=") + t for r in rules for s in query_of(r) for t in s})
+
+
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (k, trigram) of the trigrams that ``rules`` ask for; docs has k and text."""
-    exact = sorted({t for r in rules if not folds(r) for s in query_of(r) for t in s})
-    folded = sorted({t for r in rules if folds(r) for s in query_of(r) for t in s})
+    """Posting lists (segment, trigram, rows) of the trigrams that ``rules`` ask for; docs has k and text.
+
+    A segment is a share of the keys, about SEGMENT of them; repeated rows have one key and are one posting.
+    """
+    segments = -(-docs.count() // SEGMENT) or 1
     lower = F.lower("text")
-    held = [F.when(F.contains("text", F.lit(t)), F.lit("=" + t)) for t in exact] + [F.when(F.contains(lower, F.lit(t)), F.lit("~" + t)) for t in folded]
-    return docs.select("k", F.explode(F.array_compact(F.array(*held))).alias("trigram"))
+    held = [F.when(F.contains(lower if t[0] == "~" else F.col("text"), F.lit(t[1:])), F.lit(t)) for t in terms(rules)]
+    posted = docs.select("k", F.pmod("k", F.lit(segments)).alias("segment"), F.explode(F.array_compact(F.array(*held) if held else F.array().cast("array<string>"))).alias("trigram"))
+    return settle(posted.groupBy("segment", "trigram").agg(F.collect_set("k").alias("rows")))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(k, the kinds whose Boolean query the row's postings meet), by intersecting the postings of each row."""
-    terms = sorted({("~" if folds(r) else "=") + t for r in rules for s in query_of(r) for t in s})
-    bit = {t: 1 << i for i, t in enumerate(terms)}
-    have = postings.groupBy("k").agg(*[F.bit_or(sum((F.when(F.col("trigram") == t, b).otherwise(0).cast("long") for t, b in list(bit.items())[i : i + 8]), F.lit(0).cast("long"))).alias(f"h{i}") for i in range(0, len(terms), 8)])
-    bits = F.lit(0).cast("long")
-    for i in range(0, len(terms), 8):
-        bits = bits.bitwiseOR(F.col(f"h{i}"))
-    kinds = []
+    """(k, the kinds whose Boolean query the row meets): in each segment the posting lists of an alternative's trigrams are
+    intersected, shorter lists first, and the alternatives united."""
+    none = F.array().cast("array<long>")
+    lists = postings.groupBy("segment").agg(*[F.first(F.when(F.col("trigram") == t, F.col("rows")), ignorenulls=True).alias(t) for t in terms(rules)])
+
+    def both(names: list[str]) -> Column:
+        ordered = F.array_sort(F.array(*[F.struct(F.size(F.coalesce(F.col(f"`{n}`"), none)).alias("n"), F.coalesce(F.col(f"`{n}`"), none).alias("rows")) for n in names]))
+        return F.aggregate(F.slice(ordered, 2, len(names)), ordered[0]["rows"], lambda met, x: F.array_intersect(met, x["rows"])) if len(names) > 1 else F.coalesce(F.col(f"`{names[0]}`"), none)
+
+    def of_kind(kind: str):
+        return lambda k: F.struct(k.alias("k"), F.lit(kind).alias("kind"))
+
+    met = []
     for r in rules:
         if sets := query_of(r):
-            masks = [sum(bit[("~" if folds(r) else "=") + t] for t in s) for s in sets]
-            met = F.lit(False)
-            for m in masks:
-                met = met | (bits.bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
-            kinds.append(F.when(met, F.lit(r.kind)))
-    return have.select("k", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+            united = none
+            for s in sets:
+                united = F.array_union(united, both([("~" if folds(r) else "=") + t for t in sorted(s)]))
+            met.append(F.transform(united, of_kind(r.kind)))
+    if not met:
+        return postings.select(F.col("segment").alias("k"), F.array().cast("array<string>").alias("kinds")).limit(0)
+    return lists.select(F.explode(F.concat(*met)).alias("m")).groupBy("m.k").agg(F.collect_set("m.kind").alias("kinds"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

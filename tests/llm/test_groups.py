@@ -269,3 +269,28 @@ def test_variants(spark):
         got = spelling.variants(docs(spark, rows), every=every, least=least)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str) and len(expected) > 40
     assert spelling.variants(docs(spark, [])).count() == spelling.variants(docs(spark, [(1, None), (2, "12 4")])).count() == 0
+
+
+# ---------------------------------------------------------- postings of secrets
+def test_posting_lists_are_intersected(spark, monkeypatch):
+    """In segments of any size, the candidates are the rows that hold all trigrams of an alternative; repeated rows are one posting."""
+    from pyspark.sql import functions as F
+
+    from claimweave.llm import secrets
+
+    rng = random.Random(5)
+    bits = ["pass", "word", "PASSWORD", "secret", "Secre", "tok", "token=abcdefgh1", "AKIA", "AKI", "KIA", "api_key", "apikey: 123456789", " ", "wd"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(150)] + ["password"] * 5
+    for segment in (4, 4096):
+        monkeypatch.setattr(secrets, "SEGMENT", segment)
+        held = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("k", F.xxhash64("text"))
+        lists = secrets.index(held)
+        assert lists.groupBy("segment", "trigram").count().where("count > 1").isEmpty() and lists.agg(F.max(F.size("rows"))).first()[0] <= max(segment * 6, 60)
+        got = {(r.k, kind) for r in secrets.candidates(lists).collect() for kind in r.kinds}
+        expected = set()
+        for r in held.collect():
+            for rule in secrets.RULES:
+                low = r.text.lower() if secrets.folds(rule) else r.text
+                if any(all(t in low for t in s) for s in secrets.query_of(rule)):
+                    expected.add((r.k, rule.kind))
+        assert got == expected and len(expected) > 50
