@@ -164,6 +164,12 @@ def grants() -> list[tuple[str, str, str]]:
     return sorted([("anon", t, "select") for t in ANONYMOUS] + [("authenticated", t, a) for t in TABLES for a in ("select", *_ALL)])
 
 
+def decided(requests: DataFrame, allowed: list[tuple[str, str, str]]) -> DataFrame:
+    """``requests`` (role, tbl, action) with allowed: whether ``permissions`` or ``grants`` have them; unknown or null ones are not."""
+    rules = requests.sparkSession.createDataFrame(allowed, "role string, tbl string, action string").withColumn("allowed", F.lit(True))  # some hundred rows, fixed
+    return requests.join(F.broadcast(rules), ["role", "tbl", "action"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
 def claim_writes(writes: DataFrame) -> DataFrame:
     """(id, allowed) of writes to claims (id, role, action, status): researchers only propose, reviewers only update, admins do all."""
     proposed = (F.col("action") == "insert") & (F.col("role") == "RESEARCHER") & F.col("status").isin("DETECTED", "PENDING_REVIEW")

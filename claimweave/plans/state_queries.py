@@ -270,17 +270,30 @@ def role_resolve(b: Bridge) -> DataFrame:
 _ALL_TABLES = "['sources', 'entities', 'entity_aliases', 'documents', 'claims', 'claim_evidence', 'review_queue', 'audit_log', 'llm_runs', 'crawl_runs', 'entity_resolution_tasks', 'entity_resolution_candidates', 'url_candidates', 'crawl_schedules', 'ingestion_jobs']"
 
 
-@query("role_matrix", f"""WITH t AS (SELECT unnest({_ALL_TABLES}) AS tbl) SELECT unnest(['ADMIN', 'RESEARCHER', 'REVIEWER']) AS role, tbl, 'select' AS action FROM t UNION SELECT 'ADMIN', tbl, unnest(['insert', 'update', 'delete']) FROM t
+#: Each event asks for a table in a role: every combination comes up.
+_ASKED = "SELECT event_id AS id, roles[1 + (event_id // 60) % len(roles)] AS role, tables[1 + event_id % 15] AS tbl, ['select', 'insert', 'update', 'delete'][1 + (event_id // 15) % 4] AS action FROM events, (SELECT {} AS roles, " + _ALL_TABLES + " AS tables)"
+_MATRIX = f"""t AS (SELECT unnest({_ALL_TABLES}) AS tbl), allowed AS (SELECT unnest(['ADMIN', 'RESEARCHER', 'REVIEWER']) AS role, tbl, 'select' AS action FROM t UNION SELECT 'ADMIN', tbl, unnest(['insert', 'update', 'delete']) FROM t
 UNION SELECT 'PUBLIC', unnest(['entities', 'claims', 'claim_evidence']), 'select' UNION SELECT 'RESEARCHER', unnest(['entities', 'entity_aliases', 'sources', 'documents', 'claims', 'claim_evidence', 'audit_log', 'entity_resolution_tasks', 'entity_resolution_candidates', 'url_candidates', 'crawl_schedules', 'ingestion_jobs']), 'insert'
 UNION SELECT 'RESEARCHER', unnest(['url_candidates', 'crawl_schedules', 'ingestion_jobs']), 'update' UNION SELECT 'RESEARCHER', unnest(['crawl_schedules', 'ingestion_jobs']), 'delete'
-UNION SELECT 'REVIEWER', unnest(['claim_evidence', 'review_queue', 'audit_log']), 'insert' UNION SELECT 'REVIEWER', unnest(['claims', 'review_queue', 'entity_resolution_tasks']), 'update' UNION SELECT 'REVIEWER', 'review_queue', 'delete'""")
+UNION SELECT 'REVIEWER', unnest(['claim_evidence', 'review_queue', 'audit_log']), 'insert' UNION SELECT 'REVIEWER', unnest(['claims', 'review_queue', 'entity_resolution_tasks']), 'update' UNION SELECT 'REVIEWER', 'review_queue', 'delete')"""
+_ROLES, _API_ROLES = ("ADMIN", "RESEARCHER", "REVIEWER", "PUBLIC", "GUEST"), ("anon", "authenticated", "service")
+_GRANTED = f"allowed AS (SELECT 'anon' AS role, unnest(['entities', 'claims', 'claim_evidence']) AS tbl, 'select' AS action UNION ALL SELECT 'authenticated', tbl, unnest(['select', 'insert', 'update', 'delete']) FROM (SELECT unnest({_ALL_TABLES}) AS tbl))"
+
+
+def _asked(b: Bridge, roles: tuple[str, ...]) -> DataFrame:
+    i = F.col("event_id")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.lit(1) + F.pmod(n.cast("int"), F.lit(len(values)))).cast("int"))
+    return b("events").select(i.alias("id"), pick(roles, F.floor(i / 60)).alias("role"), pick(_ALL_TABLES.strip("[]").replace("'", "").split(", "), i).alias("tbl"), pick(("select", "insert", "update", "delete"), F.floor(i / 15)).alias("action"))
+
+
+@query("role_matrix", f"WITH {_MATRIX}, asked AS ({_ASKED.format(list(_ROLES))}) SELECT id, role, tbl, action, (role, tbl, action) IN (SELECT (role, tbl, action) FROM allowed) AS allowed FROM asked")
 def role_matrix(b: Bridge) -> DataFrame:
-    return b.spark.createDataFrame(integrity.permissions(), "role string, tbl string, action string")
+    return integrity.decided(_asked(b, _ROLES), integrity.permissions())
 
 
-@query("api_grants", f"SELECT 'anon' AS role, unnest(['entities', 'claims', 'claim_evidence']) AS tbl, 'select' AS privilege UNION ALL SELECT 'authenticated', tbl, unnest(['select', 'insert', 'update', 'delete']) FROM (SELECT unnest({_ALL_TABLES}) AS tbl)")
+@query("api_grants", f"WITH {_GRANTED}, asked AS ({_ASKED.format(list(_API_ROLES))}) SELECT id, role, tbl, action, (role, tbl, action) IN (SELECT (role, tbl, action) FROM allowed) AS allowed FROM asked")
 def api_grants(b: Bridge) -> DataFrame:
-    return b.spark.createDataFrame(integrity.grants(), "role string, tbl string, privilege string")
+    return integrity.decided(_asked(b, _API_ROLES), integrity.grants())
 
 
 _WRITERS = "SELECT id, CASE partkey % 5 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'RESEARCHER' WHEN 2 THEN 'REVIEWER' WHEN 3 THEN 'PUBLIC' END AS role, CASE line % 2 WHEN 0 THEN 'insert' ELSE 'update' END AS action, status FROM {g_claims}"
@@ -341,9 +354,9 @@ def runs_recent(b: Bridge) -> DataFrame:
     return last.join(b("g_entities").select(F.col("id").alias("who"), "canonical_name"), "who", "left").select("id", F.coalesce("canonical_name", "who").alias("name"))
 
 
-@query("retry_backoff", "SELECT a AS attempts, least(60, power(2, greatest(0, a - 1)))::BIGINT AS minutes FROM range(0, 12) t(a)")
+@query("retry_backoff", "SELECT id, a AS attempts, least(60, power(2, greatest(0, a - 1)))::BIGINT AS minutes FROM (SELECT id, attempts + id % 9 AS a FROM g_jobs)")
 def retry_backoff(b: Bridge) -> DataFrame:
-    return b.spark.range(0, 12).select(F.col("id").alias("attempts"), jobs.backoff_minutes(F.col("id")).alias("minutes"))
+    return b("g_jobs").select("id", (F.col("attempts") + F.col("id") % 9).alias("attempts")).select("id", "attempts", jobs.backoff_minutes(F.col("attempts")).alias("minutes"))
 
 
 _AT = "TIMESTAMP '2024-01-31 00:00:00'"

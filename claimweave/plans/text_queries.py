@@ -155,9 +155,11 @@ def lang_normalize(b: Bridge) -> DataFrame:
 def _feeds(b: Bridge) -> DataFrame:
     loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod></url>"))
     item = F.concat(F.lit("<item><title>T"), F.col("page_id").cast("string"), F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item>"))
-    sitemap = b("pages").groupBy((F.col("page_id") % 5).alias("source_id")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml"))
-    rss = b("pages").groupBy((F.col("page_id") % 5 + 5).alias("source_id")).agg(F.concat(F.lit('<rss version="2.0">'), F.array_join(F.collect_list(item), ""), F.lit("</rss>")).alias("xml"))
-    return sitemap.union(rss)
+    # Feeds of fifty pages at most: a source has as many as it needs.
+    number = F.floor(F.col("page_id") / 250)
+    sitemap = b("pages").groupBy((F.col("page_id") % 5).alias("source_id"), number.alias("number")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml"))
+    rss = b("pages").groupBy((F.col("page_id") % 5 + 5).alias("source_id"), number.alias("number")).agg(F.concat(F.lit('<rss version="2.0">'), F.array_join(F.collect_list(item), ""), F.lit("</rss>")).alias("xml"))
+    return sitemap.union(rss).drop("number")
 
 
 @query("discover_parse", """SELECT page_id % 5 AS source_id, 'SITEMAP' AS kind, url, NULL AS title, '2024-01-0' || CAST(page_id % 9 + 1 AS VARCHAR) || ' 00:00:00' AS published FROM pages
@@ -197,14 +199,19 @@ def lexicon_hits(b: Bridge) -> DataFrame:
 
 def _spans(b: Bridge) -> DataFrame:
     """Benchmark passages in documents, met through the longest word that has spaces on both sides in the passage,
-    and so in the document, and verified; passages of under three words are compared with every document."""
+    and so in the document, and verified; passages of under three words through their rarest trigram."""
     items = b("benchmark").select("item_id", F.col("text").alias("evidence"), F.split("text", " ").alias("w"))
     docs = b("documents").select("doc_id", "text")
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     inner = F.transform(F.slice("w", 2, F.greatest(F.lit(1), F.size("w") - 2)), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
     long = items.where(F.size("w") >= 3).select("item_id", "evidence", F.array_max(inner)["word"].alias("word"))
     short = items.where(F.size("w") < 3).select("item_id", "evidence")
-    met = keyed.join(long, "word").drop("word").join(docs, "doc_id").unionByName(docs.join(short, F.contains(docs.text, short.evidence)))
+    met = keyed.join(long, "word").select("doc_id", "item_id", "evidence")
+    if not short.isEmpty():
+        one = F.lit("")
+        found = resolution.contained(short.select(one.alias("block"), F.struct("item_id", "evidence").alias("asked_id"), F.col("evidence").alias("inner")), docs.select(one.alias("block"), F.col("doc_id").alias("held_id"), F.col("text").alias("outer")))
+        met = met.unionByName(found.select(F.col("held_id").alias("doc_id"), "asked_id.item_id", "asked_id.evidence"))
+    met = met.join(docs, "doc_id")
     return met.select("doc_id", "item_id", "text", "evidence", text.span(F.col("text"), F.col("evidence")).alias("s")).where("s is not null")
 
 
