@@ -17,7 +17,7 @@ _LINES = """SELECT l.l_orderkey, l.l_linenumber, min(l.l_suppkey) AS suppkey, mi
 
 # JSON texts; braces are written as characters, since those of a template name tables.
 _NOTES = """chr(123) || '"reasons": ["' || coalesce(topic, 'none') || '", 7], "deep": ' || chr(123) || '"list": [' || chr(123) || '"leaf": "' || connection_class || '"' || chr(125) || ']' || chr(125) || ', "official": 1' || chr(125)"""
-_METADATA = """chr(123) || '"home": [' || chr(123) || '"canton": "' || coalesce(canton, '') || '"' || chr(125) || '], "country": ' || coalesce(country, 'null') || chr(125)"""
+_METADATA = """chr(123) || '"party": "P' || right(slug, 1) || '", "office": "O' || right(slug, 2) || '", "validFrom": "201' || right(slug, 1) || '", "relatedEntityIds": ["s:' || right(slug, 1) || '"], "home": [' || chr(123) || '"canton": "' || coalesce(canton, '') || '"' || chr(125) || '], "country": ' || coalesce(country, 'null') || chr(125)"""
 
 TABLES: dict[str, str] = {
     "g_sources": """SELECT source AS id, upper(source) AS name, source || '.example.org' AS domain, substr('ABCDEX', CAST(k % 6 + 1 AS INT), 1) AS source_quality,

@@ -255,7 +255,20 @@ r AS (SELECT mention_id, entity_id, score, CASE WHEN sig = 'same surname' THEN l
 
 
 def _scored(b: Bridge, best: int | None = None) -> DataFrame:
-    return resolution.candidates(_mentions(b), b("g_entities").where("entity_type in ('PERSON', 'COMPANY')"), b("g_aliases"), best=best)
+    return resolution.candidates(_mentions(b), b("g_entities").where("entity_type in ('PERSON', 'COMPANY')").drop("metadata"), b("g_aliases"), best=best)
+
+
+@query("resolve_by_metadata", """WITH m AS (SELECT 'z:' || CAST(c_custkey AS VARCHAR) AS mention_id, 'p' || (c_custkey % 10) AS party, CASE WHEN c_custkey % 2 = 0 THEN 'o' || right('0' || c_custkey, 2) END AS position, CASE WHEN c_custkey % 3 = 0 THEN '2015' END AS f, CASE WHEN c_custkey % 3 <> 1 THEN '2018' END AS t, 's:' || (c_custkey % 9) AS met FROM customer),
+p AS (SELECT mention_id, e.id AS entity_id, canonical_name, m.party = 'p' || right(slug, 1) AS party, coalesce(position = 'o' || right(slug, 2), false) AS position, (f IS NOT NULL OR t IS NOT NULL) AND '201' || right(slug, 1) <= coalesce(t, '9999-12-31') AS period, met = 's:' || right(slug, 1) AS met FROM m, g_entities e WHERE entity_type = 'PERSON'),
+c AS (SELECT *, round(CASE WHEN party THEN 0.08 ELSE 0 END::DOUBLE + CASE WHEN position THEN 0.07 ELSE 0 END::DOUBLE + CASE WHEN period THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN met THEN 0.05 ELSE 0 END::DOUBLE, 4) AS score FROM p)
+SELECT mention_id, entity_id, score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, canonical_name, entity_id)::INT AS rank,
+  array_to_string(list_filter([CASE WHEN party THEN 'same party' END, CASE WHEN position THEN 'same position' END, CASE WHEN period THEN 'overlapping time period' END, CASE WHEN met THEN 'co-mentioned entity' END], lambda x: x IS NOT NULL), '+') AS signals FROM c WHERE score >= 0.2::DOUBLE""")
+def resolve_by_metadata(b: Bridge) -> DataFrame:
+    i, text_of = F.col("c_custkey"), lambda c: c.cast("string")
+    told = F.map_filter(F.create_map(F.lit("party"), F.concat(F.lit("p"), text_of(i % 10)), F.lit("role"), F.when(i % 2 == 0, F.concat(F.lit("o"), F.right(F.concat(F.lit("0"), text_of(i)), F.lit(2)))), F.lit("from"), F.when(i % 3 == 0, "2015"), F.lit("to"), F.when(i % 3 != 1, "2018")), lambda _, v: v.isNotNull())
+    mentions = b("customer").select(F.concat(F.lit("z:"), text_of(i)).alias("mention_id"), F.lit("PERSON").alias("entity_type"), F.lit("No one of that name").alias("name"), told.alias("metadata"), F.array(F.concat(F.lit("s:"), text_of(i % 9))).alias("co_mentioned"))
+    people = b("g_entities").where("entity_type = 'PERSON'").select("id", "entity_type", "canonical_name", "metadata")
+    return resolution.candidates(mentions, people, b("g_aliases")).drop("surname")
 
 
 @query("resolve_candidates", f"WITH {_CANDIDATES} SELECT * EXCLUDE (surname) FROM r")
