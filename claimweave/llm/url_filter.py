@@ -31,6 +31,13 @@ LABELLED = (
         "http://ads.tracker-click.com/banner/redirect", "http://phishing-login-verify.tk/account/secure", "http://bitcoin-doubler.gq/invest/profit",
         "https://discount-pills-rx.org/viagra/cheap", "http://porn-tube.xxx/video/9", "http://spam-offers.biz/cheap/deal",
         "http://miracle-cure-pills.site/order", "http://betting-odds-casino.win/register", "http://malware-download.cc/setup.exe",
+        # Such hosts on plain pages, so that the host decides and not the page.
+        "http://www.lucky-casino.com/en/310.html", "https://casino.palace.org/de/77", "http://m.grand-casino.net/fr/4821?page=2", "https://win-big.slots.com/en/6", "http://blog.jackpot-win.org/es/93.html",
+        "https://bets.online.net/en/1204", "http://www.sports-bets.com/de/8/", "https://m.free-poker.org/fr/55", "http://free-spins.net/en/2710", "https://blog.betting-tips.com/es/31",
+        "http://diet-pills.org/en/414", "https://www.cheap-rx.net/de/5077.html", "http://m.pills-store.com/fr/62", "https://cheap-watches.org/en/9", "http://blog.cheap-loans.net/es/880?ref=a",
+        "https://ads.media.com/en/73", "http://www.ads-server.net/de/3106", "https://track.click.org/fr/18.html", "http://m.adtrack.com/en/541", "https://tracker.pixel.net/es/2",
+        "http://spam.mail.org/en/690", "https://www.spam-links.com/de/47", "http://link-farm.net/fr/1333", "https://m.content-farm.org/en/8.html", "http://blog.seo-spam.com/es/75",
+        "https://adult.zone.org/en/59", "http://www.adult-fun.com/de/2604", "https://m.xxx-adult.net/fr/7", "http://x-rated.org/en/816.html", "https://blog.adult-chat.com/es/140",
     )),
     *((u, 0) for u in (
         "https://www.city-news.org/politics/article-12.html", "https://en.open-encyclopedia.org/wiki/History", "https://docs.language.dev/tutorial/intro",
@@ -42,6 +49,12 @@ LABELLED = (
         "https://maps.region.org/trails/north", "https://www.parliament.gov/debates/2019", "https://music.review.com/albums/17",
         "https://books.press.org/title/essays", "https://sports.daily.com/football/results", "https://www.company.com/about",
         "https://m.magazine.net/fr/825", "https://stats.agency.gov/es/tables/44", "https://astronomy.club.org/stars", "https://shop.bookstore.com/novels/9",
+        "http://www.riverside.com/en/310.html", "https://m.northgate.org/de/77", "http://blog.stonebridge.net/fr/4821?page=2", "https://winter-garden.com/en/6", "http://m.jacksonville.org/es/93.html",
+        "https://garden-homes.net/en/1204", "http://www.alphabet-school.com/de/8/", "https://free-library.org/fr/55", "http://m.freedom-press.net/en/2710", "https://blog.theatre.com/es/31",
+        "http://village.org/en/414", "https://www.harbour.net/de/5077.html", "http://m.mountain.com/fr/62", "https://valley-energy.org/en/9", "http://blog.weather.net/es/880?ref=a",
+        "https://evening.media.com/en/73", "http://www.bridge-authority.net/de/3106", "https://northern.railway.org/fr/18.html", "http://m.meadow.com/en/541", "https://lighthouse.net/es/2",
+        "http://mail.parish.org/en/690", "https://www.linkage.com/de/47", "http://green-market.net/fr/1333", "https://m.millhouse.org/en/8.html", "http://blog.thread.com/es/75",
+        "https://evening-learning-centre.org/en/59", "http://www.orchard.com/de/2604", "https://m.textile.net/fr/7", "http://post-office.org/en/816.html", "https://blog.station.com/es/140",
     )),
 )
 
