@@ -77,3 +77,52 @@ def submit(given: DataFrame, candidates: DataFrame, jobs: DataFrame) -> DataFram
     known = given.select("canonical_url").distinct().join(candidates, "canonical_url", "left").join(active, "candidate_id", "left")
     fresh = F.sha2("canonical_url", 256)
     return known.select("canonical_url", F.coalesce(F.col("candidate_id").cast("string"), fresh).alias("candidate_id"), F.coalesce(F.col("job").cast("string"), F.concat(F.lit("FETCH_URL:"), fresh)).alias("job_id"), F.col("candidate_id").isNotNull().alias("reused_candidate"), F.col("job").isNotNull().alias("reused_job"))
+
+
+#: What a submitted url's metadata say beside what was there; fixed names.
+MANUAL, SUBMITTED = "manualSubmission", "lastManualSubmissionAt"
+
+
+def submissions(given: DataFrame, candidates: DataFrame, jobs: DataFrame, at: str) -> DataFrame:
+    """The rows that submitted urls (source_id, url, canonical_url) make: one for each source and canonical url, the least url told.
+
+    candidates: id, source_id, canonical_url, crawl_run_id, metadata (map of strings); jobs: id, url_candidate_id, job_kind, status.  A known
+    candidate is PENDING again, keeps its other metadata and is marked as submitted; its active fetch job is reused, else ``job`` is a
+    new one (struct), due at once.  Urls without a canonical form make nothing.
+    """
+    iso = F.date_format(F.lit(at).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    keys = ["source_id", "canonical_url"]
+    asked = given.where("canonical_url IS NOT NULL").groupBy(*keys).agg(F.min(F.trim("url")).alias("original_url"))
+    known = candidates.groupBy(*keys).agg(F.min(F.struct("id", "crawl_run_id", F.map_entries("metadata").alias("entries"))).alias("known"))
+    active = jobs.where((F.col("job_kind") == "FETCH_URL") & F.col("status").isin("PENDING", "RUNNING")).groupBy(F.col("url_candidate_id").cast("string").alias("candidate_id")).agg(F.min("id").cast("string").alias("active"))
+    joined = asked.join(known, keys, "left")
+    fresh = F.sha2(F.concat_ws("|", F.col("source_id").cast("string"), "canonical_url"), 256)
+    named = joined.withColumn("candidate_id", F.coalesce(F.col("known.id").cast("string"), fresh)).join(active, "candidate_id", "left")
+    kept = F.filter(F.coalesce("known.entries", F.array().cast("array<struct<key:string,value:string>>")), lambda e: ~e["key"].isin(MANUAL, SUBMITTED))
+    metadata = F.map_from_entries(F.concat(kept, F.array(F.struct(F.lit(MANUAL).alias("key"), F.lit("true").alias("value")), F.struct(F.lit(SUBMITTED).alias("key"), iso.alias("value")))))
+    job = F.struct("source_id", F.col("known.crawl_run_id").alias("crawl_run_id"), F.col("candidate_id").alias("url_candidate_id"), F.lit("FETCH_URL").alias("job_kind"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(3).alias("max_attempts"), iso.alias("scheduled_at"), F.create_map(F.lit("canonicalUrl"), F.col("canonical_url"), F.lit(MANUAL), F.lit("true")).alias("metadata"))
+    return named.select("candidate_id", "source_id", F.lit("MANUAL").alias("discovery_type"), "original_url", "canonical_url", F.lit("PENDING").alias("status"), metadata.alias("metadata"), F.col("known").isNotNull().alias("reused_candidate"), F.col("active").isNotNull().alias("reused_job"), F.coalesce("active", F.concat(F.lit("FETCH_URL:"), "candidate_id")).alias("job_id"), F.when(F.col("active").isNull(), job).alias("job"))
+
+
+def clamped(value, low: int, high: int):
+    """A form's number as a whole one between bounds; what is none is the lower one."""
+    number = value.try_cast("double")
+    sound = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    towards_zero = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
+    return F.when(sound, F.least(F.lit(high), F.greatest(F.lit(low), towards_zero))).otherwise(F.lit(low)).cast("int")
+
+
+def saved_sources(forms: DataFrame) -> DataFrame:
+    """Rows of the source registry from its form (id, name, domain, source_type, source_quality, requests_per_minute and concurrency as text, and flags, which stay)."""
+    from ..functions.urls import domain
+
+    changed = {"name": F.trim("name"), "domain": domain(F.col("domain")), "requests_per_minute": clamped(F.col("requests_per_minute"), 0, 600), "concurrency": clamped(F.col("concurrency"), 1, 10)}
+    return forms.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in forms.columns])
+
+
+def registry(sources: DataFrame, saved: DataFrame) -> DataFrame:
+    """The registry after saves: a saved row replaces that of its id (the last by updated_at counts), newest first."""
+    from .jobs import latest
+
+    last = latest(saved, ["id"], [F.desc("updated_at")])
+    return sources.join(last.select("id"), "id", "left_anti").unionByName(last.select(*sources.columns)).orderBy(F.desc("updated_at"), "id")

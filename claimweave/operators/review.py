@@ -254,3 +254,9 @@ def dashboard(sources: DataFrame, documents: DataFrame, claims: DataFrame, queue
     for p in parts[1:]:
         out = out.crossJoin(p)  # of one row each
     return out
+
+
+def cards(snapshot: DataFrame) -> DataFrame:
+    """(card, n, shown) of each number of a ``dashboard``, with thousands marked."""
+    told = snapshot.select(F.explode(F.array(*[F.struct(F.lit(c).alias("card"), F.col(c).cast("long").alias("n")) for c in snapshot.columns])).alias("c"))
+    return told.select("c.card", "c.n", F.format_number("c.n", 0).alias("shown"))

@@ -183,6 +183,29 @@ def dashboard(b: Bridge) -> DataFrame:
     return review.dashboard(b("g_sources"), b("g_documents"), b("g_claims"), b("g_queue"), b("g_jobs"), AS_OF)
 
 
+_CARDS = ("sources", "documents", "claims", "public_claims", "unqueued")
+_COUNTED = {"sources": "g_sources", "documents": "g_documents", "claims": "g_claims", "public_claims": "g_claims WHERE status = 'VERIFIED'", "unqueued": _UNQ}
+
+
+@query("dashboard_cards", " UNION ALL ".join(f"SELECT '{c}' AS card, count(*) AS n, format('{{:,}}', count(*)) AS shown FROM {_COUNTED[c]}" for c in _CARDS))
+def dashboard_cards(b: Bridge) -> DataFrame:
+    return review.cards(review.dashboard(b("g_sources"), b("g_documents"), b("g_claims"), b("g_queue"), b("g_jobs"), AS_OF)).where(F.col("card").isin(*_CARDS))
+
+
+@query("source_registry", """WITH f AS (SELECT id, trim(CASE WHEN k % 2 = 0 THEN ' ' || name || ' ' ELSE name END) AS name, lower(domain) AS domain, CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 600 WHEN 2 THEN 12 WHEN 3 THEN 0 ELSE 0 END AS requests_per_minute, least(10, greatest(1, k - 3)) AS concurrency, k, 100 + k AS updated_at FROM g_sources WHERE enabled),
+r AS (SELECT id, name, domain, requests_per_minute, concurrency::INT AS concurrency, updated_at FROM f UNION ALL SELECT id, 'old', domain, 10, 1, k FROM g_sources WHERE NOT enabled)
+SELECT id, name, domain, requests_per_minute, concurrency, updated_at FROM r""")
+def source_registry(b: Bridge) -> DataFrame:
+    from ..operators import discovery
+
+    s, k = b("g_sources"), F.col("k")
+    old = s.select("id", F.lit("old").alias("name"), "domain", F.lit(10).alias("requests_per_minute"), F.lit(1).alias("concurrency"), k.alias("updated_at"))
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("-4.5", "9e9", "12.9", "many", "-0.5")]), (k % 5 + 1).cast("int"))
+    form = s.where("enabled").select("id", F.when(k % 2 == 0, F.concat(F.lit(" "), "name", F.lit(" "))).otherwise(F.col("name")).alias("name"), F.concat(F.lit(" HTTPS://"), F.upper("domain"), F.lit("/a ")).alias("domain"), asked.alias("requests_per_minute"), (k - 3 + F.lit(0.7)).cast("string").alias("concurrency"), k.alias("updated_at"))
+    earlier, later = form.withColumn("name", F.lit("first")), form.withColumn("updated_at", F.col("updated_at") + 100)
+    return discovery.registry(old, discovery.saved_sources(earlier.unionByName(later)))
+
+
 @query("referential_cascade", "SELECT e.id FROM g_evidence e WHERE e.claim_id IN (SELECT id FROM g_claims WHERE subject_id IN (SELECT id FROM g_entities) AND (object_id IS NULL OR object_id IN (SELECT id FROM g_entities))) AND e.document_id IN (SELECT id FROM g_documents WHERE source_id IN (SELECT id FROM g_sources))")
 def referential_cascade(b: Bridge) -> DataFrame:
     return integrity.cascade(b("g_entities"), b("g_aliases"), b("g_sources"), b("g_documents"), b("g_claims"), b("g_evidence"))["evidence"].select("id")

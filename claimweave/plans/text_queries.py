@@ -124,6 +124,20 @@ def manual_candidates(b: Bridge) -> DataFrame:
     return discovery.submit(given, there, b("g_jobs").withColumnRenamed("user_id", "url_candidate_id")).select("canonical_url", "reused_candidate", "reused_job")
 
 
+@query("manual_submissions", f"""WITH v AS ({_canonical_sql("SELECT page_id, url FROM pages")}), a AS (SELECT page_id % 3 AS source_id, canonical, min(url) AS original FROM v GROUP BY ALL),
+c AS (SELECT page_id % 3 AS source_id, canonical, min(page_id) AS cand FROM v WHERE page_id % 2 = 0 GROUP BY ALL), j AS (SELECT min(id) AS job, user_id FROM g_jobs WHERE job_kind = 'FETCH_URL' AND status IN ('PENDING', 'RUNNING') GROUP BY user_id)
+SELECT coalesce(CAST(cand AS VARCHAR), sha256(a.source_id || '|' || a.canonical)) AS candidate_id, a.source_id, original AS original_url, a.canonical AS canonical_url, 'PENDING' AS status, CASE WHEN cand IS NULL THEN '' ELSE 'found=feed,' END || 'lastManualSubmissionAt=2024-01-15T00:00:00.000Z,manualSubmission=true' AS metadata,
+  cand IS NOT NULL AS reused_candidate, job IS NOT NULL AS reused_job, CASE WHEN job IS NULL THEN 'r' || cand % 4 || '/3/2024-01-15T00:00:00.000Z/' || a.canonical END AS job FROM a LEFT JOIN c ON c.source_id = a.source_id AND c.canonical = a.canonical LEFT JOIN j ON j.user_id = c.cand""")
+def manual_submissions(b: Bridge) -> DataFrame:
+    i = F.col("page_id")
+    given = b("pages").select((i % 3).alias("source_id"), "url", urls.canonical(F.col("url")).alias("canonical_url"), "page_id")
+    there = given.where("page_id % 2 = 0").select(i.alias("id"), "source_id", "canonical_url", F.concat(F.lit("r"), (i % 4).cast("string")).alias("crawl_run_id"), F.create_map(F.lit("found"), F.lit("feed"), F.lit("manualSubmission"), F.lit("false")).alias("metadata"))
+    made = discovery.submissions(given, there, b("g_jobs").withColumnRenamed("user_id", "url_candidate_id"), "2024-01-15 00:00:00")
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    job = F.concat(F.col("job.crawl_run_id"), F.lit("/"), F.col("job.max_attempts").cast("string"), F.lit("/"), F.col("job.scheduled_at"), F.lit("/"), F.col("job.metadata")["canonicalUrl"])
+    return made.select("candidate_id", "source_id", "original_url", "canonical_url", "status", told.alias("metadata"), "reused_candidate", "reused_job", job.alias("job"))
+
+
 @query("html_text", """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\u00a0]+', ' ', 'g')) AS text FROM a""")
 def html_text(b: Bridge) -> DataFrame:
