@@ -1,9 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from claimweave import ontology
 from claimweave.operators import contracts, discovery, graph, integrity, jobs, resolution, review, validation
 from claimweave.sources import tables
 from claimweave.streaming import ingest
@@ -88,22 +90,43 @@ def test_changes_and_lookups(spark, tmp_path):
 
 
 def test_contracts(spark):
+    def read(operation, *answers):
+        rows = spark.createDataFrame([(i, a if isinstance(a, str) else json.dumps(a)) for i, a in enumerate(answers)], "i int, answer string")
+        told = contracts.parsed(rows, operation).select("i", "errors", F.to_json("output").alias("output")).orderBy("i").collect()
+        return [(r.errors, r.output and json.loads(r.output)) for r in told]
+
     entity = {"local_id": " e ", "type": "PERSON", "name": "A", "evidence": "x"}
-    assert contracts.parse("extractEntities", {"entities": [entity]})["entities"][0] == {"local_id": "e", "type": "PERSON", "name": "A", "evidence": "x", "aliases": [], "metadata": {}}
+    whole = {"local_id": "e", "type": "PERSON", "name": "A", "evidence": "x", "aliases": [], "metadata": {}}
+    told = read("extractEntities", {"entities": [entity, entity | {"aliases": [" b", "c"], "metadata": {"k": [1, None]}}]}, {"entities": []}, {"entities": {}}, {}, {"entities": [entity | {"type": "HUMAN", "age": 3, "aliases": ["a", " ", 7]}, 5]}, [], "no json", {"entities": [], "more": 1}, {"entities": [{k: v for k, v in entity.items() if k != "name"} | {"metadata": []}]})
+    assert told[0] == ([], {"entities": [whole, whole | {"aliases": ["b", "c"], "metadata": {"k": [1, None]}}]}) and told[1] == ([], {"entities": []})
+    assert [e for e, _ in told[2:]] == [
+        ["entities: expected an array"], ["entities: required"],
+        ["entities.0.type: expected one of " + ", ".join(ontology.ENTITY_TYPES), "entities.0.aliases.1: expected a non-empty string", "entities.0.aliases.2: expected a non-empty string", "entities.0: unknown key age", "entities.1: expected an object"],
+        ["<root>: expected an object"], ["<root>: expected an object"], ["<root>: unknown key more"], ["entities.0.metadata: expected an object", "entities.0.name: required"]]
+    assert all(o is None for _, o in told[2:])
     relation = {"subject_entity_id": "s", "predicate": "OWNS", "connection_class": "DIRECT", "evidence_text": "t", "confidence": 0.5, "requires_review": False}
-    with pytest.raises(contracts.ContractError, match="either object_entity_id or literal_value"):
-        contracts.parse("extractClaims", {"relations": [relation]})
-    assert contracts.parse("extractClaims", {"relations": [relation | {"literal_value": None, "valid_from": "2024-02-31"}]})
-    for broken in (relation | {"confidence": 2, "object_entity_id": "o"}, relation | {"object_entity_id": "o", "more": 1}, relation | {"object_entity_id": "o", "valid_to": "2024"}):
-        with pytest.raises(contracts.ContractError):
-            contracts.parse("extractClaims", {"relations": [broken]})
-    with pytest.raises(contracts.ContractError, match="<root>"):
-        contracts.parse("validateClaim", [])
-    assert contracts.summary("validateClaim", contracts.parse("validateClaim", {"result": "SUPPORTED"})) == {"result": "SUPPORTED"}
-    assert contracts.input_summary({"documentId": "d"}) == {"documentId": "d"}
-    asked = spark.createDataFrame([("1", '{"documentId": "d"}'), ("2", "no json")], "request_id string, input string")
-    got = {r.request_id: r.status for r in contracts.run(asked, "validateClaim", lambda _: {"result": "INSUFFICIENT"}, "p", "m", "v").collect()}
-    assert got == {"1": "SUCCEEDED", "2": "FAILED"}
+    told = read("extractClaims", *[{"relations": [r]} for r in (relation, relation | {"literal_value": None, "valid_from": "2024-02-31"}, relation | {"confidence": 2, "object_entity_id": "o"}, relation | {"object_entity_id": "o", "more": 1}, relation | {"object_entity_id": "o", "valid_to": "2024"}, relation | {"object_entity_id": "o", "requires_review": "no", "confidence": True})])
+    assert [e for e, _ in told] == [["relations.0: A relation needs either object_entity_id or literal_value."], [], ["relations.0.confidence: expected a number from 0 to 1"], ["relations.0: unknown key more"], ["relations.0.valid_to: Expected YYYY-MM-DD date."], ["relations.0.confidence: expected a number from 0 to 1", "relations.0.requires_review: expected a boolean"]]
+    assert told[1][1]["relations"][0]["valid_from"] == "2024-02-31" and told[1][1]["relations"][0]["confidence"] == 0.5
+    resolution_ = {"local_id": "m", "candidates": [{"entity_id": "e", "score": 1}], "manual_review_required": True}
+    told = read("resolveEntityCandidates", {"resolutions": [resolution_]}, {"resolutions": [resolution_ | {"candidates": [{"score": -1}]}]})
+    assert told[0][1] == {"resolutions": [{"local_id": "m", "candidates": [{"entity_id": "e", "score": 1, "signals": []}], "manual_review_required": True}]}
+    assert told[1][0] == ["resolutions.0.candidates.0.score: expected a number from 0 to 1", "resolutions.0.candidates.0.entity_id: required"]
+    assert [e for e, _ in read("validateClaim", {"result": "SUPPORTED"}, {"result": "MAYBE"}, {"result": None})] == [[], ["result: expected one of SUPPORTED, CONTRADICTED, INSUFFICIENT"], ["result: expected one of SUPPORTED, CONTRADICTED, INSUFFICIENT"]]
+
+
+def test_runs_of_a_provider(spark):
+    def provider(given):
+        if given.get("fail"):
+            raise RuntimeError("no answer")
+        return {"result": "INSUFFICIENT" if "document" in given else "NONE"}
+
+    inputs = [("1", '{"document":{"id":"d","extractedText":"abc"},"claim":{"id":"c"}}'), ("2", "no json"), ("3", '{"documentId":"d \\"x\\""}'), ("4", '{"fail":true}'), ("5", None)]
+    got = {r.request_id: r for r in contracts.run(spark.createDataFrame(inputs, "request_id string, input string"), "validateClaim", provider, "p", "m", "v", 0.5).collect()}
+    assert {i: (r.status, r.error_message) for i, r in got.items()} == {"1": ("SUCCEEDED", None), "2": ("FAILED", "The input is no JSON."), "3": ("FAILED", "result: expected one of SUPPORTED, CONTRADICTED, INSUFFICIENT"), "4": ("FAILED", "no answer"), "5": ("FAILED", "The input is no JSON.")}
+    assert json.loads(got["1"].input_summary) == {"documentId": "d", "claimId": "c", "textLength": 3} and json.loads(got["3"].input_summary) == {"documentId": 'd "x"'} and got["2"].input_summary is None
+    assert (got["1"].output_summary, got["1"].temperature, got["1"].schema_version, got["1"].input_hash) == ('{"result": "INSUFFICIENT"}', 0.5, "claim-validation.v1", hashlib.sha256(inputs[0][1].encode()).hexdigest())
+    assert got["1"].__fields__ == list(contracts.RUN)
 
 
 def test_substring_names_meet(spark):
