@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_others, hold, settle
+from ._common import free_others, hold, settle, trim
 
 ORDER = 6
 _WORD = re.compile(r"[^\W_]+")
@@ -171,14 +171,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
     counts = settle(sample.where("not fits").select("text", "toxic").mapInArrow(count, "gram string, ordinary double, toxic double").groupBy("gram").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")))
     model = Model.fit(counts)
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def describe(batches):
-        free_others("toxicity")
+        free_others("toxicity fit")
         known: dict[str, float] = {}
-        hold("toxicity", known.clear)
+        hold("toxicity fit", known.clear)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.features(t, known) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.features(t, known) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
+        known.clear()
 
     fitted = sample.where("fits").select("text", "toxic").mapInArrow(describe, "x array<double>, toxic int").toArrow()
+    shared.unpersist()
     x, y = np.array(fitted.column("x").to_pylist()), np.array(fitted.column("toxic").to_pylist())
     if len(y) and 0 < (y != 0).sum() < len(y):
         model.weights = logistic(x, (y != 0).astype(float))
@@ -201,6 +205,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str]
 
     def run(batches):
         free_others("toxicity")
+        trim()
         known: dict[str, float] = {}
         hold("toxicity", known.clear)
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
@@ -208,6 +213,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str]
             x = np.array([shared.value.features(t, known) for t in texts]).reshape(len(texts), -1)
             p = shared.value.score(x) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+        known.clear()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(keep)])
     return base.mapInArrow(run, f"{kinds}, score double, predicted int")
