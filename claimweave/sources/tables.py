@@ -110,7 +110,8 @@ def public_base(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def write_bodies(df: DataFrame, path: str) -> None:
     """Raw bodies (path, body) as a table dealt out by source type, the second part of their path.
 
-    A path that is there already is an error, as is one given twice: bodies are never overwritten.
+    A path that is there already is an error, as is one given twice: bodies are never overwritten.  For one writer at a time; the data source
+    of ``bodies`` puts each body as an object of its own and is safe for any number.
     """
     spark = df.sparkSession
     given = df.groupBy("path").count().where("count > 1").limit(1).count()
