@@ -165,7 +165,7 @@ def entity_sources(b: Bridge) -> DataFrame:
 
 @query("entity_aliases", "SELECT id, entity_id, alias, language FROM g_aliases")
 def entity_aliases(b: Bridge) -> DataFrame:
-    return b("g_aliases").select("id", "entity_id", "alias", "language")
+    return b("g_aliases").select("id", "entity_id", "alias", "language").orderBy("entity_id", F.expr("alias COLLATE UNICODE"), "id")
 
 
 @query("connected_entities", f"WITH {_EDGES}, {_ENDS} SELECT DISTINCT e.id, e.canonical_name FROM ends JOIN g_entities e ON e.id = ends.other_id WHERE ends.entity_id = 'c:7'")

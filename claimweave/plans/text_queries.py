@@ -238,10 +238,10 @@ def evidence_span(b: Bridge) -> DataFrame:
 
 
 @query("evidence_context", f"""WITH s AS ({_SPANS}), p AS (SELECT *, start + length(evidence) - 1 AS stop FROM s)
-SELECT doc_id, item_id, trim(regexp_extract(substr(text, 1, start), '[^.!?]*$', 0) || substr(text, start + 1, (stop - start)::INT) || regexp_extract(substr(text, (stop + 1)::INT), '^[^.!?]*[.!?]?', 0)) AS sentence, trim(substr(text, (stop + 2)::INT, 180)) AS after FROM p""")
+SELECT doc_id, item_id, trim(regexp_extract(substr(text, 1, start), '[^.!?]*$', 0) || substr(text, start + 1, (stop - start)::INT) || regexp_extract(substr(text, (stop + 1)::INT), '^[^.!?]*[.!?]?', 0)) AS sentence, trim(substr(text, greatest(0, start - 180) + 1, (start - greatest(0, start - 180))::INT)) AS before, trim(substr(text, (stop + 2)::INT, 180)) AS after FROM p""")
 def evidence_context(b: Bridge) -> DataFrame:
-    s = _spans(b)
-    return s.select("doc_id", "item_id", text.sentence(F.col("text"), F.col("s.start"), F.col("s.end")).alias("sentence"), text.nearby(F.col("text"), F.col("s.start"), F.col("s.end"))["after"].alias("after"))
+    s = _spans(b).withColumn("near", text.nearby(F.col("text"), F.col("s.start"), F.col("s.end")))
+    return s.select("doc_id", "item_id", text.sentence(F.col("text"), F.col("s.start"), F.col("s.end")).alias("sentence"), "near.before", "near.after")
 
 
 def _mentions(b: Bridge) -> DataFrame:
