@@ -13,6 +13,12 @@ def uses(spark, name, word):
     return plan(entry.queries()[name](spark, SF)).count(word)
 
 
+def test_edges_meet_their_entities_once(spark):
+    # Both entities, compatible types, documents, their sources and evidence; before, the joins with entities were done twice, and timelines did all twice.
+    for name in ("graph_edges", "research_view", "timeline", "entity_timeline"):
+        assert uses(spark, name, "Join ") - uses(spark, "claim_evidence_full", "Join ") == 4
+
+
 def test_what_is_named_once_is_not_written(spark):
     for name in ("predicate_compat", "claim_admission"):
         assert uses(spark, name, "l_orderkey") > 0
