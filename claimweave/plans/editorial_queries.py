@@ -95,6 +95,6 @@ UNION ALL SELECT 'audit', seq || ':' || step, action, entity FROM (SELECT seq, u
 UNION ALL SELECT 'queue', id, 'RESOLVED', claim_id FROM g_queue WHERE status IN ('OPEN', 'ASSIGNED') AND claim_id IN (SELECT claim_id FROM made UNION SELECT id FROM made)""")
 def edited_tables(b: Bridge) -> DataFrame:
     judged, proof = _judged(b)
-    t = review.edit_changes(written(judged), proof, b("g_claims"), b("g_queue"))  # named by each table
+    t = review.edit_changes(written(judged.where("reason is null")), proof, b("g_claims"), b("g_queue"))  # named by each table
     row = lambda name, *columns: t[name].select(F.lit(name).alias("tbl"), *[F.col(c).alias(a) for c, a in zip(columns, ("id", "status", "about"), strict=True)])
     return row("claims", "id", "status", "supersedes_id").union(row("evidence", "id", "evidence_hash", "claim_id")).union(row("audit", "id", "action", "entity_id")).union(row("queue", "id", "status", "claim_id"))
