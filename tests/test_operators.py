@@ -143,6 +143,14 @@ def test_json_leaves(spark):
     assert graph.with_leaf(rows, " ").count() == 0
 
 
+def test_keys_alone_start_no_parse(spark):
+    """A token that is only a key is told from the text; one that is a value too, or may be one by an escape, is parsed."""
+    texts = ['{"energy": 1}', '{"energy" : "x", "a": "Energy" }', '{"a": "energy"', '{"a": "\\u0065nergy"}', '{"a": ["ENERGY"]}', '{"a": "energy x"}', '{"\\\\E": "energy"}', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert [r.id for r in rows.where(graph.may_hold("text", "energy")).orderBy("id").collect()] == [1, 2, 3, 4, 6]
+    assert sorted(r.id for r in graph.with_leaf(rows, "energy").collect()) == [1, 3, 4, 6]
+
+
 def test_batch_limits():
     assert [jobs.batch_limit(x) for x in (None, "x", 0, 5, "7.9", 99, float("nan"))] == [1, 1, 1, 5, 7, 10, 1]
 
