@@ -157,3 +157,13 @@ def test_urls_beyond_ascii(spark):
     got = {r.url: r.c for r in rows.select("url", urls.canonical(F.col("url"), international=True).alias("c")).collect()}
     assert got == told | {None: None}
     assert rows.where("url = 'https://日本語.jp'").select(urls.canonical(F.col("url")).alias("c")).first().c is None
+
+
+def test_terms_are_told_in_one_search(spark):
+    """Whole words in any place; the filter normalises a text once, not once for each term."""
+    texts = ["Not so", "it is NO  longer", "n'est pas", "knot", "none", "ends with n\u00edcht", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    hits = df.where(text.contains_any(text.normalized(F.col("text")), ("not", "no longer", "nest pas", "nicht")))
+    assert [r.id for r in hits.orderBy("id").collect()] == [0, 1, 2, 5]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert df.where(text.contains_any(F.col("text"), ())).count() == 0
