@@ -227,3 +227,17 @@ def test_candidates_are_ranked_once_for_each_profile(spark):
     expected = rows(resolution.candidates(mentions, entities, aliases, best=1000))
     assert len(expected) > 400 and rows(resolution.candidates(mentions, entities, aliases)) == expected
     assert rows(resolution._ranked(resolution._sides(mentions, entities, aliases, 0.2), 0.2, chunk=3)) == expected
+
+
+def test_many_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    """Beyond what the session's partitions read in bounded tasks, there are more of them; lines meet their orders in those, too."""
+    from claimweave import written
+    from claimweave.bridge import Bridge
+
+    monkeypatch.setattr(written, "DEALT", 100)
+    df = spark.range(1000)
+    assert written.dealt(df, 1000, "id").rdd.getNumPartitions() == 10 and written.dealt(df, 400, "id") is df
+    b = Bridge(spark, "/root/testdata/sf0.001")
+    parts = -(-b("lineitem").count() // 100)
+    plan = b.once("g_claims").where("line > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {parts}), REPARTITION_BY_NUM") == 2
