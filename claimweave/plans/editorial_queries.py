@@ -58,7 +58,8 @@ _ADMITTED = ", ".join([
 def draft_admission(b: Bridge) -> DataFrame:
     import re
 
-    made = {t: b.spark.sql(sql, **{n: b(n) for n in re.findall(r"\{(\w+)\}", sql)}) for t, sql in _DRAFTS.items()}
+    table = lambda name: b.once(name) if name == "g_claims" else b(name)
+    made = {t: b.spark.sql(sql, **{n: table(n) for n in re.findall(r"\{(\w+)\}", sql)}) for t, sql in _DRAFTS.items()}
     stored = {"sources": b("g_sources").agg(F.lit("src0").alias("id"))}
     return admission.admit(made, stored).withColumnRenamed("table", "tbl")
 

@@ -153,6 +153,21 @@ def test_circles_and_chains_of_drafts(spark):
     assert admission.admit({"claims": claims.limit(0)}, stored).count() == 0
 
 
+def test_drafts_are_met_once(spark, monkeypatch):
+    """Only ids, places and references of drafts that others ask for are written, however many checks they have; rounds write what waits alone."""
+    kept = []
+    monkeypatch.setattr(admission, "written", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    chain = [(f"c{i}", "p" if i % 4 else "q", f"c{i - 1}" if i else None) for i in range(1, 9)] + [("c0", "p", ""), (None, "p", None), ("twice", "p", "no"), ("twice", "p", None), ("of", "p", "twice")]
+    claims = spark.createDataFrame(chain, "id string, subject_id string, supersedes_id string")
+    entities = spark.createDataFrame([("p", "P", "p"), ("q", "Q", " ")], "id string, canonical_name string, slug string")
+    got = sorted((r.table, r.id or "", r.reason or "") for r in admission.admit({"claims": claims, "entities": entities}, {}).collect())
+    unknown, before = "Claim subject entity does not exist.", "Claim does not exist."
+    assert got == sorted(
+        [("entities", "p", ""), ("entities", "q", "slug must not be empty."), ("claims", "", ""), ("claims", "twice", ""), ("claims", "twice", before), ("claims", "of", "")]
+        + [("claims", f"c{i}", "" if i < 4 else before if i % 4 else unknown) for i in range(9)])
+    assert [(df.columns, df.count()) for df in kept] == [(["id", "place", "up"], 2), (["id"], 1), (["id", "place", "up"], 13), (["up", "id", "met"], 8), (["up", "id", "met"], 6), (["up", "id", "met"], 5), (["up", "id", "met"], 4)]
+
+
 # ---------------------------------------------------------------------- edits
 TABLES = {
     "claims": "id string, status string, supersedes_id string, reviewed_by string, subject_id string, predicate string, object_id string, connection_class string, valid_from string, valid_to string",
