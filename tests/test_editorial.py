@@ -101,6 +101,23 @@ def test_transitions_are_judged_at_their_place(spark):
     assert value == {"predicate": "MEMBER_OF", "connectionClass": "DIRECT", "verificationStatus": "VERIFIED", "subjectEntityId": "p", "objectEntityId": "o"}
 
 
+def test_folded_logs_give_the_same_state(spark):
+    """Sound and unsound claims, with late, early and no evidence, in any order of their log; unknown claims, null steps and evidence of no claim."""
+    rng = random.Random(3)
+    entities, compatible = people(spark)
+    made = [claim(f"c{i}", rng.choice(("p", "p", "p", "l", "x", None)), rng.choice(("MEMBER_OF", "OWNS")) if i % 5 == 0 else "MEMBER_OF", rng.choice(("o", "o", "o", "p", None)), start=rng.choice((None, "2020-06-01", "2021-01-01")), end=rng.choice((None, "2020-12-31")), literal=rng.choice((None, "{}"))) for i in range(120)]
+    claims = spark.createDataFrame(made, CLAIMS)
+    evidence = spark.createDataFrame([(f"c{rng.randrange(140)}", rng.randrange(9)) for _ in range(150)] + [(None, 1), ("c1", None)], "claim_id string, seq int")
+    log = [(f"c{rng.randrange(130)}", s, rng.choice(("VERIFIED", "VERIFIED", "REJECTED", "OUTDATED", None)), f"r{s % 3}") for s in range(300)] + [(None, 1, "VERIFIED", "r"), ("c2", None, "VERIFIED", "r")]
+    events = spark.createDataFrame([(c, s if s is None else s % 10, t, a) for c, s, t, a in dict.fromkeys(log)], "claim_id string, seq int, to_status string, actor_id string")
+    key = lambda r: (r.id, r.status, r.reviewed_by or "", r.n_transitions)
+    for proof in (evidence, evidence.drop("seq")):
+        expected = review.current_state(claims, review.transitions(claims, events, entities, compatible, proof))
+        got = review.reviewed(claims, events, entities, compatible, proof)
+        assert sorted(map(key, got.collect())) == sorted(map(key, expected.collect())) and got.columns == expected.columns
+        assert got.where("status = 'VERIFIED'").count() > 1
+
+
 # --------------------------------------------------------------------- merges
 def test_merges_go_on(spark):
     """A into B into C; a merge of the target that came before takes nothing along; a second merge of a source moves what came later only."""
