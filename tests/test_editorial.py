@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave import written
 from claimweave.operators import admission, graph, jobs, resolution, review
 from claimweave.sources.changesets import ChangeSets, Conflict, put_if_absent
 
@@ -118,6 +119,24 @@ def test_folded_logs_give_the_same_state(spark):
         assert got.where("status = 'VERIFIED'").count() > 1
 
 
+def test_cited_documents_are_told_apart_in_small_parts(spark, monkeypatch):
+    """A task that reads evidence keeps no table of its pairs: they are told apart in parts by claim, more of them for more evidence."""
+    monkeypatch.setattr(written, "DEALT", 20)
+    df = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    evidence = df([(f"c{i % 30}", f"d{i % 7}" if i % 11 else None) for i in range(100)] * 2 + [(None, "d1")], "claim_id string, document_id string")
+    documents, tasks = df([(f"d{i}",) for i in range(5)] + [(None,)], "id string"), df([("t1", "d1", "OPEN"), ("t2", "d1", "RESOLVED"), ("t3", "d4", "OPEN"), ("t9", "d6", "OPEN")], "id string, document_id string, status string")
+    candidates, entities = df([("t1", "a", 0.5), ("t1", "b", 0.75)], "task_id string, entity_id string, score double"), df([("a", "Anna")], "id string, canonical_name string")
+    got = review.review_resolution(evidence, documents, tasks, candidates, entities)
+    lists = {"t1": [("b", None, 0.75), ("a", "Anna", 0.5)], "t2": [], "t3": []}
+    cited = {(f"c{i % 30}", i % 7) for i in range(100) if i % 11} | {(None, 1)}
+    expected = [(c, t, s, lists[t]) for c, d in cited for t, at, s in (("t1", 1, "OPEN"), ("t2", 1, "RESOLVED"), ("t3", 4, "OPEN")) if d == at]
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted([(r.claim_id, r.task_id, r.status, [tuple(c) for c in r.candidates]) for r in got.collect()], key=key) == sorted(expected, key=key)
+    assert written.parted(evidence, "claim_id").rdd.getNumPartitions() == 21
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(claim_id" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(claim_id" in x and "document_id" in x and "REPARTITION" not in x]
+
+
 # --------------------------------------------------------------------- merges
 def test_merges_go_on(spark):
     """A into B into C; a merge of the target that came before takes nothing along; a second merge of a source moves what came later only."""
