@@ -2,31 +2,42 @@
 
 A tolerant tokeniser turns a page into blocks of text with a zone: ``main`` (inside an article or main
 element), ``chrome`` (inside menus, headers, footers, sidebars, adverts, forms, comments, ...) or ``open``.
-All pages of a host are one collection of token streams.  Their suffixes are sorted inside each partition,
-cut to ``RUN`` tokens, and Spark merges the partitions by (host, prefix).  Cutting loses nothing: a substring of
-``RUN`` tokens or more that two pages share covers exactly the tokens that its runs of ``RUN`` tokens cover.
+All pages of a host are one collection of token streams, two for a page: what is outside its article, and the article.
+Their suffixes are sorted inside each partition, cut to ``RUN`` tokens, and Spark merges the partitions by (host,
+prefix).  Cutting loses nothing: a substring of ``RUN`` tokens or more that two pages share covers exactly the tokens
+that its runs of ``RUN`` tokens cover.
 
 A run that distinct pages have outside their articles is boilerplate.  It decides what structure leaves in doubt:
 on pages without an article, covered tokens go and the uncovered runs of open blocks stay; inside an article, a block
 that only its class or id makes suspect (``doubt``: a widget, a header, shared links) goes if it is covered as a whole.
-Plain paragraphs of an article are never removed by repetition: articles quote the sentences that menus and adverts of
-their host print, and copies of one article repeat as a whole.
+
+Articles quote the sentences that menus and adverts of their host print, and copies of one article repeat as a whole.
+So a run is boilerplate inside articles only if more than half of the host's different articles have it, of ``LEAST`` or
+more.  A plain block that such runs cover as a whole goes, unless that would take half of its article or more: then
+most articles of the host are versions of one.  Nearly all suffixes of articles are rare, and leave before the sort:
+each partition counts, for each host, the articles in each of ``BUCKETS`` buckets of runs.  The counts are summed, and
+a run whose bucket half of the articles or fewer are in cannot be in more of them.  Only the others are sorted.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Rolling, mix, row_key, settle
 
 #: Tokens of a repeated substring.
 RUN = 8
+#: Different articles of a host, from which repetition decides inside them.
+LEAST = 4
+#: Buckets that the runs of articles are counted in, and the parts that a host's buckets are summed in.
+BUCKETS, SLICES = 1 << 16, 4
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title", "textarea", "select", "audio", "video", "xmp", "noframes", "noembed"}
@@ -138,10 +149,16 @@ def blocks(html: str) -> list[tuple[int, str]]:
 
 
 def host_of(url: str | None) -> str:
+    """The host that pages are collected by."""
     rest = (url or "").partition("://")[2]
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
+def host_in(column: str) -> Column:
+    """``host_of`` a column."""
+    return F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), "://([^/?#]*)", 1))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -151,24 +168,68 @@ def _outside(found: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
     return [(i, z, w) for i, (z, text) in enumerate(found) if z != MAIN for w in text.split(" ")]
 
 
-def _runs(tokens: list[tuple[int, int, str]]) -> np.ndarray:
-    """The hash of each run of RUN tokens (fewer: all)."""
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    raw = [w.encode("utf-8", "surrogatepass") for *_, w in tokens]
-    sizes = np.array([len(b) for b in raw])
-    ends = np.cumsum(sizes)
-    words = Rolling(np.frombuffer(b"".join(raw), np.uint8)).between(ends - sizes, ends)
+def _inside(found: list[tuple[int, str]]) -> str:
+    """The tokens of a page's article, with one space between them: its other stream."""
+    return " ".join(text for z, text in found if z == MAIN)
+
+
+def _runs(stream: str) -> tuple[np.ndarray, int]:
+    """The hash of each run of RUN tokens (fewer: all), and one of the whole stream."""
+    if not stream:
+        return np.zeros(0, np.uint64), 0
+    data = np.frombuffer(stream.encode("utf-8", "surrogatepass"), np.uint8)
+    spaces, ends = np.flatnonzero(data == 0x20), np.array([len(data)])
+    roll = Rolling(data)
+    words = roll.between(np.concatenate([[0], spaces + 1]), np.concatenate([spaces, ends]))
     k = min(RUN, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
     for j in range(k):
         total = total * np.uint64(0xD6E8FEB86659FD93) + words[j : len(words) - k + 1 + j]
-    return mix(total)
+    return mix(total), int(_signed(roll.between(np.array([0]), ends))[0])
+
+
+def _bucket(runs: np.ndarray) -> np.ndarray:
+    return (runs >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.uint16)
 
 
-def _host(url: str | None) -> int:
-    name = Rolling(np.frombuffer(host_of(url).encode("utf-8", "surrogatepass") + b"\0", np.uint8))
-    return int(_signed(name.between(np.array([0]), np.array([len(name.sums) - 1])))[0])
+def _coded(values: np.ndarray) -> bytes:
+    """Small numbers in a byte each; one of 255 or more takes a byte of 255 for each 255 in it first."""
+    more = values // 255
+    out = np.full(int(more.sum()) + len(values), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = values % 255
+    return out.tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    return np.diff(np.cumsum(raw, dtype=np.int64)[raw < 255], prepend=0)
+
+
+def _counted(articles: dict[int, dict[int, np.ndarray]]) -> dict[str, list]:
+    """Of each host's different articles: their digests, and how many are in each bucket, as gaps and counts."""
+    out: dict[str, list] = {n: [] for n in ("host", "digest", "slice", "gaps", "counts")}
+    for host, buckets in articles.items():
+        told = [(d, None, None, None) for d in buckets]
+        found, counts = np.unique(np.concatenate(list(buckets.values())), return_counts=True)
+        width = BUCKETS // SLICES
+        cut = np.searchsorted(found, np.arange(1, SLICES) * width)
+        for s, (at, n) in enumerate(zip(np.split(found.astype(np.int64), cut), np.split(counts, cut), strict=True)):
+            if len(at):
+                told.append((None, s, _coded(np.diff(at - s * width, prepend=-1) - 1), _coded(n - 1)))
+        for row in told:
+            for column, value in zip(out.values(), (host, *row), strict=True):
+                column.append(value)
+    return out
+
+
+def _open(counts: pa.Table) -> pa.Table:
+    """A host's buckets of one slice that more than half of its articles are in, as a bitmap; without any, no row."""
+    total = np.zeros(BUCKETS // SLICES, np.int64)
+    for gaps, n in zip(counts.column("gaps").to_pylist(), counts.column("counts").to_pylist(), strict=True):
+        total[np.cumsum(_decoded(gaps) + 1) - 1] += _decoded(n) + 1
+    often = 2 * total > counts.column("n")[0].as_py()
+    one = counts.select(["host", "slice"]).slice(0, int(often.any()))
+    return one.append_column("open", pa.array([zlib.compress(np.packbits(often).tobytes(), 1)] * len(one), pa.binary()))
 
 
 def _asked(found: list[tuple[int, str]], tokens: list[tuple[int, int, str]], n: int) -> np.ndarray:
@@ -183,29 +244,44 @@ def _asked(found: list[tuple[int, str]], tokens: list[tuple[int, int, str]], n:
     return at[before[np.minimum(at + RUN, len(tokens))] > before[at]]
 
 
-_TOLD = "host long, prefix long, low long, high long, k long, at long"
+_TOLD = "host long, prefix long, low long, high long, k long, at long, digest long, slice int, gaps binary, counts binary"
+
+
+def _rows(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of ``schema`` that has nulls in all but ``columns``."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = {n: kinds[t] for n, t in (c.split(" ") for c in schema.split(", "))}
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in fields.items()], names=list(fields))
 
 
 def _told(batches):
-    """Rows of two kinds from one parse of each page.
+    """Rows of four kinds from one parse of each page.
 
-    Of each partition's sorted, cut suffixes: host, prefix, and the first and last page that has it.  Of the runs that
-    repetition decides on: host, prefix, k and at, the run's place in its page's stream.
+    Of each partition's sorted, cut suffixes outside articles: host, prefix, and the first and last page that has it.
+    Of the runs that repetition decides on there: host, prefix, k and at, the run's place in its page's stream.
+    Of the articles: host and digest; host, slice, gaps and counts.
     """
     for batch in batches:
         suffixes: list[list] = [[], [], []]
         asks: list[list] = [[], [], [], []]
-        for k, url, html in zip(*(batch.column(n).to_pylist() for n in ("k", "url", "html")), strict=True):
+        articles: dict[int, dict[int, np.ndarray]] = {}
+        for k, host, html in zip(*(batch.column(n).to_pylist() for n in ("k", "host", "html")), strict=True):
             found = blocks(html)
+            within, digest = _runs(_inside(found))
+            if len(within) and digest not in articles.setdefault(host, {}):
+                articles[host][digest] = np.unique(_bucket(within))
             tokens = _outside(found)
-            runs = _signed(_runs(tokens))
+            runs = _signed(_runs(" ".join(w for *_, w in tokens))[0])
             if not len(runs):
                 continue
-            host, at = _host(url), _asked(found, tokens, len(runs))
+            at = _asked(found, tokens, len(runs))
             for column, values in zip(suffixes, (np.full(len(runs), host), runs, np.full(len(runs), k)), strict=True):
                 column.append(values)
             for column, values in zip(asks, (np.full(len(at), host), runs[at], np.full(len(at), k), at), strict=True):
                 column.append(values)
+        if articles:
+            yield _rows(_TOLD, **_counted(articles))
         if not suffixes[0]:
             continue
         h, p, g = (np.concatenate(c) for c in suffixes)
@@ -213,33 +289,64 @@ def _told(batches):
         h, p, g = h[order], p[order], g[order]
         cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]))
         last = np.concatenate([cut[1:], [len(h)]]) - 1
-        none = pa.nulls(len(cut), pa.int64())
-        names = [c.split(" ")[0] for c in _TOLD.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(h[cut]), pa.array(p[cut]), pa.array(g[cut]), pa.array(g[last]), none, none], names=names)
+        yield _rows(_TOLD, host=h[cut], prefix=p[cut], low=g[cut], high=g[last])
         h, p, k, at = (np.concatenate(c).astype(np.int64) for c in asks)
-        none = pa.nulls(len(h), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(p), none, none, pa.array(k), pa.array(at)], names=names)
+        yield _rows(_TOLD, host=h, prefix=p, k=k, at=at)
+
+
+_OPENED = "host long, prefix long, k long, at long, digest long"
+
+
+def _opened(batches):
+    """The suffixes of articles that lie in open buckets: host, prefix, k, at, and the digest of the article."""
+    for batch in batches:
+        out: list[list] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        for k, host, html, slices in zip(*(batch.column(n).to_pylist() for n in ("k", "host", "html", "slices")), strict=True):
+            runs, digest = _runs(_inside(blocks(html)))
+            often = np.zeros((SLICES, BUCKETS // SLICES), bool)
+            for s in slices:
+                often[s["slice"]] = np.unpackbits(np.frombuffer(zlib.decompress(s["open"]), np.uint8))
+            at = np.flatnonzero(often.ravel()[_bucket(runs)])
+            for column, values in zip(out, (np.full(len(at), host), _signed(runs[at]), np.full(len(at), k), at, np.full(len(at), digest)), strict=True):
+                column.append(values)
+        yield _rows(_OPENED, **dict(zip(("host", "prefix", "k", "at", "digest"), map(np.concatenate, out), strict=True)))
 
 
-def _kept(found: list[tuple[int, str]], covered: list[int]) -> str:
-    """Main blocks and doubted ones that are not covered as a whole; without main ones, the uncovered runs of the open blocks."""
+def _hit(n: int, covered: list[int]) -> np.ndarray:
+    """For each of ``n`` tokens: whether a run that starts at one of ``covered`` covers it."""
+    starts = np.bincount(np.array(covered, np.int64), minlength=n + 1)
+    return np.cumsum(starts - np.concatenate([np.zeros(k := min(RUN, n), np.int64), starts[: n + 1 - k]]))[:n] > 0
+
+
+def _common(found: list[tuple[int, str]], inside: list[int]) -> set[int]:
+    """The blocks of an article that its host's common runs cover as a whole, if they are less than half of it."""
+    if not inside:
+        return set()
+    at = [i for i, (z, _) in enumerate(found) if z == MAIN]
+    ends = np.cumsum([found[i][1].count(" ") + 1 for i in at])
+    hit = np.concatenate([[0], np.cumsum(_hit(ends[-1], inside))])
+    sizes = np.diff(ends, prepend=0)
+    whole = hit[ends] - hit[ends - sizes] == sizes
+    return {i for i, w in zip(at, whole, strict=True) if w} if 2 * sizes[whole].sum() < ends[-1] else set()
+
+
+def _kept(found: list[tuple[int, str]], covered: list[int], inside: list[int]) -> str:
+    """Main blocks that are not common and doubted ones that are not covered as a whole; without main ones, the uncovered runs of the open blocks."""
     main = any(z == MAIN for z, _ in found)
-    stays: dict[int, list[str]] = {i: [] for i, (z, _) in enumerate(found) if main and z == MAIN}
+    common = _common(found, inside)
+    stays: dict[int, list[str]] = {i: [] for i, (z, _) in enumerate(found) if main and z == MAIN and i not in common}
     if not main or any(z == DOUBT for z, _ in found):
         tokens = _outside(found)
-        hit = np.zeros(len(tokens) + 1, np.int64)
-        np.add.at(hit, np.array(covered, np.int64), 1)
-        np.add.at(hit, np.array(covered, np.int64) + min(RUN, len(tokens)), -1)
-        for (block, zone, word), n in zip(tokens, np.cumsum(hit)[:-1].tolist(), strict=True):
-            if not n and zone == (DOUBT if main else OPEN):
+        for (block, zone, word), hit in zip(tokens, _hit(len(tokens), covered).tolist(), strict=True):
+            if not hit and zone == (DOUBT if main else OPEN):
                 stays.setdefault(block, []).append(word)
     return "\n\n".join(found[block][1] if main else " ".join(words) for block, words in sorted(stays.items()))
 
 
 def _texts(batches):
     for batch in batches:
-        pages, covers = batch.column("html").to_pylist(), batch.column("covered").to_pylist()
-        texts = [_kept(blocks(page), at or []) for page, at in zip(pages, covers, strict=True)]
+        pages = zip(*(batch.column(n).to_pylist() for n in ("html", "covered", "inside")), strict=True)
+        texts = [_kept(blocks(page), at or [], within or []) for page, at, within in pages]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -247,19 +354,38 @@ def _texts(batches):
 SENT = 2_000_000
 
 
+def _common_runs(base: DataFrame, told: DataFrame) -> DataFrame | None:
+    """k and at of the runs in articles that more than half of their host's different articles have."""
+    hosts = settle(told.where("digest is not null").groupBy("host").agg(F.count_distinct("digest").alias("n")).where(f"n >= {LEAST}"))
+    counts = told.where("slice is not null").select("host", "slice", "gaps", "counts").join(hosts, "host")
+    often = settle(counts.groupBy("host", "slice").applyInArrow(_open, "host long, slice int, open binary"))
+    size = often.agg(F.sum(F.length("open") + 8)).first()[0]
+    if not size:
+        return None
+    slices = often.groupBy("host").agg(F.collect_list(F.struct("slice", "open")).alias("slices"))
+    asked = base.select("k", "host", "html").join(F.broadcast(slices) if size <= 8 * SENT else slices, "host")
+    opened = settle(asked.mapInArrow(_opened, _OPENED))
+    common = settle(opened.groupBy("host", "prefix").agg(F.count_distinct("digest").alias("c")).join(hosts, "host").where("2 * c > n").select("host", "prefix"))
+    return opened.join(common, ["host", "prefix"]).select("k", "at")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of ``pages`` (page_id, url, html).
 
     Null or empty html has an empty text.  Null urls share the empty host.  A page repeated under another
     page_id on its host counts as a distinct page; fully repeated rows count once in the suffix array and
-    stay in the result.  Null page_ids stay.  Very long pages are read whole.  An empty table gives an empty result.
-    Columns beyond these three are ignored.  A page shorter than ``RUN`` tokens is one run.
+    stay in the result.  Inside articles, those of the same tokens count once.  Null page_ids stay.  Very long pages
+    are read whole.  An empty table gives an empty result.  Columns beyond these three are ignored.  A page shorter
+    than ``RUN`` tokens is one run.
     """
-    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("k", row_key("page_id", "url", "html"))
+    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("k", row_key("page_id", "url", "html")).withColumn("host", F.xxhash64(host_in("url")))
     schema = "page_id " + base.schema["page_id"].dataType.simpleString() + ", url string, text string, n_chars long"
     told = settle(base.mapInArrow(_told, _TOLD))
-    repeated = told.where("k is null").groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "prefix")
-    covered = settle(told.where("k is not null").select("host", "prefix", "k", "at").join(repeated, ["host", "prefix"]).groupBy("k").agg(F.collect_set("at").alias("covered")))
-    few = (covered.agg(F.sum(F.size("covered"))).first()[0] or 0) <= SENT
+    repeated = told.where("low is not null").groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "prefix")
+    hits = told.where("k is not null").select("host", "prefix", "k", "at").join(repeated, ["host", "prefix"]).select("k", "at", F.lit(None).cast("long").alias("within"))
+    if (common := _common_runs(base, told)) is not None:
+        hits = hits.union(common.select("k", F.lit(None).cast("long"), "at"))
+    covered = settle(hits.groupBy("k").agg(F.collect_set("at").alias("covered"), F.collect_set("within").alias("inside")))
+    few = (covered.agg(F.sum(F.size("covered") + F.size("inside"))).first()[0] or 0) <= SENT
     joined = base.join(F.broadcast(covered) if few else covered, "k", "left")
-    return joined.select("page_id", "url", "html", "covered").mapInArrow(_texts, schema)
+    return joined.select("page_id", "url", "html", "covered", "inside").mapInArrow(_texts, schema)

@@ -171,6 +171,63 @@ def test_html_against_brute_force(spark):
     assert any("widget" in h and notices[4] in h and notices[4] not in expected[i].split("\n\n")[1:2] for i, _, h in pages)
 
 
+def brute_articles(pages):
+    """The paragraphs that stay of each page (page, host, paragraphs), from its words alone."""
+    runs = lambda ps: (w := " ".join(ps).split(" ")) and [tuple(w[i : i + 8]) for i in range(max(1, len(w) - 7))]
+    different, out = defaultdict(set), {}
+    for _, host, ps in pages:
+        different[host].add(" ".join(ps))
+    for i, host, ps in pages:
+        have = [set(runs([x])) for x in different[host]]
+        hit = set()
+        for at, run in enumerate(runs(ps)):
+            if len(have) >= 4 and 2 * sum(run in h for h in have) > len(have):
+                hit.update(range(at, at + 8))
+        at, gone, size = 0, [], len(" ".join(ps).split(" "))
+        for p in ps:
+            n = len(p.split(" "))
+            gone.append(hit >= set(range(at, at + n)))
+            at += n
+        taken = sum(len(p.split(" ")) for p, g in zip(ps, gone, strict=True) if g)
+        out[i] = [p for p, g in zip(ps, gone, strict=True) if not g or 2 * taken >= size]
+    return out
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_html_common_to_articles(spark, monkeypatch, sent):
+    """What most articles of a host print goes; what some quote, copies and versions of one article, and what few hosts' articles share stay."""
+    monkeypatch.setattr(html_text, "SENT", sent)
+    rng = random.Random(3)
+    asks, about, quoted, long = words(rng, 12), words(rng, 20), words(rng, 11), words(rng, 90)
+    pages = []
+    for host, n, make in [
+        ("most.org", 40, lambda i: [words(rng, 30), *[asks] * (i % 4 > 0), words(rng, 25), *[quoted] * (i % 5 < 2), *[about + " " + words(rng, 2)] * (i % 3 > 0)]),
+        ("half.org", 8, lambda i: [words(rng, 40), *[asks] * (i % 2)]),
+        ("two-parts.org", 9, lambda i: [words(rng, 50), asks + " " + about, about + " " + asks] if i % 2 else [words(rng, 50), asks, about]),
+        ("versions.org", 7, lambda i: [long, words(rng, 10)]),
+        ("few.org", 3, lambda i: [words(rng, 40), asks]),
+        ("once.org", 1, lambda i: [words(rng, 40), asks]),
+        ("long.org", 6, lambda i: [words(rng, 3000), asks, words(rng, 9)]),
+        ("", 5, lambda i: [words(rng, 40), about]),
+    ]:
+        pages += [(len(pages) + i, host, make(i)) for i in range(n)]
+    one = [words(rng, 60), asks]  # one article at 30 places is one of four, and what it shares with two is common
+    pages += [(len(pages) + i, "copies.org", one if i < 30 else [words(rng, 60), *[asks] * (i < 32)]) for i in range(33)]
+    shape = lambda ps: "<nav>menu</nav><article>" + "".join(f"<p>{p}</p>" for p in ps) + "</article>"
+    df = spark.createDataFrame([(i, f"http://{h.upper()}/{i}?x" if h else None, shape(ps)) for i, h, ps in pages], "page_id long, url string, html string").repartition(5)
+    expected = brute_articles(pages)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: "\n\n".join(ps) for i, ps in expected.items()}
+    kept = {h: [[p in expected[i] for p in (asks, quoted, long)] for i, x, _ in pages if x == h] for h in {h for _, h, _ in pages}}
+    assert not any(k[0] for h in ("most.org", "copies.org", "long.org") for k in kept[h]) and sum(k[1] for k in kept["most.org"]) == 16
+    assert sum(k[0] for k in kept["half.org"]) == 4 and all(k[2] for k in kept["versions.org"]) and all(k[0] for k in kept["few.org"])
+
+
+def test_html_host_is_the_same_in_spark(spark):
+    urls = ["http://A.b/c", "x", None, "", "a://b://c", "http://h?x=://i", "s://h#f", "s://", "s://ho\nst/", "s://u:p@\u00c4.de:80/"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", html_text.host_in("url").alias("h")).collect()
+    assert [r.h for r in rows] == [html_text.host_of(r.url) for r in rows]
+
+
 def test_html_edges(spark, monkeypatch):
     """No table of known runs gives the same; empty tables, repeated rows, null ids and clashing columns."""
     rows = [(1, "http://a.org/1", "<body><div>a b c d e f g h i</div><div>own words one</div>", "k", 5), (2, "http://a.org/2", "<body><div>a b c d e f g h i</div>", "k", 5)]
