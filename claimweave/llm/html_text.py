@@ -51,7 +51,6 @@ _NAMED = re.compile(_NAMES.format("ads?|adverts?|advertisement|advertising|spons
 _DOUBTED = re.compile(_NAMES.format("promo(?:tion)?|banner|alert|overlay|header|masthead|related|recommended|share|sharing|social|widget|toolbar"), re.I)
 _NOTED = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form", "toolbar"}
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_SPACES = re.compile(r"\s+")
 #: An open element of the key is closed by the start of one of these.
 _CLOSES = {"p": {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -86,7 +85,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
     at = 0
 
     def end_block() -> None:
-        text = _SPACES.sub(" ", unescape("".join(piece))).strip()
+        text = " ".join(unescape("".join(piece)).split())
         piece.clear()
         if text:
             out.append((zone, text))
@@ -222,14 +221,38 @@ def _counted(articles: dict[int, dict[int, np.ndarray]]) -> dict[str, list]:
     return out
 
 
-def _open(counts: pa.Table) -> pa.Table:
-    """A host's buckets of one slice that more than half of its articles are in, as a bitmap; without any, no row."""
-    total = np.zeros(BUCKETS // SLICES, np.int64)
-    for gaps, n in zip(counts.column("gaps").to_pylist(), counts.column("counts").to_pylist(), strict=True):
-        total[np.cumsum(_decoded(gaps) + 1) - 1] += _decoded(n) + 1
-    often = 2 * total > counts.column("n")[0].as_py()
-    one = counts.select(["host", "slice"]).slice(0, int(often.any()))
-    return one.append_column("open", pa.array([zlib.compress(np.packbits(often).tobytes(), 1)] * len(one), pa.binary()))
+def _rows(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of ``schema`` that has nulls in all but ``columns``."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = {n: kinds[t] for n, t in (c.split(" ") for c in schema.split(", "))}
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in fields.items()], names=list(fields))
+
+
+_OPEN = "host long, slice int, open binary"
+
+
+def _open(batches):
+    """From rows in the order of host and slice: the buckets that more than half of a host's articles are in, as bitmaps."""
+    now, total = None, np.zeros(BUCKETS // SLICES, np.int64)
+
+    def ended(out: list[tuple]) -> None:
+        if now and (often := 2 * total > now[2]).any():
+            out.append((*now[:2], zlib.compress(np.packbits(often).tobytes(), 1)))
+
+    for batch in batches:
+        out: list[tuple] = []
+        columns = [batch.column(n).to_pylist() for n in ("host", "slice", "n", "gaps", "counts")]
+        for host, part, n, gaps, counts in zip(*columns, strict=True):
+            if (host, part, n) != now:
+                ended(out)
+                now = host, part, n
+                total[:] = 0
+            total[np.cumsum(_decoded(gaps) + 1) - 1] += _decoded(counts) + 1
+        yield _rows(_OPEN, **dict(zip(("host", "slice", "open"), zip(*out), strict=True))) if out else _rows(_OPEN, host=[])
+    ended(last := [])
+    if last:
+        yield _rows(_OPEN, **dict(zip(("host", "slice", "open"), zip(*last), strict=True)))
 
 
 def _asked(found: list[tuple[int, str]], tokens: list[tuple[int, int, str]], n: int) -> np.ndarray:
@@ -247,14 +270,6 @@ def _asked(found: list[tuple[int, str]], tokens: list[tuple[int, int, str]], n:
 _TOLD = "host long, prefix long, low long, high long, k long, at long, digest long, slice int, gaps binary, counts binary"
 
 
-def _rows(schema: str, **columns) -> pa.RecordBatch:
-    """A batch of ``schema`` that has nulls in all but ``columns``."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = {n: kinds[t] for n, t in (c.split(" ") for c in schema.split(", "))}
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in fields.items()], names=list(fields))
-
-
 def _told(batches):
     """Rows of four kinds from one parse of each page.
 
@@ -358,7 +373,7 @@ def _common_runs(base: DataFrame, told: DataFrame) -> DataFrame | None:
     """k and at of the runs in articles that more than half of their host's different articles have."""
     hosts = settle(told.where("digest is not null").groupBy("host").agg(F.count_distinct("digest").alias("n")).where(f"n >= {LEAST}"))
     counts = told.where("slice is not null").select("host", "slice", "gaps", "counts").join(hosts, "host")
-    often = settle(counts.groupBy("host", "slice").applyInArrow(_open, "host long, slice int, open binary"))
+    often = settle(counts.repartition("host", "slice").sortWithinPartitions("host", "slice").mapInArrow(_open, _OPEN))
     size = often.agg(F.sum(F.length("open") + 8)).first()[0]
     if not size:
         return None
