@@ -229,6 +229,23 @@ def test_candidates_are_ranked_once_for_each_profile(spark):
     assert rows(resolution._ranked(resolution._sides(mentions, entities, aliases, 0.2), 0.2, chunk=3)) == expected
 
 
+def test_candidates_are_made_in_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    """What meets is small, what comes of it is not: 60 mentions of one kind with 50 candidates each, and two runs where a name moves one."""
+    entities = spark.createDataFrame([(f"p{i:02}", "PERSON", f"Vor Nach{i:02}", "k", "1") for i in range(50)], "id string, entity_type string, canonical_name string, canton string, country string")
+    mentions = spark.createDataFrame([(f"a{i}", "PERSON", f"Vor Nach{i:02}" if i < 40 else "Nobody", "k", "1") for i in range(60)], "mention_id string, entity_type string, name string, canton string, country string")
+    monkeypatch.setattr(resolution, "MADE", 100)
+    df = resolution.candidates(mentions, entities, spark.createDataFrame([], "entity_id string, alias string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 30), REPARTITION_BY_NUM") == 2, plan
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.mention_id, {})[r["rank"]] = r.entity_id
+    names = [f"p{i:02}" for i in range(50)]
+    for i in range(60):
+        first = [f"p{i:02}"] if i < 40 else []
+        assert [got[f"a{i}"][k] for k in range(1, 51)] == first + [n for n in names if n not in first]
+
+
 def test_many_rows_are_dealt_to_more_tasks(spark, monkeypatch):
     """Beyond what the session's partitions read in bounded tasks, there are more of them; lines meet their orders in those, too."""
     from claimweave import written
