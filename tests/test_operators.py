@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,6 +247,18 @@ def test_candidates_are_made_in_as_many_tasks_as_their_rows_ask_for(spark, monke
         assert [got[f"a{i}"][k] for k in range(1, 51)] == first + [n for n in names if n not in first]
 
 
+def test_sides_that_grow_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Written tables look small by their files: mentions, entities and names meet by a sort, however few they are."""
+    entities = spark.createDataFrame([(f"p{i}", "PERSON" if i % 2 else "COMPANY", f"Vor Nach{i}", "k", "1") for i in range(9)], "id string, entity_type string, canonical_name string, canton string, country string")
+    mentions = entities.select(F.col("id").alias("mention_id"), "entity_type", F.col("canonical_name").alias("name"), "canton", "country")
+    plans, write = [], resolution.written
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(resolution, "written", lambda df: write(told(df)))
+    aliases = spark.createDataFrame([("p1", "Anna")], "entity_id string, alias string")
+    told(resolution.candidates(mentions, entities, aliases)), told(resolution.unclear_entities(mentions, entities, aliases))
+    assert "SortMergeJoin [mention_id" in (text := "\n".join(plans)) and not re.findall(r"BroadcastHashJoin \[(?:mention_id|entity_id|id|block|gram)#.*", text)
+
+
 def test_many_rows_are_dealt_to_more_tasks(spark, monkeypatch):
     """Beyond what the session's partitions read in bounded tasks, there are more of them; lines meet their orders in those, too."""
     from claimweave import written
