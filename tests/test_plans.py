@@ -38,3 +38,8 @@ def test_documents_are_sent_only_if_counted_and_few(spark, monkeypatch):
     many = validation.evidence_refusals(drafts, docs)
     assert "strategy=broadcast" in plan(few) and "strategy=broadcast" not in plan(many)
     assert sorted(few.collect()) == sorted(many.collect()) and many.where("reason is null").count() == 1
+
+
+def test_entities_of_relations_are_not_sent_through_the_driver(spark):
+    plan = entry.queries()["claim_validate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [subject_id" in plan and "SortMergeJoin [object_id" in plan
