@@ -78,10 +78,10 @@ j0 AS (SELECT ed.*, CASE WHEN bad.n IS NULL THEN 'Edited verified claims require
 judged AS (SELECT * REPLACE (CASE WHEN reason IS NULL AND EXISTS (SELECT 1 FROM j0 e WHERE e.reason IS NULL AND e.claim_id = j0.claim_id AND (e.seq, e.id) < (j0.seq, j0.id)) THEN 'Only verified claims can be superseded.' ELSE reason END AS reason) FROM j0)"""
 
 
-def _judged(b: Bridge) -> tuple[DataFrame, DataFrame]:
+def _judged(b: Bridge, judge=review.edit_verdicts) -> tuple[DataFrame, DataFrame]:
     edits = b.spark.sql(_EDITS.replace("'{}'", "'{{}}'"), g_claims=b("g_claims"))
     proof = b.spark.sql(_PROOF, g_evidence=b("g_evidence"))
-    return review.edit_verdicts(edits, proof, b("g_claims"), b("g_entities"), b("g_compatible"), b("g_documents")), proof
+    return judge(edits, proof, b("g_claims"), b("g_entities"), b("g_compatible"), b("g_documents")), proof
 
 
 @query("edit_verdicts", f"WITH {_JUDGED} SELECT id, claim_id, reason FROM judged")
@@ -95,7 +95,7 @@ UNION ALL SELECT 'evidence', sha256(claim_id || '|' || document_id || '|' || tri
 UNION ALL SELECT 'audit', seq || ':' || step, action, entity FROM (SELECT seq, unnest([0, 1, 2]) AS step, unnest(['CLAIM_OUTDATED', 'CLAIM_SUPERSEDED', 'CLAIM_VERIFIED']) AS action, unnest([claim_id, id, id]) AS entity FROM made)
 UNION ALL SELECT 'queue', id, 'RESOLVED', claim_id FROM g_queue WHERE status IN ('OPEN', 'ASSIGNED') AND claim_id IN (SELECT claim_id FROM made UNION SELECT id FROM made)""")
 def edited_tables(b: Bridge) -> DataFrame:
-    judged, proof = _judged(b)
-    t = review.edit_changes(written(judged.where("reason is null")), proof, b("g_claims"), b("g_queue"))  # named by each table
+    made, proof = _judged(b, review.edits_made)
+    t = review.edit_changes(written(made.select("id", "claim_id", "seq")), proof, b("g_claims"), b("g_queue"))  # named by each table
     row = lambda name, *columns: t[name].select(F.lit(name).alias("tbl"), *[F.col(c).alias(a) for c, a in zip(columns, ("id", "status", "about"), strict=True)])
     return row("claims", "id", "status", "supersedes_id").union(row("evidence", "id", "evidence_hash", "claim_id")).union(row("audit", "id", "action", "entity_id")).union(row("queue", "id", "status", "claim_id"))

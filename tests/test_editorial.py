@@ -256,6 +256,22 @@ def test_an_edit_changes_all_tables_at_once(spark, tmp_path):
     assert {(r.id, r.status) for r in store.snapshot("queue").collect()} == {("q", "RESOLVED"), ("r", "RESOLVED")}
 
 
+def test_edits_made_are_those_without_a_reason(spark):
+    """Any mixture of refusals; rows of the changes are the same, too."""
+    entities, compatible = people(spark)
+    draw = random.Random(4)
+    claims = spark.createDataFrame([(f"c{i}", draw.choice(["VERIFIED", "VERIFIED", "OUTDATED"])) for i in range(40)], "id string, status string")
+    some = lambda *values: draw.choice(values)
+    edits = spark.createDataFrame([(f"x{i}", some(f"c{i % 50}", f"c{i % 7}", None), draw.randrange(9), "a", some("p", "p", "p", "gone", None, "o"), some("MEMBER_OF", "MEMBER_OF", "LOCATED_IN"), some("o", "o", "o", "p", None, "gone"), "DIRECT", some("2020", None), some("2021", None, "2019"), some("{}", None)) for i in range(400)], EDITS)
+    drafts = spark.createDataFrame([(some(f"x{i % 420}", f"x{i % 420}", None), some("d", "d", "d", "d", "none"), some("Text", "Text", "Text", " ", None), some(1, None), some(2, 2, None, 0)) for i in range(500)], PROOF)
+    rest = (drafts, claims, entities, compatible, spark.createDataFrame([("d",)], "id string"))
+    expected = review.edit_verdicts(edits, *rest).where("reason is null").drop("reason")
+    made = review.edits_made(edits, *rest)
+    assert sorted(map(str, made.collect())) == sorted(map(str, expected.collect())) and made.count() > 3
+    changes = [review.edit_changes(j, drafts, claims.withColumns({c: F.lit(None).cast("string") for c in ("subject_id", "predicate", "object_id", "connection_class", "valid_from", "valid_to")}), spark.createDataFrame([("q", "c1", "OPEN")], "id string, claim_id string, status string")) for j in (made, review.edit_verdicts(edits, *rest))]
+    assert all(sorted(map(str, changes[0][t].collect())) == sorted(map(str, changes[1][t].collect())) for t in ("claims", "evidence", "audit", "queue"))
+
+
 def test_a_path_is_put_once(spark, tmp_path):
     path = f"file://{tmp_path}/a/m.json"
     assert put_if_absent(spark, path, "one") and not put_if_absent(spark, path, "two")
